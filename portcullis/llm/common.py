@@ -107,7 +107,6 @@ def connected(edges: DataFrame, kind: str = "long") -> DataFrame:
         ends = left.select(F.col("a").alias("node"), F.least(key("a"), key("b")).alias("best")).unionByName(
             left.select(F.col("b").alias("node"), F.least(key("a"), key("b")).alias("best"))
         )
-        # min over (hash, node) as two longs: a struct would keep the aggregate from hashing
         best = ends.groupBy("node").agg(F.min("best").alias("best"))
         over = written(best.select("node", F.col("best.v").alias("root")), "choice")
         chosen.append(over)

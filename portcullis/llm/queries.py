@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from portcullis.llm import sentencepiece_codec
+from portcullis.llm import language_id, sentencepiece_codec, simhash_dedup, suffix_dedup, url_rules
 from portcullis.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +25,31 @@ def query(function):
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sentencepiece_codec.digest(sentencepiece_codec.encode(docs, public_tokenizers.path(PIECES)))
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language_id.held_out("doc_id").alias("held_out"))
+    model = language_id.train(docs.where("not held_out"))
+    return language_id.predict(docs, model, ["doc_id", "held_out"])
+
+
+@query
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+ORACLE_SQL["op10_url_rules"] = url_rules.ORACLE
+
+
+@query
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.strip(table(spark, sf_dir, "documents"), ["doc_id"])
+    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
