@@ -6,6 +6,7 @@ Helpers that tasks call on some texts at a time; the Spark jobs are in ``sentenc
 
 from __future__ import annotations
 
+import re
 import struct
 from dataclasses import dataclass, field
 
@@ -15,11 +16,26 @@ from sentencepiece import SentencePieceProcessor
 SPACE = "▁"
 # Fixed values of the public model format: piece types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
+#: Segmented units a task may keep, and characters of texts segmented together.
+CACHE_UNITS, PORTION = 1 << 19, 1 << 20
 #: Normaliser settings appended to a model file, which then takes texts as they are: a later value
 #: overrides in protocol buffers (field 3; an empty map, and no prefix, trimming or escaping).
 AS_IS = bytes([3 << 3 | 2, 8, 2 << 3 | 2, 0, 3 << 3, 0, 4 << 3, 0, 5 << 3, 0])
 
 
+def portions(texts: list[str]):
+    """The texts in runs of about ``PORTION`` characters, so that their units fit in memory."""
+    some, size = [], 0
+    for text in texts:
+        if some and size + len(text) > PORTION:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
 def _fields(data: bytes):
     """(field number, value) of a protocol-buffers message: int, or bytes for lengths and floats."""
     at, end = 0, len(data)
@@ -121,6 +137,13 @@ class PieceModel:
     def _compiled(self, data: bytes) -> PieceModel:
         self.merges = SentencePieceProcessor(model_proto=data + AS_IS)
         self.byte_of = {i: int(self.pieces[i][3:5], 16) for i, t in enumerate(self.types) if t == BYTE}
+        # Units start before a run of spaces and at what no longer piece has in it.
+        joined = set("".join(p for p, t in zip(self.pieces, self.types, strict=True) if t == NORMAL and len(p) > 1)) - {SPACE}
+        inside = any(SPACE in p.lstrip(SPACE) for p, t in zip(self.pieces, self.types, strict=True) if t == NORMAL)
+        self.joined, self.whole = joined, inside or not self.byte_fallback
+        classed = "".join(map(re.escape, sorted(joined)))
+        self.unit = re.compile(".+" if self.whole or not joined else f"{SPACE}*[{classed}]+|{SPACE}+|[^{classed}{SPACE}]", re.S).findall
+        self.cache: dict[str, bytes] = {}
         self.starts = {k.decode(errors="ignore")[:1] for k in self.charsmap}
         self.longest = max(map(len, self.charsmap), default=0)
         self.surface = [
@@ -192,11 +215,31 @@ class PieceModel:
                 del out[-len(wide) :], aligned[-len(wide) :]
         return out.decode(), np.array([*aligned, at])
 
+    def plain(self, text: str) -> str:
+        """The normalised text alone."""
+        if self.charsmap or self.remove_extra_whitespaces or not text:
+            return self.normalize(text)[0]
+        space = SPACE if self.escape_whitespaces else " "
+        return (space if self.add_dummy_prefix else "") + text.replace(" ", space)
+
     # Segmentation and spans --------------------------------------------------------------------
 
     def segment(self, normalized: list[str]) -> list[np.ndarray]:
-        """Token ids of normalised texts, without begin and end."""
-        return [np.array(self.merges.encode(text), "<u4") for text in normalized]
+        """Token ids of normalised texts, without begin and end.
+
+        No piece goes on over the start of a unit, so units are segmented alone, each once.
+        """
+        found, known = [], self.cache
+        for some in portions(normalized):
+            units = [self.unit(text) for text in some]
+            new = [u for u in set().union(*units) if u not in known]
+            if len(known) + len(new) > CACHE_UNITS:
+                known.clear()
+                new = list(set().union(*units))
+            for unit, ids in zip(new, self.merges.encode(new), strict=True):
+                known[unit] = struct.pack(f"<{len(ids)}I", *ids)
+            found += [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") for own in units]
+        return found
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each text the token ids, and the (begin, end) source bytes of each.

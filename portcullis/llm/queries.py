@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import language_id, sentencepiece_codec, simhash_dedup, suffix_dedup, url_rules
+from portcullis.llm import decontaminate, language_id, ngram_lm, sentencepiece_codec, simhash_dedup, suffix_dedup, token_counts, token_shards, url_rules, vector_topk
 from portcullis.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,12 +27,33 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(sentencepiece_codec.encode(docs, public_tokenizers.path(PIECES)))
 
 
+@query
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.materialise(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+@query
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", language_id.held_out("doc_id", 10, 0).alias("held_out"))
+    return ngram_lm.score(docs, ngram_lm.train(docs.where("not held_out")), ["doc_id", "held_out"])
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), ["doc_id"])
+
+
 @query
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language_id.held_out("doc_id").alias("held_out"))
@@ -40,6 +61,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, ["doc_id", "held_out"])
 
 
+@query
+def op9_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLE_SQL["op9_vector_topk"] = vector_topk.ORACLE
+
+
 @query
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")
