@@ -20,3 +20,7 @@ def register(name: str, sql: str | None = None):
         return function
 
     return add
+
+
+# The modules register their queries here.
+from portcullis.plans import detection, engine, windows  # noqa: E402, F401
