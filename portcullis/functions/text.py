@@ -11,6 +11,7 @@ from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from portcullis.functions.columns import ROT13_HINTS
 
@@ -25,6 +26,10 @@ INVISIBLE = "[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u009f­᠎​-‏‪
 LEET_FROM, LEET_TO = "0134578@$", "oieastbas"
 DEPTH, BUDGET, LEAST_LENGTH, PRINTABLE = 2, 16 * 1024, 4, 0.9
 
+# Types as objects: workers import this module without a session.
+_FRAGMENT = T.StructType([T.StructField("text", T.StringType()), T.StructField("codec", T.StringType())])
+DECODED = T.StructType([T.StructField("fragments", T.ArrayType(_FRAGMENT)), T.StructField("truncated", T.BooleanType())])
+
 _invisible, _blank, _alike = re.compile(INVISIBLE), re.compile(r"\s+"), str.maketrans(LOOK_ALIKES)
 _leet_word = re.compile(r"\b(?=[\w]*[A-Za-z])(?=[\w]*[0134578])[A-Za-z0134578]{3,}\b")
 _leet, _hints = str.maketrans(LEET_FROM, LEET_TO), frozenset(ROT13_HINTS)
@@ -113,19 +118,19 @@ def decoded(text: str) -> tuple[list[tuple[str, str]], bool]:
     return found, cut
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_invisible(text: pd.Series) -> pd.Series:
     """Compatibility form without characters that have no glyph; null stays null."""
     return text.map(visible, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(text: pd.Series) -> pd.Series:
     """C1, white space to one space, case folded, look-alikes to Latin."""
     return text.map(folded, na_action="ignore")
 
 
-@F.pandas_udf("fragments array<struct<text: string, codec: string>>, truncated boolean")
+@F.pandas_udf(DECODED)
 def decode_fragments(text: pd.Series) -> pd.DataFrame:
     """What is encoded in a text. Null texts have none."""
     found = [decoded(t) if isinstance(t, str) else ([], False) for t in text]
