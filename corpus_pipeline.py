@@ -15,16 +15,17 @@ from portcullis.llm import decontaminate, language_id, sentencepiece_codec, simh
 from portcullis.llm.common import written
 from portcullis.sources.tables import table
 
-#: Share of its n-grams that a document's language has to have.
-LEAST_SHARE = 0.2
+#: Share of its n-grams that a document's language has to have, if the document is longer than this.
+LEAST_SHARE, SHORT = 0.2, 40
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; ``und`` and scores under ``LEAST_SHARE`` go."""
+    """Documents whose language is known: without letters, or in no known language, they go."""
     model = language_id.train(docs.where(~language_id.held_out("doc_id")))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
     found = language_id.predict(packed, model, ["doc"])
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("doc.*")
+    known = (F.col("score") >= LEAST_SHARE) | (F.length("doc.text") <= SHORT)
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & known).select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ language's n-grams in a text, takes off what the filter's fill leads one to expe
 names the language with the most; its share of the text's n-grams is the score.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text where nothing was
-learned, or where no n-gram is known. Ties go to the language that sorts first. Only the text is
+learned. A text with letters but no known n-gram has the language with the most n-grams in training,
+with score 0. Ties go to the language that sorts first. Only the text is
 looked at in a prediction. Repeated rows count as often as they occur.
 """
 
@@ -77,6 +78,8 @@ class Model:
     languages: list[str]
     #: [slice, word, position]: the languages at a position, as bits.
     masks: np.ndarray
+    #: The place of the language with the most n-grams.
+    usual: int = 0
 
     def fill(self) -> np.ndarray:
         """By language, the chance that the filter has an n-gram that the language lacks."""
@@ -99,11 +102,9 @@ class Model:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         best = share.argmax(0)
         score = share.max(0)
-        known = letters & (score > 0)
-        return (
-            [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)],
-            np.where(known, score, 0.0).tolist(),
-        )
+        best = np.where(score > 0, best, self.usual)
+        named = [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), letters.tolist(), strict=True)]
+        return named, np.where(letters, score, 0.0).tolist()
 
 
 def held_out(id_column: str, parts: int = 4, part: int = 2) -> Column:
@@ -161,13 +162,14 @@ def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
     masks = np.zeros((words, SLICES * POSITIONS), np.int64)
     for w in range(words):
         masks[w, slots.column("at").to_numpy()] = slots.column(f"w{w}").to_numpy()
-    return Model(languages, masks.reshape(words, SLICES, POSITIONS).swapaxes(0, 1).copy())
+    usual = max(range(len(languages)), key=lambda i: totals[i]["total"])
+    return Model(languages, masks.reshape(words, SLICES, POSITIONS).swapaxes(0, 1).copy(), usual)
 
 
 def predict(df: DataFrame, model: Model, columns: list[str], text_column: str = "text") -> DataFrame:
     """``columns`` of ``df``, ``lang_pred`` and ``score`` for each row."""
     # The filter has a fixed size for up to WORD languages (6 MB).
-    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.masks))
+    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.masks, model.usual))
     rows = df.select(*columns, F.col(text_column).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", lang_pred string, score double"
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import connected, map_texts, texts_of, written
+from portcullis.llm.common import connected, map_texts, new_column, texts_of, written
 
 SEED = 42
 QUARTERS, QUARTER_BITS = 4, 16
@@ -167,9 +167,10 @@ def dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", w
 
     As elsewhere for near-duplicates, shingles have five words here.
     """
-    numbered = written(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    marked = written(fingerprints(numbered, ["__row", id_column], text_column, words), "fingerprints")
+    row = new_column(df, "__row")
+    numbered = written(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    marked = written(fingerprints(numbered, [row, id_column], text_column, words), "fingerprints")
     joined = _joined(marked, id_column, radius)
-    order = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col("__row").alias("row"))
-    kept = written(joined.groupBy("component_root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("__row")), "kept")
-    return numbered.join(kept, "__row", "left_semi").select(*df.columns)
+    order = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.col(row).alias("row"))
+    kept = written(joined.groupBy("component_root").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row)), "kept")
+    return numbered.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
