@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,16 +16,25 @@ def counts(events: DataFrame, *keys: Column | str) -> DataFrame:
     return keyed
 
 
-def nearest_even_percentiles(values: DataFrame, key: str, value: str, shares: tuple[float, ...]) -> DataFrame:
-    """The value at place round(q (n - 1)), halves to the even place, rounded to 3 places.
+def _at_places(values: DataFrame, key: str, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Count and the values at places (from 0) of each key's sorted values.
 
-    Ranks instead of collected lists, so a group of any size is fine.
+    Equal values are counted before the shuffle and ranked as one, so a key with any share of the rows
+    brings its different values alone.
     """
+    counted = values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__n"))
     order = Window.partitionBy(key).orderBy(value)
-    size = Window.partitionBy(key)
-    ranked = values.withColumns({"__at": F.row_number().over(order) - 1, "__n": F.count("*").over(size)})
-    picks = [F.max(F.when(F.col("__at") == F.bround(F.lit(q) * (F.col("__n") - 1)), F.round(value, 3))).alias(f"p{int(q * 100)}") for q in shares]
-    return ranked.groupBy(key).agg(F.count("*").alias("n"), *picks)
+    ranked = counted.withColumns({"__to": F.sum("__n").over(order), "__all": F.sum("__n").over(Window.partitionBy(key))})
+    here = lambda place: place.between(F.col("__to") - F.col("__n"), F.col("__to") - 1)
+    picks = [F.max(F.when(here(place(F.col("__all"))), F.col(value))).alias(name) for name, place in places.items()]
+    return ranked.groupBy(key).agg(F.sum("__n").alias("n"), *picks)
+
+
+def nearest_even_percentiles(values: DataFrame, key: str, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """The value at place round(q (n - 1)), halves to the even place, rounded to 3 places."""
+    places = {f"p{int(q * 100)}": (lambda n, q=q: F.bround(F.lit(q) * (n - 1))) for q in shares}
+    found = _at_places(values, key, value, places)
+    return found.select(key, "n", *[F.round(p, 3).alias(p) for p in places])
 
 
 def nearest_rank_percentiles(values: DataFrame, key: str, value: str, shares: tuple[float, ...]) -> DataFrame:
@@ -34,9 +45,8 @@ def nearest_rank_percentiles(values: DataFrame, key: str, value: str, shares: tu
 
 def half_up_percentiles(values: DataFrame, key: str, value: str, shares: tuple[float, ...]) -> DataFrame:
     """The value at place round(q n + 0.5) - 1, kept inside the list."""
-    ranked = values.withColumns({"__at": F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1, "__n": F.count("*").over(Window.partitionBy(key))})
-    place = lambda q: F.greatest(F.lit(0), F.least(F.col("__n") - 1, F.bround(F.lit(q) * F.col("__n") + 0.5) - 1))
-    return ranked.groupBy(key).agg(F.count("*").alias("n"), *[F.max(F.when(F.col("__at") == place(q), F.col(value))).alias(f"p{int(q * 100)}") for q in shares])
+    places = {f"p{int(q * 100)}": (lambda n, q=q: F.greatest(F.lit(0), F.least(n - 1, F.bround(F.lit(q) * n + 0.5) - 1))) for q in shares}
+    return _at_places(values, key, value, places)
 
 
 def top_and_other(counted: DataFrame, key: str, n: int) -> DataFrame:

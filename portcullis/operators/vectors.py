@@ -6,7 +6,9 @@ The examples are a configured corpus of some hundreds; they go to every task (ch
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST = 50_000
@@ -16,19 +18,28 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def margins(queries: DataFrame, examples: DataFrame, k: int = 3, exclude: Column | None = None) -> DataFrame:
+def margins(queries: DataFrame, examples: DataFrame, k: int = 3, exclude: Callable[[Column], Column] | None = None) -> DataFrame:
     """(query, attack, benign, margin, nearest): mean of the k best scores with each label, and the id of
-    the best attack. ``examples`` has example, label (attack, benign), vector; ``exclude`` leaves pairs out."""
+    the best attack. ``examples`` has example, label (attack, benign), example_vector; ``exclude`` says of
+    an example (a struct) whether a query leaves it out.
+
+    The examples are one array in one row, so a query is one row all the way and nothing is shuffled.
+    """
     n = examples.count()
     if n > MOST:
-        raise ValueError(f"{n} examples; a corpus of more than {MOST} needs top_k over blocks")
-    pairs = queries.join(F.broadcast(examples), F.lit(True) if exclude is None else ~exclude)
-    scored = pairs.select("query", "label", "example", F.round(dot(F.col("vector"), F.col("example_vector")), 6).alias("score"))
-    best = Window.partitionBy("query", "label").orderBy(F.col("score").desc(), "example")
-    top = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-    mean = lambda label: F.round(F.avg(F.when(F.col("label") == label, F.col("score"))), 6)
-    nearest = F.max(F.when((F.col("label") == "attack") & (F.col("place") == 1), F.col("example")))
-    return top.groupBy("query").agg(mean("attack").alias("attack"), mean("benign").alias("benign"), nearest.alias("nearest")).withColumn("margin", F.round(F.col("attack") - F.col("benign"), 6))
+        raise ValueError(f"{n} examples; a corpus of more than {MOST} needs a search over blocks")
+    packed = examples.agg(F.collect_list(F.struct(*examples.columns)).alias("__examples"))
+    joined = queries.join(F.broadcast(packed))
+
+    def best(label: str) -> Column:
+        own = F.filter("__examples", lambda e: (e["label"] == label) & (F.lit(True) if exclude is None else ~exclude(e)))
+        scored = F.transform(own, lambda e: F.struct((-F.round(dot(F.col("vector"), e["example_vector"]), 6)).alias("order"), e["example"].alias("example")))
+        return F.slice(F.array_sort(scored), 1, k)
+
+    mean = lambda c: F.round(F.try_divide(-F.aggregate(c, F.lit(0.0), lambda s, x: s + x["order"]), F.size(c)), 6)
+    top = joined.select("query", best("attack").alias("a"), best("benign").alias("b"))
+    means = top.select("query", mean(F.col("a")).alias("attack"), mean(F.col("b")).alias("benign"), F.try_element_at("a", F.lit(1))["example"].alias("nearest"))
+    return means.withColumn("margin", F.round(F.col("attack") - F.col("benign"), 6))
 
 
 def verdict(scored: DataFrame, block: float, margin: float, grey: float, grey_margin: float) -> DataFrame:

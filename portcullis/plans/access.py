@@ -215,7 +215,7 @@ def embedding_verdict(spark, sf_dir):
 def leave_group_out(spark, sf_dir):
     """F8: examples against the others, their own group left out."""
     queries, examples = _vectors(spark, sf_dir)
-    return V.margins(queries.where("query % 5 = 0"), examples, exclude=(F.col("query") == F.col("example")) | (F.col("query_group") == F.col("group")))
+    return V.margins(queries.where("query % 5 = 0"), examples, exclude=lambda e: (F.col("query") == e["example"]) | (F.col("query_group") == e["group"]))
 
 
 @register("calibrate_grid", f"""WITH {_margin_sql('q.vec_id % 5 <> 0', 'false')}, g AS (SELECT sim / 20.0 AS sim, gap / 50.0 AS gap FROM range(2, 16) a(sim), range(0, 6) b(gap)),
