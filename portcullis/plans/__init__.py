@@ -23,4 +23,4 @@ def register(name: str, sql: str | None = None):
 
 
 # The modules register their queries here.
-from portcullis.plans import access, detection, engine, metrics, recorded, windows  # noqa: E402, F401
+from portcullis.plans import access, detection, engine, governed, metrics, recorded, windows  # noqa: E402, F401
