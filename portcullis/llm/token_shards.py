@@ -1,14 +1,18 @@
 """Training-order materialisation of token ids.
 
-``materialise`` encodes every text, cuts the ids into sequences, numbers these over the whole table
-and gives each a slot by a keyed Feistel permutation of [0, N) (walking its cycle while a value falls
-outside). The slots are dealt in ranges to shards, and each shard is written as one file of records
-of equal length: a 4-byte little-endian token count, then the ids as 16-bit (or, for large
-vocabularies, 32-bit) integers, padded with zeros. ``read`` goes through the records from any slot on.
-
-The order depends on the key and the number of sequences alone; a shard's file is whole or absent
-and the same whichever task writes it, so lost tasks may run again. Null and empty texts make no
-sequence; repeated rows make one each. Ids of rows go to the index that is returned.
+``materialise`` encodes every text, cuts the ids into sequences and numbers these without counting:
+the task's number, then the place in the task. A keyed Feistel permutation of all numbers (walking its
+cycle while a value falls outside) puts each sequence somewhere in [0, ``NUMBERS``). Equal ranges of
+that are the shards: a shard gets about as many sequences as any other, sorts them, and writes one
+file of records of equal length: a 4-byte little-endian token count, then the ids as 16-bit (or, for
+large vocabularies, 32-bit) integers, padded with zeros. A sequence's global slot is its shard's first
+slot (the sizes of the shards before) and its place there: the permuted order without the gaps.
+``read`` goes through the records from any slot on.
+
+Texts are encoded once and ids shuffled once; nothing but a row for each shard comes to the driver.
+The order depends on the key and the rows' order in the tasks; a shard's file is whole or absent and
+the same whichever task writes it, so lost tasks may run again. Null and empty texts make no sequence;
+repeated rows make one each. Ids of rows go to the index that is returned.
 """
 
 from __future__ import annotations
@@ -20,12 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from portcullis.llm.common import fresh_path, map_texts, texts_of, written
 from portcullis.llm.sentencepiece_codec import loaded, model_bytes
 from portcullis.llm.shared_files import mapped, packed, put, unpacked
 
 LENGTH, PER_SHARD, ROUNDS, KEY = 512, 2048, 6, 20240131
+#: Sequence numbers are below this (a task's number is in the upper bits).
+NUMBERS = 2**63 - 25
+#: Bytes of text for a token, about: it sets the number of shards, nothing else.
+BYTES_PER_TOKEN = 2.5
 
 
 def _mix(value: np.ndarray, key: int) -> np.ndarray:
@@ -40,14 +49,14 @@ def slots_of(index: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     half = max(1, (max(1, total - 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
     keys = [int.from_bytes(hashlib.blake2b(f"{key}/{r}".encode(), digest_size=8).digest(), "little") for r in range(ROUNDS)]
-    value = index.astype(np.uint64)
+    value = index.astype(np.uint64).copy()
     walking = np.arange(len(value))
     while len(walking):
         left, right = value[walking] >> np.uint64(half), value[walking] & mask
         for k in keys:
             left, right = right, left ^ (_mix(right, k) & mask)
         value[walking] = left << np.uint64(half) | right
-        walking = walking[value[walking] >= total]
+        walking = walking[value[walking] >= np.uint64(total)]
     return value.astype(np.int64)
 
 
@@ -64,10 +73,13 @@ def materialise(df: DataFrame, model_path: str, id_column: str = "doc_id", text_
     kind, width = ("<u4", 4) if wide else ("<u2", 2)
     stride = 4 + length * width
     id_type = df.schema[id_column].dataType.simpleString()
+    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    size, number = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    shards = max(1, round((size / BYTES_PER_TOKEN / length + number / 2) / PER_SHARD))
+    share = -(-NUMBERS // shards)
 
     def cut(batch: pa.RecordBatch, model) -> dict:
-        ids, parts, tokens = [], [], []
-        which = []
+        which, parts, tokens, ids = [], [], [], []
         texts = texts_of(batch, "text")
         for i, own in enumerate(model.segment([model.plain(t) for t in texts])):
             if not texts[i]:
@@ -80,53 +92,49 @@ def materialise(df: DataFrame, model_path: str, id_column: str = "doc_id", text_
                 tokens.append(min(length, len(own) - at))
         return {"id": batch.column("id").take(pa.array(which, pa.int64())), "part": parts, "n_tokens": tokens, "ids": ids}
 
-    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    @F.pandas_udf(T.LongType())
+    def place(number):
+        return number.__class__(slots_of(number.to_numpy(), NUMBERS, key))
+
     cut_up = map_texts(rows, "text", f"id {id_type}, part int, n_tokens int, ids binary", cut, lambda: loaded(data))
-    sequences = written(cut_up.withColumn("at", F.monotonically_increasing_id()), "sequences")
-    # Numbers over the whole table: one row for each task that cut texts comes here.
-    task = F.shiftright("at", 33).cast("int")
-    counts = sequences.groupBy(task.alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect()
-    ends = np.cumsum([r["n"] for r in counts]).tolist()
-    total = ends[-1] if ends else 0
-    first = spark.createDataFrame([(r["task"], e - r["n"]) for r, e in zip(counts, ends, strict=True)], "task int, first long")
-
-    @F.pandas_udf("long")
-    def slot(index):
-        return index.__class__(slots_of(index.to_numpy(), total, key))
-
-    numbered = (
-        sequences.withColumn("task", task)
-        .join(F.broadcast(first), "task")
-        .withColumn("slot", slot(F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)))
-        .withColumn("shard", F.expr(f"slot div {PER_SHARD}"))
-        .select("id", "part", "n_tokens", "ids", "slot", "shard")
-    )
+    placed = cut_up.withColumn("place", place(F.monotonically_increasing_id())).withColumn("shard", F.expr(f"place div {share}"))
 
     def write(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        slots = table.column("slot").to_numpy() - shard * PER_SHARD
-        records = np.zeros((int(min(PER_SHARD, total - shard * PER_SHARD)), stride), np.uint8)
+        table = table.sort_by("place")
+        records = np.zeros((table.num_rows, stride), np.uint8)
         digests = []
-        for place, ids, n in zip(slots.tolist(), table.column("ids").to_pylist(), table.column("n_tokens").to_pylist(), strict=True):
-            records[place, :4] = np.array([n], "<u4").view(np.uint8)
-            records[place, 4 : 4 + len(ids)] = np.frombuffer(ids, np.uint8)
-            digests.append(hashlib.sha256(ids).hexdigest())
-        put(f"{path}/shard-{shard:08d}", records.tobytes())
-        return table.select(["id", "part", "slot", "shard"]).append_column("byte_offset", pa.array(slots * stride)).append_column("n_tokens", table.column("n_tokens")).append_column("ids_sha256", pa.array(digests))
-
-    put(f"{path}/manifest", packed({}, total=total, length=length, per_shard=PER_SHARD, stride=stride, kind=kind, key=key))
-    index = numbered.groupBy("shard").applyInArrow(write, f"id {id_type}, part int, slot long, shard long, byte_offset long, n_tokens int, ids_sha256 string")
-    return written(index, "index").withColumnRenamed("id", id_column)
+        for at, (ids, n) in enumerate(zip(table.column("ids").to_pylist(), table.column("n_tokens").to_pylist(), strict=True)):
+            records[at, :4] = np.array([n], "<u4").view(np.uint8)
+            records[at, 4 : 4 + len(ids)] = np.frombuffer(ids, np.uint8)
+            digests.append(hashlib.sha256(ids).digest())
+        put(f"{path}/shard-{table.column('shard')[0].as_py():08d}", records.tobytes())
+        made = table.select(["id", "part", "shard", "n_tokens"])
+        return made.append_column("at", pa.array(np.arange(table.num_rows), pa.int32())).append_column("digest", pa.array(digests, pa.binary()))
+
+    index = written(placed.groupBy("shard").applyInArrow(write, f"id {id_type}, part int, shard long, n_tokens int, at int, digest binary"), "index")
+    sizes = {r["shard"]: r["n"] for r in index.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    starts = np.concatenate([[0], np.cumsum([sizes.get(i, 0) for i in range(shards)])])
+    put(f"{path}/manifest", packed({"starts": starts}, length=length, stride=stride, kind=kind, key=key))
+    first = spark.createDataFrame([(i, int(starts[i])) for i in sizes], "shard long, first long")
+    return index.join(F.broadcast(first), "shard").select(  # a row for each shard
+        F.col("id").alias(id_column),
+        "part",
+        (F.col("first") + F.col("at")).alias("slot"),
+        "shard",
+        (F.col("at").cast("long") * stride).alias("byte_offset"),
+        "n_tokens",
+        F.lower(F.hex("digest")).alias("ids_sha256"),
+    )
 
 
 def read(path: str, slot: int = 0) -> Iterator[tuple[int, np.ndarray]]:
     """(slot, ids) in training order, from ``slot`` on."""
-    facts = unpacked(mapped(f"{path}/manifest"))[1]
-    width = np.dtype(facts["kind"]).itemsize
-    while slot < facts["total"]:
-        shard, place = divmod(slot, facts["per_shard"])
+    arrays, facts = unpacked(mapped(f"{path}/manifest"))
+    width, starts = np.dtype(facts["kind"]).itemsize, arrays["starts"]
+    while slot < starts[-1]:
+        shard = int(np.searchsorted(starts, slot, "right")) - 1
         records = mapped(f"{path}/shard-{shard:08d}").reshape(-1, facts["stride"])
-        for record in records[place:]:
+        for record in records[slot - int(starts[shard]) :]:
             n = int(record[:4].view("<u4")[0])
             yield slot, np.array(record[4 : 4 + n * width].view(facts["kind"]))
             slot += 1
