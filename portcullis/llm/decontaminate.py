@@ -23,19 +23,20 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import map_texts, texts_of, written
+from portcullis.llm.common import map_texts, new_column, texts_of, written
 
 K1, B = 1.2, 0.75
 SHINGLE, SIMILARITY, PART, ANSWER = 5, 0.8, 0.5, 0.2
 PART_BYTES = 8 << 20
-#: Items in a block of a posting list.
-BLOCK = 16
+#: Entries in a block of a posting list, items in a block of the test over all passages at once.
+BLOCK, ITEMS = 16, 4
 words_of = re.compile(r"\w+").findall
 
 
@@ -47,6 +48,7 @@ class Index:
     """Posting lists of a part of the items, with the largest impact of each block."""
 
     def __init__(self, items: list[dict], frequency: dict[str, int], total: int, mean: float):
+        items = sorted(items, key=lambda x: len(x["words"]))  # so that a block's impacts are much alike
         self.ids = [x["id"] for x in items]
         self.shingles = [shingles(x["words"]) for x in items]
         self.questions = [len(shingles(x["words"])) - x["answer_shingles"] for x in items]
@@ -68,6 +70,11 @@ class Index:
             values = [v for _, v in found]
             self.postings[w] = ([i for i, _ in found], values, [max(values[k : k + BLOCK]) for k in range(0, len(values), BLOCK)])
         self.most = {w: max(p[2]) for w, p in self.postings.items()}
+        # For each word the largest impact on each block of items; the last row is for all other words.
+        self.term = {w: i for i, w in enumerate(self.postings)}
+        self.blocks = np.zeros((len(self.term) + 1, -(-len(items) // ITEMS)), np.float32)
+        for w, (at, values, _) in self.postings.items():
+            np.maximum.at(self.blocks[self.term[w]], np.array(at) // ITEMS, np.array(values, np.float32))
 
     def retrieve(self, words: set[str]) -> list[tuple[int, float]]:
         """Items of score 1 or more for a query, by block-max WAND."""
@@ -113,18 +120,39 @@ class Index:
                 for c in cursors[:pivot]:
                     c[1] = bisect_left(c[0][0], item, c[1])
 
-    def matches(self, words: list[str], bounds: np.ndarray) -> list[tuple[int, float, float, float, float]]:
-        """(item, score, overlap, overlap of question, of answer) of the items that a text holds.
+    def promising(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Of each text the places where passages begin that can reach 1 in some block of items.
 
-        ``bounds`` has the largest impact of each word: a passage whose sum stays under 1 has no
-        pivot, so it need not be looked at.
+        This is the test for a pivot, over all passages at once: a passage is two chunks, and the
+        block's largest impacts of their different words are summed.
         """
-        sums = np.concatenate([[0.0], np.cumsum(bounds)])
-        begins = np.arange(0, max(1, len(words) - self.reach), self.reach)
-        ends = np.minimum(begins + 2 * self.reach, len(words))
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        size, none = self.reach, len(self.term)
+        ids = np.fromiter(map(self.term.get, chain.from_iterable(texts), repeat(none)), np.int64, lengths.sum())
+        chunks = np.maximum(1, -(-lengths // size))
+        first = np.cumsum(chunks) - chunks
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        chunk = np.repeat(first, lengths) + place // size
+        known = ids < none
+        pairs = np.unique(chunk[known] * none + ids[known])
+        sums = np.zeros((int(chunks.sum()) + 1, self.blocks.shape[1]), np.float32)
+        if len(pairs):
+            owner = pairs // none
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            sums[owner[starts]] = np.add.reduceat(self.blocks[pairs % none], starts)
+        both = sums[:-1].copy()
+        last = first + chunks - 1
+        inner = np.ones(len(both), bool)
+        inner[last] = False
+        both[inner] += sums[1:][inner]
+        able = (both >= 1 - 1e-4).any(1) if both.shape[1] else np.zeros(len(both), bool)
+        return [np.flatnonzero(able[f : f + n]) * size for f, n in zip(first.tolist(), chunks.tolist(), strict=True)]
+
+    def matches(self, words: list[str], begins: np.ndarray) -> list[tuple[int, float, float, float, float]]:
+        """(item, score, overlap, overlap of question, of answer) of the items that a text holds."""
         best: dict[int, float] = {}
-        for k in np.flatnonzero(sums[ends] - sums[begins] >= 1).tolist():
-            for item, score in self.retrieve(set(words[begins[k] : ends[k]])):
+        for begin in begins.tolist():
+            for item, score in self.retrieve(set(words[begin : begin + 2 * self.reach])):
                 best[item] = max(score, best.get(item, 0.0))
         if not best:
             return []
@@ -185,12 +213,9 @@ def contamination(df: DataFrame, benchmark: DataFrame, columns: list[str], text_
 
         def work(batch: pa.RecordBatch, own: Index) -> dict | None:
             which, rest = [], []
-            for i, text in enumerate(texts_of(batch, "__text")):
-                words = words_of(text.lower())
-                if not words:
-                    continue
-                bounds = np.fromiter(map(own.most.get, words, [0.0] * len(words)), np.float64, len(words))
-                for hit in own.matches(words, bounds):
+            texts = [words_of(t.lower()) for t in texts_of(batch, "__text")]
+            for i, begins in enumerate(own.promising(texts)):
+                for hit in own.matches(texts[i], begins) if len(begins) else ():
                     which.append(i)
                     rest.append(hit)
             if not which:
@@ -208,6 +233,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, columns: list[str], text_
 
 def clean(df: DataFrame, benchmark: DataFrame, text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``df`` without the rows that hold an item."""
-    numbered = written(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    leaks = contamination(numbered, benchmark, ["__row"], text_column, item_id, item_text).select("__row").distinct()
-    return numbered.join(leaks, "__row", "left_anti").select(*df.columns)
+    row = new_column(df, "__row")
+    numbered = written(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    leaks = contamination(numbered, benchmark, [row], text_column, item_id, item_text).select(row).distinct()
+    return numbered.join(leaks, row, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
