@@ -61,10 +61,11 @@ def text_portions(batches: Iterable[pa.RecordBatch], column: str, most: int = PO
             yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, column: str, schema: str, work: Callable[[pa.RecordBatch], dict | None], prepare=None) -> DataFrame:
+def map_texts(df: DataFrame, column: str, schema: str, work: Callable[[pa.RecordBatch], dict | None], prepare=None, most: int = PORTION_BYTES) -> DataFrame:
     """mapInArrow over ``df``: ``work`` turns some rows into the columns of ``schema``.
 
     ``prepare`` is called once in each task; what it returns goes to ``work`` as a second argument.
+    ``work`` gets rows with ``most`` bytes of text, about.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -73,7 +74,7 @@ def map_texts(df: DataFrame, column: str, schema: str, work: Callable[[pa.Record
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extra = (prepare(),) if prepare else ()
-        for batch in text_portions(batches, column):
+        for batch in text_portions(batches, column, most):
             made = work(batch, *extra)
             if made is not None:
                 yield pa.record_batch([pa.array(made[f.name], f.type) if not isinstance(made[f.name], pa.Array) else made[f.name].cast(f.type) for f in out], schema=out)

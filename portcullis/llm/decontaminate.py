@@ -35,6 +35,8 @@ from portcullis.llm.common import map_texts, new_column, texts_of, written
 K1, B = 1.2, 0.75
 SHINGLE, SIMILARITY, PART, ANSWER = 5, 0.8, 0.5, 0.2
 PART_BYTES = 8 << 20
+#: Bytes of text whose passages are tested together: each word there takes a row of sums for a while.
+PORTION = 1 << 20
 #: Entries in a block of a posting list, items in a block of the test over all passages at once.
 BLOCK, ITEMS = 16, 4
 words_of = re.compile(r"\w+").findall
@@ -224,7 +226,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, columns: list[str], text_
             names = ("score", "overlap", "question_overlap", "answer_overlap")
             return {c: taken.column(c) for c in columns} | {"__item": [own.ids[r[0]] for r in rest]} | {n: [r[k + 1] for r in rest] for k, n in enumerate(names)}
 
-        part = map_texts(rows, "__text", schema, work, lambda shared=shared: shared.value)
+        part = map_texts(rows, "__text", schema, work, lambda shared=shared: shared.value, PORTION)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], schema)
