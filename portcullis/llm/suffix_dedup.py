@@ -127,8 +127,8 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, lanes: int = 4096) -> np.ndarray:
     """Of each suffix in order, the common prefix with the one before it, after Kasai.
 
-    The text is cut into lanes that go forward side by side: from one position to the next the
-    common prefix shrinks by one at most, so each goes on from there, 8 bytes at a time.
+    The text is cut into lanes that go forward side by side, each at its own pace: 8 more bytes, or
+    one position on, where the common prefix is shorter by one at most.
     """
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
@@ -138,27 +138,23 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, lanes
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
     result = np.zeros(n, np.int64)
-    length = -(-n // lanes)
-    at = np.arange(0, n, length)
+    at = np.arange(0, n, -(-n // lanes))
+    end = np.concatenate([at[1:], [n]])
     same = np.zeros(len(at), np.int64)
-    for _ in range(length):
-        if at[-1] >= n:
-            at, same = at[:-1], same[:-1]
-            if not len(at):
-                break
+    while len(at):
         other = before[at]
-        same = np.maximum(same - 1, 0)
-        same[other < 0] = 0
-        todo = np.flatnonzero(other >= 0)
-        while len(todo):
-            i, j = at[todo] + same[todo], other[todo] + same[todo]
-            differ = words[np.minimum(i, n)] ^ words[np.minimum(j, n)]
-            more = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3)
-            left = n - np.maximum(i, j)
-            same[todo] += np.minimum(more, left)
-            todo = todo[(more == 8) & (left > 8)]
-        result[rank[at]] = same
-        at = at + 1
+        i, j = at + same, np.maximum(other, 0) + same
+        differ = words[i] ^ words[j]
+        more = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3
+        left = np.where(other < 0, 0, n - np.maximum(i, j))
+        same += np.minimum(more, left)
+        done = (more < 8) | (left <= 8)
+        result[rank[at[done]]] = same[done]
+        same -= done & (same > 0)
+        at += done
+        if (at == end).any():
+            on = at < end
+            at, end, same = at[on], end[on], same[on]
     return result
 
 
