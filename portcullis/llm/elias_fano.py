@@ -45,19 +45,46 @@ class EliasFano:
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """The values at the places."""
-        word = np.searchsorted(self.before, at.astype(self.before.dtype), "right") - 1
-        bit = _select(self.high[word], at - self.before[word])
-        return (word * 64 + bit - at).astype(np.uint64) << self.low_bits | self.low[at].astype(np.uint64)
+        return self._value(at, self._place_of_one(at))
 
-    def _first_of_high(self, high: np.ndarray) -> np.ndarray:
-        """How many values have smaller high bits."""
+    def access_two(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at the places and at the places after them."""
+        place = self._place_of_one(at)
+        word, bit = place >> 6, (place & 63).astype(np.uint64)
+        rest = self.high[word] >> bit >> np.uint64(1)
+        step = np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        after = place + 1 + step
+        if len(far := np.flatnonzero(rest == 0)):  # the next one is in another word
+            after[far] = self._place_of_one(at[far] + 1)
+        return self._value(at, place), self._value(at + 1, after)
+
+    def _value(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return (place - at).astype(np.uint64) << self.low_bits | self.low[at].astype(np.uint64)
+
+    def _place_of_one(self, nth: np.ndarray) -> np.ndarray:
+        word = np.searchsorted(self.before, nth.astype(self.before.dtype), "right") - 1
+        return word * 64 + _select(self.high[word], nth - self.before[word])
+
+    def _place_of_zero(self, nth: np.ndarray) -> np.ndarray:
+        """The place of each nth zero; -1 before the first, and past all for those that there aren't."""
         if not hasattr(self, "_zeros"):
             self._zeros = np.arange(len(self.before)) * 64 - self.before.astype(np.int64)
-        word = np.searchsorted(self._zeros, high - 1, "right") - 1
+        word = np.searchsorted(self._zeros, nth, "right") - 1
         inside = word < len(self.high)
-        word = np.minimum(word, len(self.high) - 1)
-        bit = _select(~self.high[word], np.maximum(high - 1, 0) - self._zeros[word])
-        return np.where(high <= 0, 0, np.where(inside, np.minimum(word * 64 + bit - (high - 1), self.n), self.n))
+        word = np.clip(word, 0, len(self.high) - 1)
+        place = word * 64 + _select(~self.high[word], np.maximum(nth - self._zeros[word], 0))
+        return np.where(nth < 0, -1, np.where(inside, place, self.n + nth))
+
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values with these high bits: where they begin and end."""
+        zero = self._place_of_zero(high - 1)
+        begin = np.minimum(zero + 1 - high, self.n)
+        word, bit = np.minimum((zero + 1) >> 6, len(self.high) - 1), ((zero + 1) & 63).astype(np.uint64)
+        rest = ~self.high[word] >> bit
+        end = begin + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        if len(far := np.flatnonzero((rest == 0) | (zero + 1 >= len(self.high) * 64))):
+            end[far] = np.minimum(self._place_of_zero(high[far]) - high[far], self.n)
+        return begin, end
 
     def find(self, value: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The place in [low, high) of each value; -1 where it isn't."""
@@ -66,12 +93,9 @@ class EliasFano:
         value = value.astype(np.uint64)
         top = (value >> self.low_bits).astype(np.int64)
         rest = value & ((np.uint64(1) << self.low_bits) - np.uint64(1))
-        at = np.maximum(self._first_of_high(top), low)
-        end = np.minimum(self._first_of_high(top + 1), high)
-        while True:  # those of equal high bits are few, and sorted: halve
-            open_ = np.flatnonzero(end - at > 1)
-            if not len(open_):
-                break
+        begin, end = self._bucket(top)
+        at, end = np.maximum(begin, low), np.minimum(end, high)
+        while len(open_ := np.flatnonzero(end - at > 1)):  # those of equal high bits are few, and sorted: halve
             middle = (at[open_] + end[open_]) // 2
             below = self.low[middle].astype(np.uint64) <= rest[open_]
             at[open_] = np.where(below, middle, at[open_])

@@ -4,10 +4,10 @@ Texts are lower-cased (A-Z) and cut into words at ASCII white space; an end toke
 known by its XXH64. The model has three levels, smoothed after Witten and Bell:
 
     p(w)       = (c(w) + 0.1) / (N + 0.1 (V + 1))
-    p(w | v)   = (1 - l(v)) c(v w) / c(v) + l(v) p(w)              l(v) = T(v) / (T(v) + c(v))
+    p(w | v)   = (1 - l(v)) c(v w) / c(v) + l(v) p(w)              l(v) = B T(v) / (B T(v) + c(v))
     p(w | u v) = (1 - l(u v)) c(u v w) / c(u v) + l(u v) p(w | v)
 
-with T the number of different words that follow. A context that was never seen leaves the shorter one.
+with T the number of different words that follow, and B = ``BACK``. A context that was never seen leaves the shorter one.
 
 The vocabulary and the trie are files in the shared folder, written by tasks and mapped into memory
 by the tasks that score. A trie shard has the words u of a hash, sorted; pointers to their successors
@@ -38,6 +38,8 @@ from portcullis.llm.elias_fano import EliasFano
 from portcullis.llm.shared_files import mapped, packed, put, unpacked
 
 ADD = 0.1
+#: How strongly contexts with many different successors leave it to the shorter context.
+BACK = 4.0
 END = b"\n"  # no word has white space
 #: Training tokens in a trie shard, words in a vocabulary piece, about.
 SHARD_TOKENS, PIECE_WORDS = 3_000_000, 4_000_000
@@ -113,17 +115,16 @@ class Vocabulary:
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and counts of the texts' tokens, one text after another, and the numbers of tokens."""
-        index: dict[bytes, int] = {}
-        places, lengths = [], []
+        words: list[bytes] = []
+        lengths = []
         for text in texts:
-            words = words_of(text)
-            for word in words:
-                if word not in index:
-                    index[word] = len(index)
-            places.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
-            lengths.append(len(words))
-        ids, counts = self.look_up(hashes(list(index)))
-        every = np.concatenate(places)
+            before = len(words)
+            words += words_of(text)
+            lengths.append(len(words) - before)
+        distinct = dict.fromkeys(words)
+        ids, counts = self.look_up(hashes(list(distinct)))
+        index = dict(zip(distinct, range(len(distinct)), strict=True))
+        every = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         return ids[every], counts[every], np.array(lengths)
 
 
@@ -271,8 +272,8 @@ def shard_arrays(u: np.ndarray, v: np.ndarray, w: np.ndarray, times: np.ndarray)
     arrays["times"] = word_times
     arrays["ratio2"] = quantised(pair_times / per_pair)
     arrays["ratio3"] = quantised(times / np.repeat(pair_times, pair_followers))
-    arrays["left1"] = quantised(word_followers / (word_followers + word_times))
-    arrays["left2"] = quantised(pair_followers / (pair_followers + pair_times))
+    arrays["left1"] = quantised(BACK * word_followers / (BACK * word_followers + word_times))
+    arrays["left2"] = quantised(BACK * pair_followers / (BACK * pair_followers + pair_times))
     # A word that is in several shards has its tokens split; each says what it has.
     many = np.flatnonzero(word_times > 0)
     return arrays, facts, (first_words[first][many].astype(np.int64), word_times[many], word_followers[many])
@@ -297,20 +298,24 @@ class Trie:
             self.open[i] = (arrays, coded)
         return self.open[i]
 
-    def pairs(self, u: np.ndarray, v: np.ndarray, count: np.ndarray, then: np.ndarray | None = None):
-        """For contexts u v: the ratio of v after u and l(u); with ``then``, the ratio of it after u v and l(u v).
+    def walk(self, u: np.ndarray, v: np.ndarray, count: np.ndarray, then: np.ndarray):
+        """For contexts u: the ratio of v after u and l(u); for contexts u v: that of ``then`` and l(u v).
 
-        Ratios are 0 and l is 1 where there is no such context or successor.
+        Ratios are 0 and l is 1 where there is no such context or successor. ``then`` is below 0 where
+        nothing follows.
         """
         n = len(u)
         ratio2, left1, ratio3, left2 = np.zeros(n), np.ones(n), np.zeros(n), np.ones(n)
         shard = self.layout.shard_of(u, v, count)
-        order = np.argsort(shard, kind="stable")
+        # By shard and pair: neighbours in the files are looked up one after another.
+        order = np.lexsort((u.astype(np.uint64) << np.uint64(32) | v.astype(np.uint64), shard))
         for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if n else []:
             arrays, coded = self.shard(int(shard[own[0]]))
             if not arrays:
                 continue
-            root = coded["first"].find(u[own], np.zeros(len(own), np.int64), np.full(len(own), coded["first"].n))
+            new = np.concatenate([[True], np.diff(u[own]) != 0])  # a word's place is searched once
+            words = u[own[new]]
+            root = coded["first"].find(words, np.zeros(len(words), np.int64), np.full(len(words), coded["first"].n))[np.cumsum(new) - 1]
             own, root = own[root >= 0], root[root >= 0]
             left1[own] = restored(arrays["left1"][root])
             node = self._child(coded["to_second"], coded["second"], root, v[own])
@@ -318,8 +323,8 @@ class Trie:
             own, node, root = own[hit], node[hit], root[hit]
             # Ratios are to the shard's own tokens of u; those of a word in many shards are put right.
             ratio2[own] = restored(arrays["ratio2"][node]) * (arrays["times"][root] / np.maximum(count[own], 1))
-            if then is None:
-                continue
+            on = then[own] >= 0
+            own, node = own[on], node[on]
             left2[own] = restored(arrays["left2"][node])
             leaf = self._child(coded["to_third"], coded["third"], node, then[own])
             hit = leaf >= 0
@@ -327,13 +332,17 @@ class Trie:
         if len(self.hot["u"]):
             at = np.minimum(np.searchsorted(self.hot["u"], u.astype(np.int64)), len(self.hot["u"]) - 1)
             hit = self.hot["u"][at] == u.astype(np.int64)
-            left1[hit] = (self.hot["followers"][at] / (self.hot["followers"][at] + self.hot["n"][at]))[hit]
+            followers = BACK * self.hot["followers"][at]
+            left1[hit] = (followers / (followers + self.hot["n"][at]))[hit]
         return ratio2, left1, ratio3, left2
 
     @staticmethod
     def _child(pointers: EliasFano, children: EliasFano, parent: np.ndarray, value: np.ndarray) -> np.ndarray:
-        low, high = (pointers.access(parent + k).astype(np.int64) for k in (0, 1))
-        before = np.where(low > 0, children.access(np.maximum(low - 1, 0)).astype(np.uint64), np.uint64(0)) if len(low) else np.zeros(0, np.uint64)
+        """The successor's place in the parent's range: searched as the last value before it, plus the value."""
+        low, high = (x.astype(np.int64) for x in pointers.access_two(parent))
+        before = np.zeros(len(low), np.uint64)
+        inner = np.flatnonzero(low > 0)
+        before[inner] = children.access(low[inner] - 1)
         return children.find(before + value.astype(np.uint64) + np.uint64(1), low, high)
 
 
@@ -347,16 +356,20 @@ def score(df: DataFrame, layout: Layout, columns: list[str], text_column: str =
         ids, counts, lengths = vocabulary.tokens(texts_of(batch, "__text"))
         starts = np.cumsum(lengths) - lengths
         base = (counts + ADD) / (layout.tokens + ADD * (layout.words + 1))
-        one, one_count, two, two_count = _contexts(ids, counts, lengths, layout.texts)
+        one, one_count, _, _ = _contexts(ids, counts, lengths, layout.texts)
+        unseen = NONE - 1  # no word has this id
+        words = np.where(ids >= 0, ids, unseen)
+        # The context of a word is (two, one); the pair (one, word) is looked up where the word stands and
+        # is the context of the word after it.
+        after = np.append(words[1:], -1)
+        after[starts[1:] - 1] = -1
         p = base.copy()
         seen = np.flatnonzero(one >= 0)
-        followed = np.where(ids[seen] >= 0, ids[seen], NONE - 1)
-        ratio, left, _, _ = trie.pairs(one[seen], followed, one_count[seen])
+        ratio, left, next_ratio, next_left = trie.walk(one[seen], words[seen], one_count[seen], after[seen])
         p[seen] = (1 - left) * ratio + left * base[seen]
-        seen = np.flatnonzero((two >= 0) & (one >= 0) & (one != START))
-        followed = np.where(ids[seen] >= 0, ids[seen], NONE - 1)
-        _, _, ratio, left = trie.pairs(two[seen], one[seen], two_count[seen], followed)
-        p[seen] = (1 - left) * ratio + left * p[seen]
+        following = seen[after[seen] >= 0] + 1
+        inner = after[seen] >= 0
+        p[following] = (1 - next_left[inner]) * next_ratio[inner] + next_left[inner] * p[following]
         return {c: batch.column(c) for c in columns} | {
             "n_tokens": lengths,
             "n_known": np.add.reduceat((counts > 0).astype(np.int64), starts),

@@ -69,9 +69,12 @@ def test_simhash_against_brute_force(spark, monkeypatch):
 
 def test_simhash_dedup_keeps_one_of_each_group(spark):
     a, b = prose(300), prose(300)
-    rows = [(2, a, "x"), (1, a, "y"), (1, a, "y"), (3, b, "z"), (None, b, "z"), (None, prose(200), "n")]
+    words = a.split()
+    near = " ".join([*words[:100], "edit", *words[101:200], "another", *words[201:]])
+    apart = " ".join(w if i % 12 else "other" for i, w in enumerate(words))
+    rows = [(2, a, "x"), (1, a, "y"), (1, a, "y"), (3, b, "z"), (None, b, "z"), (None, prose(200), "n"), (7, near, "x"), (8, apart, "x"), (9, None, "x"), (10, " ", "x")]
     kept = simhash_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, __row string")).collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "None"] and kept[0].asDict().keys() == {"doc_id", "text", "__row"}
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "8", "9", "None"] and {r["__row"] for r in kept} <= {"x", "y", "z", "n"}
 
 
 def test_language_id(spark):
@@ -127,7 +130,7 @@ def brute_model(train):
         if not seen:
             return lower
         n = sum(seen.values())
-        left = len(seen) / (len(seen) + n)
+        left = ngram_lm.BACK * len(seen) / (ngram_lm.BACK * len(seen) + n)
         return (1 - left) * seen[w] / n + left * lower
 
     def scores(text):
@@ -255,3 +258,23 @@ def test_url_rules(spark):
     assert {r.host for r in found} == {"own"}
     none = url_rules.judge(df.drop("host"), spark.createDataFrame([], "host string, path string, verdict string"))
     assert {r.verdict for r in none.collect()} == {"allow"} and none.count() == len(urls)
+
+
+def test_pipeline_stages_on_odd_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    copy = prose(300)
+    rows = [(1, copy, "en", "s", 1, "x"), (2, copy, "en", "s", 1, None), (3, None, None, None, None, None), (4, "", "en", "s", 0, "x"), (5, "12 34", "en", "s", 5, "x"), (5, prose(200), "en", None, 9, "x")]
+    rows += [(i, prose(60), "en", "s", 1, "x") for i in range(10, 30)] + [(None, prose(90), "en", "s", 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __row string")
+    bench = spark.createDataFrame([(0, " ".join(rows[10][1].split()[5:45]))], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    leaking, sizes = rows[10][0], []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, str(tmp_path))
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", "__row"]
+        sizes.append(df.count())
+    assert sizes == [24, 23, 23, 22] and leaking not in {r.doc_id for r in df.collect()}
+    assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() == 22
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
