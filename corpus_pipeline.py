@@ -17,6 +17,8 @@ from portcullis.sources.tables import table
 
 #: Share of its n-grams that a document's language has to have, if the document is longer than this.
 LEAST_SHARE, SHORT = 0.2, 40
+#: Repeated passages of over 50 words are cut, however few bytes they have.
+PASSAGE_WORDS = 51
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that stand elsewhere too; n_chars follows the text."""
-    return suffix_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return suffix_dedup.dedup(docs, words=PASSAGE_WORDS).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,10 @@ Every byte of a text that is covered by a string of ``LENGTH`` bytes which also
 4. *Cutting.* The repeated windows of a segment are those of all its copies; they are put together for
    each text and cut out.
 
+The same goes for runs of words (``strip`` and ``dedup`` with ``words``): every run of so many words, as
+white space parts them, that also starts elsewhere is removed too, whatever its bytes. A word is a
+64-bit hash then, and takes the place of a byte in all the steps.
+
 Null texts count as empty; texts shorter than ``LENGTH`` are left alone; copies of texts, repeated
 rows and ties are all cut alike (every occurrence goes). Other columns pass through.
 """
@@ -23,6 +27,7 @@ rows and ties are all cut alike (every occurrence goes). Other columns pass thro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,19 +40,63 @@ from pyspark.sql.types import StructType
 from portcullis.llm.common import map_texts, written
 
 LENGTH, GRAM = 400, 64
-SPAN = LENGTH - GRAM + 1
-#: Windows in a segment at most.
-MOST = SPAN
+#: The same in words: the strings that windows are dealt by are shorter, for few words at least.
+WORD_GRAM = 16
 #: Text of a shard, about, and of one hash in a shard at most.
 SHARD_BYTES, HASH_BYTES = 2 << 20, 256 << 10
 #: Window starts looked at together in one text.
 REACH = 1 << 22
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the ``GRAM`` bytes from each position on, by doubling."""
+@dataclass(frozen=True)
+class Unit:
+    """What texts are strings of: how many make a window, how many one of the strings it is dealt by."""
+
+    length: int
+    gram: int
+    kind: str
+
+    @property
+    def span(self) -> int:
+        """Dealing strings in a window, and windows in a segment at most."""
+        return self.length - self.gram + 1
+
+    @property
+    def size(self) -> int:
+        return np.dtype(self.kind).itemsize
+
+    @property
+    def least_bytes(self) -> int:
+        """No shorter text has a window: words are a byte and a blank at least."""
+        return self.length if self.size == 1 else 2 * self.length - 1
+
+    def read(self, data: bytes) -> np.ndarray:
+        if self.size == 1:
+            return np.frombuffer(data, np.uint8)
+        return np.fromiter(map(xxhash.xxh64_intdigest, data.split()), np.uint64)
+
+
+BYTES = Unit(LENGTH, GRAM, "u1")
+
+
+def word_unit(words: int) -> Unit:
+    gram = 1
+    while gram < WORD_GRAM and gram * 4 <= words:
+        gram *= 2
+    return Unit(words, gram, "<u8")
+
+
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end; words are those of ``bytes.split``."""
+    value = np.frombuffer(data, np.uint8)
+    letter = np.concatenate([[False], (value != 32) & ((value < 9) | (value > 13)), [False]])
+    return np.flatnonzero(letter[1:] & ~letter[:-1]), np.flatnonzero(letter[:-1] & ~letter[1:])
+
+
+def _gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """A hash of the ``gram`` units from each position on, by doubling."""
     value, size, factor = data.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
-    while size < GRAM:
+    while size < gram:
         value = value[:-size] * np.uint64(factor) + value[size:]
         factor, size = factor * factor % (1 << 64), size * 2
     value ^= value >> np.uint64(33)
@@ -56,30 +105,30 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return value
 
 
-def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each segment of a text: hash, first window, number of windows, whether the hash is in it twice."""
-    found = []
-    for base in range(0, max(0, len(data) - LENGTH + 1), REACH):
-        part = data[base : base + REACH + LENGTH - 1]
-        grams = _gram_hashes(part)
+    found, span = [], unit.span
+    for base in range(0, max(0, len(data) - unit.length + 1), REACH):
+        part = data[base : base + REACH + unit.length - 1]
+        grams = _gram_hashes(part, unit.gram)
         # 40 bits of the hash and the place, so that the leftmost of equal hashes is the smallest
         least = (grams & ~np.uint64((1 << 24) - 1)) | np.arange(len(grams), dtype=np.uint64)
         width = 1
-        while width * 2 <= SPAN:
+        while width * 2 <= span:
             least, width = np.minimum(least[:-width], least[width:]), width * 2
-        if width < SPAN:
-            least = np.minimum(least[: len(least) - (SPAN - width)], least[SPAN - width :])
+        if width < span:
+            least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
         place = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
         value = grams[place]
         moved = np.concatenate([[False], place[1:] != place[:-1]])
         new = np.concatenate([[True], value[1:] != value[:-1]])
         starts = np.flatnonzero(new)
         run = np.diff(np.concatenate([starts, [len(value)]]))
-        if (run > MOST).any():  # cut long runs
-            pieces = -(-run // MOST)
+        if (run > span).any():  # cut long runs
+            pieces = -(-run // span)
             nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            starts = np.repeat(starts, pieces) + nth * MOST
-            ends = np.minimum(starts + MOST, np.repeat(np.concatenate([np.flatnonzero(new)[1:], [len(value)]]), pieces))
+            starts = np.repeat(starts, pieces) + nth * span
+            ends = np.minimum(starts + span, np.repeat(np.concatenate([np.flatnonzero(new)[1:], [len(value)]]), pieces))
             run = ends - starts
         inner = moved & ~new
         twice = np.add.reduceat(inner.astype(np.int64), starts) > 0
@@ -90,13 +139,14 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted suffixes and each one's rank: ordered by 8 bytes first, then groups of equals are
+    """The sorted suffixes and each one's rank: ordered by 8 bytes (one word) first, then groups of equals are
     refined by the rank of what follows, over twice the length each time."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    at_once = 8 // text.itemsize
+    padded = np.concatenate([text, np.zeros(at_once, text.dtype)])
     first = np.zeros(n, np.uint64)
-    for i in range(8):
-        first = first << np.uint64(8) | padded[i : n + i]
+    for i in range(at_once):
+        first = (first << np.uint64(8) if i else first) | padded[i : n + i]
     order = np.argsort(first, kind="stable").astype(np.int64)
     sorted_first = first[order]
     new = np.concatenate([[True], sorted_first[1:] != sorted_first[:-1]])
@@ -106,7 +156,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # Zero bytes and the end look alike in these; past the end ranks below all else, the later the lower.
     single = np.concatenate([new[1:], [True]]) & new
     slots = np.flatnonzero(~single)
-    step = 8
+    step = at_once
     while len(slots):
         members = order[slots]
         after = members + step
@@ -127,13 +177,14 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, lanes: int = 4096) -> np.ndarray:
     """Of each suffix in order, the common prefix with the one before it, after Kasai.
 
-    The text is cut into lanes that go forward side by side, each at its own pace: 8 more bytes, or
-    one position on, where the common prefix is shorter by one at most.
+    The text is cut into lanes that go forward side by side, each at its own pace: 8 more bytes (one
+    more word), or one position on, where the common prefix is shorter by one at most.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    at_once, bits = 8 // text.itemsize, (8 * text.itemsize).bit_length() - 1
+    padded = np.concatenate([text, np.zeros(at_once, text.dtype)])
     words = np.zeros(n + 1, np.uint64)
-    for i in range(8):
+    for i in range(at_once):
         words[:n] |= padded[i : n + i].astype(np.uint64) << np.uint64(8 * i)
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
@@ -145,10 +196,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, lanes
         other = before[at]
         i, j = at + same, np.maximum(other, 0) + same
         differ = words[i] ^ words[j]
-        more = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3
+        more = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> bits
         left = np.where(other < 0, 0, n - np.maximum(i, j))
         same += np.minimum(more, left)
-        done = (more < 8) | (left <= 8)
+        done = (more < at_once) | (left <= at_once)
         result[rank[at[done]]] = same[done]
         same -= done & (same > 0)
         at += done
@@ -161,9 +212,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, lanes
 class Shard:
     """Segments one after another, their sorted suffixes and the runs of equal windows."""
 
-    def __init__(self, contents: list[bytes], windows: np.ndarray, copies: np.ndarray):
-        self.text = np.frombuffer(b"".join(contents), np.uint8)
-        lengths = windows + LENGTH - 1
+    def __init__(self, contents: list[bytes], windows: np.ndarray, copies: np.ndarray, unit: Unit = BYTES):
+        self.text, self.length = np.frombuffer(b"".join(contents), unit.kind), unit.length
+        lengths = windows + unit.length - 1
         self.begin = np.cumsum(lengths) - lengths
         self.windows = windows
         self.order, self.rank = suffix_array(self.text)
@@ -172,7 +223,7 @@ class Shard:
         total = int(windows.sum())
         self.segment = np.repeat(np.arange(len(windows)), windows)
         self.at = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows) + self.begin[self.segment]
-        run = np.cumsum(prefixes < LENGTH)
+        run = np.cumsum(prefixes < unit.length)
         self.run = run[self.rank[self.at]]
         self.copies = copies[self.segment]
         held = np.bincount(self.run, self.copies, len(self.text) + 1)
@@ -190,7 +241,7 @@ class Shard:
         equal = np.zeros(len(wanted), bool)
         while (open_ := np.flatnonzero((low < high) & ~equal)).size:
             middle = (low[open_] + high[open_]) // 2
-            sign = _compare(self.text, wanted[open_], other.text, among[middle])
+            sign = _compare(self.text, wanted[open_], other.text, among[middle], self.length)
             equal[open_[sign == 0]] = True
             high[open_[sign < 0]] = middle[sign < 0]
             low[open_[sign > 0]] = middle[sign > 0] + 1
@@ -207,17 +258,17 @@ class Shard:
             yield int(self.segment[part[0]]), int(place[part[0]]), int(place[part[-1]])
 
 
-def _compare(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray) -> np.ndarray:
+def _compare(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, length: int) -> np.ndarray:
     """Signs of windows of ``a`` against windows of ``b``."""
     sign = np.zeros(len(at), np.int64)
     todo = np.arange(len(at))
-    for k in range(0, LENGTH, 16):
-        x = a[at[todo, None] + np.arange(k, k + 16)].astype(np.int16)
-        y = b[bt[todo, None] + np.arange(k, k + 16)]
-        differ = x - y
-        column = (differ != 0).argmax(1)
-        value = differ[np.arange(len(todo)), column]
-        sign[todo] = np.sign(value)
+    for k in range(0, length, 16):
+        x = a[at[todo, None] + np.arange(k, min(k + 16, length))]
+        y = b[bt[todo, None] + np.arange(k, min(k + 16, length))]
+        column = (x != y).argmax(1)
+        x, y = (side[np.arange(len(todo)), column] for side in (x, y))
+        value = (x > y).astype(np.int64) - (x < y)
+        sign[todo] = value
         todo = todo[value == 0]
         if not len(todo):
             break
@@ -232,19 +283,19 @@ SEGMENT = "hash long, content binary"
 FOUND = f"{SEGMENT}, first int, last int"
 
 
-def repeats(df: DataFrame, text_column: str = "text") -> DataFrame:
+def repeats(df: DataFrame, text_column: str = "text", unit: Unit = BYTES) -> DataFrame:
     """(key, spans): of each text with repeated windows, its ``text_key`` and its (first, last) windows."""
     spark = df.sparkSession
-    texts = df.where(F.octet_length(text_column) >= LENGTH).select(text_key(F.col(text_column)).alias("key"), F.col(text_column).alias("text"))
+    texts = df.where(F.octet_length(text_column) >= unit.least_bytes).select(text_key(F.col(text_column)).alias("key"), F.col(text_column).alias("text"))
 
     def cut(batch: pa.RecordBatch) -> dict:
         keys, rows, contents = [], [], []
         for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            data = text.encode()
-            own = segments(np.frombuffer(data, np.uint8))
+            data = unit.read(text.encode())
+            own = segments(data, unit)
             rows.append(own)
             keys += [key] * len(own[0])
-            contents += [xxhash.xxh3_128_digest(data[a : a + w + LENGTH - 1]) for a, w in zip(own[1].tolist(), own[2].tolist(), strict=True)]
+            contents += [xxhash.xxh3_128_digest(data[a : a + w + unit.length - 1]) for a, w in zip(own[1].tolist(), own[2].tolist(), strict=True)]
         value, start, windows, twice = (np.concatenate([r[i] for r in rows]) for i in range(4))
         return {"key": keys, "hash": value.view(np.int64), "content": contents, "start": start, "windows": windows, "twice": twice}
 
@@ -255,7 +306,7 @@ def repeats(df: DataFrame, text_column: str = "text") -> DataFrame:
     )
     per_hash = (
         distinct.groupBy("hash")
-        .agg(F.sum("copies").alias("copies_of_hash"), F.max("twice").alias("twice"), F.sum(F.col("at.windows") + LENGTH - 1).alias("bytes"))
+        .agg(F.sum("copies").alias("copies_of_hash"), F.max("twice").alias("twice"), F.sum((F.col("at.windows") + unit.length - 1) * unit.size).alias("bytes"))
         .where("copies_of_hash > 1 or twice")
     )
     hashes = written(per_hash.select("hash", "bytes", F.ceil(F.col("bytes") / HASH_BYTES).cast("int").alias("parts")), "hashes")
@@ -273,8 +324,8 @@ def repeats(df: DataFrame, text_column: str = "text") -> DataFrame:
     def read(batch: pa.RecordBatch) -> dict:
         rows = []
         for text, every in zip(batch.column("text").to_pylist(), batch.column("all").to_pylist(), strict=True):
-            data = text.encode()
-            rows += [x | {"bytes": data[x["start"] : x["start"] + x["windows"] + LENGTH - 1]} for x in every]
+            data = unit.read(text.encode())
+            rows += [x | {"bytes": data[x["start"] : x["start"] + x["windows"] + unit.length - 1].tobytes()} for x in every]
         return {k: [r[k] for r in rows] for k in ("hash", "content", "copies", "parts", "part", "windows", "bytes")}
 
     placed = written(map_texts(once.join(wanted, "key"), "text", f"{SEGMENT}, copies int, parts int, part int, windows int, bytes binary", read), "placed")
@@ -282,7 +333,7 @@ def repeats(df: DataFrame, text_column: str = "text") -> DataFrame:
     nothing = to_arrow_schema(StructType.fromDDL(FOUND)).empty_table()
 
     def shard_of(table: pa.Table) -> Shard:
-        return Shard(table.column("bytes").to_pylist(), table.column("windows").to_numpy().astype(np.int64), table.column("copies").to_numpy())
+        return Shard(table.column("bytes").to_pylist(), table.column("windows").to_numpy().astype(np.int64), table.column("copies").to_numpy(), unit)
 
     def rows_of(table: pa.Table, shard: Shard) -> pa.Table:
         spans = [*shard.spans()]
@@ -332,31 +383,42 @@ def repeats(df: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
-    """What is left without the windows' bytes, and the number of maximal removed runs."""
+    """What is left without the bytes of the spans (begin, end), and the number of maximal removed runs."""
     kept, at, runs = [], 0, 0
     reach = -1
-    for first, last in sorted(spans):
-        if first > reach:  # touching runs are one
-            kept.append(data[max(at, 0) : first])
+    for begin, end in sorted(spans):
+        if begin > reach:  # touching runs are one
+            kept.append(data[max(at, 0) : begin])
             runs += 1
-        reach = max(reach, last + LENGTH)
+        reach = max(reach, end)
         at = reach
     kept.append(data[at:])
     return b"".join(kept), runs
 
 
-def strip(df: DataFrame, columns: list[str], text_column: str = "text") -> DataFrame:
-    """``columns`` of ``df``, with ``n_bytes``, ``n_removed``, ``n_spans``, and what is ``kept`` as bytes."""
-    found = repeats(df, text_column)
-    keyed = df.select(*columns, F.coalesce(F.col(text_column), F.lit("")).alias("__text"), text_key(F.col(text_column)).alias("__key"))
-    joined = keyed.join(written(found.withColumnRenamed("key", "__key").withColumnRenamed("spans", "__spans"), "spans"), "__key", "left").drop("__key")
+def strip(df: DataFrame, columns: list[str], text_column: str = "text", words: int | None = None) -> DataFrame:
+    """``columns`` of ``df``, with ``n_bytes``, ``n_removed``, ``n_spans``, and what is ``kept`` as bytes.
+
+    With ``words``, repeated runs of so many words go beside those of ``LENGTH`` bytes.
+    """
+    joined = df.select(*columns, F.coalesce(F.col(text_column), F.lit("")).alias("__text"), text_key(F.col(text_column)).alias("__key"))
+    units = {"__spans": BYTES} | ({"__word_spans": word_unit(words)} if words else {})
+    for name, unit in units.items():
+        found = repeats(df, text_column, unit).withColumnRenamed("key", "__key").withColumnRenamed("spans", name)
+        joined = joined.join(written(found, "spans"), "__key", "left")
+    joined = joined.drop("__key")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema)
 
     def work(batch: pa.RecordBatch) -> dict:
         sizes, removed, runs, kept = [], [], [], []
-        for text, spans in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+        of_words = batch.column("__word_spans").to_pylist() if words else [None] * batch.num_rows
+        for text, spans, word_spans in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist(), of_words, strict=True):
             data = text.encode()
-            left, n = kept_bytes(data, [(s["first"], s["last"]) for s in spans or ()])
+            gone = [(s["first"], s["last"] + LENGTH) for s in spans or ()]
+            if word_spans:
+                begin, end = word_bounds(data)
+                gone += [(int(begin[s["first"]]), int(end[s["last"] + words - 1])) for s in word_spans]
+            left, n = kept_bytes(data, gone)
             sizes.append(len(data))
             removed.append(len(data) - len(left))
             runs.append(n)
@@ -366,14 +428,14 @@ def strip(df: DataFrame, columns: list[str], text_column: str = "text") -> DataF
     return map_texts(joined, "__text", f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary", work)
 
 
-def dedup(df: DataFrame, text_column: str = "text") -> DataFrame:
-    """``df`` with the repeated passages cut out of its texts.
+def dedup(df: DataFrame, text_column: str = "text", words: int | None = None) -> DataFrame:
+    """``df`` with the repeated passages cut out of its texts, those of so many ``words`` too.
 
     A cut may fall inside a character; the bytes of such a character that are left go too. Null
     texts stay null.
     """
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_column], F.col(text_column).isNull().alias("__null")).alias("row"), F.col(text_column).alias("text"))
-    cut = strip(packed, ["row"])
+    cut = strip(packed, ["row"], words=words)
     whole = F.call_function("try_validate_utf8", F.col("kept").cast("string"))
     mended = F.regexp_replace(F.call_function("make_valid_utf8", F.col("kept").cast("string")), "\ufffd", "")
     text = F.when(~F.col("row.__null"), F.coalesce(whole, mended))

@@ -81,3 +81,54 @@ def test_dedup_keeps_columns_and_whole_characters(spark):
 
 def test_empty_table(spark):
     assert strip(spark, []) == []
+
+
+def without_runs(texts, n):
+    runs = Counter()
+    for t in texts:
+        words = t.split()
+        runs.update(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+    out = []
+    for t in texts:
+        words = t.split()
+        gone = set()
+        for i in range(len(words) - n + 1):
+            if runs[tuple(words[i : i + n])] > 1:
+                gone |= set(range(i, i + n))
+        out.append([w for i, w in enumerate(words) if i not in gone])
+    return out
+
+
+def check_runs(spark):
+    r = random.Random(9)
+    prose = lambda n: " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 6))) for _ in range(n))
+    passages = [prose(51) for _ in range(4)]
+    assert all(len(p.encode()) < 400 for p in passages)
+    texts = ["", "a", prose(200), "\n".join(passages[0].split()), "x " * 60]
+    texts += [f"{prose(r.randint(0, 80))}  {p}\t{prose(r.randint(0, 80))}" for p in passages for _ in range(12)]
+    texts += [prose(60) + " " + " ".join(p.split()[:50]) + " " + prose(60) for p in passages]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {x.doc_id: x.text.split() for x in S.dedup(df, words=51).collect()}
+    assert [found[i] for i in range(len(texts))] == without_runs(texts, 51)
+    assert sum(map(len, found.values())) < sum(len(t.split()) for t in texts) - 40 * 51
+
+
+def test_short_passages_of_many_words(spark):
+    check_runs(spark)
+
+
+def test_short_passages_across_shards(spark, monkeypatch):
+    monkeypatch.setattr(S, "HASH_BYTES", 2000)
+    check_runs(spark)
+
+
+def test_pipeline_cuts_passages_of_51_words(spark):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("abcde") for _ in range(r.randint(2, 6))) for _ in range(n))
+    passage, own = prose(51), [prose(80) for _ in range(3)]
+    rows = [(i, f"{t} {passage if i else prose(51)} {t[::-1]}", 0) for i, t in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    found = {x.doc_id: x.text for x in corpus_pipeline.passages(spark, df, "").collect()}
+    assert found == {i: t if i == 0 else f"{own[i]}  {own[i][::-1]}" for i, t, _ in rows}
