@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import connected, map_texts, new_column, texts_of, written
+from portcullis.llm.common import connected, fresh_path, map_texts, new_column, texts_of, written
+from portcullis.llm.shared_files import mapped, packed, put, unpacked
 
 SEED = 42
 QUARTERS, QUARTER_BITS = 4, 16
@@ -173,68 +174,129 @@ def _joined(marked: DataFrame, id_column: str, radius: int) -> DataFrame:
     return marked.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
 
 
-#: For similarity, fingerprints of LANES words; two texts link if they differ in WIDE_RADIUS bits or fewer.
-#: Texts of Jaccard similarity 0.8 differ in 39 bits on average (an angle of 0.15 of a half turn); the
-#: radius takes nine in ten of them in, and all of 0.85 and more. The first word alone differs in FIRST
-#: bits at most then, but for one pair in some hundreds.
-LANES, WIDE_RADIUS, FIRST = 4, 44, 20
+#: For similarity, fingerprints of LANES words. Texts of Jaccard similarity 0.8 differ in 39 bits on
+#: average (an angle of 0.15 of a half turn) with a deviation of 6, and in 10 of the first word with one
+#: of 3; a text of four shingles and one with a fifth differ in 48 and 12. Pairs within WIDE_RADIUS
+#: and FIRST are candidates, which misses fewer than one pair of 0.8 in some ten thousand even then;
+#: what links is decided by the shingles themselves.
+LANES, WIDE_RADIUS, FIRST = 4, 76, 26
 SIMILARITY = 0.8
+#: Shingles in a tile, about; tiles of long texts hold fewer texts.
+TILE_SHINGLES = 2 << 20
 _MIX = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def wide_fingerprint(text: str, words: int) -> tuple[bytes, int]:
-    """A fingerprint of LANES words, each with a mix of the hashes of its own; and how many shingles differ."""
+def wide_fingerprint(text: str, words: int) -> tuple[bytes, int, int]:
+    """A fingerprint of LANES words, each with a mix of the hashes of its own; how many shingles differ; and a hash of their set."""
     hashes = np.unique(shingle_hashes(text, words))
     lanes = []
     for odd in _MIX:
         mixed = hashes * np.uint64(odd)
         lanes.append(majority(mixed ^ mixed >> np.uint64(32) if odd > 1 else mixed))
-    return np.array(lanes, "<i8").tobytes(), len(hashes)
+    return np.array(lanes, "<i8").tobytes(), len(hashes), int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
 
 
-def compare_wide(left: np.ndarray, left_ids: np.ndarray, right: np.ndarray | None, right_ids: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links between two tiles of wide fingerprints."""
+def candidates(left: np.ndarray, right: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of two tiles (or within one, if ``right`` is None) whose fingerprints are near, in the order of the left ones."""
     other = left if right is None else right
     i, j = np.nonzero(np.bitwise_count(left[:, None, 0] ^ other[None, :, 0]) <= FIRST)
     if right is None:
         i, j = i[i < j], j[i < j]
     near = np.bitwise_count(left[i] ^ other[j]).sum(1) <= WIDE_RADIUS
-    return _forest(left_ids, right_ids, i[near], j[near])
+    return i[near], j[near]
 
 
-def similar_links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links of the ids of ``distinct`` (id, bits, shingles).
+def verified(i: np.ndarray, j: np.ndarray, left: list[np.ndarray], right: list[np.ndarray] | None) -> tuple[list[int], list[int]]:
+    """Of the candidates as many pairs of Jaccard similarity ``SIMILARITY`` as connect all that such pairs connect.
 
-    Texts of similarity 0.8 have numbers of shingles within that ratio, so tiles hold texts of about one
-    number, and only tiles of one step of the ratio or the next are compared.
+    ``left`` and ``right`` give the set of shingles at a place. A pair whose ends are connected already
+    isn't compared, so a group of near copies takes about as many comparisons as it has texts.
     """
-    step = F.floor(F.log(F.greatest("shingles", F.lit(1)).cast("double")) / -np.log(SIMILARITY)).cast("int")
-    stepped = distinct.withColumn("step", step)
+    shift = 0 if right is None else len(left)
+    used = np.unique(np.concatenate([i, j + shift]))
+    sets = [left[u] if u < len(left) else right[u - len(left)] for u in used.tolist()]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    mark = np.zeros(max((int(c.max()) + 1 for c in codes if len(c)), default=1), bool)
+    label = np.arange(len(used))
+    a, b = np.searchsorted(used, i), np.searchsorted(used, j + shift)
+    rows = np.flatnonzero(np.diff(a, prepend=-1))
+    found: tuple[list[int], list[int]] = ([], [])
+    for begin, end in zip(rows.tolist(), [*rows[1:].tolist(), len(a)], strict=True):
+        one, others = int(a[begin]), b[begin:end]
+        n, own = sizes[others], sizes[one]
+        able = (label[others] != label[one]) & (np.minimum(n, own) >= SIMILARITY * np.maximum(n, own) - 1e-9) & (n > 0)
+        others = others[able]
+        mark[codes[one]] = True
+        for at in range(0, len(others), 256):
+            some = others[at : at + 256]
+            some = some[label[some] != label[one]]
+            if not len(some):
+                continue
+            n = sizes[some]
+            common = np.add.reduceat(mark[np.concatenate([codes[x] for x in some.tolist()])], np.cumsum(n) - n, dtype=np.int64)
+            for other in some[common >= SIMILARITY * (n + own - common) - 1e-9].tolist():
+                if label[other] != label[one]:
+                    label[label == label[other]] = label[one]
+                    found[0].append(int(used[one]))
+                    found[1].append(int(used[other]) - shift)
+        mark[codes[one]] = False
+    return found
+
+
+def similar_links(distinct: DataFrame, words: int = 5) -> DataFrame:
+    """(a, b): links that connect the ids of ``distinct`` (id, bits, shingles, text) that pairs of similarity 0.8 do.
+
+    Such texts have numbers of shingles within that ratio, so tiles hold texts of about one number, and
+    only tiles of one step of the ratio or the next are compared. A tile's sets of shingles are a file in
+    the shared folder; only those of candidates are read.
+    """
+    spark = distinct.sparkSession
+    folder = fresh_path(spark, "shingles")
+    # A little over the ratio, so that rounding keeps no pair two steps apart.
+    step = F.floor(F.log(F.greatest("shingles", F.lit(1)).cast("double")) / (-np.log(SIMILARITY) * 1.0001)).cast("int")
+    stepped = distinct.where("shingles > 0").withColumn("step", step)
     # At most some two hundred steps, whatever the lengths of texts.
-    sizes = written(stepped.groupBy("step").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks")), "steps")
-    placed = stepped.join(F.broadcast(sizes), "step").withColumn("block", F.pmod(F.col("id"), F.col("blocks")).cast("int"))
-    tiles = written(placed.groupBy("step", "block").agg(F.collect_list(F.struct("id", "bits")).alias("of")), "wide-tiles")
+    most = F.greatest(F.count("*") / TILE, F.sum("shingles") / TILE_SHINGLES)
+    sizes = written(stepped.groupBy("step").agg(F.ceil(most).cast("int").alias("blocks")), "steps")
+    placed = stepped.join(F.broadcast(sizes), "step").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    def tile(table: pa.Table) -> pa.Table:
+        sets = [np.unique(shingle_hashes(t or "", words)) for t in table.column("text").to_pylist()]
+        key = {c: table.column(c)[0].as_py() for c in ("step", "block")}
+        ends = np.cumsum([len(x) for x in sets], dtype=np.int64)
+        put(f"{folder}/{key['step']}-{key['block']}", packed({"ends": ends, "hashes": np.concatenate(sets)}))
+        ids = table.column("id").to_numpy().astype("<i8").tobytes()
+        return pa.table({"step": pa.array([key["step"]], pa.int32()), "block": pa.array([key["block"]], pa.int32()), "ids": [ids], "bits": [b"".join(table.column("bits").to_pylist())]})
+
+    packed_tiles = placed.select("step", "block", "id", "bits", "text").groupBy("step", "block").applyInArrow(tile, "step int, block int, ids binary, bits binary")
+    tiles = written(packed_tiles, "wide-tiles")
     pairs = (
-        tiles.select(F.col("step").alias("from_step"), F.col("block").alias("from_block"), F.col("of").alias("left"), F.explode(F.array("step", F.col("step") + 1)).alias("step"))
+        tiles.select(F.col("step").alias("from_step"), F.col("block").alias("from_block"), F.col("ids").alias("left_ids"), F.col("bits").alias("left_bits"), F.explode(F.array("step", F.col("step") + 1)).alias("step"))
         .join(F.broadcast(sizes), "step")
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .where("step <> from_step or block >= from_block")
-        .join(tiles.select("step", "block", F.col("of").alias("right")), ["step", "block"])
-        .select(F.expr("step = from_step and block = from_block").alias("same"), "left", "right")
+        .join(tiles.select("step", "block", F.col("ids").alias("right_ids"), F.col("bits").alias("right_bits")), ["step", "block"])
     )
 
+    def sets_of(step: int, block: int, places: np.ndarray, total: int) -> list[np.ndarray | None]:
+        arrays, _ = unpacked(mapped(f"{folder}/{step}-{block}"))
+        sets: list[np.ndarray | None] = [None] * total
+        for p in np.unique(places).tolist():
+            sets[p] = np.array(arrays["hashes"][arrays["ends"][p - 1] if p else 0 : arrays["ends"][p]])
+        return sets
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                sides = []
-                for name in ("left", "right"):
-                    values = batch.column(name)[row].values
-                    bits = np.frombuffer(b"".join(values.field("bits").to_pylist()), "<u8").reshape(-1, LANES)
-                    sides.append((bits, values.field("id").to_numpy()))
-                (left, left_ids), (right, right_ids) = sides
-                same = batch.column("same")[row].as_py()
-                a, b = compare_wide(left, left_ids, None if same else right, None if same else right_ids)
-                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            for row in batch.to_pylist():
+                same = row["step"] == row["from_step"] and row["block"] == row["from_block"]
+                (left_ids, left), (right_ids, right) = ((np.frombuffer(row[f"{s}_ids"], "<i8"), np.frombuffer(row[f"{s}_bits"], "<u8").reshape(-1, LANES)) for s in ("left", "right"))
+                i, j = candidates(left, None if same else right)
+                if not len(i):
+                    continue
+                left_sets = sets_of(row["from_step"], row["from_block"], np.concatenate([i, j]) if same else i, len(left))
+                a, b = verified(i, j, left_sets, None if same else sets_of(row["step"], row["block"], j, len(right)))
+                yield pa.record_batch({"a": pa.array(left_ids[a], pa.int64()), "b": pa.array(right_ids[b], pa.int64())})
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -242,8 +304,8 @@ def similar_links(distinct: DataFrame) -> DataFrame:
 def dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5) -> DataFrame:
     """``df`` with one row of each group of near copies: that of the smallest id (nulls last, then any one).
 
-    As elsewhere for near-duplicates, shingles have five words and texts link at a similarity of 0.8,
-    as their fingerprints tell it.
+    As elsewhere for near-duplicates, shingles have five words and texts link at a Jaccard similarity of
+    their sets of 0.8: fingerprints find the candidates, the sets are then compared.
     """
     row = new_column(df, "__row")
     numbered = written(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
@@ -251,13 +313,14 @@ def dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", w
     kind = rows.schema["__id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> dict:
-        bits, shingles = zip(*(wide_fingerprint(t, words) for t in texts_of(batch, "__text")), strict=True)
-        return {"row": batch.column(row), "id": batch.column("__id"), "bits": bits, "shingles": shingles}
-
-    marked = map_texts(rows, "__text", f"row long, id {kind}, bits binary, shingles int", work)
-    marked = written(marked.withColumn("node", F.xxhash64("bits", "shingles")), "wide-fingerprints")
-    distinct = written(marked.groupBy("node").agg(F.first("bits").alias("bits"), F.first("shingles").alias("shingles")).withColumnRenamed("node", "id"), "wide-distinct")
-    roots = connected(similar_links(distinct))
+        bits, shingles, node = zip(*(wide_fingerprint(t, words) for t in texts_of(batch, "__text")), strict=True)
+        return {"row": batch.column(row), "id": batch.column("__id"), "bits": bits, "shingles": shingles, "node": node}
+
+    marked = written(map_texts(rows, "__text", f"row long, id {kind}, bits binary, shingles int, node long", work), "wide-fingerprints")
+    one = F.min(F.struct("row", "bits", "shingles")).alias("one")
+    distinct = marked.groupBy("node").agg(one).select(F.col("node").alias("id"), "one.*")
+    with_texts = distinct.join(rows.select(F.col(row).alias("row"), F.col("__text").alias("text")), "row")
+    roots = connected(similar_links(with_texts, words))
     joined = marked.select("row", "id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
     kept = written(joined.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row)), "kept")

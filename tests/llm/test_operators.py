@@ -77,6 +77,33 @@ def test_simhash_dedup_keeps_one_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "8", "9", "None"] and {r["__row"] for r in kept} <= {"x", "y", "z", "n"}
 
 
+def test_similarity_of_near_copies_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "TILE", 16)
+    word = lambda: "".join(R.choice("abcdefgh") for _ in range(6))
+    texts = [None, "", "one two", "one  two", "a b c d e f g h", "a b c d e f g h i"]
+    for n in (12, 40, 150, 400):
+        for changed in range(0, 12):
+            words = [word() for _ in range(n)]
+            near = list(words)
+            for i in range(changed * n // 150):  # edits at the end and inside it
+                near[n // 2 + i * 11 % (n // 2)] = word()
+            texts += [" ".join(words), " ".join(near), " ".join([*words, *[word() for _ in range(n * changed // 40)]])]
+    sets = []
+    for t in texts:
+        words = (t or "").split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    similar = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if similar(sets[i], sets[j])]
+    shares = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a and b]
+    assert sum(0.8 <= s < 0.85 for s in shares) > 5 and sum(0.7 < s < 0.8 for s in shares) > 5
+    root = roots(range(len(texts)), links)
+    least = {}
+    for i in range(len(texts)):
+        least[root[i]] = min(i, least.get(root[i], i))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash_dedup.dedup(df).collect()} == set(least.values())
+
+
 def test_language_id(spark):
     letters = {"aa": "abcde", "bb": "cdefg", "cc": "ñéçßü"}
     rows = [(i, prose(60, letters[lang]), lang) for i in range(120) for lang in letters]
