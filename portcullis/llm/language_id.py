@@ -2,8 +2,9 @@
 
 ``train`` counts the n-grams of letters in the labelled texts and decides for each n-gram which
 languages contain it: those whose share of it is at least ``near`` of the largest share. The masks
-go into a bit-sliced Bloom filter: ``SLICES`` arrays of ``POSITIONS`` language masks. A look-up ands
-one mask from each array and so returns all languages of an n-gram at once. ``predict`` counts each
+go into a bit-sliced Bloom filter: ``SLICES`` arrays of language masks, of twice as many positions as
+there are n-grams, or more, so that at most half of each is filled. The filter is a file in the shared
+folder that tasks map. A look-up ands one mask from each array and so returns all languages of an n-gram at once. ``predict`` counts each
 language's n-grams in a text, takes off what the filter's fill leads one to expect by chance, and
 names the language with the most; its share of the text's n-grams is the score.
 
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import map_texts, texts_of, written
+from portcullis.llm.common import fresh_path, map_texts, texts_of, written
+from portcullis.llm.shared_files import mapped, put
 
 GRAM = 4
-#: The filter: at most SLICES * POSITIONS rows reach the driver, whatever the corpus.
-SLICES, POSITIONS = 3, 1 << 18
+#: The filter: its arrays, the positions of each at least, and those that a file of it has at most.
+SLICES, POSITIONS, PIECE = 3, 1 << 18, 1 << 20
 #: Languages in a mask column; more languages take more columns.
 WORD = 62
 UNKNOWN = "und"
@@ -68,33 +70,38 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return value[ok], before[starts], any_letter
 
 
-def _positions(value: np.ndarray) -> list[np.ndarray]:
-    bits = POSITIONS.bit_length() - 1
+def _positions(value: np.ndarray, positions: int) -> list[np.ndarray]:
+    bits = positions.bit_length() - 1
     return [(value * np.uint64(m) >> np.uint64(64 - bits)).astype(np.int64) for m in _MIX]
 
 
 @dataclass
 class Model:
     languages: list[str]
-    #: [slice, word, position]: the languages at a position, as bits.
-    masks: np.ndarray
+    #: Where the filter's files are: of each slice and word, pieces of the language masks of a position, as bits.
+    folder: str
+    #: Positions of a slice, a power of two.
+    positions: int
+    #: By language, the chance that the filter has an n-gram that the language lacks.
+    chance: list[float]
     #: The place of the language with the most n-grams.
     usual: int = 0
 
-    def fill(self) -> np.ndarray:
-        """By language, the chance that the filter has an n-gram that the language lacks."""
-        bits = [(self.masks[:, i // WORD] >> (i % WORD) & 1).mean(1) for i in range(len(self.languages))]
-        return np.array(bits).prod(1) if bits else np.zeros(0)
+    def words(self) -> int:
+        return -(-len(self.languages) // WORD)
 
-    def predict(self, texts: list[str | None], fill: np.ndarray) -> tuple[list[str], list[float]]:
+    def masks(self) -> list[list[list[np.ndarray]]]:
+        """[slice][word][piece]: the masks, mapped into memory."""
+        pieces = range(-(-self.positions // PIECE))
+        return [[[mapped(f"{self.folder}/{s}-{w}-{p}").view("<i8") for p in pieces] for w in range(self.words())] for s in range(SLICES)]
+
+    def predict(self, texts: list[str | None], masks: list[list[list[np.ndarray]]]) -> tuple[list[str], list[float]]:
         value, starts, letters = grams([t or "" for t in texts])
-        at = _positions(value)
-        words = [
-            np.bitwise_and.reduce([self.masks[s, w][at[s]] for s in range(SLICES)]) for w in range(self.masks.shape[1])
-        ]
+        at = _positions(value, self.positions)
+        words = [np.bitwise_and.reduce([_taken(masks[s][w], at[s]) for s in range(SLICES)]) for w in range(self.words())]
         n = np.diff(starts)
         share = np.zeros((len(self.languages), len(texts)))
-        for i, chance in enumerate(fill.tolist()):
+        for i, chance in enumerate(self.chance):
             hits = np.concatenate([[0], np.cumsum(words[i // WORD] >> (i % WORD) & 1)])
             found = hits[starts[1:]] - hits[starts[:-1]]
             share[i] = np.clip((found - n * chance) / (np.maximum(n, 1) * max(1e-9, 1 - chance)), 0, 1)
@@ -107,6 +114,16 @@ class Model:
         return named, np.where(letters, score, 0.0).tolist()
 
 
+def _taken(pieces: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    if len(pieces) == 1:
+        return pieces[0][at]
+    found = np.zeros(len(at), np.int64)
+    for p, piece in enumerate(pieces):
+        own = at // PIECE == p
+        found[own] = piece[at[own] % PIECE]
+    return found
+
+
 def held_out(id_column: str, parts: int = 4, part: int = 2) -> Column:
     """Whether crc32 of the id as text leaves ``part``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % parts == part
@@ -136,7 +153,7 @@ def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
     totals = counted.groupBy("lang").agg(F.sum("times").alias("total")).orderBy("lang").collect()  # a row for each language
     languages = [r["lang"] for r in totals]
     if not languages:
-        return Model([], np.zeros((SLICES, 1, POSITIONS), np.int64))
+        return Model([], "", POSITIONS, [])
     pick = lambda values: F.element_at(F.create_map(*[F.lit(x) for r, v in zip(totals, values, strict=True) for x in (r["lang"], v)]), F.col("lang"))
     shares = counted.where(F.col("times") >= least).withColumn("share", F.col("times") / pick([r["total"] for r in totals]))
     top = shares.groupBy("gram").agg(F.collect_list(F.struct("share", pick(range(len(languages))).alias("i"))).alias("langs"), F.max("share").alias("top"))
@@ -145,41 +162,52 @@ def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
     mask = lambda w: F.aggregate(
         F.filter(kept, lambda x: F.floor(x.i / WORD) == w), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (x.i % WORD).cast("int")))
     )
-    masked = top.select("gram", *[mask(w).alias(f"w{w}") for w in range(words)])
+    masked = written(top.select("gram", *[mask(w).alias(f"w{w}") for w in range(words)]), "masked")
+    positions = max(POSITIONS, 1 << (2 * masked.count() - 1).bit_length())
 
     def place(batches):
         for batch in batches:
             value = batch.column("gram").to_numpy().view(np.uint64)
-            for s, at in enumerate(_positions(value)):
-                yield pa.record_batch([pa.array(at + s * POSITIONS), *batch.columns[1:]], names=["at", *batch.schema.names[1:]])
+            for s, at in enumerate(_positions(value, positions)):
+                yield pa.record_batch([pa.array(np.full(len(at), s, np.int32)), pa.array(at), *batch.columns[1:]], names=["slice", "at", *batch.schema.names[1:]])
 
     slots = (
-        masked.mapInArrow(place, "at long, " + ", ".join(f"w{w} long" for w in range(words)))
-        .groupBy("at")
+        masked.mapInArrow(place, "slice int, at long, " + ", ".join(f"w{w} long" for w in range(words)))
+        .groupBy("slice", "at")
         .agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(words)])
-        .toArrow()
+        .withColumn("piece", F.floor(F.col("at") / PIECE).cast("int"))
     )
-    masks = np.zeros((words, SLICES * POSITIONS), np.int64)
-    for w in range(words):
-        masks[w, slots.column("at").to_numpy()] = slots.column(f"w{w}").to_numpy()
+    size, folder = min(PIECE, positions), fresh_path(labelled.sparkSession, "languages")
+
+    def write(table: pa.Table) -> pa.Table:
+        s, p = (table.column(c)[0].as_py() for c in ("slice", "piece"))
+        filled = []
+        for w in range(words):
+            masks = np.zeros(size, "<i8")
+            masks[table.column("at").to_numpy() % PIECE] = table.column(f"w{w}").to_numpy()
+            put(f"{folder}/{s}-{w}-{p}", masks.tobytes())
+            filled += [int((masks >> i & 1).sum()) for i in range(min(WORD, len(languages) - w * WORD))]
+        return pa.table({"slice": pa.array([s], pa.int32()), "piece": pa.array([p], pa.int32()), "filled": pa.array([filled], pa.list_(pa.int64()))})
+
+    # A row for each million positions; a piece without any n-gram is empty.
+    made = slots.groupBy("slice", "piece").applyInArrow(write, "slice int, piece int, filled array<long>").collect()
+    for s, p in {(s, p) for s in range(SLICES) for p in range(-(-positions // PIECE))} - {(r["slice"], r["piece"]) for r in made}:
+        for w in range(words):
+            put(f"{folder}/{s}-{w}-{p}", bytes(8 * size))
+    fill = np.zeros((SLICES, len(languages)))
+    for r in made:
+        fill[r["slice"]] += np.array(r["filled"]) / positions
     usual = max(range(len(languages)), key=lambda i: totals[i]["total"])
-    return Model(languages, masks.reshape(words, SLICES, POSITIONS).swapaxes(0, 1).copy(), usual)
+    return Model(languages, folder, positions, fill.prod(0).tolist(), usual)
 
 
 def predict(df: DataFrame, model: Model, columns: list[str], text_column: str = "text") -> DataFrame:
     """``columns`` of ``df``, ``lang_pred`` and ``score`` for each row."""
-    # The filter has a fixed size for up to WORD languages (6 MB).
-    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.masks, model.usual))
     rows = df.select(*columns, F.col(text_column).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", lang_pred string, score double"
 
-    def ready() -> tuple[Model, np.ndarray]:
-        own = Model(*shared.value)
-        return own, own.fill()
-
-    def work(batch: pa.RecordBatch, state: tuple[Model, np.ndarray]) -> dict:
-        own, fill = state
-        lang, score = own.predict(batch.column("__text").to_pylist(), fill)
+    def work(batch: pa.RecordBatch, masks: list[list[list[np.ndarray]]]) -> dict:
+        lang, score = model.predict(batch.column("__text").to_pylist(), masks)
         return {c: batch.column(c) for c in columns} | {"lang_pred": lang, "score": score}
 
-    return map_texts(rows, "__text", schema, work, ready)
+    return map_texts(rows, "__text", schema, work, model.masks)

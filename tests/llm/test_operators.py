@@ -121,6 +121,17 @@ def test_language_id(spark):
     assert language_id.predict(df.limit(0), model, ["doc_id"]).collect() == []
 
 
+def test_language_filter_grows_with_its_ngrams(spark):
+    r = random.Random(2)
+    letters = {"aa": [chr(0x4E00 + i) for i in range(3000)], "bb": [chr(0x4E00 + i) for i in range(2000, 5000)]}
+    texts = {lang: ["".join(r.choices(own, k=1000)) for _ in range(1500)] for lang, own in letters.items()}
+    rows = [(i, t, lang) for lang in texts for i, t in enumerate(texts[lang])]
+    train = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string").repartition(8)
+    asked = spark.createDataFrame([(i, t[:30], lang) for i, t, lang in rows if i < 200], "doc_id long, text string, lang string")
+    found = language_id.predict(asked, language_id.train(train), ["lang"]).collect()
+    assert all(x.lang == x.lang_pred and x.score > 0.9 for x in found) and len(found) == 400
+
+
 def test_elias_fano():
     for values in ([0], [3, 3, 3, 9], sorted(R.randrange(1 << 40) for _ in range(3000)), list(range(500)), []):
         arrays, bits = EliasFano.arrays(np.array(values, np.uint64))
