@@ -10,9 +10,9 @@ The queries are a stated set: packed into blocks too, they go to every group of
 the work is a grid of block pairs and nothing is broadcast. Each pair returns k rows a query at most,
 and a ranking window (which limits before its shuffle) takes the best.
 
-Null vectors and those with null, non-finite or very large components (beyond ``LARGEST`` once
-scaled, where sums in doubles would not be exact) take no part, as query or candidate; nor do empty
-ones. Vectors of different lengths are not compared. Ties go to the smaller id, null ids last; of
+Null vectors and those with null or non-finite components take no part, as query or candidate; nor do
+empty ones. Scores are exact: sums that could leave 64 bits are taken in unbounded integers. As in the
+SQL, a scaled component or a resulting score that 64 bits cannot hold is an error. Vectors of different lengths are not compared. Ties go to the smaller id, null ids last; of
 repeated rows each takes part, and a query leaves out its own row alone.
 """
 
@@ -29,7 +29,8 @@ from portcullis.llm.common import written
 
 CELLS = 64
 BLOCK, QUERIES = 4096, 256
-LARGEST = float(1 << 22)
+#: What the bounds allow for rounding, of the sum of absolute products and for each component.
+ROUNDING = 2.0**-48
 #: Exact vectors read at a time for one query.
 READ = 64
 PACKED = "dims int, block long, uids binary, ids binary, vectors binary"
@@ -50,32 +51,48 @@ def _search(query: np.ndarray, uid: np.ndarray, own_uid: int, upper: np.ndarray,
             break
         some = order[at : at + READ]
         places = np.concatenate([places, some])
-        scores = np.concatenate([scores, exact[some].astype(np.int64) @ query])
-        best = np.lexsort((ids[places], -scores))[:k]
+        scores = np.concatenate([scores, exact[some] @ query])
+        best = _best(scores, ids[places])[:k]
         places, scores = places[best], scores[best]
     return places, scores
 
 
+def _best(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    if scores.dtype != object:
+        return np.lexsort((ids, -scores))
+    return np.array(sorted(range(len(scores)), key=lambda n: (-scores[n], ids[n])), np.int64)
+
+
 def search_block(queries: np.ndarray, query_uids: np.ndarray, exact: np.ndarray, cells: np.ndarray, least: np.ndarray, width: np.ndarray, uids: np.ndarray, ids: np.ndarray, k: int):
     """(query, place, score) of each query's k best rows in one block."""
     half = (width - 1) / 2
-    middle = least + cells * width + half
-    at_middle, spread = queries.astype(np.float64) @ middle.T, (np.abs(queries) @ half)[:, None]
+    middle = least.astype(np.float64) + cells * width.astype(np.float64) + half
+    size = np.abs(queries.astype(np.float64))
+    most = size @ (np.abs(least.astype(np.float64)) + CELLS * width.astype(np.float64))
+    at_middle, spread = queries.astype(np.float64) @ middle.T, (size @ half + most * len(least) * ROUNDING)[:, None]
+    if len(most) and most.max() >= 2.0**62:
+        queries, exact = queries.astype(object), exact.astype(object)
     found = [
         _search(queries[i], uids, int(query_uids[i]), at_middle[i] + spread[i], at_middle[i] - spread[i], exact, ids, k) for i in range(len(queries))
     ]
     return [np.repeat(np.arange(len(queries)), [len(p) for p, _ in found]), *(np.concatenate([f[j] for f in found]) for j in (0, 1))]
 
 
+def _width(least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Of each component the width of a cell; differences of 64-bit integers are whole as unsigned ones."""
+    return (most - least) // np.uint64(CELLS) + np.uint64(1)
+
+
 def top_k(df: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 1024) -> DataFrame:
     """(query_id, rank, the id, score) of the k best other rows for each row where ``is_query`` holds."""
     spark = df.sparkSession
-    scaled = F.transform(F.col(vector_column).cast("array<double>"), lambda x: F.floor(x * scale).cast("double"))
+    too_large = F.raise_error(F.lit("a scaled component does not fit 64 bits")).cast("long")
+    scaled = F.transform("v", lambda x: F.when(F.abs(x * scale) < 2.0**63, F.floor(x * scale)).otherwise(too_large))
     usable = (
-        df.select(F.col(id_column).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), scaled.alias("v"))
+        df.select(F.col(id_column).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.col(vector_column).cast("array<double>").alias("v"))
         .where(F.size("v") > 0)
-        .where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= LARGEST)))
-        .withColumns({"uid": F.monotonically_increasing_id(), "v": F.col("v").cast("array<int>"), "dims": F.size("v")})
+        .where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+        .withColumns({"uid": F.monotonically_increasing_id(), "v": scaled, "dims": F.size("v")})
     )
     rows = written(usable, "vectors")
     # A component is a row here once for each task only: min and max combine before the shuffle.
@@ -84,8 +101,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id
         .groupBy("dims", "at")
         .agg(F.min("x").alias("least"), F.max("x").alias("most"))
         .groupBy("dims")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "least", F.ceil((F.col("most") - F.col("least") + 1) / CELLS).cast("int").alias("width")))).alias("of"))
-        .select("dims", F.col("of.least").alias("least"), F.col("of.width").alias("width"))
+        .agg(F.array_sort(F.collect_list(F.struct("at", "least", "most"))).alias("of"))
+        .select("dims", F.col("of.least").alias("least"), F.col("of.most").alias("most"))
     )
     total = rows.count()
     groups = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK)))
@@ -101,7 +118,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id
                         part = own.slice(at, size)
                         uids = part.column("uid").to_numpy()
                         ids = part.column("id")
-                        values = np.array(part.column("v").flatten().to_numpy(), "<i4")
+                        values = np.array(part.column("v").flatten().to_numpy(), "<i8")
                         first = int(uids[0])
                         yield pa.record_batch(
                             [
@@ -119,13 +136,13 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id
     def approximate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = []
-            for vectors, least, width in zip(batch.column("vectors"), batch.column("least"), batch.column("width"), strict=True):
-                least, width = (np.array(x.as_py(), np.int64) for x in (least, width))
-                values = np.frombuffer(vectors.as_buffer(), "<i4").reshape(-1, len(least))
-                cells.append(((values - least) // width).astype(np.uint8).tobytes())
+            for vectors, least, most in zip(batch.column("vectors"), batch.column("least"), batch.column("most"), strict=True):
+                least, most = (np.array(x.as_py(), np.int64).view(np.uint64) for x in (least, most))
+                values = np.frombuffer(vectors.as_buffer(), "<u8").reshape(-1, len(least))
+                cells.append(((values - least) // _width(least, most)).astype(np.uint8).tobytes())
             yield batch.append_column("cells", pa.array(cells, pa.binary()))
 
-    with_cells = f"{PACKED}, least array<int>, width array<int>, cells binary"
+    with_cells = f"{PACKED}, least array<long>, most array<long>, cells binary"
     blocks = written(pack(rows, BLOCK, "packed").join(ranges, "dims").mapInArrow(approximate, with_cells), "blocks").withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
     asked = pack(rows.where("asks"), QUERIES, "queries").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     pairs = blocks.join(asked.select("dims", "group", F.col("uids").alias("q_uids"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), ["dims", "group"])
@@ -136,14 +153,15 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id
                 one = {n: batch.column(n)[row] for n in batch.schema.names}
                 dims = one["dims"].as_py()
                 binary = lambda n, kind, one=one: np.frombuffer(one[n].as_buffer(), kind)
-                exact = binary("vectors", "<i4").reshape(-1, dims)
-                least, width = (np.array(one[n].as_py(), np.int64) for n in ("least", "width"))
+                exact = binary("vectors", "<i8").reshape(-1, dims)
+                least, most = (np.array(one[n].as_py(), np.int64) for n in ("least", "most"))
+                width = _width(least.view(np.uint64), most.view(np.uint64)).astype(np.int64)
                 cells = binary("cells", np.uint8).reshape(-1, dims)
                 uids, ids = binary("uids", "<i8"), binary("ids", "<i8")
                 q_uids, q_ids = binary("q_uids", "<i8"), binary("q_ids", "<i8")
-                which, place, score = search_block(binary("q_vectors", "<i4").reshape(-1, dims).astype(np.int64), q_uids, exact, cells, least, width, uids, ids, k)
+                which, place, score = search_block(binary("q_vectors", "<i8").reshape(-1, dims), q_uids, exact, cells, least, width, uids, ids, k)
                 yield pa.record_batch(
-                    {"q_uid": q_uids[which], "query_id": q_ids[which], "uid": uids[place], "id": ids[place], "score": score}
+                    {"q_uid": q_uids[which], "query_id": q_ids[which], "uid": uids[place], "id": ids[place], "score": pa.array(score.tolist(), pa.int64())}
                 )
 
     near = pairs.mapInArrow(compare, "q_uid long, query_id long, uid long, id long, score long")
