@@ -6,7 +6,11 @@ a length on, so an item stands whole in one of them. A passage is a query: the i
 verified: at least ``SIMILARITY`` of the item's shingles of five words must be in the text, and
 ``PART`` of those of its question and of its answer.
 
-An item that verifies lacks no more words than it may lack shingles, so a passage that holds it has
+An item may also stand in a text in parts, with other text between them that no passage spans. So every
+text is looked up as a whole too: items that have ``SIMILARITY`` of their shingles in it, by the shingles'
+hashes, are verified as well, with the score of the whole text.
+
+An item that verifies in a passage lacks no more words than it may lack shingles, so a passage that holds it has
 at least the item's own score without its heaviest so many words: that is what is needed, and no
 item is lost before it is verified. Words are runs of letters, digits and underscores in lower case.
 
@@ -72,6 +76,14 @@ class Index:
             values = [v for _, v in found]
             self.postings[w] = ([i for i, _ in found], values, [max(values[k : k + BLOCK]) for k in range(0, len(values), BLOCK)])
         self.most = {w: max(p[2]) for w, p in self.postings.items()}
+        # The shingles of all items by hash; shorter ones always stand whole in a passage.
+        every = [(i, s) for i, own in enumerate(self.shingles) for s in own if len(s) == SHINGLE]
+        term = {w: i for i, w in enumerate(self.postings)}
+        codes = _codes(np.fromiter((term[w] for _, s in every for w in s), np.int64, SHINGLE * len(every)))[::SHINGLE]
+        order = np.argsort(codes, kind="stable")
+        self.codes, begin = np.unique(codes[order], return_index=True)
+        self.code_ends = np.append(begin, len(codes))
+        self.code_items = np.fromiter((i for i, _ in every), np.int64, len(every))[order]
         # For each word the largest impact on each block of items; the last row is for all other words.
         self.term = {w: i for i, w in enumerate(self.postings)}
         self.blocks = np.zeros((len(self.term) + 1, -(-len(items) // ITEMS)), np.float32)
@@ -122,6 +134,33 @@ class Index:
                 for c in cursors[:pivot]:
                     c[1] = bisect_left(c[0][0], item, c[1])
 
+    def whole(self, texts: list[list[str]]) -> list[list[int]]:
+        """Of each text the items that have enough of their shingles anywhere in it."""
+        found: list[list[int]] = [[] for _ in texts]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        none = len(self.term)
+        ids = np.fromiter(map(self.term.get, chain.from_iterable(texts), repeat(none)), np.int64, lengths.sum())
+        if len(ids) < SHINGLE or not len(self.codes):
+            return found
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        before = np.concatenate([[0], np.cumsum(ids == none)])
+        at = np.flatnonzero((before[SHINGLE:] == before[:-SHINGLE]) & (owner[SHINGLE - 1 :] == owner[: len(ids) - SHINGLE + 1]))
+        value = _codes(ids)[at]
+        place = np.minimum(np.searchsorted(self.codes, value), len(self.codes) - 1)
+        hit = self.codes[place] == value
+        pairs = np.unique(owner[at[hit]] * len(self.codes) + place[hit])
+        text, place = pairs // len(self.codes), pairs % len(self.codes)
+        for own in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(text)) + 1) if len(pairs) else ():
+            items = np.concatenate([self.code_items[self.code_ends[p] : self.code_ends[p + 1]] for p in place[own].tolist()])
+            item, hits = np.unique(items, return_counts=True)
+            found[int(text[own[0]])] = [i for i, n in zip(item.tolist(), hits.tolist(), strict=True) if n >= SIMILARITY * len(self.shingles[i]) - 1e-9]
+        return found
+
+    def score(self, item: int, words: set[str]) -> float:
+        """The score of an item for a query."""
+        own = set(chain.from_iterable(self.shingles[item])) & words
+        return sum(self.postings[w][1][bisect_left(self.postings[w][0], item)] for w in own)
+
     def promising(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Of each text the places where passages begin that can reach 1 in some block of items.
 
@@ -150,12 +189,15 @@ class Index:
         able = (both >= 1 - 1e-4).any(1) if both.shape[1] else np.zeros(len(both), bool)
         return [np.flatnonzero(able[f : f + n]) * size for f, n in zip(first.tolist(), chunks.tolist(), strict=True)]
 
-    def matches(self, words: list[str], begins: np.ndarray) -> list[tuple[int, float, float, float, float]]:
+    def matches(self, words: list[str], begins: np.ndarray, whole: list[int]) -> list[tuple[int, float, float, float, float]]:
         """(item, score, overlap, overlap of question, of answer) of the items that a text holds."""
         best: dict[int, float] = {}
         for begin in begins.tolist():
             for item, score in self.retrieve(set(words[begin : begin + 2 * self.reach])):
                 best[item] = max(score, best.get(item, 0.0))
+        for item in whole:
+            if item not in best:
+                best[item] = self.score(item, set(words))
         if not best:
             return []
         own = set(shingles(words)) | set(zip(*(words[i:] for i in range(SHINGLE)), strict=False))
@@ -169,6 +211,16 @@ class Index:
         return found
 
 
+def _codes(ids: np.ndarray) -> np.ndarray:
+    """A hash of the ``SHINGLE`` numbers from each place on."""
+    n = max(0, len(ids) - SHINGLE + 1)
+    value = np.zeros(n, np.uint64)
+    for i in range(SHINGLE):
+        value = (value ^ ids[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+    return value
+
+
 def _has(words: list[str], run: tuple[str, ...]) -> bool:
     return any(tuple(words[i : i + len(run)]) == run for i in range(len(words) - len(run) + 1))
 
@@ -216,8 +268,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, columns: list[str], text_
         def work(batch: pa.RecordBatch, own: Index) -> dict | None:
             which, rest = [], []
             texts = [words_of(t.lower()) for t in texts_of(batch, "__text")]
-            for i, begins in enumerate(own.promising(texts)):
-                for hit in own.matches(texts[i], begins) if len(begins) else ():
+            for i, (begins, whole) in enumerate(zip(own.promising(texts), own.whole(texts), strict=True)):
+                for hit in own.matches(texts[i], begins, whole) if len(begins) or whole else ():
                     which.append(i)
                     rest.append(hit)
             if not which:

@@ -254,6 +254,19 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contamination(docs, bench.limit(0), ["doc_id"]).collect() == []
 
 
+def test_decontamination_of_items_in_parts(spark):
+    items = [(i, prose(60)) for i in range(6)]
+    docs = []
+    for i, item in items:
+        words = item.split()
+        docs += [(i * 10 + gap // 100, " ".join([*words[:48], prose(gap), *words[48:]])) for gap in (0, 100, 300, 700)]
+        docs.append((i * 10 + 9, " ".join([*words[:40], prose(300)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, ["doc_id"]).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i * 10 + gap, i) for i, _ in items for gap in (0, 1, 3, 7)}
+    assert all(r.score >= 1 and r.overlap >= 0.8 for r in found)
+
+
 def test_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vector_topk, "BLOCK", 16)
     monkeypatch.setattr(vector_topk, "QUERIES", 3)
