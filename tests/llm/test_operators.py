@@ -259,8 +259,8 @@ def test_decontamination_of_items_in_parts(spark):
     docs = []
     for i, item in items:
         words = item.split()
-        docs += [(i * 10 + gap // 100, " ".join([*words[:48], prose(gap), *words[48:]])) for gap in (0, 100, 300, 700)]
-        docs.append((i * 10 + 9, " ".join([*words[:40], prose(300)])))
+        docs += [(i * 10 + gap // 100, " ".join([*words[:30], prose(gap), *words[30:]])) for gap in (0, 100, 300, 700)]
+        docs.append((i * 10 + 9, " ".join([*words[:30], prose(300)])))
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, ["doc_id"]).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(i * 10 + gap, i) for i, _ in items for gap in (0, 1, 3, 7)}
