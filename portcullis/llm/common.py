@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at a time.
@@ -39,6 +39,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one step in the shared folder: they cut lineage like ``written`` ones, and ``clear``
+    deletes them once what was made of them is written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(path := fresh_path(self.spark, name))
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        self.paths = []
+
+
+def apart(taken: list[str], names: list[str]) -> list[str]:
+    """``names``, each with underscores before it until it is none of ``taken``."""
+    used, found = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        found.append(name)
+    return found
+
+
 def new_column(df: DataFrame, name: str) -> str:
     """``name``, or with underscores added until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}
@@ -61,7 +92,7 @@ def text_portions(batches: Iterable[pa.RecordBatch], column: str, most: int = PO
             yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, column: str, schema: str, work: Callable[[pa.RecordBatch], dict | None], prepare=None, most: int = PORTION_BYTES) -> DataFrame:
+def map_texts(df: DataFrame, column: str, schema, work: Callable[..., dict | None], prepare=None, most: int = PORTION_BYTES) -> DataFrame:
     """mapInArrow over ``df``: ``work`` turns some rows into the columns of ``schema``.
 
     ``prepare`` is called once in each task; what it returns goes to ``work`` as a second argument.
@@ -70,7 +101,7 @@ def map_texts(df: DataFrame, column: str, schema: str, work: Callable[[pa.Record
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    out = to_arrow_schema(StructType.fromDDL(schema))
+    out = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extra = (prepare(),) if prepare else ()
@@ -82,6 +113,30 @@ def map_texts(df: DataFrame, column: str, schema: str, work: Callable[[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def beside(df: DataFrame, columns: list[str], text_column: str, schema, work: Callable[..., dict | None], prepare=None, most: int = PORTION_BYTES, more: dict[str, Column] | None = None) -> DataFrame:
+    """``columns`` of ``df`` and beside them the columns of ``schema`` that ``work`` makes of the texts.
+
+    ``work`` gets batches of ``text`` and the columns ``more``; what it returns under ``rows``, if
+    anything, are the places of the batch's rows that its results are for. Result columns whose names
+    ``columns`` has already get underscores.
+    """
+    from pyspark.sql.types import StructField, StructType
+
+    own = StructType([StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(columns)])
+    results = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    made = StructType(own.fields + [StructField(f"r{i}", f.dataType) for i, f in enumerate(results)])
+    rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col(f"`{text_column}`").alias("text"), *[x.alias(n) for n, x in (more or {}).items()])
+
+    def run(batch: pa.RecordBatch, *extra) -> dict | None:
+        found = work(batch, *extra)
+        if found is None:
+            return None
+        taken = batch.take(pa.array(found["rows"], pa.int64())) if "rows" in found else batch
+        return {f"c{i}": taken.column(f"c{i}") for i in range(len(columns))} | {f"r{i}": found[f.name] for i, f in enumerate(results)}
+
+    return map_texts(rows, "text", made, run, prepare, most).toDF(*columns, *apart(columns, results.names))
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The column's texts; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -33,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from portcullis.llm.common import map_texts, new_column, texts_of, written
+from portcullis.llm.common import beside, map_texts, new_column, texts_of, written
 
 K1, B = 1.2, 0.75
 SHINGLE, SIMILARITY, PART, ANSWER = 5, 0.8, 0.5, 0.2
@@ -257,32 +258,29 @@ def _index_parts(benchmark: DataFrame, id_column: str, text_column: str, answer_
 def contamination(df: DataFrame, benchmark: DataFrame, columns: list[str], text_column: str = "text", item_id: str = "item_id", item_text: str = "text", answer_column: str | None = None) -> DataFrame:
     """A row for each row of ``df`` and item in it: ``columns``, the item's id, ``score`` and overlaps."""
     spark = df.sparkSession
-    rows = df.where(F.col(text_column).isNotNull()).select(*columns, F.col(text_column).alias("__text"))
-    kind = benchmark.schema[item_id].dataType.simpleString()
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
-    schema = f"{fields}, __item {kind}, score double, overlap double, question_overlap double, answer_overlap double"
+    rows = df.where(F.col(f"`{text_column}`").isNotNull())
+    schema = StructType([StructField(item_id, benchmark.schema[item_id].dataType), *StructType.fromDDL("score double, overlap double, question_overlap double, answer_overlap double")])
     found = None
     for index in _index_parts(benchmark, item_id, item_text, answer_column):
         shared = spark.sparkContext.broadcast(index)
 
         def work(batch: pa.RecordBatch, own: Index) -> dict | None:
             which, rest = [], []
-            texts = [words_of(t.lower()) for t in texts_of(batch, "__text")]
+            texts = [words_of(t.lower()) for t in texts_of(batch, "text")]
             for i, (begins, whole) in enumerate(zip(own.promising(texts), own.whole(texts), strict=True)):
                 for hit in own.matches(texts[i], begins, whole) if len(begins) or whole else ():
                     which.append(i)
                     rest.append(hit)
             if not which:
                 return None
-            taken = batch.take(pa.array(which))
             names = ("score", "overlap", "question_overlap", "answer_overlap")
-            return {c: taken.column(c) for c in columns} | {"__item": [own.ids[r[0]] for r in rest]} | {n: [r[k + 1] for r in rest] for k, n in enumerate(names)}
+            return {"rows": which, item_id: [own.ids[r[0]] for r in rest]} | {n: [r[k + 1] for r in rest] for k, n in enumerate(names)}
 
-        part = map_texts(rows, "__text", schema, work, lambda shared=shared: shared.value, PORTION)
+        part = beside(rows, columns, text_column, schema, work, lambda shared=shared: shared.value, PORTION)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = spark.createDataFrame([], schema)
-    return found.withColumnRenamed("__item", item_id)
+        found = beside(rows.limit(0), columns, text_column, schema, lambda batch: None)
+    return found
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

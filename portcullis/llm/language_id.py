@@ -16,6 +16,7 @@ looked at in a prediction. Repeated rows count as often as they occur.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import fresh_path, map_texts, texts_of, written
+from portcullis.llm.common import apart, fresh_path, map_texts, new_column, text_portions, texts_of, written
 from portcullis.llm.shared_files import mapped, put
 
 GRAM = 4
+#: Bytes of text that are looked at together, and characters of them whose n-grams are.
+PORTION, WINDOW = 1 << 20, 1 << 18
 #: The filter: its arrays, the positions of each at least, and those that a file of it has at most.
 SLICES, POSITIONS, PIECE = 3, 1 << 18, 1 << 20
 #: Languages in a mask column; more languages take more columns.
@@ -43,8 +46,9 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the texts' n-grams, where each text's begin (and an end), and who has letters.
+def grams(texts: list[str]) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The texts' n-grams, and who has letters. The n-grams come a window of ``WINDOW`` characters at a
+    time, whatever the lengths of the texts: their hashes, and the text that each is of.
 
     A text is lower-cased and put between spaces; what is no letter counts as a space, and n-grams
     with spaces side by side are left out.
@@ -52,22 +56,33 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     points = [np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
     lengths = np.fromiter(map(len, points), np.int64, len(points))
     every = np.concatenate([*points, np.full(GRAM, 32, "<u4")])
-    letter = _is_letter()[every]
-    every = np.where(letter, every, 32).astype(np.uint64)
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    blank = np.concatenate([~letter, [True]])
-    twice = blank[:-1] & blank[1:]
-    n = starts[-1]
-    ok = np.ones(n, bool)
-    for i in range(GRAM - 1):
-        ok &= ~twice[i : n + i]
-    value = np.zeros(n, np.uint64)
-    for i in range(GRAM):
-        value = value * np.uint64(0x100000001B3) + every[i : n + i]
-    # Texts stand side by side between spaces, so no n-gram with two letters apart runs into the next.
-    before = np.concatenate([[0], np.cumsum(ok)])
-    any_letter = np.add.reduceat(letter[:n].astype(np.int64), starts[:-1]) > 0 if len(texts) else np.zeros(0, bool)
-    return value[ok], before[starts], any_letter
+    del points
+    is_letter = _is_letter()
+    ends = np.cumsum(lengths)
+    total = int(lengths.sum())
+    letters = np.zeros(len(texts), bool)
+    for at in range(0, total, WINDOW):
+        hit = np.flatnonzero(is_letter[every[at : min(at + WINDOW, total)]]) + at
+        letters[np.searchsorted(ends, hit, "right")] = True
+
+    def windows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        # Texts stand side by side between spaces, so no n-gram with two letters apart runs into the next.
+        for at in range(0, total, WINDOW):
+            n = min(WINDOW, total - at)
+            part = every[at : at + n + GRAM]
+            letter = is_letter[part]
+            part = np.where(letter, part, 32).astype(np.uint64)
+            twice = ~letter[:-1] & ~letter[1:]
+            ok = np.ones(n, bool)
+            for i in range(GRAM - 1):
+                ok &= ~twice[i : n + i]
+            value = np.zeros(n, np.uint64)
+            for i in range(GRAM):
+                value = value * np.uint64(0x100000001B3) + part[i : n + i]
+            place = np.flatnonzero(ok)
+            yield value[place], np.searchsorted(ends, place + at, "right")
+
+    return windows(), letters
 
 
 def _positions(value: np.ndarray, positions: int) -> list[np.ndarray]:
@@ -96,17 +111,19 @@ class Model:
         return [[[mapped(f"{self.folder}/{s}-{w}-{p}").view("<i8") for p in pieces] for w in range(self.words())] for s in range(SLICES)]
 
     def predict(self, texts: list[str | None], masks: list[list[list[np.ndarray]]]) -> tuple[list[str], list[float]]:
-        value, starts, letters = grams([t or "" for t in texts])
-        at = _positions(value, self.positions)
-        words = [np.bitwise_and.reduce([_taken(masks[s][w], at[s]) for s in range(SLICES)]) for w in range(self.words())]
-        n = np.diff(starts)
-        share = np.zeros((len(self.languages), len(texts)))
-        for i, chance in enumerate(self.chance):
-            hits = np.concatenate([[0], np.cumsum(words[i // WORD] >> (i % WORD) & 1)])
-            found = hits[starts[1:]] - hits[starts[:-1]]
-            share[i] = np.clip((found - n * chance) / (np.maximum(n, 1) * max(1e-9, 1 - chance)), 0, 1)
-        if not len(self.languages):
+        if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        windows, letters = grams([t or "" for t in texts])
+        n, found = np.zeros(len(texts)), np.zeros((len(self.languages), len(texts)))
+        for value, owner in windows:
+            at = _positions(value, self.positions)
+            n += np.bincount(owner, minlength=len(texts))
+            for w in range(self.words()):
+                word = np.bitwise_and.reduce([_taken(masks[s][w], at[s]) for s in range(SLICES)])
+                for i in range(w * WORD, min((w + 1) * WORD, len(self.languages))):
+                    found[i] += np.bincount(owner[(word >> (i % WORD) & 1).astype(bool)], minlength=len(texts))
+        chance = np.array(self.chance)[:, None]
+        share = np.clip((found - n * chance) / (np.maximum(n, 1) * np.maximum(1e-9, 1 - chance)), 0, 1)
         best = share.argmax(0)
         score = share.max(0)
         best = np.where(score > 0, best, self.usual)
@@ -142,13 +159,15 @@ def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
         texts = np.array(texts_of(batch, "text"), object)
         found = []
         for lang in sorted(set(langs.tolist())):
-            value, times = np.unique(grams(texts[langs == lang].tolist())[0], return_counts=True)
+            parts = [np.unique(value, return_counts=True) for value, _ in grams(texts[langs == lang].tolist())[0]]
+            value, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            times = np.bincount(back, np.concatenate([p[1] for p in parts]), len(value)).astype(np.int64)
             found.append((value, np.full(len(value), lang, object), times))
         value, lang, times = (np.concatenate([x[i] for x in found]) for i in range(3))
         return {"gram": value.view(np.int64), "lang": lang.tolist(), "times": times}
 
     counted = written(
-        map_texts(rows, "text", "gram long, lang string, times long", count).groupBy("gram", "lang").agg(F.sum("times").alias("times")), "grams"
+        map_texts(rows, "text", "gram long, lang string, times long", count, most=PORTION).groupBy("gram", "lang").agg(F.sum("times").alias("times")), "grams"
     )
     totals = counted.groupBy("lang").agg(F.sum("times").alias("total")).orderBy("lang").collect()  # a row for each language
     languages = [r["lang"] for r in totals]
@@ -202,12 +221,28 @@ def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
 
 
 def predict(df: DataFrame, model: Model, columns: list[str], text_column: str = "text") -> DataFrame:
-    """``columns`` of ``df``, ``lang_pred`` and ``score`` for each row."""
-    rows = df.select(*columns, F.col(text_column).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", lang_pred string, score double"
-
-    def work(batch: pa.RecordBatch, masks: list[list[list[np.ndarray]]]) -> dict:
-        lang, score = model.predict(batch.column("__text").to_pylist(), masks)
-        return {c: batch.column(c) for c in columns} | {"lang_pred": lang, "score": score}
-
-    return map_texts(rows, "__text", schema, work, model.masks)
+    """``columns`` of ``df``, ``lang_pred`` and ``score`` for each row (with underscores, where ``columns`` has
+    such names). The columns stay with Spark: only the texts go to Python."""
+    found = _named(model)(F.col(f"`{text_column}`"))
+    kept = [F.col(f"`{c}`") for c in columns]
+    names = apart(columns, ["lang_pred", "score"])
+    marked = df.select(*kept, found.alias(new_column(df, "found")))
+    last = F.col(f"`{marked.columns[-1]}`")
+    return marked.select(*kept, last["lang_pred"].alias(names[0]), last["score"].alias(names[1]))
+
+
+def _named(model: Model):
+    """An Arrow UDF: text to (lang_pred, score)."""
+
+    @F.arrow_udf("struct<lang_pred string, score double>")
+    def named(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        masks = model.masks()
+        for texts in batches:
+            lang, score = [], []
+            for part in text_portions([pa.record_batch([texts], names=["text"])], "text", PORTION):
+                one, two = model.predict(part.column(0).to_pylist(), masks)
+                lang += one
+                score += two
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
+
+    return named

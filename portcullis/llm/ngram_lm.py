@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import fresh_path, map_texts, texts_of
+from portcullis.llm.common import beside, fresh_path, map_texts, texts_of
 from portcullis.llm.elias_fano import EliasFano
 from portcullis.llm.shared_files import mapped, packed, put, unpacked
 
@@ -348,12 +348,10 @@ class Trie:
 
 def score(df: DataFrame, layout: Layout, columns: list[str], text_column: str = "text") -> DataFrame:
     """``columns`` of ``df``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``."""
-    rows = df.select(*columns, F.coalesce(text_column, F.lit("")).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
 
     def work(batch: pa.RecordBatch, model: tuple[Vocabulary, Trie]) -> dict:
         vocabulary, trie = model
-        ids, counts, lengths = vocabulary.tokens(texts_of(batch, "__text"))
+        ids, counts, lengths = vocabulary.tokens(texts_of(batch, "text"))
         starts = np.cumsum(lengths) - lengths
         base = (counts + ADD) / (layout.tokens + ADD * (layout.words + 1))
         one, one_count, _, _ = _contexts(ids, counts, lengths, layout.texts)
@@ -370,7 +368,7 @@ def score(df: DataFrame, layout: Layout, columns: list[str], text_column: str =
         following = seen[after[seen] >= 0] + 1
         inner = after[seen] >= 0
         p[following] = (1 - next_left[inner]) * next_ratio[inner] + next_left[inner] * p[following]
-        return {c: batch.column(c) for c in columns} | {
+        return {
             "n_tokens": lengths,
             "n_known": np.add.reduceat((counts > 0).astype(np.int64), starts),
             "train_tokens": np.full(len(lengths), layout.tokens),
@@ -378,6 +376,5 @@ def score(df: DataFrame, layout: Layout, columns: list[str], text_column: str =
             "score": np.add.reduceat(np.log10(p), starts),
         }
 
-    return map_texts(
-        rows, "__text", f"{schema}, n_tokens long, n_known long, train_tokens long, base_score double, score double", work, lambda: (Vocabulary(layout), Trie(layout))
-    )
+    fields = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return beside(df, columns, text_column, fields, work, lambda: (Vocabulary(layout), Trie(layout)))

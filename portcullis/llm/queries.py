@@ -24,7 +24,7 @@ def query(function):
 @query
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return sentencepiece_codec.digest(sentencepiece_codec.encode(docs, public_tokenizers.path(PIECES)))
+    return sentencepiece_codec.digest(sentencepiece_codec.encode(docs, public_tokenizers.path(PIECES), ["doc_id"]))
 
 
 @query
@@ -80,5 +80,6 @@ ORACLE_SQL["op10_url_rules"] = url_rules.ORACLE
 
 @query
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.strip(table(spark, sf_dir, "documents"), ["doc_id"])
-    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    """The cuts are those of 400-byte strings alone; ``n_passage_bytes`` tells of repeated passages of over 50 words."""
+    cut = suffix_dedup.strip(table(spark, sf_dir, "documents"), ["doc_id"], words=51, cut_words=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_bytes")

@@ -5,7 +5,7 @@ for every normalised byte the source byte it came from; the pieces' boundaries a
 through that alignment to (begin, end) bytes of the source. ``decode`` turns ids back into text.
 
 Null and empty texts have no tokens but begin and end; repeated rows are encoded each on its own;
-other columns pass through, also where their names clash with the results (those get underscores).
+other columns pass through; results whose names they have already get underscores.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import map_texts, texts_of
+from portcullis.llm.common import beside, texts_of
 from portcullis.llm.pieces import PieceModel
 
 _loaded: dict[bytes, PieceModel] = {}
@@ -36,15 +36,14 @@ def loaded(data: bytes) -> PieceModel:
     return _loaded[data]
 
 
-def encode(df: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", begin_end: bool = True) -> DataFrame:
-    """A row for each row of ``df``: its id, ``ids``, ``spans`` and ``decoded``.
+def encode(df: DataFrame, model_path: str, columns: list[str], text_column: str = "text", begin_end: bool = True) -> DataFrame:
+    """A row for each row of ``df``: its ``columns``, ``ids``, ``spans`` and ``decoded``.
 
     ``ids`` (binary) holds the token ids as little-endian unsigned 32-bit integers, with begin and
     end ids if ``begin_end``. ``spans`` (binary) has two such integers for each token of the text,
     begin and end id left out: the source bytes [begin, end). ``decoded`` is decode(ids).
     """
     data = model_bytes(model_path)
-    kind = df.schema[id_column].dataType.simpleString()
 
     def work(batch: pa.RecordBatch, model: PieceModel) -> dict:
         ids, spans, decoded = [], [], []
@@ -54,11 +53,9 @@ def encode(df: DataFrame, model_path: str, id_column: str = "doc_id", text_colum
             ids.append(own.tobytes())
             spans.append(span.tobytes())
             decoded.append(model.decode(own))
-        return {"id": batch.column("id"), "ids": ids, "spans": spans, "decoded": decoded}
+        return {"ids": ids, "spans": spans, "decoded": decoded}
 
-    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    made = map_texts(rows, "text", f"id {kind}, ids binary, spans binary, decoded string", work, lambda: loaded(data))
-    return made.withColumnRenamed("id", id_column)
+    return beside(df, columns, text_column, "ids binary, spans binary, decoded string", work, lambda: loaded(data))
 
 
 def decode(df: DataFrame, model_path: str, ids_column: str = "ids", into: str = "decoded") -> DataFrame:

@@ -20,6 +20,7 @@ The same goes for runs of words (``strip`` and ``dedup`` with ``words``): every
 white space parts them, that also starts elsewhere is removed too, whatever its bytes. A word is a
 64-bit hash then, and takes the place of a byte in all the steps.
 
+Every occurrence goes, the first included: a passage that stands in two documents is in neither afterwards.
 Null texts count as empty; texts shorter than ``LENGTH`` are left alone; copies of texts, repeated
 rows and ties are all cut alike (every occurrence goes). Other columns pass through.
 """
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from portcullis.llm.common import map_texts, written
+from portcullis.llm.common import Scratch, apart, beside, map_texts, new_column, written
 
 LENGTH, GRAM = 400, 64
 #: The same in words: the strings that windows are dealt by are shorter, for few words at least.
@@ -283,9 +284,12 @@ SEGMENT = "hash long, content binary"
 FOUND = f"{SEGMENT}, first int, last int"
 
 
-def repeats(df: DataFrame, text_column: str = "text", unit: Unit = BYTES) -> DataFrame:
-    """(key, spans): of each text with repeated windows, its ``text_key`` and its (first, last) windows."""
-    spark = df.sparkSession
+def repeats(df: DataFrame, text_column: str, unit: Unit, scratch: Scratch) -> DataFrame:
+    """(key, spans): of each text with repeated windows, its ``text_key`` and its (first, last) windows.
+
+    What is written on the way goes with ``scratch``, once the result is written itself.
+    """
+    spark, written = df.sparkSession, scratch.written
     texts = df.where(F.octet_length(text_column) >= unit.least_bytes).select(text_key(F.col(text_column)).alias("key"), F.col(text_column).alias("text"))
 
     def cut(batch: pa.RecordBatch) -> dict:
@@ -396,36 +400,45 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def strip(df: DataFrame, columns: list[str], text_column: str = "text", words: int | None = None) -> DataFrame:
+def strip(df: DataFrame, columns: list[str], text_column: str = "text", words: int | None = None, cut_words: bool = True) -> DataFrame:
     """``columns`` of ``df``, with ``n_bytes``, ``n_removed``, ``n_spans``, and what is ``kept`` as bytes.
 
-    With ``words``, repeated runs of so many words go beside those of ``LENGTH`` bytes.
+    With ``words``, repeated runs of so many words are found as well: ``n_passage_bytes`` says how many
+    bytes stand in such runs, and they go beside the strings of ``LENGTH`` bytes if ``cut_words``. Result
+    columns whose names are in ``columns`` get underscores.
     """
-    joined = df.select(*columns, F.coalesce(F.col(text_column), F.lit("")).alias("__text"), text_key(F.col(text_column)).alias("__key"))
-    units = {"__spans": BYTES} | ({"__word_spans": word_unit(words)} if words else {})
+    text = F.col(f"`{text_column}`")
+    joined = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.coalesce(text, F.lit("")).alias("text"), text_key(text).alias("key"))
+    units = {"spans": BYTES} | ({"word_spans": word_unit(words)} if words else {})
     for name, unit in units.items():
-        found = repeats(df, text_column, unit).withColumnRenamed("key", "__key").withColumnRenamed("spans", name)
-        joined = joined.join(written(found, "spans"), "__key", "left")
-    joined = joined.drop("__key")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema)
+        scratch = Scratch(df.sparkSession)
+        found = written(repeats(df.select(text.alias("text")), "text", unit, scratch).withColumnRenamed("spans", name), "spans")
+        scratch.clear()
+        joined = joined.join(found, "key", "left")
 
     def work(batch: pa.RecordBatch) -> dict:
-        sizes, removed, runs, kept = [], [], [], []
-        of_words = batch.column("__word_spans").to_pylist() if words else [None] * batch.num_rows
-        for text, spans, word_spans in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist(), of_words, strict=True):
+        made = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []} | ({"n_passage_bytes": []} if words else {})
+        of_words = batch.column("word_spans").to_pylist() if words else [None] * batch.num_rows
+        for text, spans, word_spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), of_words, strict=True):
             data = text.encode()
             gone = [(s["first"], s["last"] + LENGTH) for s in spans or ()]
+            passages = []
             if word_spans:
                 begin, end = word_bounds(data)
-                gone += [(int(begin[s["first"]]), int(end[s["last"] + words - 1])) for s in word_spans]
-            left, n = kept_bytes(data, gone)
-            sizes.append(len(data))
-            removed.append(len(data) - len(left))
-            runs.append(n)
-            kept.append(left)
-        return {c: batch.column(c) for c in columns} | {"n_bytes": sizes, "n_removed": removed, "n_spans": runs, "kept": kept}
-
-    return map_texts(joined, "__text", f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary", work)
+                passages = [(int(begin[s["first"]]), int(end[s["last"] + words - 1])) for s in word_spans]
+            left, n = kept_bytes(data, gone + passages if cut_words else gone)
+            made["n_bytes"].append(len(data))
+            made["n_removed"].append(len(data) - len(left))
+            made["n_spans"].append(n)
+            made["kept"].append(left)
+            if words:
+                made["n_passage_bytes"].append(len(data) - len(kept_bytes(data, passages)[0]))
+        return made
+
+    own = [f"c{i}" for i in range(len(columns))]
+    fields = "n_bytes long, n_removed long, n_spans long, kept binary" + (", n_passage_bytes long" if words else "")
+    made = beside(joined, own, "text", fields, work, more={name: F.col(name) for name in units})
+    return made.toDF(*columns, *apart(columns, made.columns[len(own) :]))
 
 
 def dedup(df: DataFrame, text_column: str = "text", words: int | None = None) -> DataFrame:
@@ -434,9 +447,11 @@ def dedup(df: DataFrame, text_column: str = "text", words: int | None = None) ->
     A cut may fall inside a character; the bytes of such a character that are left go too. Null
     texts stay null.
     """
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_column], F.col(text_column).isNull().alias("__null")).alias("row"), F.col(text_column).alias("text"))
-    cut = strip(packed, ["row"], words=words)
-    whole = F.call_function("try_validate_utf8", F.col("kept").cast("string"))
-    mended = F.regexp_replace(F.call_function("make_valid_utf8", F.col("kept").cast("string")), "\ufffd", "")
-    text = F.when(~F.col("row.__null"), F.coalesce(whole, mended))
-    return cut.select(*[text.alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in df.columns])
+    null = new_column(df, "null")
+    others = [c for c in df.columns if c != text_column]
+    cut = strip(df.withColumn(null, F.col(f"`{text_column}`").isNull()), [*others, null], text_column, words)
+    kept = F.col(f"`{cut.columns[len(others) + 4]}`").cast("string")
+    whole = F.call_function("try_validate_utf8", kept)
+    mended = F.regexp_replace(F.call_function("make_valid_utf8", kept), "\ufffd", "")
+    text = F.when(~F.col(f"`{null}`"), F.coalesce(whole, mended))
+    return cut.select(*[text.alias(c) if c == text_column else F.col(f"`{c}`") for c in df.columns])

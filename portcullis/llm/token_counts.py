@@ -23,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from portcullis.llm.common import map_texts, texts_of
+from portcullis.llm.common import beside, texts_of
 from portcullis.llm.pieces import SPACE, PieceModel
 from portcullis.llm.sentencepiece_codec import loaded, model_bytes
 
@@ -136,13 +135,10 @@ def transducer(data: bytes) -> Transducer:
 def count(df: DataFrame, model_path: str, columns: list[str], text_column: str = "text", limit: int = 4096) -> DataFrame:
     """``columns`` of ``df``, ``n_bytes``, ``n_tokens`` and whether these are over the limit."""
     data = model_bytes(model_path)
-    rows = df.select(*columns, F.coalesce(text_column, F.lit("")).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
 
     def work(batch: pa.RecordBatch, own: Transducer) -> dict:
-        texts = texts_of(batch, "__text")
-        tokens = own.count(texts)
-        sizes = pc.binary_length(batch.column("__text"))
-        return {c: batch.column(c) for c in columns} | {"n_bytes": sizes, "n_tokens": tokens, "over_limit": tokens > limit}
+        tokens = own.count(texts_of(batch, "text"))
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0)
+        return {"n_bytes": sizes, "n_tokens": tokens, "over_limit": tokens > limit}
 
-    return map_texts(rows, "__text", f"{schema}, n_bytes long, n_tokens long, over_limit boolean", work, lambda: transducer(data))
+    return beside(df, columns, text_column, "n_bytes long, n_tokens long, over_limit boolean", work, lambda: transducer(data))

@@ -95,7 +95,7 @@ def test_normalises_by_the_longest_prefix_with_alignment():
 def test_query_over_hard_rows(spark):
     rows = [(i, t, i) for i, t in enumerate([*HARD, HARD[4]])] + [(None, "null id", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids long")
-    encoded = sentencepiece_codec.encode(df, PATH)
+    encoded = sentencepiece_codec.encode(df, PATH, ["doc_id"])
     found = {r.doc_id: r for r in sentencepiece_codec.digest(encoded).collect()}
     assert len(found) == len(rows)
     for i, text, _ in rows:
@@ -105,7 +105,7 @@ def test_query_over_hard_rows(spark):
         assert found[i].decoded_sha256 == hashlib.sha256(LIBRARY.decode(ids).encode()).hexdigest()
     again = sentencepiece_codec.decode(encoded, PATH, into="again").where("again <> decoded")
     assert again.count() == 0
-    assert sentencepiece_codec.digest(sentencepiece_codec.encode(df.limit(0), PATH)).collect() == []
+    assert sentencepiece_codec.digest(sentencepiece_codec.encode(df.limit(0), PATH, ["doc_id"])).collect() == []
 
 
 def test_count_query(spark):
