@@ -15,8 +15,8 @@ from portcullis.llm import decontaminate, language_id, sentencepiece_codec, simh
 from portcullis.llm.common import written
 from portcullis.sources.tables import table
 
-#: Share of its n-grams that a document's language has to have, if the document is longer than this.
-LEAST_SHARE, SHORT = 0.2, 40
+#: Share of its n-grams that a document's language has to have.
+LEAST_SHARE = 0.2
 #: Repeated passages of over 50 words are cut, however few bytes they have.
 PASSAGE_WORDS = 51
 
@@ -24,10 +24,9 @@ PASSAGE_WORDS = 51
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: without letters, or in no known language, they go."""
     model = language_id.train(docs.where(~language_id.held_out("doc_id")))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
-    found = language_id.predict(packed, model, ["doc"])
-    known = (F.col("score") >= LEAST_SHARE) | (F.length("doc.text") <= SHORT)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & known).select("doc.*")
+    found = language_id.predict(docs, model, docs.columns)
+    lang, score = (F.col(f"`{c}`") for c in found.columns[-2:])
+    return found.where((lang != language_id.UNKNOWN) & (score >= LEAST_SHARE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +46,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
-    return sentencepiece_codec.digest(sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model")))
+    return sentencepiece_codec.digest(sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"]))
 
 
 STAGES = [
