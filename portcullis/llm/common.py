@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from portcullis.llm.shared_files import mapped, put
+
 #: Bytes of text that a task works on at a time.
 PORTION_BYTES = 4 << 20
 
@@ -57,6 +61,51 @@ class Scratch:
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(conf).delete(place, True)
         self.paths = []
+        gc.collect()  # shuffles whose frames are gone are deleted when the JVM notices
+        jvm.System.gc()
+
+
+def row_set(rows: DataFrame, name: str, scratch: Scratch | None = None):
+    """A column function that tells whether a row is one of ``rows`` (row: numbers that
+    ``monotonically_increasing_id`` gave a written table).
+
+    The numbers of one task are a bitmap in a file of their own, which tasks map: a semi join on the
+    numbers that moves none of the table's other columns.
+    """
+    folder, bits = fresh_path(rows.sparkSession, name), 33
+    if scratch:
+        scratch.paths.append(folder)
+
+    def write(table: pa.Table) -> pa.Table:
+        row = table.column("row").to_numpy()
+        places = row & ((1 << bits) - 1)
+        marks = np.zeros(int(places.max()) + 1, bool)
+        marks[places] = True
+        put(f"{folder}/{row[0] >> bits}", np.packbits(marks, bitorder="little").tobytes())
+        return pa.table({"task": pa.array([row[0] >> bits], pa.int64())})
+
+    rows.select("row", F.shiftright("row", bits).alias("task")).groupBy("task").applyInArrow(write, "task long").write.format("noop").mode("overwrite").save()
+
+    @F.arrow_udf("boolean")
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        files: dict[int, np.ndarray] = {}
+        for batch in batches:
+            row = batch.to_numpy()
+            found, task = np.zeros(len(row), bool), row >> bits
+            for t in np.unique(task).tolist():
+                if t not in files:
+                    try:
+                        files[t] = mapped(f"{folder}/{t}")
+                    except FileNotFoundError:  # none of its rows
+                        files[t] = np.zeros(0, np.uint8)
+                own = np.flatnonzero(task == t)
+                places = row[own] & ((1 << bits) - 1)
+                inside = places < 8 * len(files[t])
+                places = places[inside]
+                found[own[inside]] = (files[t][places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
+            yield pa.array(found)
+
+    return held
 
 
 def apart(taken: list[str], names: list[str]) -> list[str]:
@@ -142,7 +191,7 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def connected(edges: DataFrame, kind: str = "long") -> DataFrame:
+def connected(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) of each node of ``edges`` (a, b): nodes that links connect have one root.
 
     Each round, every node goes over to the neighbour (or itself) with the smallest hash, and the
@@ -151,6 +200,7 @@ def connected(edges: DataFrame, kind: str = "long") -> DataFrame:
     aggregates combine before they shuffle, so a node with very many links makes no large task, and
     each round is written to the shared folder. Null nodes have no links.
     """
+    written = scratch.written if scratch else globals()["written"]
     edges = written(
         edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
         "links",

@@ -18,15 +18,16 @@ empty result. Components are named by their smallest id; null ids don't count fo
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import connected, fresh_path, map_texts, new_column, texts_of, written
+from portcullis.llm.common import Scratch, apart, connected, fresh_path, map_texts, row_set, texts_of, written
 from portcullis.llm.shared_files import mapped, packed, put, unpacked
 
 SEED = 42
@@ -35,9 +36,9 @@ QUARTERS, QUARTER_BITS = 4, 16
 TILE = 2048
 
 
-def shingle_hashes(text: str, words: int) -> np.ndarray:
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     """XXH64 of each shingle; none for a text without words."""
-    found = text.encode().lower().split()
+    found = text.lower().split()
     if len(found) < words:
         shingles: Iterable[bytes] = [b" ".join(found)] if found else []
     else:
@@ -57,7 +58,7 @@ def majority(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str, words: int = 3) -> int:
     """The fingerprint of one text, as a signed 64-bit integer."""
-    return int(majority(shingle_hashes(text, words)))
+    return int(majority(shingle_hashes(text.encode(), words)))
 
 
 def fingerprints(df: DataFrame, columns: list[str], text_column: str = "text", words: int = 3) -> DataFrame:
@@ -183,12 +184,14 @@ LANES, WIDE_RADIUS, FIRST = 4, 76, 26
 SIMILARITY = 0.8
 #: Shingles in a tile, about; tiles of long texts hold fewer texts.
 TILE_SHINGLES = 2 << 20
+#: Texts compressed together.
+PACK = 32
 _MIX = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def wide_fingerprint(text: str, words: int) -> tuple[bytes, int, int]:
     """A fingerprint of LANES words, each with a mix of the hashes of its own; how many shingles differ; and a hash of their set."""
-    hashes = np.unique(shingle_hashes(text, words))
+    hashes = np.unique(shingle_hashes(text.encode(), words))
     lanes = []
     for odd in _MIX:
         mixed = hashes * np.uint64(odd)
@@ -244,33 +247,37 @@ def verified(i: np.ndarray, j: np.ndarray, left: list[np.ndarray], right: list[n
     return found
 
 
-def similar_links(distinct: DataFrame, words: int = 5) -> DataFrame:
-    """(a, b): links that connect the ids of ``distinct`` (id, bits, shingles, text) that pairs of similarity 0.8 do.
+def similar_links(distinct: DataFrame, texts: Callable[[DataFrame], DataFrame], scratch: Scratch, words: int = 5) -> DataFrame:
+    """(a, b): links that connect the ids of ``distinct`` (id, row, shingles) that pairs of similarity 0.8 do.
 
     Such texts have numbers of shingles within that ratio, so tiles hold texts of about one number, and
-    only tiles of one step of the ratio or the next are compared. A tile's sets of shingles are a file in
-    the shared folder; only those of candidates are read.
+    only tiles of one step of the ratio or the next are compared. ``texts`` gives such rows with their
+    texts, which go to their tiles in one shuffle. A tile's texts are a compressed file in the shared
+    folder; only those of candidates are cut into shingles again.
     """
     spark = distinct.sparkSession
-    folder = fresh_path(spark, "shingles")
+    folder = fresh_path(spark, "texts-of-tiles")
+    scratch.paths.append(folder)
     # A little over the ratio, so that rounding keeps no pair two steps apart.
     step = F.floor(F.log(F.greatest("shingles", F.lit(1)).cast("double")) / (-np.log(SIMILARITY) * 1.0001)).cast("int")
-    stepped = distinct.where("shingles > 0").withColumn("step", step)
     # At most some two hundred steps, whatever the lengths of texts.
     most = F.greatest(F.count("*") / TILE, F.sum("shingles") / TILE_SHINGLES)
-    sizes = written(stepped.groupBy("step").agg(F.ceil(most).cast("int").alias("blocks")), "steps")
+    sizes = scratch.written(distinct.where("shingles > 0").groupBy(step.alias("step")).agg(F.ceil(most).cast("int").alias("blocks")), "steps")
+    stepped = texts(distinct.where("shingles > 0")).withColumn("step", step)
     placed = stepped.join(F.broadcast(sizes), "step").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
     def tile(table: pa.Table) -> pa.Table:
-        sets = [np.unique(shingle_hashes(t or "", words)) for t in table.column("text").to_pylist()]
         key = {c: table.column(c)[0].as_py() for c in ("step", "block")}
-        ends = np.cumsum([len(x) for x in sets], dtype=np.int64)
-        put(f"{folder}/{key['step']}-{key['block']}", packed({"ends": ends, "hashes": np.concatenate(sets)}))
+        squeeze = zstandard.ZstdCompressor(3).compress
+        texts = [t.encode() for t in table.column("text").to_pylist()]
+        packs = [squeeze(b"".join(texts[at : at + PACK])) for at in range(0, len(texts), PACK)]
+        sizes, ends = (np.fromiter(x, np.int64) for x in (map(len, texts), itertools.accumulate(map(len, packs))))
+        put(f"{folder}/{key['step']}-{key['block']}", packed({"sizes": sizes, "ends": ends, "packs": np.frombuffer(b"".join(packs), np.uint8)}))
         ids = table.column("id").to_numpy().astype("<i8").tobytes()
         return pa.table({"step": pa.array([key["step"]], pa.int32()), "block": pa.array([key["block"]], pa.int32()), "ids": [ids], "bits": [b"".join(table.column("bits").to_pylist())]})
 
     packed_tiles = placed.select("step", "block", "id", "bits", "text").groupBy("step", "block").applyInArrow(tile, "step int, block int, ids binary, bits binary")
-    tiles = written(packed_tiles, "wide-tiles")
+    tiles = scratch.written(packed_tiles, "wide-tiles")
     pairs = (
         tiles.select(F.col("step").alias("from_step"), F.col("block").alias("from_block"), F.col("ids").alias("left_ids"), F.col("bits").alias("left_bits"), F.explode(F.array("step", F.col("step") + 1)).alias("step"))
         .join(F.broadcast(sizes), "step")
@@ -281,9 +288,14 @@ def similar_links(distinct: DataFrame, words: int = 5) -> DataFrame:
 
     def sets_of(step: int, block: int, places: np.ndarray, total: int) -> list[np.ndarray | None]:
         arrays, _ = unpacked(mapped(f"{folder}/{step}-{block}"))
+        loose = zstandard.ZstdDecompressor().decompress
         sets: list[np.ndarray | None] = [None] * total
-        for p in np.unique(places).tolist():
-            sets[p] = np.array(arrays["hashes"][arrays["ends"][p - 1] if p else 0 : arrays["ends"][p]])
+        for pack, own in itertools.groupby(np.unique(places).tolist(), lambda p: p // PACK):
+            whole = loose(arrays["packs"][arrays["ends"][pack - 1] if pack else 0 : arrays["ends"][pack]].tobytes())
+            ends = np.cumsum(arrays["sizes"][pack * PACK : (pack + 1) * PACK]).tolist()
+            for p in own:
+                at = p % PACK
+                sets[p] = np.unique(shingle_hashes(whole[ends[at - 1] if at else 0 : ends[at]], words))
         return sets
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,21 +319,29 @@ def dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", w
     As elsewhere for near-duplicates, shingles have five words and texts link at a Jaccard similarity of
     their sets of 0.8: fingerprints find the candidates, the sets are then compared.
     """
-    row = new_column(df, "__row")
-    numbered = written(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select(row, F.col(id_column).alias("__id"), F.col(text_column).alias("__text"))
-    kind = rows.schema["__id"].dataType.simpleString()
-
-    def work(batch: pa.RecordBatch) -> dict:
-        bits, shingles, node = zip(*(wide_fingerprint(t, words) for t in texts_of(batch, "__text")), strict=True)
-        return {"row": batch.column(row), "id": batch.column("__id"), "bits": bits, "shingles": shingles, "node": node}
-
-    marked = written(map_texts(rows, "__text", f"row long, id {kind}, bits binary, shingles int, node long", work), "wide-fingerprints")
-    one = F.min(F.struct("row", "bits", "shingles")).alias("one")
-    distinct = marked.groupBy("node").agg(one).select(F.col("node").alias("id"), "one.*")
-    with_texts = distinct.join(rows.select(F.col(row).alias("row"), F.col("__text").alias("text")), "row")
-    roots = connected(similar_links(with_texts, words))
-    joined = marked.select("row", "id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    scratch = Scratch(df.sparkSession)
+    row, found = apart(df.columns, ["row", "found"])
+
+    @F.arrow_udf("struct<bits binary, shingles int, node long>")
+    def marks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            bits, shingles, node = zip(*(wide_fingerprint(t.as_py() or "", words) for t in texts), strict=True) if len(texts) else ([], [], [])
+            yield pa.StructArray.from_arrays([pa.array(bits, pa.binary()), pa.array(shingles, pa.int32()), pa.array(node, pa.int64())], names=["bits", "shingles", "node"])
+
+    text = F.col(f"`{text_column}`")
+    numbered = written(df.withColumns({row: F.monotonically_increasing_id(), found: marks(text)}), "numbered")
+    rows = numbered.select(F.col(f"`{row}`").alias("row"), F.col(f"`{id_column}`").alias("id"), text.alias("text"), F.col(f"`{found}`.bits").alias("bits"), F.col(f"`{found}`.shingles").alias("shingles"), F.col(f"`{found}`.node").alias("node"))
+    one = F.min(F.struct("row", "shingles")).alias("one")
+    distinct = scratch.written(rows.groupBy("node").agg(one).select(F.col("node").alias("id"), "one.*"), "distinct")
+
+    def texts(chosen: DataFrame) -> DataFrame:
+        held = row_set(chosen.select("row"), "chosen", scratch)
+        return rows.where(held("row")).select(F.col("node").alias("id"), "bits", "shingles", "text")
+
+    roots = connected(similar_links(distinct, texts, scratch, words), scratch)
+    joined = rows.select("row", "id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
-    kept = written(joined.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row)), "kept")
-    return numbered.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    kept = joined.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    held = row_set(kept, "kept")
+    scratch.clear()
+    return numbered.where(held(F.col(f"`{row}`"))).select(*[F.col(f"`{c}`") for c in df.columns])
