@@ -97,6 +97,7 @@ class PieceModel:
 
     pieces: list[str] = field(default_factory=list)
     types: list[int] = field(default_factory=list)
+    scores: list[float] = field(default_factory=list)
     charsmap: dict[bytes, bytes] = field(default_factory=dict)
     add_dummy_prefix: bool = True
     remove_extra_whitespaces: bool = True
@@ -112,8 +113,9 @@ class PieceModel:
         model = cls()
         for number, value in _fields(data):
             if number == 1:
-                piece = {1: b"", 3: NORMAL} | dict(_fields(value))
+                piece = {1: b"", 2: bytes(4), 3: NORMAL} | dict(_fields(value))
                 model.pieces.append(piece[1].decode())
+                model.scores.append(struct.unpack("<f", piece[2])[0])
                 model.types.append(piece[3])
             elif number == 2:
                 spec = dict(_fields(value))

@@ -1,41 +1,46 @@
 """Token counts by a compiled finite-state tokenizer.
 
-The merges of a model with byte fallback never go over the start of a *unit*: a run of spaces with the
-characters after it, or a single character that no longer piece has. The tokenizer is therefore
-compiled to a deterministic transducer over bytes. Its states are the beginnings of units; a byte
-that starts a unit leads back to the start and is annotated with the number of tokens that the unit
-before it emits. States are added as texts need them, the most frequent units first, up to a fixed
-number; a unit without a state runs in a state of its own that says so, and is counted apart.
-
-Texts are cut into chunks of equal length that run side by side. From its first unit start on, a
-chunk's state map is constant; what a chunk has before it belongs to the unit open in the chunks
-before. The maps are composed by a prefix scan (the last unit start before each place), so a unit
-that spans chunks is counted once, as a whole.
+The merge rules of a model are compiled to a deterministic transducer over bytes whose transitions are
+annotated with the tokens that they emit. What it rests on: pieces are the segmentation of a text just
+if each is that of its own characters and each two neighbours are that of theirs. So the last piece of
+every prefix follows from the last pieces of shorter prefixes: it is the one ending there that agrees
+with the last piece of the prefix before it. A state is the longest end of the prefix that begins a
+piece, and for each place in it the last piece there and the count so far, relative to that at the end.
+A byte leads to the state one character on (or inside one); its annotation is the change in the count,
+which is zero or below where a merge takes pieces back, so that a text's annotations sum up to its tokens.
+States are made as texts need them, from the rules alone, and a full table is started anew.
+
+Texts are cut into chunks of equal length that run side by side. From its first unit start on (a run of
+spaces, or a character that no longer piece has), a chunk's state map is constant: it leads to one
+state whatever came before. Before that it depends on the state in which the chunk is entered. The maps
+are composed by a scan over the chunks: each is entered in the state in which the last one before ends,
+and only what a chunk has before its first unit start runs again, from the state found so.
 
 Null and empty texts have no tokens. Repeated rows are counted each. Other columns aren't looked at.
+Texts of any length take the same way.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from portcullis.llm.common import beside, texts_of
-from portcullis.llm.pieces import SPACE, PieceModel
+from portcullis.llm.pieces import NORMAL, SPACE, PieceModel
 from portcullis.llm.sentencepiece_codec import loaded, model_bytes
 
-#: States at most (each has 256 transitions of 4 bytes), and units compiled after a portion.
-STATES, NEW_UNITS = 1 << 15, 4096
+#: States after which the next portion starts with an empty table, and pairs of pieces whose segmentation is kept.
+STATES, PAIRS = 1 << 18, 1 << 18
 CHUNK = 1024
-#: Counts of units without states that a task may keep.
-CACHE_UNITS = 1 << 18
-START, OPEN = 0, 1
+START, IDLE = 0, 1
 LAST = 0xFF  # ends a text; in no UTF-8
 LETTER, BLANK, ALONE = 0, 1, 2
+#: A transition: the state it leads to, and in the lowest byte its count. They are kept by state and byte in
+#: open addressing, a quarter of the slots used at most.
+SHIFT, ZERO, UNSET = 8, 128, -1
+HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Transducer:
@@ -43,82 +48,160 @@ class Transducer:
         if model.whole:
             raise ValueError("the model's pieces go over spaces, or it has no byte fallback")
         self.model = model
+        self.scores = {p: s for p, s, t in zip(model.pieces, model.scores, model.types, strict=True) if t == NORMAL}
+        self.begins = {p[:i] for p in self.scores for i in range(len(p))}
         self.kind = np.full(256, LETTER, np.uint8)
         self.kind[32] = BLANK
         for i in range(128):
             if i != 32 and chr(i) not in model.joined:
                 self.kind[i] = ALONE
         self.kind[LAST] = ALONE
-        self.next = np.full((STATES, 256), OPEN, np.int32)
-        self.next[START, self.kind == ALONE] = START
-        self.emits = np.full(STATES, -1, np.int64)
-        self.emits[START] = 0
-        self.size = 2
-        self.counted: dict[bytes, int] = {}
-
-    def compile(self, unit: bytes, tokens: int) -> bool:
-        """Add a unit's states; whether there was room."""
-        state = START
-        if self.size + len(unit) > STATES:
-            return False
-        for byte in unit:
-            if (following := self.next[state, byte]) == OPEN:
-                following = self.size
-                self.next[state, byte] = following
-                self.size += 1
-            state = following
-        self.emits[state] = tokens
-        return True
+        self.agreeing: dict[tuple[str, str], bool] = {}
+        self.restart()
+
+    def restart(self) -> None:
+        """An empty table: the start, and the state of chunks that no unit has begun in."""
+        self.keys, self.next, self.used = np.full(1 << 16, UNSET, np.int64), np.zeros(1 << 16, np.int32), 0
+        # The end of the prefix that begins a piece, the last piece and the relative count at each place of it, bytes of a character.
+        first = ("", ("",), (0,), b"")
+        self.states: list[tuple] = [first, ()]
+        self.numbers = {first: START}
+        self.put(IDLE << 8 | np.arange(256), np.full(256, IDLE << SHIFT | ZERO))
+
+    # The merge rules --------------------------------------------------------------------------
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces of a short text: the pair of the best score first, of equal ones the leftmost."""
+        parts = list(text)
+        while len(parts) > 1:
+            best = max(range(len(parts) - 1), key=lambda i: (self.scores.get(parts[i] + parts[i + 1], -np.inf), -i))
+            if parts[best] + parts[best + 1] not in self.scores:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        return parts
+
+    def agrees(self, before: str, piece: str) -> bool:
+        """Whether ``piece`` stays whole after ``before`` (at a unit's start: after nothing)."""
+        if (pair := (before, piece)) not in self.agreeing:
+            if len(self.agreeing) >= PAIRS:
+                self.agreeing.clear()
+            self.agreeing[pair] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        return self.agreeing[pair]
+
+    def after(self, state: tuple, character: str) -> tuple[tuple, int]:
+        """The state one character on, and the change in the count."""
+        end, last, count, _ = state
+        if character == SPACE and not end.endswith(SPACE):  # a unit starts
+            end, last, count = "", ("",), (0,)
+        if character != SPACE and character not in self.model.joined:
+            return self.states[START], self.cost(character)
+        text = end + character
+        place = next(k for k in range(len(text)) if (k == len(text) - 1 or text[k:] in self.scores) and self.agrees("", text[k:]) and self.agrees(last[k], text[k:]))
+        piece = text[place:]
+        change = count[place] + self.cost(piece)
+        keep = next(k for k in range(len(text) + 1) if text[k:] in self.begins)
+        last, count = (*last, piece)[keep:], (*(c - change for c in count), 0)[keep:]
+        # Places from which no piece goes on don't count.
+        open_ = [text[k:] in self.begins for k in range(keep, len(text) + 1)]
+        return (text[keep:], tuple(x if o else "" for x, o in zip(last, open_, strict=True)), tuple(x if o else 0 for x, o in zip(count, open_, strict=True)), b""), change
+
+    def cost(self, piece: str) -> int:
+        return 1 if piece in self.scores else len(piece.encode())  # bytes stand for what is no piece
+
+    def compile(self, state: int, byte: int) -> int:
+        """One transition, from the rules."""
+        own = self.states[state]
+        partial, change = own[3] + bytes([byte]), 0
+        width = 1 if partial[0] < 0x80 else 2 if partial[0] < 0xE0 else 3 if partial[0] < 0xF0 else 4
+        if byte == LAST:
+            to = self.states[START]
+        elif len(partial) < width:
+            to = (*own[:3], partial)
+        else:
+            to, change = self.after(own, SPACE if byte == 32 else partial.decode())
+        if (number := self.numbers.get(to)) is None:
+            number = self.numbers[to] = len(self.states)
+            self.states.append(to)
+        return number << SHIFT | change + ZERO
+
+    def put(self, key: np.ndarray, value: np.ndarray) -> None:
+        """Keep new transitions."""
+        self.used += len(key)
+        if 4 * self.used > len(self.keys):
+            full = self.keys != UNSET
+            key, value = np.concatenate([self.keys[full], key]), np.concatenate([self.next[full], value])
+            size = 1 << (8 * self.used - 1).bit_length()
+            self.keys, self.next = np.full(size, UNSET, np.int64), np.zeros(size, np.int32)
+        slot = self.slots(key)
+        while len(key):
+            free = self.keys[slot] == UNSET
+            self.keys[slot[free]] = key[free]
+            placed = self.keys[slot] == key  # of several that want a slot, one gets it
+            self.next[slot[placed]] = value[placed]
+            key, value, slot = key[~placed], value[~placed], (slot[~placed] + 1) % len(self.keys)
+
+    def slots(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * HASH >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
+
+    def look_up(self, key: np.ndarray) -> np.ndarray:
+        """The transitions of the keys, UNSET where there is none yet."""
+        slot = self.slots(key)
+        held = self.keys[slot]
+        found = self.next[slot]
+        open_ = np.flatnonzero(held != key)
+        while len(open_):
+            none = held[open_] == UNSET
+            found[open_[none]] = UNSET
+            open_ = open_[~none]
+            slot[open_] = (slot[open_] + 1) % len(self.keys)
+            held[open_], found[open_] = self.keys[slot[open_]], self.next[slot[open_]]
+            open_ = open_[held[open_] != key[open_]]
+        return found
+
+    # Running ----------------------------------------------------------------------------------
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = state.astype(np.int64) << 8 | byte
+        found = self.look_up(key)
+        if found.min(initial=0) < 0:
+            new = np.unique(key[found == UNSET])
+            self.put(new, np.fromiter((self.compile(k >> 8, k & 255) for k in new.tolist()), np.int32, len(new)))
+            found = self.look_up(key)
+        return found >> SHIFT, (found & 255) - ZERO
 
     def count(self, texts: list[str]) -> np.ndarray:
+        if len(self.states) > STATES:
+            self.restart()
         streams = [self.model.plain(t).replace(SPACE, " ").encode() + b"\xff" for t in texts]
         ends = np.cumsum(np.fromiter(map(len, streams), np.int64, len(streams)))
         data = np.frombuffer(b"".join(streams), np.uint8)
-        n = len(data)
+        n, lanes = len(data), -(-len(data) // CHUNK)
         kind = self.kind[data]
         starts = np.empty(n, bool)
         starts[0] = True
         starts[1:] = ((kind[1:] == BLANK) & (kind[:-1] != BLANK)) | (kind[1:] == ALONE) | (kind[:-1] == ALONE)
-        lanes = -(-n // CHUNK)
         grid = lambda x, fill: np.ascontiguousarray(np.concatenate([x, np.full(lanes * CHUNK - n, fill, x.dtype)]).reshape(lanes, CHUNK).T)
-        bytes_, new = grid(data, LAST), grid(starts, True)
-        emitted = np.zeros((CHUNK, lanes), np.int32)
-        state = np.full(lanes, OPEN, np.int32)
-        flat = self.next.reshape(-1)
-        for step in range(CHUNK):
-            first = new[step]
-            emitted[step] = np.where(first, self.emits[state], 0)
-            state = flat[np.where(first, START, state) * 256 + bytes_[step]]
-        # The stream's first byte ends no unit; every other unit ends where the next one starts.
-        at_place = emitted.T.reshape(-1)[:n].astype(np.int64)
-        at_place[0] = 0
-        unit_starts = np.flatnonzero(starts)
-        unknown = np.flatnonzero(at_place[unit_starts] < 0)
-        single = kind[unit_starts[unknown - 1]] == ALONE  # counted below
-        at_place[unit_starts[unknown[single]]] = 0
-        unknown = unknown[~single]
-        if len(unknown):
-            stream = data.tobytes()
-            froms, tos = unit_starts[unknown - 1].tolist(), unit_starts[unknown].tolist()
-            units = [stream[a:b] for a, b in zip(froms, tos, strict=True)]
-            at_place[unit_starts[unknown]] = self._count_apart(units)
-        at_place += (kind == ALONE) & (data != LAST)
-        return np.add.reduceat(at_place, np.concatenate([[0], ends[:-1]]))
-
-    def _count_apart(self, units: list[bytes]) -> np.ndarray:
-        often = Counter(units)
-        new = [u for u in often if u not in self.counted]
-        if len(self.counted) + len(new) > CACHE_UNITS:
-            self.counted.clear()
-            new = list(often)
-        written = [u.decode().replace(" ", SPACE) for u in new]
-        self.counted.update(zip(new, map(len, self.model.merges.encode(written)), strict=True))
-        found = np.fromiter(map(self.counted.__getitem__, units), np.int64, len(units))
-        if self.size < STATES:
-            for unit, times in often.most_common(NEW_UNITS):
-                if times > 1 and len(unit) <= 64:
-                    self.compile(unit, self.counted[unit])
-        return found
+        byte, new = grid(data, LAST), grid(starts, True)
+        emitted = np.zeros((CHUNK, lanes), np.int16)
+        leaves = np.full(lanes, IDLE, np.int32)
+        for at in range(CHUNK):
+            leaves, emitted[at] = self.step(np.where(new[at], START, leaves), byte[at])
+        # What stands before a chunk's first unit start, from the state that the chunk before it leaves.
+        constant = new.any(0)
+        heads = np.where(constant, new.argmax(0), CHUNK)
+        known = constant.copy()
+        todo = np.flatnonzero(heads > 0)
+        while len(todo):
+            ready = todo[known[todo - 1]]
+            state = leaves[ready - 1]
+            for at in range(int(heads[ready].max())):
+                on = heads[ready] > at
+                state[on], emitted[at, ready[on]] = self.step(state[on], byte[at, ready[on]])
+            through = ~constant[ready]
+            leaves[ready[through]] = state[through]
+            known[ready] = True
+            todo = np.setdiff1d(todo, ready, assume_unique=True)
+        return np.add.reduceat(emitted.T.reshape(-1)[:n].astype(np.int64), np.concatenate([[0], ends[:-1]]))
 
 
 _compiled: dict[bytes, Transducer] = {}

@@ -41,12 +41,22 @@ def test_counts_like_the_library(some):
         assert token_counts.Transducer(MODEL).count(some).tolist() == [len(LIBRARY.encode(t)) for t in some]
 
 
-def test_counts_with_compiled_states_and_across_chunks():
+def test_counts_across_chunks_and_with_a_full_table(monkeypatch):
+    some = [" ".join(["alpha", "beta,", "gamma\n"] * 700), "z" * 5000, "", " " * 2500, "α β" * 900, "interdisciplinarity" * 300, "日本語のテキスト" * 200]
+    expected = [len(LIBRARY.encode(t)) for t in some]
     own = token_counts.Transducer(MODEL)
-    some = [" ".join(["alpha", "beta,", "gamma\n"] * 700), "z" * 5000, "", " " * 2500, "α β" * 900]
-    for _ in range(3):
-        assert own.count(some).tolist() == [len(LIBRARY.encode(t)) for t in some]
-    assert own.size > 10
+    for _ in range(2):
+        assert own.count(some).tolist() == expected
+    monkeypatch.setattr(token_counts, "STATES", 20)
+    assert [own.count([t]).tolist()[0] for t in some] == expected and len(own.states) > 2
+
+
+def test_counts_of_texts_cut_at_every_offset_of_a_chunk(monkeypatch):
+    monkeypatch.setattr(token_counts, "CHUNK", 16)
+    own = token_counts.Transducer(MODEL)
+    text = "Unbelievably,  internationalisation of naïve 日本 façades\tand\n  pseudopseudohypoparathyroidism 😀 x1234567890" * 2
+    some = ["y" * shift + text for shift in range(17)] + [text[:cut] for cut in range(0, len(text), 3)]
+    assert own.count(some).tolist() == [len(LIBRARY.encode(t)) for t in some]
 
 
 def charsmap(entries):
