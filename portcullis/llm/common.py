@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from portcullis.llm.shared_files import mapped, put
 
-#: Bytes of text that a task works on at a time.
-PORTION_BYTES = 4 << 20
+#: Bytes of text that a task works on at a time, and rows of texts that go to Python together.
+PORTION_BYTES, TEXT_ROWS = 4 << 20, 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -119,6 +119,12 @@ def apart(taken: list[str], names: list[str]) -> list[str]:
     return found
 
 
+def batch_rows(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Rows of an Arrow batch in the plans that follow: texts are long, so batches of Spark's default
+    number of rows take tens of MB in the JVM and in Python each."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def new_column(df: DataFrame, name: str) -> str:
     """``name``, or with underscores added until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}
@@ -150,6 +156,7 @@ def map_texts(df: DataFrame, column: str, schema, work: Callable[..., dict | Non
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    batch_rows(df.sparkSession)
     out = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

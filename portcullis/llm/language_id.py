@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import apart, fresh_path, map_texts, new_column, text_portions, texts_of, written
+from portcullis.llm.common import apart, batch_rows, fresh_path, map_texts, new_column, text_portions, texts_of, written
 from portcullis.llm.shared_files import mapped, put
 
 GRAM = 4
@@ -223,6 +223,7 @@ def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
 def predict(df: DataFrame, model: Model, columns: list[str], text_column: str = "text") -> DataFrame:
     """``columns`` of ``df``, ``lang_pred`` and ``score`` for each row (with underscores, where ``columns`` has
     such names). The columns stay with Spark: only the texts go to Python."""
+    batch_rows(df.sparkSession)
     found = _named(model)(F.col(f"`{text_column}`"))
     kept = [F.col(f"`{c}`") for c in columns]
     names = apart(columns, ["lang_pred", "score"])

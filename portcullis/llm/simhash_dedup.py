@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import Scratch, apart, connected, fresh_path, map_texts, row_set, texts_of, written
+from portcullis.llm.common import Scratch, apart, batch_rows, connected, fresh_path, map_texts, row_set, texts_of, written
 from portcullis.llm.shared_files import mapped, packed, put, unpacked
 
 SEED = 42
@@ -320,6 +320,7 @@ def dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", w
     their sets of 0.8: fingerprints find the candidates, the sets are then compared.
     """
     scratch = Scratch(df.sparkSession)
+    batch_rows(df.sparkSession)
     row, found = apart(df.columns, ["row", "found"])
 
     @F.arrow_udf("struct<bits binary, shingles int, node long>")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import written
+from portcullis.llm.common import batch_rows, written
 
 CELLS = 64
 BLOCK, QUERIES = 4096, 256
@@ -86,6 +86,7 @@ def _width(least: np.ndarray, most: np.ndarray) -> np.ndarray:
 def top_k(df: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 1024) -> DataFrame:
     """(query_id, rank, the id, score) of the k best other rows for each row where ``is_query`` holds."""
     spark = df.sparkSession
+    batch_rows(spark, 2 * BLOCK)
     too_large = F.raise_error(F.lit("a scaled component does not fit 64 bits")).cast("long")
     scaled = F.transform("v", lambda x: F.when(F.abs(x * scale) < 2.0**63, F.floor(x * scale)).otherwise(too_large))
     usable = (
