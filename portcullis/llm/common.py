@@ -53,16 +53,21 @@ class Scratch:
     def written(self, df: DataFrame, name: str) -> DataFrame:
         self.paths.append(path := fresh_path(self.spark, name))
         df.write.parquet(path)
+        self._collect()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _collect(self) -> None:
+        """Spark deletes a shuffle's files when the driver's JVM collects it: now, not at some later time."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def clear(self) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for path in self.paths:
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(conf).delete(place, True)
         self.paths = []
-        gc.collect()  # shuffles whose frames are gone are deleted when the JVM notices
-        jvm.System.gc()
+        self._collect()
 
 
 def row_set(rows: DataFrame, name: str, scratch: Scratch | None = None):

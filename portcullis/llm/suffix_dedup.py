@@ -289,7 +289,7 @@ def repeats(df: DataFrame, text_column: str, unit: Unit, scratch: Scratch) -> Da
 
     What is written on the way goes with ``scratch``, once the result is written itself.
     """
-    spark, written = df.sparkSession, scratch.written
+    spark, written, early = df.sparkSession, scratch.written, Scratch(df.sparkSession)
     texts = df.where(F.octet_length(text_column) >= unit.least_bytes).select(text_key(F.col(text_column)).alias("key"), F.col(text_column).alias("text"))
 
     def cut(batch: pa.RecordBatch) -> dict:
@@ -304,7 +304,7 @@ def repeats(df: DataFrame, text_column: str, unit: Unit, scratch: Scratch) -> Da
         return {"key": keys, "hash": value.view(np.int64), "content": contents, "start": start, "windows": windows, "twice": twice}
 
     dealt = written(map_texts(texts, "text", "key binary, hash long, content binary, start int, windows int, twice boolean", cut), "segments")
-    distinct = written(
+    distinct = early.written(
         dealt.groupBy("hash", "content").agg(F.count("*").alias("copies"), F.max("twice").alias("twice"), F.min(F.struct("key", "start", "windows")).alias("at")),
         "contents",
     )
@@ -313,7 +313,7 @@ def repeats(df: DataFrame, text_column: str, unit: Unit, scratch: Scratch) -> Da
         .agg(F.sum("copies").alias("copies_of_hash"), F.max("twice").alias("twice"), F.sum((F.col("at.windows") + unit.length - 1) * unit.size).alias("bytes"))
         .where("copies_of_hash > 1 or twice")
     )
-    hashes = written(per_hash.select("hash", "bytes", F.ceil(F.col("bytes") / HASH_BYTES).cast("int").alias("parts")), "hashes")
+    hashes = early.written(per_hash.select("hash", "bytes", F.ceil(F.col("bytes") / HASH_BYTES).cast("int").alias("parts")), "hashes")
     total = hashes.agg(F.sum("bytes").alias("n")).first()["n"] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     part = F.pmod(F.xxhash64("content"), F.col("parts")).cast("int")
@@ -334,6 +334,7 @@ def repeats(df: DataFrame, text_column: str, unit: Unit, scratch: Scratch) -> Da
 
     placed = written(map_texts(once.join(wanted, "key"), "text", f"{SEGMENT}, copies int, parts int, part int, windows int, bytes binary", read), "placed")
 
+    early.clear()
     nothing = to_arrow_schema(StructType.fromDDL(FOUND)).empty_table()
 
     def shard_of(table: pa.Table) -> Shard:
