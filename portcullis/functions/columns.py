@@ -17,12 +17,17 @@ ENGLISH = (
     "now of on one only or our out please she should so some than that the their them then there these they this to up us was we were what when where which who will with "
     "would you your"
 ).split()
-OTHER = (
-    "w z na nie się że jak co jest mi po od za czy ale tak dla tylko jeśli proszę mój moje mojej mnie der das und ist nicht ich du sie es mit zu den von für auf ein eine dem "
-    "bitte wie was mir mein meine meiner el la los las y en de que por para con una un del al lo como pero tu mis le les et est je il elle des une avec qui dans sur ce mon ma "
-    "mes gli è che di della come os é não um uma da em mas meu het een niet ik dat voor met op te wat se v pro jsem och är det att som på för jag inte ve bir bu için ile ne "
-    "ben sen değil im wurde zusammen e quanto minha seu sua jako bez"
-).split()
+OTHER = frozenset(
+    """
+    w z na nie się że jak co jest mi po od za czy ale tak dla tylko jeśli proszę mój moje mojej mnie
+    der das und ist nicht ich du sie es mit zu den von für auf ein eine dem bitte wie was mir mein meine meiner
+    el la los las y es en de que por para con una un del al lo como pero tu mis
+    le les et est pas je il elle des du une pour avec qui dans sur ce mon ma mes
+    lo gli è che di della come ma os é não um uma da em mas meu het een niet ik je dat voor met op te wat
+    je se v že jak pro jsem och är det att som på för jag inte ve bir bu da için ile ne ben sen değil
+    im wurde zusammen e quanto minha seu sua jako bez dla
+    """.split()
+) - {*ENGLISH, "die", "men", "son", "dim", "ten", "pas", "con", "pro"}
 ROTATED = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm")
 DIACRITICS = "[ąćęłńśźżäöüßñáéíóúàèìòùçãõřěůšžčýğışåøæ]"
 
@@ -102,7 +107,7 @@ def is_english(text: Column) -> Column:
     letters = F.regexp_count(text, F.lit(r"\p{L}"))
     beyond = F.regexp_count(text, F.lit(r"[\p{L}&&[^\u0000-ɏ]]"))
     found = words(text)
-    english, other = (F.array(*map(F.lit, x)) for x in (ENGLISH, sorted(set(OTHER) - set(ENGLISH))))
+    english, other = (F.array(*map(F.lit, x)) for x in (ENGLISH, sorted(OTHER)))
     en = F.size(F.filter(found, lambda w: F.array_contains(english, w)))
     foreign = F.size(F.filter(found, lambda w: F.array_contains(other, w) | w.rlike(DIACRITICS)))
     return (letters > 0) & (beyond <= 0.2 * letters) & (foreign <= en)
@@ -151,3 +156,12 @@ def hidden_text(html: Column) -> Column:
     """What readers of a page don't see: comments and descriptive attributes."""
     comments = F.regexp_extract_all(html, F.lit(r"(?s)<!--(.*?)-->"))
     return F.concat(comments, F.regexp_extract_all(html, F.lit(r'(?:alt|title|aria-label)="([^"]*)"')))
+
+
+def iso_time(text: Column) -> Column:
+    """An instant as ``2024-01-01T00:00:00.000Z``. Numbers below 1e11 are seconds, others milliseconds; texts
+    without a zone are in UTC; null for what is neither."""
+    number = text.try_cast("decimal(24,6)")
+    micros = F.when(number < 100_000_000_000, number * 1_000_000).otherwise(number * 1000)
+    at = F.coalesce(F.timestamp_micros(F.floor(micros).cast("long")), F.try_to_timestamp(F.when(number.isNull(), text)))
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

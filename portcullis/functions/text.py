@@ -1,19 +1,22 @@
-"""Text functions that have no built-in: compatibility folding and bounded decoding, as Arrow UDFs."""
+"""Folding and decoding of texts.
+
+The compatibility form has no built-in, so texts beyond ASCII go through an Arrow UDF for it; all else is
+column expressions. Decoding is a table of codecs, each from a text to the array of texts that it may
+stand for, and two rounds of it under one budget.
+"""
 
 from __future__ import annotations
 
-import base64
-import binascii
-import codecs
 import re
 import unicodedata
-from urllib.parse import unquote
+from collections.abc import Callable
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from portcullis.functions.columns import ROT13_HINTS
+from portcullis.functions.columns import ROT13_HINTS, ROTATED, rot13
 
 # Look-alike letters and what they stand for (after case folding).
 LOOK_ALIKES = {
@@ -22,116 +25,146 @@ LOOK_ALIKES = {
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ϲ": "c",
 }
 # Characters without a glyph, digits that stand for letters, limits of decoding.
-INVISIBLE = "[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u009f­᠎​-‏‪-‮⁠-⁤⁦-⁩﻿]"
+INVISIBLE = r"[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u009f­᠎​-‏‪-‮⁠-⁤⁦-⁩﻿]"
 LEET_FROM, LEET_TO = "0134578@$", "oieastbas"
-DEPTH, BUDGET, LEAST_LENGTH, PRINTABLE = 2, 16 * 1024, 4, 0.9
+BUDGET, LEAST_LENGTH, PRINTABLE = 16 * 1024, 4, 0.9
 
-# Types as objects: workers import this module without a session.
-_FRAGMENT = T.StructType([T.StructField("text", T.StringType()), T.StructField("codec", T.StringType())])
-DECODED = T.StructType([T.StructField("fragments", T.ArrayType(_FRAGMENT)), T.StructField("truncated", T.BooleanType())])
+BEYOND_ASCII = r"[^\x00-\x7F]"
+READING = "struct<size:int,place:int,text:string,codec:string>"
 
-_invisible, _blank, _alike = re.compile(INVISIBLE), re.compile(r"\s+"), str.maketrans(LOOK_ALIKES)
-_leet_word = re.compile(r"\b(?=[\w]*[A-Za-z])(?=[\w]*[0134578])[A-Za-z0134578]{3,}\b")
-_leet, _hints = str.maketrans(LEET_FROM, LEET_TO), frozenset(ROT13_HINTS)
 
+@F.pandas_udf(T.StringType())
+def _compatible(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
-def visible(text: str) -> str:
-    return _invisible.sub("", unicodedata.normalize("NFKC", text))
 
+@F.pandas_udf(T.StringType())
+def _case_folded(text: pd.Series) -> pd.Series:
+    alike = str.maketrans(LOOK_ALIKES)
+    return text.map(lambda t: re.sub(r"\s+", " ", t).strip().casefold().translate(alike), na_action="ignore")
 
-def folded(text: str) -> str:
-    return _blank.sub(" ", visible(text)).strip().casefold().translate(_alike)
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it stands there."""
+    return F.transform(F.array(value), body)[0]
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    shown = sum(c.isprintable() or c in "\r\n\t" for c in text)
-    return text if len(text) >= LEAST_LENGTH and shown >= PRINTABLE * len(text) else None
 
+def strip_invisible(text: Column | str) -> Column:
+    """Compatibility form without characters that have no glyph; null stays null."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.regexp_replace(F.coalesce(_compatible(F.when(text.rlike(BEYOND_ASCII), text)), text), INVISIBLE, "")
 
-def _base64(run: str) -> str | None:
-    body = run.rstrip("=")
-    body += "=" * (-len(body) % 4)
-    try:
-        return _readable(base64.urlsafe_b64decode(body) if set(body) & set("-_") else base64.b64decode(body, validate=True))
-    except (binascii.Error, ValueError):
-        return None
 
+def fold(text: Column | str) -> Column:
+    """C1, white space to one space, case folded, look-alikes to Latin."""
+    seen = strip_invisible(text)
+    return F.coalesce(_case_folded(F.when(seen.rlike(BEYOND_ASCII), seen)), F.lower(F.trim(F.regexp_replace(seen, r"\s+", " "))))
 
-def _hinted(text: str) -> int:
-    return sum(w in _hints for w in re.findall("[a-z]+", text.lower()))
 
+def readable(raw: Column) -> Column:
+    """Bytes as text; null unless they are UTF-8, four characters or more and mostly printable."""
+    text = F.call_function("try_validate_utf8", raw.cast("string"))
+    shown = F.regexp_count(text, F.lit(r"[^\p{C}\p{Z}]|[ \r\n\t]"))
+    return F.when((F.length(text) >= LEAST_LENGTH) & (shown >= PRINTABLE * F.length(text)), text)
 
-def _joined_letters(text: str) -> str:
-    """Letters that stand apart, run together: by dots, dashes, underscores, or single spaces."""
-    for mark in ".-_":
-        m = re.escape(mark)
-        runs = rf"(?<![A-Za-z0-9{m}])((?:[A-Za-z]{m}){{3,}}[A-Za-z]){m}?(?![A-Za-z0-9])"
-        text = re.sub(runs, lambda hit, mark=mark: hit[1].replace(mark, ""), text)
-    spaced = re.compile(r"((?:[A-Za-z] )+[A-Za-z])(\W*)")
-    parts = re.split(r"\s{2,}", text)
-    whole = " ".join(hit[1].replace(" ", "") + hit[2] if (hit := spaced.fullmatch(p)) else p for p in parts)
-    if len(text) - len(whole) >= 3:
-        return whole
-    return re.sub(r"(?<![A-Za-z])((?:[A-Za-z] ){3,}[A-Za-z])(?![A-Za-z])", lambda hit: hit[1].replace(" ", ""), text)
-
-
-def readings(text: str) -> list[tuple[str, str]]:
-    """(text, codec) of everything that one step decodes."""
-    found: list[tuple[str | None, str]] = []
-    found += [(_base64(run), "base64") for run in re.findall(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}", text)]
-    runs = re.findall(r"(?:[0-9a-fA-F]{2}){8,}", text) + re.findall(r"(?:\\x[0-9a-fA-F]{2}){4,}", text)
-    found += [(_readable(bytes.fromhex(run.replace("\\x", ""))), "hex") for run in runs]
-    if len(re.findall(r"%[0-9a-fA-F]{2}", text)) >= 3:
-        found.append((unquote(text), "url"))
-    rotated = codecs.encode(text, "rot13")
-    if _hinted(rotated) >= 2 and _hinted(rotated) > _hinted(text):
-        found.append((rotated, "rot13"))
-    if len(_leet_word.findall(text)) >= 2:
-        found.append((_leet_word.sub(lambda hit: hit[0].translate(_leet), text), "leet"))
-    found.append((_joined_letters(text), "spaced"))
-    return [(t, codec) for t, codec in found if t is not None and t != text]
-
-
-def decoded(text: str) -> tuple[list[tuple[str, str]], bool]:
-    """All texts found in two steps, shorter ones first, within a budget of bytes; whether one was left out."""
-    seen, found, left, cut = {text}, [], BUDGET, False
-    level = [visible(text)]
-    for _ in range(DEPTH):
-        below = []
-        for item in level:
-            for reading, codec in sorted(readings(item), key=lambda x: len(x[0].encode())):
-                size = len(reading.encode())
-                if reading in seen:
-                    continue
-                if size > left:
-                    cut = True
-                    continue
-                left -= size
-                seen.add(reading)
-                found.append((reading, codec))
-                below.append(reading)
-        level = below
-    return found, cut
 
+def _runs(text: Column, *patterns: str) -> Column:
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"({p})"), 1) for p in patterns]))
 
-@F.pandas_udf(T.StringType())
-def strip_invisible(text: pd.Series) -> pd.Series:
-    """Compatibility form without characters that have no glyph; null stays null."""
-    return text.map(visible, na_action="ignore")
 
+def from_base64(text: Column) -> Column:
+    """C4: runs of 16 characters or more, of either alphabet, padded as needed."""
+    body = lambda run: F.translate(F.regexp_replace(run, "=+$", ""), "-_", "+/")
+    whole = lambda b: F.rpad(b, (F.ceil(F.length(b) / 4) * 4).cast("int"), "=")
+    return F.transform(_runs(text, "[A-Za-z0-9+/]{16,}={0,2}", "[A-Za-z0-9_-]{16,}={0,2}"), lambda run: readable(F.try_to_binary(whole(body(run)), F.lit("base64"))))
+
+
+def from_hex(text: Column) -> Column:
+    """Eight pairs of digits or more, or four with a backslash and x before each."""
+    return F.transform(_runs(text, "(?:[0-9a-fA-F]{2}){8,}", r"(?:\\x[0-9a-fA-F]{2}){4,}"), lambda run: readable(F.unhex(F.replace(run, F.lit("\\x"), F.lit("")))))
+
+
+def from_url(text: Column) -> Column:
+    """At least three escapes; a plus stays one, and so does a lone percent sign."""
+    guarded = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9a-fA-F]{2})", "%25")
+    return F.array(F.when(F.regexp_count(text, F.lit("%[0-9a-fA-F]{2}")) >= 3, F.try_url_decode(guarded)))
 
-@F.pandas_udf(T.StringType())
-def fold(text: pd.Series) -> pd.Series:
-    """C1, white space to one space, case folded, look-alikes to Latin."""
-    return text.map(folded, na_action="ignore")
 
+def from_leet(text: Column) -> Column:
+    """Digits inside words to letters, if two words or more mix them."""
+    mixed = lambda w: w.rlike("^[A-Za-z0134578]{3,}$") & w.rlike("[A-Za-z]") & w.rlike("[0134578]")
+    words = F.split(text, r"(?U)\b")
+    return F.array(F.when(F.size(F.filter(words, mixed)) >= 2, F.array_join(F.transform(words, lambda w: F.when(mixed(w), F.translate(w, LEET_FROM, LEET_TO)).otherwise(w)), "")))
 
-@F.pandas_udf(DECODED)
-def decode_fragments(text: pd.Series) -> pd.DataFrame:
-    """What is encoded in a text. Null texts have none."""
-    found = [decoded(t) if isinstance(t, str) else ([], False) for t in text]
-    return pd.DataFrame({"fragments": [[{"text": a, "codec": b} for a, b in f] for f, _ in found], "truncated": [c for _, c in found]})
+
+def from_spaced(text: Column) -> Column:
+    """Letters that stand apart run together: by marks, as spelled words between wide gaps, or by single spaces."""
+
+    def closed(t: Column, pattern: str, mark: str) -> Column:
+        return F.aggregate(_runs(t, pattern), t, lambda done, run: F.replace(done, run, F.translate(run, mark, "")))
+
+    for mark in ".-_":
+        text = closed(text, rf"(?<![A-Za-z0-9\{mark}])(?:[A-Za-z]\{mark}){{3,}}[A-Za-z](?!\{mark}?[A-Za-z0-9])", mark)
+    spelled = lambda part: F.when(part.rlike(r"^(?:[A-Za-z] )+[A-Za-z]\W*$"), F.regexp_replace(part, r"(?<=[A-Za-z]) (?=[A-Za-z])", "")).otherwise(part)
+    return F.array(
+        _let(
+            text,
+            lambda t: _let(
+                F.array_join(F.transform(F.split(t, r"\s{2,}"), spelled), " "),
+                lambda joined: F.when(F.length(t) - F.length(joined) >= 3, joined).otherwise(closed(t, "(?<![A-Za-z])(?:[A-Za-z] ){3,}[A-Za-z](?![A-Za-z])", " ")),
+            ),
+        )
+    )
+
+
+_HINTS = "|".join(w.translate(str.maketrans(*ROTATED)) for w in ROT13_HINTS)
+#: codec -> (what a text has to hold to be worth a try, the texts it may stand for). Most texts fail all the tests.
+CODECS: dict[str, tuple[str, Callable[[Column], Column]]] = {
+    "base64": ("[A-Za-z0-9+/_-]{16}", from_base64),
+    "hex": (r"(?:[0-9a-fA-F]{2}){8}|(?:\\x[0-9a-fA-F]{2}){4}", from_hex),
+    "url": ("%[0-9a-fA-F]{2}", from_url),
+    "rot13": (rf"(?i)(?<![a-z])(?:{_HINTS})(?![a-z])", lambda text: F.array(rot13(text))),
+    "leet": ("[A-Za-z][0134578]|[0134578][A-Za-z]", from_leet),
+    "spaced": (r"(?<![A-Za-z])[A-Za-z][ ._-][A-Za-z](?![A-Za-z])", from_spaced),
+}
+
+
+def readings(text: Column) -> Column:
+    """What one step decodes, shorter texts first, those of one length in the order of the codecs."""
+
+    def of(place: int, codec: str) -> Callable[[Column], Column]:
+        return lambda t: F.struct(F.octet_length(t).alias("size"), F.lit(place).alias("place"), t.alias("text"), F.lit(codec).alias("codec"))
+
+    none = F.array().cast("array<string>")
+    found = F.concat(*[F.transform(F.when(text.rlike(worth), decode(text)).otherwise(none), of(i, codec)) for i, (codec, (worth, decode)) in enumerate(CODECS.items())])
+    return F.array_sort(F.filter(found, lambda r: r["text"].isNotNull() & (r["text"] != text)))
+
+
+def decoded(text: Column, visible: Column) -> Column:
+    """struct<fragments array<struct<text, codec>>, truncated>: what is encoded in a text, whose visible form is
+    given, in two steps and up to a budget of bytes (``truncated``: something was left out)."""
+    state = lambda seen, out, left, cut: F.struct(seen.alias("seen"), out.alias("out"), left.alias("left"), cut.alias("cut"))
+
+    def take(done: Column, one: Column) -> Column:
+        known, over = F.array_contains(done["seen"], one["text"]), one["size"] > done["left"]
+        return (
+            F.when(known, done)
+            .when(over, state(done["seen"], done["out"], done["left"], F.lit(True)))
+            .otherwise(state(F.concat(done["seen"], F.array(one["text"])), F.concat(done["out"], F.array(one)), done["left"] - one["size"], done["cut"]))
+        )
+
+    start = state(F.array(text), F.array().cast(f"array<{READING}>"), F.lit(BUDGET), F.lit(False))
+    first = F.aggregate(readings(visible), start, take)
+    second = _let(first, lambda one: F.aggregate(F.flatten(F.transform(one["out"], lambda r: readings(r["text"]))), one, take))
+    return _let(second, lambda two: F.struct(F.transform(two["out"], lambda r: F.struct(r["text"].alias("text"), r["codec"].alias("codec"))).alias("fragments"), two["cut"].alias("truncated")))
+
+
+def segments(df: DataFrame, text_column: str = "text") -> DataFrame:
+    """C11: ``df`` with ``norm``, ``decoded`` (array<struct<text, codec>>) and ``truncated``. Null texts have no
+    norm and nothing decoded. Columns of these names are replaced."""
+    text = F.col(f"`{text_column}`")
+    # Functions over arrays take no UDF, so the visible form is a column of its own first.
+    seen = df.withColumns({"norm": fold(text), "__visible": strip_invisible(text)})
+    found = decoded(F.coalesce(text, F.lit("")), F.coalesce("__visible", F.lit("")))
+    made = seen.withColumn("__found", found).withColumns({"decoded": F.col("__found.fragments"), "truncated": F.col("__found.truncated")})
+    return made.drop("__visible", "__found")

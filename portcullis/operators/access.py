@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def sign_in(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """The key's identity; a claimed agent must be it, except for admins."""
-    joined = requests.join(F.broadcast(keys), "key_hash", "left")
+    joined = requests.join(keys, "key_hash", "left")
     outcome = (
         F.when(F.col("identity").isNull(), "unknown_key")
         .when(F.col("claimed").isNotNull() & (F.col("claimed") != F.col("identity")) & (F.col("role") != "admin"), "agent_mismatch")
@@ -22,14 +22,14 @@ def granted(calls: DataFrame, grants: DataFrame, role: str, what: str) -> DataFr
     grants = grants.select(F.col("role").alias(role), F.col("grant"))
     everything = grants.where("grant = '*'").select(role).distinct()
     named = grants.where("grant <> '*'").withColumnRenamed("grant", what).distinct()
-    marked = calls.join(F.broadcast(everything.withColumn("__all", F.lit(True))), role, "left").join(F.broadcast(named.withColumn("__one", F.lit(True))), [role, what], "left")
+    marked = calls.join(everything.withColumn("__all", F.lit(True)), role, "left").join(named.withColumn("__one", F.lit(True)), [role, what], "left")
     return marked.withColumn("granted", F.coalesce("__all", F.lit(False)) | F.coalesce("__one", F.lit(False))).drop("__all", "__one")
 
 
 def check_grant(calls: DataFrame, grants: DataFrame, declared: DataFrame, role: str, what: str) -> DataFrame:
     """The thing must be declared, then granted; without a role nothing is."""
     known = declared.select(F.col("name").alias(what)).distinct().withColumn("__declared", F.lit(True))
-    joined = granted(calls, grants, role, what).join(F.broadcast(known), what, "left")
+    joined = granted(calls, grants, role, what).join(known, what, "left")
     reason = F.when(F.col(what).isNull(), None).when(F.col("__declared").isNull(), "undeclared").when(~F.col("granted"), "not_granted")
     return joined.withColumns({"reason": reason, "action": F.when(reason.isNotNull(), "block").otherwise("allow")}).drop("__declared", "granted")
 
@@ -38,8 +38,8 @@ def widening(pairs: DataFrame, grants: DataFrame) -> DataFrame:
     """Grants that the target role has and the caller lacks; ``*`` covers all."""
     sets = grants.groupBy("role").agg(F.array_sort(F.collect_set("grant")).alias("grants"))
     none = F.array().cast("array<string>")
-    joined = pairs.join(F.broadcast(sets.select(F.col("role").alias("caller"), F.col("grants").alias("has"))), "caller", "left").join(
-        F.broadcast(sets.select(F.col("role").alias("target"), F.col("grants").alias("wants"))), "target", "left"
+    joined = pairs.join(sets.select(F.col("role").alias("caller"), F.col("grants").alias("has")), "caller", "left").join(
+        sets.select(F.col("role").alias("target"), F.col("grants").alias("wants")), "target", "left"
     )
     missing = F.when(F.array_contains(F.coalesce("has", none), "*"), none).otherwise(F.array_except(F.coalesce("wants", none), F.coalesce("has", none)))
     return joined.select("caller", "target", F.array_join(F.array_sort(missing), ",").alias("missing"), (F.size(missing) > 0).alias("widens"))
@@ -65,3 +65,65 @@ def supply_chain(items: DataFrame, banned: DataFrame, text: str) -> DataFrame:
 
     hits = F.filter(F.array(*[hit(*t) for t in terms]) if terms else F.array().cast("array<struct<kind:string,term:string>>"), lambda x: x.isNotNull())
     return items.withColumn("__hit", F.explode(hits)).withColumns({"kind": F.col("__hit.kind"), "term": F.col("__hit.term")}).drop("__hit")
+
+
+# Addresses that no argument may lead to, and keys that name a namespace.
+METADATA, SCHEMES = ("169.254.169.254", "metadata.google.internal", "metadata.azure.com"), ("file://", "gopher://", "dict://")
+NAMESPACE_KEYS = ("namespace", "memory_namespace", "ns")
+_TYPES = {"string": r'^"', "integer": r"^-?[0-9]+$", "number": r"^-?[0-9.eE+-]+$", "boolean": "^(true|false)$", "object": r"^\{", "array": r"^\["}
+
+
+def argument_error(args: Column, schema: dict) -> Column:
+    """What of a tool's schema (required; type and maxLength of properties) its JSON arguments break first, or null."""
+    value = lambda k: F.to_json(F.call_function("try_variant_get", F.try_parse_json(args), F.lit(f"$.{k}"), F.lit("variant")))
+    checks = [F.when(value(k).isNull(), F.lit(f"missing {k}")) for k in schema.get("required", ())]
+    for k, rule in schema.get("properties", {}).items():
+        if "type" in rule:
+            checks.append(F.when(~value(k).rlike(_TYPES[rule["type"]]), F.lit(f"type of {k}")))
+        if "maxLength" in rule:
+            checks.append(F.when(F.length(F.get_json_object(args, f"$.{k}")) > rule["maxLength"], F.lit(f"length of {k}")))
+    return F.coalesce(*checks, F.lit(None).cast("string"))
+
+
+def forbidden_target(args: Column) -> Column:
+    """The first key with url or uri in its name whose value leads to cloud metadata or has a forbidden scheme."""
+    entries = F.map_entries(F.coalesce(F.from_json(args, "map<string,string>"), F.create_map().cast("map<string,string>")))
+
+    def bad(e: Column) -> Column:
+        value = F.trim(F.lower(e["value"]))
+        hit = [F.contains(value, F.lit(x)) for x in METADATA] + [F.startswith(value, F.lit(x)) for x in SCHEMES]
+        return F.lower(e["key"]).rlike("url|uri") & F.array_contains(F.array(*hit), True)
+
+    return F.try_element_at(F.filter(entries, bad), F.lit(1))["key"]
+
+
+def tool_calls(calls: DataFrame, grants: DataFrame, schemas: dict[str, dict], role: str = "role", tool: str = "tool", args: str = "args") -> DataFrame:
+    """Grant, then arguments against the tool's schema, then targets; ``action``, ``severity``, ``reason`` of each call.
+
+    A role without grants has none; a call without a tool is allowed.
+    """
+    broken = F.coalesce(*[F.when(F.col(tool) == name, argument_error(F.col(args), schema)) for name, schema in schemas.items()], F.lit(None).cast("string"))
+    target = forbidden_target(F.col(args))
+    marked = granted(calls, grants, role, tool)
+    reason = (
+        F.when(F.col(tool).isNull(), None).when(~F.col("granted"), "not_granted").when(broken.isNotNull(), broken).when(target.isNotNull(), F.concat(F.lit("target in "), target))
+    )
+    severity = F.when(F.col("reason") == "not_granted", "high").when(F.startswith("reason", F.lit("target")), "critical").when(F.col("reason").isNotNull(), "medium").otherwise("low")
+    action = F.when(F.col("reason").isNotNull(), "block").otherwise("allow")
+    return marked.withColumn("reason", reason).withColumns({"severity": severity, "action": action}).drop("granted")
+
+
+def memory_access(calls: DataFrame, grants: DataFrame, namespaces: DataFrame, role: str = "role", args: str = "args") -> DataFrame:
+    """The namespace is the first of its keys that is a text in the arguments; it must exist and be granted.
+    Calls without one are allowed, also those of memory tools."""
+    text = lambda k: F.when(F.to_json(F.call_function("try_variant_get", F.try_parse_json(F.col(args)), F.lit(f"$.{k}"), F.lit("variant"))).startswith('"'), F.nullif(F.get_json_object(args, f"$.{k}"), F.lit("")))
+    named = calls.withColumn("namespace", F.coalesce(*map(text, NAMESPACE_KEYS)))
+    return check_grant(named, grants, namespaces, role, "namespace")
+
+
+def tickets(issued: DataFrame, used: DataFrame) -> DataFrame:
+    """K4: a session opened with a ticket has the depth that the ticket carries, if it is more than its own, and is
+    tainted if the one that issued it was. Unknown tickets change nothing."""
+    carried = issued.select("ticket", F.col("depth").alias("__depth"), F.col("tainted").alias("__tainted"))
+    joined = used.join(carried, "ticket", "left")
+    return joined.withColumns({"depth": F.greatest("depth", F.coalesce("__depth", F.lit(0))), "tainted": F.col("tainted") | F.coalesce("__tainted", F.lit(False))}).drop("__depth", "__tainted")

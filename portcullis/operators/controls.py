@@ -64,10 +64,20 @@ def personal_data(segments: DataFrame, params: dict) -> DataFrame:
 
 @control("C-SECRET-OUT", ("output", "tool_result", "input"), 32)
 def secrets(segments: DataFrame, params: dict) -> DataFrame:
-    """E13."""
-    found = segments.withColumn("n", F.size(detectors.matches(F.col("text"), list(detectors.SECRETS), detectors.SECRETS))).where("n > 0")
-    summed = found.groupBy("request").agg(F.sum("n").alias("n"))
-    return _decision(summed, F.lit(params.get("action", "redact")), F.lit("critical"), F.lit(0.0), F.concat(F.col("n").cast("string"), F.lit(" matches")))
+    """A secret that is encoded has no place in the text to redact, so it blocks."""
+    number = lambda t: F.size(detectors.matches(t, list(detectors.SECRETS), detectors.SECRETS))
+    hidden = F.aggregate("decoded", F.lit(0), lambda n, d: n + number(d["text"])) if "decoded" in segments.columns else F.lit(0)
+    found = segments.withColumns({"n": number(F.col("text")), "hidden": F.coalesce(hidden, F.lit(0))}).where("n + hidden > 0")
+    summed = found.groupBy("request").agg(F.sum(F.col("n") + F.col("hidden")).alias("n"), F.max("hidden").alias("hidden"))
+    action = F.when(F.col("hidden") > 0, "block").otherwise(params.get("action", "redact"))
+    return _decision(summed, action, F.lit("critical"), F.lit(0.0), F.concat(F.col("n").cast("string"), F.lit(" matches")))
+
+
+@control("C-CODE-EXEC", ("tool_call", "output"), 35)
+def code(segments: DataFrame, params: dict) -> DataFrame:
+    """E16."""
+    found = signatures.code_execution(segments, "request", params.get("feed", ()))
+    return _decision(found, F.lit(params.get("action", "block")), F.lit("critical"), F.lit(1.0), F.array_join("families", ", "))
 
 
 @control("C-INJ-PAT", ("input", "tool_result"), 22)

@@ -19,7 +19,7 @@ STATUS = {"allow": 200, "flag": 200, "redact": 200, "require_approval": 403, "bl
 def select_controls(controls: DataFrame, levels: DataFrame, stage: Column, profile: Column) -> DataFrame:
     """Controls that are enabled for the profile and run in the stage, in the order (priority, id)."""
     return (
-        controls.join(F.broadcast(levels.where(F.col("profile") == profile)), "control_id")
+        controls.join(levels.where(F.col("profile") == profile), "control_id")
         .where(F.col("enabled") & F.array_contains("stages", stage))
         .withColumn("ordinal", F.row_number().over(Window.partitionBy("profile").orderBy("priority", "control_id")))
     )

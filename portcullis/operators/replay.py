@@ -16,7 +16,7 @@ def replay(decisions: DataFrame, policy: DataFrame, key: str = "request", keep_f
     out unless ``keep_flags``: then a flag takes part like the others.
     """
     acted = ("block", "require_approval", "redact", *(("flag",) if keep_flags else ()))
-    joined = decisions.join(F.broadcast(policy.select("control_id", "enabled", F.col("shadow").alias("in_shadow"), F.col("action").alias("level"))), "control_id", "left")
+    joined = decisions.join(policy.select("control_id", "enabled", F.col("shadow").alias("in_shadow"), F.col("action").alias("level")), "control_id", "left")
     fires = ~F.col("skipped") & F.col("action").isin(*acted) & F.coalesce(F.col("enabled") & ~F.col("in_shadow"), F.lit(False))
     new = F.when(fires, action_rank(F.col("level"))).otherwise(0)
     return joined.groupBy(key).agg(action_of(F.max(action_rank(effective()))).alias("original"), action_of(F.max(new)).alias("candidate"))

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def micros(ts: str = "ts") -> Column:
@@ -46,25 +54,95 @@ def sliding_rate(events: DataFrame, identity: str, seconds: int, limit: int) ->
     return counted.withColumn("over", F.col("recent") > limit)
 
 
-def admissions(events: DataFrame, identity: str, seconds: int, limit: int, chunk: str = "day") -> DataFrame:
-    """H3, H4: greedy admission; refused requests don't count against later ones.
+def in_turn(events: DataFrame, identity: str, order: list[str], schema: str, start: Callable[[], object], step: Callable[[object, dict], tuple]) -> DataFrame:
+    """A fold over each identity's rows in their order: ``step`` gets the identity's state and a row and gives
+    the row of the result. Rows are sorted by Spark (which spills), and a task holds one state at a time."""
+    names = StructType.fromDDL(schema).names
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), None
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                if row[identity] != now:
+                    now, state = row[identity], start()
+                made.append(step(state, row))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, m, strict=True)) for m in made], schema=arrow)
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return events.repartition(identity).sortWithinPartitions(identity, *order).mapInArrow(run, schema)
+
+
+def admissions(events: DataFrame, identity: str, seconds: int, limit: int) -> DataFrame:
+    """H3: greedy admission; refused requests don't count against later ones. Returns (identity, ts, admitted)."""
+    times = events.select(identity, micros().alias("t"), F.col("ts").cast("timestamp").alias("ts"))
+
+    def step(live: deque, row: dict) -> tuple:
+        while live and live[0] <= row["t"] - seconds * 1_000_000:
+            live.popleft()
+        admitted = len(live) < limit
+        if admitted:
+            live.append(row["t"])
+        return row[identity], row["t"], admitted
+
+    kind = events.schema[identity].dataType.simpleString()
+    return in_turn(times, identity, ["t"], f"`{identity}` {kind}, t long, admitted boolean", deque, step).select(identity, F.timestamp_micros("t").alias("ts"), "admitted")
+
+
+#: Fixed value: seconds after which a reservation that was not settled no longer counts.
+HELD = 600
+
+
+@dataclass
+class Account:
+    """What an identity has used in its day, and what is reserved."""
+
+    day: int = -1
+    tokens: int = 0
+    cost: float = 0.0
+    recent: deque = field(default_factory=deque)
+    open: list[tuple] = field(default_factory=list)
+
+
+def reservations(events: DataFrame, identity: str, rpm: int | None, tokens: int | None, cost: float | None, minute: int = 60) -> DataFrame:
+    """(event_id, refused, retry_after_s) of requests (event_id, ts, tokens, cost, settles_s, used_tokens, used_cost).
 
-    Only the last ``limit`` admitted times matter, so the fold over an identity's times keeps no more
-    than these; the times themselves are 8 bytes an event. Returns (identity, ts, admitted).
+    A request reserves its tokens and cost and settles what it used ``settles_s`` later (null: never). It is refused
+    by the first limit, of rpm, tokens and cost, that what was used in the UTC day, what is reserved now and its own
+    reservation break; ``refused`` names the limit. Refused requests count nowhere. A reservation that isn't settled
+    within ``HELD`` seconds goes. A null limit is none.
     """
-    step = seconds * 1_000_000
-    empty = F.struct(F.array().cast("array<bigint>").alias("live"), F.array().cast("array<boolean>").alias("out"))
-
-    def admit(state: Column, t: Column) -> Column:
-        live = F.filter(state["live"], lambda x: x > t - step)
-        free = F.size(live) < limit
-        return F.struct(F.when(free, F.concat(live, F.array(t))).otherwise(live).alias("live"), F.concat(state["out"], F.array(free)).alias("out"))
-
-    times = events.groupBy(identity).agg(F.sort_array(F.collect_list(micros())).alias("times"))
-    folded = times.withColumn("admitted", F.aggregate("times", empty, admit, lambda s: s["out"]))
-    return folded.select(identity, F.explode(F.arrays_zip("times", "admitted")).alias("x")).select(
-        identity, F.timestamp_micros("x.times").alias("ts"), F.col("x.admitted").alias("admitted")
-    )
+    rows = events.select(identity, "event_id", micros().alias("t"), "tokens", "cost", "settles_s", "used_tokens", "used_cost")
+
+    def step(a: Account, row: dict) -> tuple:
+        now, day = row["t"] / 1e6, row["t"] // 86_400_000_000
+        if day != a.day:
+            a.day, a.tokens, a.cost = day, 0, 0.0
+        still = []
+        for ends, settled, n, c, used_n, used_c, own_day in a.open:
+            if ends > now:
+                still.append((ends, settled, n, c, used_n, used_c, own_day))
+            elif settled and own_day == day:
+                a.tokens, a.cost = a.tokens + used_n, a.cost + used_c
+        a.open = still
+        while a.recent and a.recent[0] <= now - minute:
+            a.recent.popleft()
+        held = [o for o in a.open if o[6] == day]
+        refused = (
+            "rpm" if rpm is not None and len(a.recent) >= rpm
+            else "tokens" if tokens is not None and a.tokens + sum(o[2] for o in held) + row["tokens"] > tokens
+            else "cost" if cost is not None and round(a.cost + sum(o[3] for o in held) + row["cost"], 6) > cost
+            else None
+        )
+        if refused:
+            ends = a.recent[0] + minute if refused == "rpm" else (day + 1) * 86_400
+            return row["event_id"], refused, max(1, math.ceil(ends - now))
+        a.recent.append(now)
+        settled = row["settles_s"] is not None and row["settles_s"] <= HELD
+        a.open.append((now + (row["settles_s"] if settled else HELD), settled, row["tokens"], row["cost"], row["used_tokens"], row["used_cost"], day))
+        return row["event_id"], None, None
+
+    return in_turn(rows, identity, ["t", "event_id"], "event_id long, refused string, retry_after_s long", Account, step)
 
 
 def usage(events: DataFrame, identity: str, cost: Column, unit: str) -> DataFrame:

@@ -175,7 +175,15 @@ def prose_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.is_prose(F.col("text")).alias("prose"))
 
 
-@register("english_documents")
+_listed = lambda names: "[" + ", ".join(f"'{x}'" for x in sorted(names)) + "]"
+PROSE_SQL = r"""(SELECT len(w) >= 12 AND len(w) >= 0.6 * len(t) FROM (SELECT t, list_filter(t, lambda x: regexp_full_match(x, '[("'']*\p{L}[\p{L}''-]*[.,;:!?)"'']*')) AS w
+  FROM (SELECT list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) > 0) AS t)))"""
+ENGLISH_SQL = rf"""(SELECT len(l) > 0 AND len(list_filter(l, lambda x: unicode(x) > 591)) <= 0.2 * len(l)
+  AND len(list_filter(w, lambda x: list_contains({_listed(C.OTHER)}, x) OR regexp_matches(x, '{C.DIACRITICS}'))) <= len(list_filter(w, lambda x: list_contains({_listed(C.ENGLISH)}, x)))
+  FROM (SELECT regexp_extract_all(text, '\p{{L}}') AS l, regexp_extract_all(lower(text), '\p{{L}}+') AS w))"""
+
+
+@register("english_documents", f"SELECT lang, {ENGLISH_SQL} AS english, count(*) AS documents FROM documents GROUP BY 1, 2")
 def english_documents(spark, sf_dir):
     """How the heuristic agrees with the label."""
     docs = table(spark, sf_dir, "documents").select("lang", C.is_english(F.col("text")).alias("english"))
@@ -207,13 +215,25 @@ def spread_windows(spark, sf_dir):
 def heldout_leakage(spark, sf_dir):
     """Held-out texts that stand word for word in a document.
 
-    Items and documents meet on the hash of the item's first five words; what meets is compared.
+    Items and documents meet on a run of words inside the item: whatever stands around the item, its inner
+    words stand whole in the document too. Of the first inner runs of five words the one that the fewest items
+    share is the key. What meets is compared. Items with fewer inner words are looked for in all texts.
     """
     words = F.split("text", r"[ \n\t]+")
-    five = F.arrays_zip(words, *[F.slice(words, i, F.size(words)) for i in range(2, 6)])
-    hashed = F.transform(five, lambda w: F.xxhash64(*[w[str(i)] for i in range(5)]))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), hashed[0].alias("key"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    keys = docs.select("doc_id", F.explode(hashed).alias("key"))
-    near = keys.join(items, "key").select("doc_id", "item_id", "item").distinct()
-    return docs.join(near, "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 5), " ")))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), inner.alias("inner")).where("item is not null")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
+    keyed = items.where(F.size("inner") >= 5).select("item_id", "item", F.explode(runs(F.slice("inner", 1, 12))).alias("key"))
+    shared = keyed.groupBy("key").agg(F.countDistinct("item_id").alias("n"))
+    rarest = keyed.join(shared, "key").groupBy("item_id", "item").agg(F.min(F.struct("n", "key"))["key"].alias("key"))
+    own = docs.where(F.size(words) >= 5).select("doc_id", F.explode(F.array_distinct(runs(words))).alias("key"))
+    near = own.join(rarest, "key").select("doc_id", "item_id", "item").distinct()
+    long = docs.join(near, "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    # Items of six words or fewer have no key; they are few, and each is a literal of one pass over the texts.
+    short = [r["item"] for r in items.where(F.size("inner") < 5).select("item").distinct().collect()]
+    if not short:
+        return long
+    none = F.lit(None).cast("string")
+    held = docs.select("doc_id", F.explode(F.filter(F.array(*[F.when(F.contains("text", F.lit(x)), F.lit(x)).otherwise(none) for x in short]), lambda x: x.isNotNull())).alias("item"))
+    return long.unionByName(held.join(items, "item").select("item_id", "doc_id"))

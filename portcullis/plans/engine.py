@@ -115,7 +115,7 @@ def threat_taxonomy_counts(spark, sf_dir):
     """acting decisions by taxonomy entry; shadow decisions count as acting, skipped ones don't."""
     threats = spark.createDataFrame([(c, t, TAXONOMY.get(t, [])) for c, ts in THREATS.items() for t in ts], "control_id string, threat_id string, entries array<string>")
     acting = decisions(spark, sf_dir).where(~F.col("skipped") & ((F.col("action") != "allow") | F.col("shadow")))
-    joined = acting.join(F.broadcast(threats), "control_id").withColumn("entry", F.explode("entries"))
+    joined = acting.join(threats, "control_id").withColumn("entry", F.explode("entries"))
     return joined.groupBy("entry").agg(F.countDistinct("request").alias("requests"), F.count("*").alias("decisions"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from portcullis.operators import controls as K
 from portcullis.plans import register
 from portcullis.plans.access import SIGNATURE_SQL, SIGNATURES
-from portcullis.plans.detection import FOUND_SQL
+from portcullis.plans.detection import ENGLISH_SQL, FOUND_SQL, PROSE_SQL
 from portcullis.sources.tables import table
 
 POLICY = {"C-SIZE": {"chars": 5000}, "C-PII-OUT": {"types": ("email", "credit_card", "ip_address")}, "C-INJ-PAT": {"signatures": SIGNATURES, "least": "high", "shadow": True}}
@@ -32,7 +32,8 @@ def governed_documents(spark, sf_dir):
     return merged.join(segments.select("request", "lang"), "request").groupBy("lang", "final_action", "would_have_action").agg(F.count("*").alias("documents"))
 
 
-@register("classifier_outcomes")
+@register("classifier_outcomes", f"""WITH g AS (SELECT {PROSE_SQL} AS prose, {ENGLISH_SQL} AS english, doc_id * 7 % 100 / 100.0 AS score, doc_id % 2 AS seen FROM documents)
+SELECT CASE WHEN NOT prose OR NOT english THEN 'skipped' WHEN score >= 0.8 AND seen < 0.3 THEN 'held' WHEN score >= 0.8 THEN 'block' WHEN score >= 0.3 THEN 'grey' ELSE 'clean' END AS outcome, count(*) AS n FROM g GROUP BY 1""")
 def classifier_outcomes(spark, sf_dir):
     """The gate over a score that stands in for a model's (a fixed rule on the number)."""
     segments = _documents(spark, sf_dir).withColumn("seen_risk", (F.col("request") % 2).cast("double"))

@@ -26,14 +26,14 @@ def folded_documents(spark, sf_dir):
 @register("decoded_fragments")
 def decoded_fragments(spark, sf_dir):
     """What is encoded in documents, by codec."""
-    found = table(spark, sf_dir, "documents").select("doc_id", T.decode_fragments("text").alias("d"))
-    return found.select("doc_id", F.explode("d.fragments").alias("f")).groupBy(F.col("f.codec").alias("codec")).agg(F.count("*").alias("fragments"), F.countDistinct("doc_id").alias("documents"))
+    found = T.segments(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.explode("decoded").alias("f")).groupBy(F.col("f.codec").alias("codec")).agg(F.count("*").alias("fragments"), F.countDistinct("doc_id").alias("documents"))
 
 
-@register("request_leaves", "SELECT event_id, 'note' AS path, 'event ' || event_type AS text FROM events WHERE event_id % 10 = 0 UNION ALL SELECT event_id, 'items[1].title', 'n' || user_id FROM events WHERE event_id % 10 = 0")
+@register("request_leaves", "SELECT event_id, 'note' AS path, 'event ' || event_type AS text FROM events UNION ALL SELECT event_id, 'items[1].title', 'n' || user_id FROM events")
 def request_leaves(spark, sf_dir):
-    """Strings of each tenth event's arguments (built here), with their paths."""
-    events = table(spark, sf_dir, "events").where("event_id % 10 = 0")
+    """Strings of each event's arguments (built here), with their paths."""
+    events = table(spark, sf_dir, "events")
     nested = F.array(F.struct(F.lit(" ").alias("title")), F.struct(F.concat(F.lit("n"), F.col("user_id")).alias("title")))
     document = F.to_json(F.struct(F.concat(F.lit("event "), "event_type").alias("note"), nested.alias("items"), F.col("value").alias("n")))
     return events.select("event_id", document.alias("doc")).lateralJoin(R.JsonLeaves(F.col("doc").outer())).select("event_id", "path", "text")

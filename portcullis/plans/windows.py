@@ -65,7 +65,12 @@ def sliding_rate(spark, sf_dir):
     return S.sliding_rate(_events(spark, sf_dir), "user_id", DAY, 5).select("event_id", "recent", "over")
 
 
-@register("rpm_admission")
+@register("rpm_admission", """WITH RECURSIVE n AS (SELECT user_id, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS k, NULL::TIMESTAMP AS ts, NULL::BOOLEAN AS admitted, []::BIGINT[] AS live FROM events
+  UNION ALL
+  SELECT user_id, k, ts, len(live) < 5, CASE WHEN len(live) < 5 THEN list_append(live, t) ELSE live END
+  FROM (SELECT n.user_id, n.k, n.ts, n.t, list_filter(f.live, lambda x: x > n.t - 86400000000) AS live FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1))
+SELECT user_id, ts, admitted FROM f WHERE k > 0""")
 def rpm_admission(spark, sf_dir):
     """H3, H4: five requests a day, greedily."""
     return S.admissions(_events(spark, sf_dir), "user_id", DAY, 5)

@@ -5,27 +5,45 @@ Files come from ``binaryFile``; each is looked at by an Arrow-batched helper tha
 
 from __future__ import annotations
 
+import bz2
 import io
+import lzma
 import pickletools
+import re
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Limits of unpacking, and modules whose names in a pickle mean code.
-DEPTH, ENTRIES, MEMBER_BYTES, RATIO = 3, 2000, 16 << 20, 200
-DANGEROUS = ("os", "posix", "nt", "subprocess", "sys", "builtins", "importlib", "socket", "shutil", "pty", "runpy", "ctypes", "code", "webbrowser")
-HARMLESS = ("collections", "numpy", "torch", "datetime", "decimal", "uuid", "copyreg", "_codecs")
+# Limits of unpacking; modules and names that mean code in a pickle, and those that don't.
+DEPTH, ENTRIES, MEMBER_BYTES, RATIO, CAP = 3, 2000, 16 << 20, 200, 1 << 30
+DENIED = frozenset(
+    "os posix nt subprocess sys socket shutil pty ctypes runpy importlib webbrowser urllib urllib2 http httplib requests pickle cPickle marshal code codeop "
+    "multiprocessing threading asyncio signal commands popen2 platform pdb bdb timeit tempfile glob ftplib smtplib telnetlib pip setuptools distutils".split()
+)
+DENIED_BUILTINS = frozenset("eval exec execfile compile __import__ open file input getattr setattr delattr globals locals vars breakpoint apply memoryview".split())
+SAFE_BUILTINS = frozenset("set frozenset slice range complex bytearray bytes dict list tuple int float bool str object type".split())
+SAFE = frozenset(
+    "collections.OrderedDict collections.defaultdict collections.Counter _codecs.encode copyreg._reconstructor copy_reg._reconstructor torch._utils._rebuild_tensor_v2 "
+    "torch._utils._rebuild_tensor torch._utils._rebuild_parameter torch._tensor._rebuild_from_type_v2 torch.Size torch.nn.parameter.Parameter "
+    "numpy.core.multiarray._reconstruct numpy._core.multiarray._reconstruct numpy.core.multiarray.scalar numpy._core.multiarray.scalar numpy.ndarray numpy.dtype".split()
+)
+SAFE_PATTERN = re.compile(r"torch\.(?:(?:Float|Double|Half|BFloat16|Long|Int|Short|Char|Byte|Bool|Complex\w*)Storage|(?:float|int|uint|bool|bfloat|complex)\d*)")
 LEVELS = ("info", "warn", "block")
+#: First bytes of compressed files, and what undoes them a piece at a time.
+PACKED = {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"BZh": bz2.BZ2Decompressor, b"\xfd7zXZ\0": lzma.LZMADecompressor}
 
 
 def sniff(data: bytes) -> str:
     """The format by content, never by name."""
     if data[:4] in (b"PK\x03\x04", b"PK\x05\x06"):
         return "zip"
+    if any(data.startswith(first) for first in PACKED):
+        return "compressed"
     if data[:6] == b"\x93NUMPY":
         return "npy"
     if data[:4] == b"GGUF":
@@ -38,36 +56,84 @@ def sniff(data: bytes) -> str:
         return "tar"
     if data[:1] == b"\x80" and len(data) > 1 and data[1] <= 5:
         return "pickle"
+    # Protocol 0 has no mark of its own: it is what reads as opcodes up to a stop.
+    if data[:1] in b"(]}cIFLNSVdltip\x8c" and b"." in data:
+        try:
+            if sum(1 for _ in pickletools.genops(data)) > 1:
+                return "pickle"
+        except Exception:  # noqa: BLE001  then it is none
+            pass
     return "unknown"
 
 
-def _pickle(data: bytes) -> Iterator[tuple[str, str, str]]:
-    """Globals that a pickle names, followed over its strings and memo; a stream that breaks off."""
-    strings: list[str] = []
-    memo: dict[int, str] = {}
-    last = ""
-    try:
-        for op, arg, _ in pickletools.genops(data):
-            if op.name in ("GLOBAL", "INST"):
-                module, _, name = str(arg).partition(" ")
-            elif op.name == "STACK_GLOBAL":
-                module, name = (strings[-2], strings[-1]) if len(strings) > 1 else ("?", "?")
-            else:
-                if isinstance(arg, str) and ("UNICODE" in op.name or "STRING" in op.name):
-                    strings.append(arg)
-                    last = arg
-                elif op.name == "MEMOIZE":
-                    memo[len(memo)] = last
-                elif op.name in ("BINPUT", "PUT", "LONG_BINPUT"):
-                    memo[arg] = last
-                elif op.name in ("BINGET", "GET", "LONG_BINGET") and arg in memo:
-                    strings.append(memo[arg])
+def _level(module: str | None, name: str | None) -> str:
+    """What it means that a pickle names something; names that aren't plain strings can hide anything."""
+    if module is None or name is None or module.split(".")[0] in DENIED:
+        return "block"
+    if module in ("builtins", "__builtin__"):
+        return "block" if name.split(".")[0] in DENIED_BUILTINS else "info" if name in SAFE_BUILTINS else "warn"
+    full = f"{module}.{name}"
+    return "info" if full in SAFE or SAFE_PATTERN.fullmatch(full) else "warn"
+
+
+def _globals(stream: io.BytesIO) -> Iterator[tuple[str | None, str | None]]:
+    """(module, name) of all that one pickle names. The stack is followed by the opcodes' own descriptions, with
+    strings as values and None for all else."""
+    stack: list = []
+    memo: dict[int, object] = {}
+    mark = object()
+    for op, arg, _ in pickletools.genops(stream):
+        if op.name == "STACK_GLOBAL":
+            below = [x if isinstance(x, str) else None for x in stack[-2:]]
+            yield (below[0], below[1]) if len(below) == 2 else (None, None)
+        elif op.name in ("GLOBAL", "INST"):
+            yield tuple(str(arg).split(" ", 1)) if " " in str(arg) else (None, None)
+        elif op.name == "MEMOIZE":
+            memo[len(memo)] = stack[-1] if stack else None
+        elif op.name.endswith("PUT"):
+            memo[arg] = stack[-1] if stack else None
+        if op.name == "DUP":
+            stack.append(stack[-1] if stack else None)
+            continue
+        if pickletools.markobject in op.stack_before:
+            while stack and stack.pop() is not mark:
+                pass
+            for _ in range(op.stack_before.index(pickletools.markobject)):
+                stack and stack.pop()
+        else:
+            kept = stack[-1:] if op.name == "MEMOIZE" else []
+            for _ in op.stack_before:
+                stack and stack.pop()
+            if kept:
+                stack += kept
                 continue
-            root = module.split(".")[0]
-            level = "block" if root in DANGEROUS or module == "?" else "info" if root in HARMLESS else "warn"
-            yield level, "pickle_global", f"{module}.{name}"
-    except Exception as error:  # noqa: BLE001  a stream that can't be read to its end is a finding
-        yield "warn", "pickle_broken", type(error).__name__
+        for out in op.stack_after:
+            value = mark if out is pickletools.markobject else memo.get(arg) if op.name.endswith("GET") else arg if isinstance(arg, str) else arg.decode("latin-1") if isinstance(arg, bytes) else None
+            stack.append(value)
+
+
+def _pickle(data: bytes) -> Iterator[tuple[str, str, str]]:
+    """What all pickles of a file name, one after another; where a stream breaks off, or what isn't one follows."""
+    stream, first = io.BytesIO(data), True
+    while stream.tell() < len(data):
+        try:
+            for module, name in _globals(stream):
+                yield _level(module, name), "pickle_global", f"{module or '?'}.{name or '?'}"
+        except Exception as error:  # noqa: BLE001  a stream that can't be read to its end is a finding
+            yield "warn", "pickle_broken" if first else "pickle_rest", type(error).__name__
+            return
+        first = False
+
+
+def _unpacked(data: bytes) -> bytes | None:
+    """The content of a compressed file; None if it is a bomb."""
+    start = next(make for first, make in PACKED.items() if data.startswith(first))
+    out, one = bytearray(), start()
+    for at in range(0, len(data), 1 << 16):
+        out += one.decompress(data[at : at + (1 << 16)])
+        if len(out) > CAP or (len(out) > MEMBER_BYTES and len(out) > RATIO * len(data)):
+            return None
+    return bytes(out)
 
 
 def findings(data: bytes, depth: int = 0) -> Iterator[tuple[str, str, str]]:
@@ -80,29 +146,34 @@ def findings(data: bytes, depth: int = 0) -> Iterator[tuple[str, str, str]]:
         size = int.from_bytes(data[8:10], "little")
         if b"'O'" in data[10 : 10 + size] or b"|O" in data[10 : 10 + size]:
             yield "block", "npy_object", "array of objects"
-    elif kind in ("zip", "tar"):
+    elif kind in ("zip", "tar", "compressed"):
         if depth >= DEPTH:
             yield "warn", "too_deep", kind
             return
         try:
-            yield from _members(data, kind, depth)
-        except (zipfile.BadZipFile, tarfile.TarError, OSError, RuntimeError) as error:
+            if kind != "compressed":
+                yield from _members(data, kind, depth)
+            elif (inner := _unpacked(data)) is None:
+                yield "block", "bomb", kind
+            else:
+                yield from (x for x in findings(inner, depth + 1) if x[1] != "format")
+        except (zipfile.BadZipFile, tarfile.TarError, OSError, RuntimeError, EOFError, ValueError, zlib.error, lzma.LZMAError) as error:
             yield "warn", "archive_broken", type(error).__name__
 
 
 def _members(data: bytes, kind: str, depth: int) -> Iterator[tuple[str, str, str]]:
     if kind == "zip":
         archive = zipfile.ZipFile(io.BytesIO(data))
-        members = [(m.filename, m.file_size, m.compress_size, lambda m=m: archive.open(m).read(MEMBER_BYTES)) for m in archive.infolist() if not m.is_dir()]
+        members = [(m.filename, m.file_size, m.compress_size, lambda m=m: archive.open(m).read()) for m in archive.infolist() if not m.is_dir()]
     else:
         archive = tarfile.open(fileobj=io.BytesIO(data))
-        members = [(m.name, m.size, m.size, lambda m=m: archive.extractfile(m).read(MEMBER_BYTES)) for m in archive.getmembers() if m.isfile()]
+        members = [(m.name, m.size, m.size, lambda m=m: archive.extractfile(m).read()) for m in archive.getmembers() if m.isfile()]
     if len(members) > ENTRIES:
         yield "block", "too_many_entries", str(len(members))
     for name, size, packed, read in members[:ENTRIES]:
         if name.startswith("/") or ".." in name.split("/"):
             yield "block", "path_traversal", name
-        if size > MEMBER_BYTES and size > RATIO * max(1, packed):
+        if size > CAP or (size > MEMBER_BYTES and size > RATIO * max(1, packed)):
             yield "block", "bomb", name
             continue
         for level, code, detail in findings(read(), depth + 1):
@@ -132,7 +203,7 @@ def verdicts(artifacts: DataFrame, banned: DataFrame, profile_action: str = "blo
     rank = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
     found = scan(artifacts).groupBy("path").agg(F.max(rank).alias("rank"), F.slice(F.array_sort(F.collect_set(F.when(rank > 1, F.concat_ws(" ", "code", "detail")))), 1, most).alias("findings"))
     bad = banned.select(F.lower("sha256").alias("sha256")).distinct().withColumn("__bad", F.lit(True))
-    hashed = artifacts.select("path", F.sha2("content", 256).alias("sha256")).join(F.broadcast(bad), "sha256", "left")
+    hashed = artifacts.select("path", F.sha2("content", 256).alias("sha256")).join(bad, "sha256", "left")
     worst = F.coalesce("rank", F.lit(1))
     action = F.when(F.col("__bad") | (worst == 3), profile_action).when(worst == 2, profile_action if block_on_warn else "flag").otherwise("allow")
     return hashed.join(found, "path", "left").select("path", "sha256", action.alias("action"), "findings")

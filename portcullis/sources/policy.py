@@ -48,7 +48,7 @@ def resolved(controls: DataFrame, levels: DataFrame, profile: str, mode: str = "
 def resolve_profile(requests: DataFrame, identities: DataFrame, active: str) -> DataFrame:
     """D3: the identity's own profile, or the active one."""
     own = identities.select("identity", F.col("profile").alias("__own"))
-    return requests.join(F.broadcast(own), "identity", "left").withColumn("profile", F.coalesce("__own", F.lit(active))).drop("__own")
+    return requests.join(own, "identity", "left").withColumn("profile", F.coalesce("__own", F.lit(active))).drop("__own")
 
 
 def corpus_problems(examples: DataFrame) -> DataFrame:
