@@ -165,3 +165,13 @@ def iso_time(text: Column) -> Column:
     micros = F.when(number < 100_000_000_000, number * 1_000_000).otherwise(number * 1000)
     at = F.coalesce(F.timestamp_micros(F.floor(micros).cast("long")), F.try_to_timestamp(F.when(number.isNull(), text)))
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+# Keys of a record that a display never shows.
+CREDENTIAL_KEYS = ("api_key", "authorization", "password", "secret", "token")
+
+
+def display_safe(fields: Column) -> Column:
+    """map<string,string> without credentials, and with the values of bearer headers masked."""
+    shown = F.map_filter(fields, lambda k, _: ~F.lower(k).isin(*CREDENTIAL_KEYS))
+    return F.transform_values(shown, lambda _, v: F.regexp_replace(v, "(?i)bearer +[^ ]+", "Bearer ***"))

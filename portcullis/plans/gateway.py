@@ -177,3 +177,19 @@ def reasons_in_order(spark, sf_dir):
     first = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("first"))
     ordered = F.array_sort(F.collect_list(F.struct("first", "event_type")))
     return first.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ",").alias("reasons"))
+
+
+@register("display_fields", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'sent Bearer *** to ' || event_type ELSE 'plain ' || event_type END AS note, CAST(1 AS INTEGER) AS fields FROM events""")
+def display_fields(spark, sf_dir):
+    """Records (built here) as a display may show them."""
+    note = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("sent bearer  abc"), F.col("event_id"), F.lit(" to "), "event_type")).otherwise(F.concat(F.lit("plain "), "event_type"))
+    record = F.create_map(F.lit("note"), note, F.lit("Token"), F.lit("x"), F.lit("password"), F.lit("y"))
+    shown = table(spark, sf_dir, "events").select("event_id", C.display_safe(record).alias("shown"))
+    return shown.select("event_id", F.col("shown")["note"].alias("note"), F.size("shown").alias("fields"))
+
+
+@register("selected_cases", "SELECT source, count(*) AS cases, min(doc_id) AS first_case FROM documents WHERE lang IN ('de', 'en') AND source IS NOT NULL GROUP BY 1")
+def selected_cases(spark, sf_dir):
+    """Cases of some languages by category; sources stand for categories."""
+    cases = table(spark, sf_dir, "documents").where(F.col("lang").isin("de", "en") & F.col("source").isNotNull())
+    return cases.groupBy("source").agg(F.count("*").alias("cases"), F.min("doc_id").alias("first_case"))
