@@ -18,22 +18,47 @@ def local_path(uri: str) -> str | None:
     return parts.path if parts.scheme in ("", "file") else None
 
 
+class Writer:
+    """A file that is written bit by bit and stands under its name, whole, when it is closed: a task
+    that runs twice leaves the same file."""
+
+    def __init__(self, uri: str):
+        if (path := local_path(uri)) is not None:
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            self.store, self.path, self.part = None, path, f"{path}.{uuid.uuid4().hex}"
+            self.out = open(self.part, "wb")
+            return
+        from pyarrow.fs import FileSystem
+
+        self.store, self.path = FileSystem.from_uri(uri)
+        self.part = f"{self.path}.{uuid.uuid4().hex}"
+        self.store.create_dir(os.path.dirname(self.path), recursive=True)
+        self.out = self.store.open_output_stream(self.part)
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+
+    def close(self) -> None:
+        self.out.close()
+        if self.store:
+            self.store.move(self.part, self.path)
+        else:
+            os.replace(self.part, self.path)
+
+    def drop(self) -> None:
+        """Leave nothing."""
+        self.out.close()
+        if self.store:
+            self.store.delete_file(self.part)
+        else:
+            os.remove(self.part)
+
+
 def put(uri: str, data: bytes) -> None:
-    """Write a file so that it is whole or absent: a task that runs twice leaves the same file."""
-    if (path := local_path(uri)) is not None:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        part = f"{path}.{uuid.uuid4().hex}"
-        with open(part, "wb") as out:
-            out.write(data)
-        os.replace(part, path)
-        return
-    from pyarrow.fs import FileSystem
-
-    store, path = FileSystem.from_uri(uri)
-    store.create_dir(os.path.dirname(path), recursive=True)
-    with store.open_output_stream(f"{path}.{(part := uuid.uuid4().hex)}") as out:
-        out.write(data)
-    store.move(f"{path}.{part}", path)
+    """Write a file in one go."""
+    file = Writer(uri)
+    file.write(data)
+    file.close()
 
 
 def mapped(uri: str) -> np.ndarray:

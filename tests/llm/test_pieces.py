@@ -147,6 +147,24 @@ def test_shards_round_trip_and_resume(spark, tmp_path):
         if r.doc_id not in (3, None):
             back[r.doc_id] = back.get(r.doc_id, []) + ids.tolist()
     assert {k: LIBRARY.decode(v) for k, v in back.items()} == {k: v for k, v in texts_ if v and k not in (3, None)}
-    assert mapped(str(tmp_path / "shards/shard-00000000")).shape[0] % (4 + 64 * 2) == 0
+    assert mapped(str(tmp_path / "shards/shard-000000000000")).shape[0] % (4 + 64 * 2) == 0
     empty = token_shards.materialise(df.limit(0), PATH, path=str(tmp_path / "none"))
     assert empty.collect() == [] and [*token_shards.read(str(tmp_path / "none"))] == []
+
+
+def test_shards_do_not_depend_on_the_split_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_shards, "BUCKET", 2)
+    rows = [(i, f"text number {i} " * (1 + i % 40)) for i in range(300)] + [(7, "twice, a row"), (7, "twice, a row"), (None, "no id"), (None, "none either"), (8, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+    for parts in (1, 7):
+        path = str(tmp_path / f"split-{parts}")
+        index = token_shards.materialise(df.repartition(parts), PATH, path=path, length=16, per_shard=200).orderBy("slot").collect()
+        assert [r.slot for r in index] == list(range(len(index))) and len({r.shard for r in index}) > 4
+        read = [(s, ids.tobytes()) for s, ids in token_shards.read(path)]
+        assert [s for s, _ in read] == list(range(len(index)))
+        assert [hashlib.sha256(b).hexdigest() for _, b in read] == [r.ids_sha256 for r in index]
+        for at in (1, 199, len(index) - 1, len(index), len(index) + 5):
+            assert [*token_shards.read(path, at)] == [] if at >= len(index) else [s for s, _ in token_shards.read(path, at)] == list(range(at, len(index)))
+        made.append((index, read))
+    assert made[0] == made[1]
