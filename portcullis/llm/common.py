@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -152,6 +153,28 @@ def text_portions(batches: Iterable[pa.RecordBatch], column: str, most: int = PO
             yield batch.slice(start)
 
 
+_kept: dict[object, object] = {}
+_wanted: set[object] = set()
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` makes, once in each Python worker for the tasks that ask for it one after another:
+    a task of ``map_texts`` that doesn't ask drops it."""
+    _wanted.add(key)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def hand_back() -> None:
+    """Give freed memory back to the system. Allocators keep it otherwise, and a Python worker that
+    Spark uses for task after task holds the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not every C library has it
+        trim(0)
+
+
 def map_texts(df: DataFrame, column: str, schema, work: Callable[..., dict | None], prepare=None, most: int = PORTION_BYTES) -> DataFrame:
     """mapInArrow over ``df``: ``work`` turns some rows into the columns of ``schema``.
 
@@ -165,11 +188,16 @@ def map_texts(df: DataFrame, column: str, schema, work: Callable[..., dict | Non
     out = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _wanted.clear()
         extra = (prepare(),) if prepare else ()
+        for key in _kept.keys() - _wanted:
+            del _kept[key]
         for batch in text_portions(batches, column, most):
             made = work(batch, *extra)
             if made is not None:
                 yield pa.record_batch([pa.array(made[f.name], f.type) if not isinstance(made[f.name], pa.Array) else made[f.name].cast(f.type) for f in out], schema=out)
+        batch = made = extra = None
+        hand_back()
 
     return df.mapInArrow(run, schema)
 

@@ -17,11 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import beside, texts_of
+from portcullis.llm.common import beside, kept, texts_of
 from portcullis.llm.pieces import PieceModel
 
-_loaded: dict[bytes, PieceModel] = {}
-
 
 def model_bytes(path: str) -> bytes:
     """The model file, read on the driver; a few hundred kB, so it travels with the tasks."""
@@ -30,10 +28,7 @@ def model_bytes(path: str) -> bytes:
 
 def loaded(data: bytes) -> PieceModel:
     """The model, parsed once in each Python worker."""
-    if data not in _loaded:
-        _loaded.clear()
-        _loaded[data] = PieceModel.from_bytes(data)
-    return _loaded[data]
+    return kept(("pieces", data), lambda: PieceModel.from_bytes(data))
 
 
 def encode(df: DataFrame, model_path: str, columns: list[str], text_column: str = "text", begin_end: bool = True) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import Scratch, apart, batch_rows, connected, fresh_path, map_texts, row_set, texts_of, written
+from portcullis.llm.common import Scratch, apart, batch_rows, connected, fresh_path, hand_back, map_texts, row_set, texts_of, written
 from portcullis.llm.shared_files import mapped, packed, put, unpacked
 
 SEED = 42
@@ -274,6 +274,8 @@ def similar_links(distinct: DataFrame, texts: Callable[[DataFrame], DataFrame],
         sizes, ends = (np.fromiter(x, np.int64) for x in (map(len, texts), itertools.accumulate(map(len, packs))))
         put(f"{folder}/{key['step']}-{key['block']}", packed({"sizes": sizes, "ends": ends, "packs": np.frombuffer(b"".join(packs), np.uint8)}))
         ids = table.column("id").to_numpy().astype("<i8").tobytes()
+        del texts, packs
+        hand_back()
         return pa.table({"step": pa.array([key["step"]], pa.int32()), "block": pa.array([key["block"]], pa.int32()), "ids": [ids], "bits": [b"".join(table.column("bits").to_pylist())]})
 
     packed_tiles = placed.select("step", "block", "id", "bits", "text").groupBy("step", "block").applyInArrow(tile, "step int, block int, ids binary, bits binary")
@@ -309,6 +311,8 @@ def similar_links(distinct: DataFrame, texts: Callable[[DataFrame], DataFrame],
                 left_sets = sets_of(row["from_step"], row["from_block"], np.concatenate([i, j]) if same else i, len(left))
                 a, b = verified(i, j, left_sets, None if same else sets_of(row["step"], row["block"], j, len(right)))
                 yield pa.record_batch({"a": pa.array(left_ids[a], pa.int64()), "b": pa.array(right_ids[b], pa.int64())})
+                del left_sets
+                hand_back()
 
     return pairs.mapInArrow(run, "a long, b long")
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from portcullis.llm.common import Scratch, apart, beside, map_texts, new_column, written
+from portcullis.llm.common import Scratch, apart, beside, hand_back, map_texts, new_column, written
 
 LENGTH, GRAM = 400, 64
 #: The same in words: the strings that windows are dealt by are shorter, for few words at least.
@@ -353,7 +353,9 @@ def repeats(df: DataFrame, text_column: str, unit: Unit, scratch: Scratch) -> Da
         )
 
     def sort(table: pa.Table) -> pa.Table:
-        return rows_of(table, shard_of(table))
+        made = rows_of(table, shard_of(table))
+        hand_back()
+        return made
 
     def merge(table: pa.Table) -> pa.Table:
         side = table.column("part").to_numpy()
@@ -366,7 +368,10 @@ def repeats(df: DataFrame, text_column: str, unit: Unit, scratch: Scratch) -> Da
             shard.repeated[:] = False
         pair[0].found(pair[1])
         pair[1].found(pair[0])
-        return pa.concat_tables([rows_of(h, s) for h, s in zip(halves, pair, strict=True)])
+        made = pa.concat_tables([rows_of(h, s) for h, s in zip(halves, pair, strict=True)])
+        del pair, shard
+        hand_back()
+        return made
 
     sharded = placed.withColumn("shard", F.pmod(F.xxhash64("hash", "part"), F.lit(shards)))
     inside = sharded.groupBy("shard").applyInArrow(sort, FOUND)

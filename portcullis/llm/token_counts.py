@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from portcullis.llm.common import beside, texts_of
+from portcullis.llm.common import beside, kept, texts_of
 from portcullis.llm.pieces import NORMAL, SPACE, PieceModel
 from portcullis.llm.sentencepiece_codec import loaded, model_bytes
 
@@ -204,15 +204,9 @@ class Transducer:
         return np.add.reduceat(emitted.T.reshape(-1)[:n].astype(np.int64), np.concatenate([[0], ends[:-1]]))
 
 
-_compiled: dict[bytes, Transducer] = {}
-
-
 def transducer(data: bytes) -> Transducer:
     """One for each Python worker: what it compiled for a task serves the next."""
-    if data not in _compiled:
-        _compiled.clear()
-        _compiled[data] = Transducer(loaded(data))
-    return _compiled[data]
+    return kept(("transducer", data), lambda: Transducer(loaded(data)))
 
 
 def count(df: DataFrame, model_path: str, columns: list[str], text_column: str = "text", limit: int = 4096) -> DataFrame:
