@@ -1,7 +1,8 @@
 """Similarity to labelled examples.
 
 The examples are a configured corpus of some hundreds; they go to every task (checked against
-``MOST``), the texts' vectors stay where they are.
+``MOST``), the texts' vectors stay where they are. More examples are blocks that meet the queries by
+a grid: each query once for a block, the best of all blocks put together.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST = 50_000
+#: Beyond it: examples of a block, and buckets of queries, each of which gets its own copy of a block.
+BLOCK, BUCKETS = 10_000, 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,13 +26,19 @@ def margins(queries: DataFrame, examples: DataFrame, k: int = 3, exclude: Callab
     the best attack. ``examples`` has example, label (attack, benign), example_vector; ``exclude`` says of
     an example (a struct) whether a query leaves it out.
 
-    The examples are one array in one row, so a query is one row all the way and nothing is shuffled.
+    Up to ``MOST`` examples are one array in one row, so a query is one row all the way and nothing is
+    shuffled. ``query`` is the queries' key.
     """
     n = examples.count()
-    if n > MOST:
-        raise ValueError(f"{n} examples; a corpus of more than {MOST} needs a search over blocks")
-    packed = examples.agg(F.collect_list(F.struct(*examples.columns)).alias("__examples"))
-    joined = queries.join(F.broadcast(packed))
+    packed = F.collect_list(F.struct(*examples.columns)).alias("__examples")
+    if n <= MOST:
+        joined = queries.join(F.broadcast(examples.agg(packed)))
+    else:
+        blocks = -(-n // BLOCK)
+        dealt = examples.withColumn("__block", F.pmod(F.xxhash64("example"), F.lit(blocks))).groupBy("__block").agg(packed)
+        every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+        asked = queries.withColumn("__bucket", F.pmod(F.xxhash64("query"), F.lit(BUCKETS))).withColumn("__block", every(blocks))
+        joined = asked.join(dealt.withColumn("__bucket", every(BUCKETS)), ["__bucket", "__block"])
 
     def best(label: str) -> Column:
         own = F.filter("__examples", lambda e: (e["label"] == label) & (F.lit(True) if exclude is None else ~exclude(e)))
@@ -38,6 +47,9 @@ def margins(queries: DataFrame, examples: DataFrame, k: int = 3, exclude: Callab
 
     mean = lambda c: F.round(F.try_divide(-F.aggregate(c, F.lit(0.0), lambda s, x: s + x["order"]), F.size(c)), 6)
     top = joined.select("query", best("attack").alias("a"), best("benign").alias("b"))
+    if n > MOST:
+        merged = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, k).alias(c)
+        top = top.groupBy("query").agg(merged("a"), merged("b"))
     means = top.select("query", mean(F.col("a")).alias("attack"), mean(F.col("b")).alias("benign"), F.try_element_at("a", F.lit(1))["example"].alias("nearest"))
     return means.withColumn("margin", F.round(F.col("attack") - F.col("benign"), 6))
 

@@ -276,3 +276,14 @@ def test_controls(spark):
     prose = "What is the time now and who will tell me about it when it is late"
     gate = spark.createDataFrame([(prose, 0.95, 0.5), (prose, 0.95, 0.0), (prose, 0.4, 0.0), (prose, 0.1, 0.0), ("short", 0.99, 1.0)], "text string, score double, seen_risk double")
     assert [r.outcome for r in controls.classifier_gate(gate, F.col("score"), 0.8, 0.3).collect()] == ["block", "held", "grey", "clean", "skipped"]
+
+
+def test_margins_over_blocks_equal_those_of_one_array(spark, monkeypatch):
+    from portcullis.plans import QUERIES
+
+    for name in ("embedding_topk_margin", "leave_group_out"):
+        whole = sorted(map(tuple, QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+        with monkeypatch.context() as m:
+            m.setattr("portcullis.operators.vectors.MOST", 1)
+            m.setattr("portcullis.operators.vectors.BLOCK", 7)
+            assert sorted(map(tuple, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) == whole
