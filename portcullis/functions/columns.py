@@ -104,12 +104,11 @@ def is_prose(text: Column, least: int = 12, share: float = 0.6) -> Column:
 
 def is_english(text: Column) -> Column:
     """Mostly Latin letters, and no more foreign words than English function words."""
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    beyond = F.regexp_count(text, F.lit(r"[\p{L}&&[^\u0000-ɏ]]"))
-    found = words(text)
-    english, other = (F.array(*map(F.lit, x)) for x in (ENGLISH, sorted(OTHER)))
-    en = F.size(F.filter(found, lambda w: F.array_contains(english, w)))
-    foreign = F.size(F.filter(found, lambda w: F.array_contains(other, w) | w.rlike(DIACRITICS)))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    beyond = F.length(F.regexp_replace(text, r"[\P{L}\u0000-ɏ]+", ""))
+    whole = lambda names: rf"(?:{'|'.join(sorted(names))})(?!\p{{L}})"
+    en = F.regexp_count(F.lower(text), F.lit(rf"(?<!\p{{L}}){whole(ENGLISH)}"))
+    foreign = F.regexp_count(F.lower(text), F.lit(rf"(?<!\p{{L}})(?:{whole(OTHER)}|\p{{L}}*{DIACRITICS}\p{{L}}*)"))
     return (letters > 0) & (beyond <= 0.2 * letters) & (foreign <= en)
 
 
@@ -124,8 +123,7 @@ def scrub(text: Column, limit: int = 200) -> Column:
 def rot13(text: Column) -> Column:
     """The rotated text if it has at least two hint words and more than before, else null."""
     rotated = F.translate(text, *ROTATED)
-    hints = F.array(*map(F.lit, ROT13_HINTS))
-    count = lambda t: F.size(F.filter(F.regexp_extract_all(F.lower(t), F.lit("([a-z]+)")), lambda w: F.array_contains(hints, w)))
+    count = lambda t: F.regexp_count(F.lower(t), F.lit(rf"(?<![a-z])(?:{'|'.join(ROT13_HINTS)})(?![a-z])"))
     return F.when((count(rotated) >= 2) & (count(rotated) > count(text)), rotated)
 
 

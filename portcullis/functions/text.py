@@ -93,15 +93,15 @@ def from_url(text: Column) -> Column:
 def from_leet(text: Column) -> Column:
     """Digits inside words to letters, if two words or more mix them."""
     mixed = lambda w: w.rlike("^[A-Za-z0134578]{3,}$") & w.rlike("[A-Za-z]") & w.rlike("[0134578]")
-    words = F.split(text, r"(?U)\b")
-    return F.array(F.when(F.size(F.filter(words, mixed)) >= 2, F.array_join(F.transform(words, lambda w: F.when(mixed(w), F.translate(w, LEET_FROM, LEET_TO)).otherwise(w)), "")))
+    plain = lambda w: F.when(mixed(w), F.translate(w, LEET_FROM, LEET_TO)).otherwise(w)
+    return F.array(_let(F.split(text, r"(?U)\b"), lambda words: F.when(F.size(F.filter(words, mixed)) >= 2, F.array_join(F.transform(words, plain), ""))))
 
 
 def from_spaced(text: Column) -> Column:
     """Letters that stand apart run together: by marks, as spelled words between wide gaps, or by single spaces."""
 
     def closed(t: Column, pattern: str, mark: str) -> Column:
-        return F.aggregate(_runs(t, pattern), t, lambda done, run: F.replace(done, run, F.translate(run, mark, "")))
+        return _let(t, lambda own: F.aggregate(_runs(own, pattern), own, lambda done, run: F.replace(done, run, F.translate(run, mark, ""))))
 
     for mark in ".-_":
         text = closed(text, rf"(?<![A-Za-z0-9\{mark}])(?:[A-Za-z]\{mark}){{3,}}[A-Za-z](?!\{mark}?[A-Za-z0-9])", mark)
@@ -166,5 +166,6 @@ def segments(df: DataFrame, text_column: str = "text") -> DataFrame:
     # Functions over arrays take no UDF, so the visible form is a column of its own first.
     seen = df.withColumns({"norm": fold(text), "__visible": strip_invisible(text)})
     found = decoded(F.coalesce(text, F.lit("")), F.coalesce("__visible", F.lit("")))
-    made = seen.withColumn("__found", found).withColumns({"decoded": F.col("__found.fragments"), "truncated": F.col("__found.truncated")})
+    # A generated row is a barrier: the optimizer would copy a plain column into each predicate and use of it.
+    made = seen.select("*", F.explode(F.array(found)).alias("__found")).withColumns({"decoded": F.col("__found.fragments"), "truncated": F.col("__found.truncated")})
     return made.drop("__visible", "__found")

@@ -54,23 +54,34 @@ def matches(text: Column, kinds: tuple[str, ...] | list[str], of: dict = PERSONA
     return F.coalesce(F.concat(*found), F.array().cast("array<struct<kind:string,value:string>>"))
 
 
-def spans(text: Column, found: Column) -> Column:
-    """array<struct<start, end, kind>> (from 0, end exclusive) of the distinct matches' occurrences."""
-    one = lambda m: F.transform(
-        F.slice(F.split(text, F.concat(F.lit(r"\Q"), m["value"], F.lit(r"\E")), -1), 1, F.size(F.split(text, F.concat(F.lit(r"\Q"), m["value"], F.lit(r"\E")), -1)) - 1),
-        lambda _, i: F.struct(
-            (
-                F.aggregate(
-                    F.slice(F.split(text, F.concat(F.lit(r"\Q"), m["value"], F.lit(r"\E")), -1), 1, i + 1), F.lit(0), lambda n, part: n + F.length(part)
-                )
-                + i * F.length(m["value"])
-            ).alias("start"),
-            F.length(m["value"]).alias("size"),
-            m["kind"].alias("kind"),
-        ),
-    )
-    every = F.flatten(F.transform(F.array_distinct(found), one))
-    return F.array_sort(F.transform(every, lambda s: F.struct(s["start"].cast("int").alias("start"), (s["start"] + s["size"]).cast("int").alias("end"), s["kind"].alias("kind"))))
+def located(text: Column, kinds: tuple[str, ...] | list[str], of: dict = PERSONAL) -> Column:
+    """array<struct<kind, value, start, end>>: the matches with their places (from 0, end exclusive).
+
+    The pattern itself cuts the text, so a place is where the detector matched: the lengths of what is left
+    between the matches and of the matches before, summed.
+    """
+    return F.concat(*[_located(text, kind, *of[kind]) for kind in kinds])
+
+
+def _located(text: Column, kind: str, pattern: str, check: Callable[[Column], Column] | None) -> Column:
+    none = F.array().cast("array<struct<kind:string,value:string,start:int,end:int>>")
+
+    def add(state: Column, one: Column) -> Column:
+        start = (state["at"] + F.length(one["gap"])).cast("int")
+        end = (start + F.length(one["value"])).cast("int")
+        match = F.struct(F.lit(kind).alias("kind"), one["value"].alias("value"), start.alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(match)).alias("out"))
+
+    values, gaps = F.regexp_extract_all(text, F.lit(pattern), 1), F.split(text, pattern, -1)
+    pairs = F.zip_with(values, gaps, lambda value, gap: F.struct(value.alias("value"), gap.alias("gap")))
+    matched = F.filter(F.when(text.rlike(pattern), pairs), lambda p: p["value"].isNotNull())  # the last gap has no match after it
+    placed = F.coalesce(F.aggregate(matched, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"]), none)
+    return F.filter(placed, lambda m: F.coalesce(check(m["value"]), F.lit(False))) if check else placed
+
+
+def spans(found: Column) -> Column:
+    """array<struct<start, end, kind>> of located matches, in the order of the text."""
+    return F.array_sort(F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"))))
 
 
 def merged_spans(found: Column) -> Column:

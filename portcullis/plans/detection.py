@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portcullis.functions import columns as C
@@ -27,6 +30,8 @@ candidates AS (
      OR (kind = 'ip_address' AND len(list_filter(string_split(value, '.'), lambda x: CAST(x AS INTEGER) > 255)) = 0)
 )"""
 KINDS = ("email", "credit_card", "ip_address")
+#: Words of a run on which held-out items and documents meet; keys (8 bytes each) that go to every task at most.
+RUN, MOST_KEYS = 5, 1_000_000
 
 
 def _scan(spark, sf_dir):
@@ -66,8 +71,8 @@ FROM documents WHERE regexp_matches(text, '{EMAIL}')""",
 )
 def pii_redacted_documents(spark, sf_dir):
     """Documents with addresses, redacted by merged spans."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", D.matches(F.col("text"), ("email",)).alias("found")).where(F.size("found") > 0)
-    done = D.redacted(F.col("text"), D.spans(F.col("text"), F.col("found")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", D.located(F.col("text"), ("email",)).alias("found")).where(F.size("found") > 0)
+    done = D.redacted(F.col("text"), D.spans(F.col("found")))
     return docs.withColumn("redacted", done).select("doc_id", "redacted", (F.col("redacted") != F.col("text")).alias("changed"))
 
 
@@ -78,10 +83,9 @@ SELECT doc_id, value, CAST(instr(text, value) - 1 AS INTEGER) AS start, CAST(ins
 )
 def pii_redaction_spans(spark, sf_dir):
     """The first span of each address."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", D.matches(F.col("text"), ("email",)).alias("found"))
-    one = docs.select("doc_id", "text", F.explode(F.array_distinct("found")).alias("m"))
-    first = F.array_min(D.spans(F.col("text"), F.array("m")))
-    return one.select("doc_id", F.col("m.value").alias("value"), first["start"].alias("start"), first["end"].alias("stop"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(D.located(F.col("text"), ("email",))).alias("m"))
+    first = docs.groupBy("doc_id", F.col("m.value").alias("value")).agg(F.min(F.struct("m.start", "m.end")).alias("at"))
+    return first.select("doc_id", "value", F.col("at.start").alias("start"), F.col("at.end").alias("stop"))
 
 
 @register(
@@ -216,24 +220,40 @@ def heldout_leakage(spark, sf_dir):
     """Held-out texts that stand word for word in a document.
 
     Items and documents meet on a run of words inside the item: whatever stands around the item, its inner
-    words stand whole in the document too. Of the first inner runs of five words the one that the fewest items
-    share is the key. What meets is compared. Items with fewer inner words are looked for in all texts.
+    words stand whole in the document too. A run has five words, or all inner words of an item that has fewer.
+    Of the first inner runs the one that the fewest items share is the key. What meets is compared. Items of one
+    or two words have no inner words and are looked for in all texts.
     """
     words = F.split("text", r"[ \n\t]+")
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 5), " ")))
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), inner.alias("inner")).where("item is not null")
+    runs = lambda w, k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.lit(k), F.array_join(F.slice(w, i, k), " ")))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), words.alias("words")).where("item is not null")
+    items = items.select("item_id", "item", F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0))).alias("inner"))
+    width = F.least(F.size("inner"), F.lit(RUN))
+    widths = [r["k"] for r in items.select(width.alias("k")).distinct().collect()]
+    # The words are a column of their own, or each run would split the text again.
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
-    keyed = items.where(F.size("inner") >= 5).select("item_id", "item", F.explode(runs(F.slice("inner", 1, 12))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.countDistinct("item_id").alias("n"))
-    rarest = keyed.join(shared, "key").groupBy("item_id", "item").agg(F.min(F.struct("n", "key"))["key"].alias("key"))
-    own = docs.where(F.size(words) >= 5).select("doc_id", F.explode(F.array_distinct(runs(words))).alias("key"))
-    near = own.join(rarest, "key").select("doc_id", "item_id", "item").distinct()
-    long = docs.join(near, "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
-    # Items of six words or fewer have no key; they are few, and each is a literal of one pass over the texts.
-    short = [r["item"] for r in items.where(F.size("inner") < 5).select("item").distinct().collect()]
-    if not short:
-        return long
-    none = F.lit(None).cast("string")
-    held = docs.select("doc_id", F.explode(F.filter(F.array(*[F.when(F.contains("text", F.lit(x)), F.lit(x)).otherwise(none) for x in short]), lambda x: x.isNotNull())).alias("item"))
-    return long.unionByName(held.join(items, "item").select("item_id", "doc_id"))
+    cut = docs.select("doc_id", words.alias("words"))
+    found = []
+    if any(widths):
+        lists = [(k, items.where(width == k), cut.where(F.size("words") >= k)) for k in sorted(widths) if k]
+        keyed = _union(i.select("item_id", F.explode(runs(F.slice("inner", 1, 12), k)).alias("key")) for k, i, _ in lists)
+        shared = keyed.groupBy("key").agg(F.countDistinct("item_id").alias("n"))
+        rarest = keyed.join(shared, "key").groupBy("item_id").agg(F.min(F.struct("n", "key"))["key"].alias("key"))
+        own = _union(d.select("doc_id", F.explode(runs(F.col("words"), k)).alias("key")) for k, _, d in lists)
+        keys = rarest.select("key").distinct()
+        if keys.count() <= MOST_KEYS:  # then the runs of other keys aren't shuffled
+            own = own.join(F.broadcast(keys), "key", "left_semi")
+        near = own.join(rarest, "key").select("doc_id", "item_id").distinct().join(items.select("item_id", "item"), "item_id")
+        found.append(docs.join(near, "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id"))
+    if 0 in widths:
+        short = [r["item"] for r in items.where(width == 0).select("item").distinct().collect()]
+        none = F.lit(None).cast("string")
+        held = docs.select("doc_id", F.explode(F.filter(F.array(*[F.when(F.contains("text", F.lit(x)), F.lit(x)).otherwise(none) for x in short]), lambda x: x.isNotNull())).alias("item"))
+        found.append(held.join(items, "item").select("item_id", "doc_id"))
+    if not found:  # no items
+        return items.select("item_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id")).limit(0)
+    return _union(found)
+
+
+def _union(tables) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
