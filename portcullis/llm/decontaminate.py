@@ -44,6 +44,8 @@ PART_BYTES = 8 << 20
 PORTION = 1 << 20
 #: Entries in a block of a posting list, items in a block of the test over all passages at once.
 BLOCK, ITEMS = 16, 4
+#: A word that stands in one of so many blocks of items or more has a row of them all; sums (chunks by blocks) held at once.
+DENSE, SUMS = 16, 4 << 20
 words_of = re.compile(r"\w+").findall
 
 
@@ -85,11 +87,26 @@ class Index:
         self.codes, begin = np.unique(codes[order], return_index=True)
         self.code_ends = np.append(begin, len(codes))
         self.code_items = np.fromiter((i for i, _ in every), np.int64, len(every))[order]
-        # For each word the largest impact on each block of items; the last row is for all other words.
+        # For each word its largest impact on each block of items: a row of all blocks for words that stand in many
+        # of them (so these rows are at most ``DENSE`` times as large as the postings), a list for the others.
         self.term = {w: i for i, w in enumerate(self.postings)}
-        self.blocks = np.zeros((len(self.term) + 1, -(-len(items) // ITEMS)), np.float32)
-        for w, (at, values, _) in self.postings.items():
-            np.maximum.at(self.blocks[self.term[w]], np.array(at) // ITEMS, np.array(values, np.float32))
+        self.width = -(-len(items) // ITEMS)
+        self.row = np.full(len(self.term), -1)
+        lists_of: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = []
+        for i, (at, values, _) in enumerate(self.postings.values()):
+            block, begin = np.unique(np.array(at) // ITEMS, return_index=True)
+            most = np.maximum.reduceat(np.array(values, np.float32), begin)
+            if len(block) * DENSE >= self.width:
+                self.row[i] = len(rows)
+                rows.append(np.zeros(self.width, np.float32))
+                rows[-1][block] = most
+                block, most = block[:0], most[:0]
+            lists_of.append((block, most))
+        self.rows = np.array(rows, np.float32).reshape(len(rows), self.width)
+        self.list_ends = np.concatenate([[0], np.cumsum([len(b) for b, _ in lists_of])]).astype(np.int64)
+        self.list_blocks = np.concatenate([np.zeros(0, np.int64), *[b for b, _ in lists_of]])
+        self.list_values = np.concatenate([np.zeros(0, np.float32), *[m for _, m in lists_of]])
 
     def retrieve(self, words: set[str]) -> list[tuple[int, float]]:
         """Items of score 1 or more for a query, by block-max WAND."""
@@ -177,19 +194,37 @@ class Index:
         chunk = np.repeat(first, lengths) + place // size
         known = ids < none
         pairs = np.unique(chunk[known] * none + ids[known])
-        sums = np.zeros((int(chunks.sum()) + 1, self.blocks.shape[1]), np.float32)
-        if len(pairs):
-            owner = pairs // none
-            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            sums[owner[starts]] = np.add.reduceat(self.blocks[pairs % none], starts)
-        both = sums[:-1].copy()
-        last = first + chunks - 1
-        inner = np.ones(len(both), bool)
-        inner[last] = False
-        both[inner] += sums[1:][inner]
-        able = (both >= 1 - 1e-4).any(1) if both.shape[1] else np.zeros(len(both), bool)
+        number = int(chunks.sum())
+        able = np.zeros(number, bool)
+        last = np.zeros(number, bool)
+        last[first + chunks - 1] = True
+        some = max(2, SUMS // max(1, self.width))
+        owner = pairs // none if none else pairs
+        for begin in range(0, number, some):  # chunks whose sums are held together, and the one after them
+            end = min(begin + some, number)
+            own = slice(*np.searchsorted(owner, [begin, end + 1]))
+            sums = self._sums(owner[own] - begin, pairs[own] % max(1, none), end + 1 - begin)
+            both = sums[:-1]
+            inner = ~last[begin:end]
+            both[inner] += sums[1:][inner]
+            able[begin:end] = (both >= 1 - 1e-4).any(1)
         return [np.flatnonzero(able[f : f + n]) * size for f, n in zip(first.tolist(), chunks.tolist(), strict=True)]
 
+    def _sums(self, owner: np.ndarray, term: np.ndarray, number: int) -> np.ndarray:
+        """For each of ``number`` owners (ascending) the summed impacts of its words on each block of items."""
+        sums = np.zeros((number, self.width), np.float32)
+        often = np.flatnonzero(self.row[term] >= 0)
+        if len(often):
+            own = owner[often]
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            sums[own[starts]] = np.add.reduceat(self.rows[self.row[term[often]]], starts)
+        sizes = np.diff(self.list_ends)[term]
+        if sizes.any():
+            at = np.arange(sizes.sum()) + np.repeat(self.list_ends[term] - (np.cumsum(sizes) - sizes), sizes)
+            cell = np.repeat(owner, sizes) * self.width + self.list_blocks[at]
+            sums += np.bincount(cell, self.list_values[at], number * self.width).astype(np.float32).reshape(sums.shape)
+        return sums
+
     def matches(self, words: list[str], begins: np.ndarray, whole: list[int]) -> list[tuple[int, float, float, float, float]]:
         """(item, score, overlap, overlap of question, of answer) of the items that a text holds."""
         best: dict[int, float] = {}
