@@ -287,3 +287,24 @@ def test_margins_over_blocks_equal_those_of_one_array(spark, monkeypatch):
             m.setattr("portcullis.operators.vectors.MOST", 1)
             m.setattr("portcullis.operators.vectors.BLOCK", 7)
             assert sorted(map(tuple, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) == whole
+
+
+def test_matches_are_where_the_pattern_found_them(spark):
+    value = "żółć: xa@b.co, then a@b.co and 95260250274, nip 5260250274"
+    found = one(spark, detectors.located(F.col("t"), ("email", "nip")), t=value)
+    assert [(m.kind, m.value) for m in found] == [("email", "xa@b.co"), ("email", "a@b.co"), ("nip", "5260250274")]
+    assert all(value[m.start : m.end] == m.value for m in found)
+    masked = detectors.redacted(F.col("t"), detectors.spans(detectors.located(F.col("t"), ("email", "nip"))))
+    assert one(spark, masked, t=value) == "żółć: [REDACTED:email], then [REDACTED:email] and 95260250274, nip [REDACTED:nip]"
+    assert one(spark, detectors.located(F.col("t"), ("email",)), t="") == []
+
+
+def test_held_out_items_of_any_length(spark, tmp_path):
+    from portcullis import plans
+
+    items = ["x", "lone pair", "a short one here", "a longer item with its own inner words here", "in (the quotes stand these words of it all)", None, "absent from every one of the documents"]
+    texts = ["nothing", "xx lone pair", "so a short one here-", "'a longer item with its own inner words here'", "text in (the quotes stand these words of it all).", None, ""]
+    spark.createDataFrame(list(enumerate(items)), "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {tuple(r) for r in plans.QUERIES["heldout_leakage"](spark, str(tmp_path)).collect()}
+    assert found == {(i, d) for i, a in enumerate(items) for d, b in enumerate(texts) if a is not None and b is not None and a in b}
