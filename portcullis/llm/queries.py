@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import decontaminate, language_id, ngram_lm, sentencepiece_codec, simhash_dedup, suffix_dedup, token_counts, token_shards, url_rules, vector_topk
+from portcullis.llm import alignment, decontaminate, language_id, ngram_lm, sentencepiece_codec, simhash_dedup, suffix_dedup, token_counts, token_shards, url_rules, vector_topk
 from portcullis.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,10 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cuts are those of 400-byte strings alone; ``n_passage_bytes`` tells of repeated passages of over 50 words."""
     cut = suffix_dedup.strip(table(spark, sf_dir, "documents"), ["doc_id"], words=51, cut_words=False)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_bytes")
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    found = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path(PIECES), ["doc_id"], groups=digest)
+    return found.withColumnRenamed("groups", "groups_sha256")
