@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import alignment, decontaminate, language_id, ngram_lm, sentencepiece_codec, simhash_dedup, suffix_dedup, token_counts, token_shards, url_rules, vector_topk
+from portcullis.llm import alignment, decontaminate, language_id, ngram_lm, prefix_trie, sentencepiece_codec, simhash_dedup, suffix_dedup, token_counts, token_shards, url_rules, vector_topk
 from portcullis.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
     found = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path(PIECES), ["doc_id"], groups=digest)
     return found.withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op13_prefix_trie"] = prefix_trie.ORACLE
