@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import alignment, decontaminate, language_id, ngram_lm, prefix_trie, sentencepiece_codec, simhash_dedup, suffix_dedup, token_counts, token_shards, url_rules, vector_topk
+from portcullis.llm import alignment, chat_format, decontaminate, language_id, ngram_lm, prefix_trie, sentencepiece_codec, simhash_dedup, suffix_dedup, token_counts, token_shards, url_rules, vector_topk
 from portcullis.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,14 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("groups", "groups_sha256")
 
 
+@query
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digest(chat_format.read_back(chat_format.conversations(table(spark, sf_dir, "conversations"))))
+
+
+ORACLE_SQL["op12_chat_format"] = chat_format.ORACLE
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
