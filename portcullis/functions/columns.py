@@ -70,11 +70,11 @@ def tokens_of_segment(text: Column) -> Column:
 
 
 def chunks(text: Column, size: int = 2000, overlap: int = 200, most: int = 8) -> Column:
-    """Overlapping pieces; of too many the first ones and the last."""
+    """Overlapping pieces; of too many the first ones and the text's end."""
     step = size - overlap
     number = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), number - 1), lambda i: F.substring(text, i * step + 1, F.lit(size)))
-    kept = F.concat(F.slice(pieces, 1, most - 1), F.slice(pieces, -1, 1))
+    kept = F.concat(F.slice(pieces, 1, most - 1), F.array(F.right(text, F.lit(size))))
     return F.when(number > most, kept).otherwise(pieces)
 
 

@@ -16,18 +16,37 @@ def counts(events: DataFrame, *keys: Column | str) -> DataFrame:
     return keyed
 
 
+#: Bins of the histogram for each e-fold of a value: the values of a bin differ by a hundred-thousandth.
+BINS = 100_000
+
+
+def _bin(value: Column) -> Column:
+    """The bin of a value, in the order of values; infinities and NaN have the outermost."""
+    size = F.abs(value.cast("double"))
+    inside = (F.signum(value.cast("double")) * F.floor(F.log1p(size) * BINS)).cast("long")
+    return F.when(F.isnan(size), 1 << 62).when(size == float("inf"), F.signum(value.cast("double")).cast("long") * (1 << 61)).otherwise(inside)
+
+
 def _at_places(values: DataFrame, key: str, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Count and the values at places (from 0) of each key's sorted values.
 
-    Equal values are counted before the shuffle and ranked as one, so a key with any share of the rows
-    brings its different values alone.
+    A histogram of each key tells the bin that holds a place and how many values stand before it; then the
+    values of that bin alone are counted and ranked. Bins and equal values are counted before the shuffle, so a
+    key with any share of the rows brings its bins, and nothing sorts or holds its values.
     """
-    counted = values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__n"))
-    order = Window.partitionBy(key).orderBy(value)
-    ranked = counted.withColumns({"__to": F.sum("__n").over(order), "__all": F.sum("__n").over(Window.partitionBy(key))})
-    here = lambda place: place.between(F.col("__to") - F.col("__n"), F.col("__to") - 1)
-    picks = [F.max(F.when(here(place(F.col("__all"))), F.col(value))).alias(name) for name, place in places.items()]
-    return ranked.groupBy(key).agg(F.sum("__n").alias("n"), *picks)
+    rows = values.where(F.col(value).isNotNull()).select(key, F.col(value).alias("__v"), _bin(F.col(value)).alias("__bin"))
+    bins = rows.groupBy(key, "__bin").agg(F.count("*").alias("__n"))
+    own = Window.partitionBy(key)
+    ranked = bins.withColumns({"__before": F.sum("__n").over(own.orderBy("__bin")) - F.col("__n"), "__all": F.sum("__n").over(own)})
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(F.col("__all")).cast("long").alias("place")) for name, place in places.items()])).alias("__x")
+    held = ranked.select(key, "__bin", "__before", "__n", "__all", wanted).where("__x.place between __before and __before + __n - 1")
+    # A row for each key and place; null keys are a key like others.
+    sought = held.select(F.col(key).alias("__key"), F.col("__bin").alias("__in"), F.col("__x.name").alias("__name"), (F.col("__x.place") - F.col("__before")).alias("__place"), F.col("__all"))
+    inside = rows.join(sought.select("__key", "__in").distinct(), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__bin") == F.col("__in")), "left_semi").groupBy(key, "__bin", "__v").agg(F.count("*").alias("__n"))
+    to = F.sum("__n").over(Window.partitionBy(key, "__bin").orderBy("__v"))
+    counted = inside.withColumn("__to", to)
+    met = counted.join(sought, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__bin") == F.col("__in")) & F.col("__place").between(F.col("__to") - F.col("__n"), F.col("__to") - 1))
+    return met.groupBy(key).agg(F.max("__all").alias("n"), *[F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in places])
 
 
 def nearest_even_percentiles(values: DataFrame, key: str, value: str, shares: tuple[float, ...]) -> DataFrame:
@@ -39,8 +58,7 @@ def nearest_even_percentiles(values: DataFrame, key: str, value: str, shares: tu
 
 def nearest_rank_percentiles(values: DataFrame, key: str, value: str, shares: tuple[float, ...]) -> DataFrame:
     """The value at place ceil(q n) - 1."""
-    picks = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(f"p{int(q * 100)}") for q in shares]
-    return values.groupBy(key).agg(F.count("*").alias("n"), *picks)
+    return _at_places(values, key, value, {f"p{int(q * 100)}": (lambda n, q=q: F.greatest(F.lit(0), F.ceil(F.lit(q) * n) - 1)) for q in shares})
 
 
 def half_up_percentiles(values: DataFrame, key: str, value: str, shares: tuple[float, ...]) -> DataFrame:

@@ -13,10 +13,11 @@ from portcullis.functions.columns import SEVERITIES, severity_rank
 RISK = {"low": 0.2, "medium": 0.5, "high": 0.8, "critical": 1.0}
 
 
-def merge_feeds(feeds: DataFrame) -> DataFrame:
-    """Of a repeated id the one in the feed that sorts first."""
-    first = Window.partitionBy("id").orderBy("feed")
-    return feeds.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+def merge_feeds(feeds: DataFrame, order: tuple[str, ...] = ("feed",)) -> DataFrame:
+    """Of a repeated id the entry that sorts first by ``order``."""
+    others = [c for c in feeds.columns if c != "id"]
+    first = feeds.groupBy("id").agg(F.min_by(F.struct(*others), F.struct(*order)).alias("__first"))
+    return first.select("id", *[F.col(f"__first.`{c}`").alias(c) for c in others])
 
 
 def java(pattern: str) -> str:

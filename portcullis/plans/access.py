@@ -22,7 +22,6 @@ SIGNATURES = [
     {"id": "S-3", "severity": "high", "pattern": "(?i)that is"},
     {"id": "S-4", "severity": "critical", "pattern": "(?i)and in the"},
 ]
-FEEDS = [("b", "S-1", "medium"), ("a", "S-1", "low"), ("a", "S-2", "medium"), ("c", "S-2", "critical"), ("c", "S-9", "high")]
 GRANT_SQL = f"g(role, tool) AS ({values(GRANTS)}), t(tool) AS ({values(TOOLS)}), calls AS (SELECT o.o_orderkey, c.c_mktsegment AS role, o.o_orderpriority AS tool FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey)"
 MESSAGES_SQL = "m AS (SELECT conv_id, turn, role, text, CASE WHEN turn % 2 = 0 THEN 'name-' || role END AS name FROM conversations)"
 
@@ -161,12 +160,6 @@ def signature_control(spark, sf_dir):
     return G.pattern_control(docs, "doc_id", SIGNATURES, "medium")
 
 
-@register("merged_feeds", f"WITH f(feed, id, severity) AS ({values(FEEDS)}) SELECT id, feed, severity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY feed) AS k FROM f) WHERE k = 1")
-def merged_feeds(spark, sf_dir):
-    """A8."""
-    return G.merge_feeds(spark.createDataFrame(FEEDS, "feed string, id string, severity string")).select("id", "feed", "severity")
-
-
 @register("canary_hits", "SELECT doc_id FROM documents WHERE contains(text, 'Apache License') OR contains(text, 'GNU General')")
 def canary_hits(spark, sf_dir):
     """E14, with license names as the planted tokens."""
@@ -215,13 +208,24 @@ def embedding_verdict(spark, sf_dir):
 def leave_group_out(spark, sf_dir):
     """F8: examples against the others, their own group left out."""
     queries, examples = _vectors(spark, sf_dir)
-    return V.margins(queries.where("query % 5 = 0"), examples, exclude=lambda e: (F.col("query") == e["example"]) | (F.col("query_group") == e["group"]))
+    return V.margins(queries.where("query % 5 = 0"), examples, leave_out=True)
+
+
+# All pairs of the reference grid; what reaches either pair of thresholds is counted anew here, point by point.
+CALIBRATE_SQL = f"""WITH {_margin_sql('q.vec_id % 5 <> 0', 'false')},
+g AS (SELECT CAST(s AS DOUBLE) / 100 AS sim, CAST(m AS DOUBLE) / 100 AS gap FROM range(40, 96) a(s), range(0, 41) b(m)),
+p AS (SELECT query_label < 5 AS is_attack, attack, margin, count(*) AS n FROM r GROUP BY ALL),
+z AS (SELECT CAST(sum(n) FILTER (is_attack) AS DOUBLE) AS attacks, CAST(sum(n) FILTER (NOT is_attack) AS DOUBLE) AS benigns FROM p),
+x AS (SELECT sim, gap, coalesce(sum(n) FILTER (is_attack), 0) / any_value(z.attacks) AS recall, coalesce(sum(n) FILTER (NOT is_attack), 0) / any_value(z.benigns) AS rate FROM g CROSS JOIN z LEFT JOIN p ON p.attack >= sim AND p.margin >= gap GROUP BY sim, gap),
+b AS (SELECT * FROM x WHERE rate <= 0.02 ORDER BY recall DESC, sim + gap DESC, sim DESC, gap DESC LIMIT 1),
+y AS (SELECT g.sim, g.gap, coalesce(sum(n) FILTER (is_attack), 0) / any_value(z.attacks) AS recall, coalesce(sum(n) FILTER (NOT is_attack), 0) / any_value(z.benigns) AS rate
+  FROM g JOIN b ON g.sim <= b.sim CROSS JOIN z LEFT JOIN p ON (p.attack >= g.sim AND p.margin >= g.gap) OR (p.attack >= b.sim AND p.margin >= b.gap) GROUP BY g.sim, g.gap),
+j AS (SELECT * FROM y WHERE rate <= 0.1 ORDER BY recall DESC, sim + gap DESC, sim DESC, gap DESC LIMIT 1)
+SELECT b.sim AS sim_block, b.gap AS margin_block, j.sim AS sim_grey, j.gap AS margin_grey, round(b.recall, 6) AS block_recall, round(b.rate, 6) AS block_rate, round(j.recall, 6) AS total_recall, round(j.rate, 6) AS escalation FROM b, j"""
 
 
-@register("calibrate_grid", f"""WITH {_margin_sql('q.vec_id % 5 <> 0', 'false')}, g AS (SELECT sim / 20.0 AS sim, gap / 50.0 AS gap FROM range(2, 16) a(sim), range(0, 6) b(gap)),
-x AS (SELECT CAST(sim AS DOUBLE) AS sim, CAST(gap AS DOUBLE) AS gap, round(avg(CAST(attack >= sim AND margin >= gap AS INTEGER)) FILTER (query_label < 5), 6) AS recall, round(avg(CAST(attack >= sim AND margin >= gap AS INTEGER)) FILTER (query_label >= 5), 6) AS false_rate FROM r, g GROUP BY ALL)
-SELECT * FROM x WHERE false_rate <= 0.05 ORDER BY recall DESC, sim DESC, gap DESC LIMIT 1""")
+@register("calibrate_grid", CALIBRATE_SQL)
 def calibrate_grid(spark, sf_dir):
-    """Thresholds with the best recall at no more than 5 % false positives."""
+    """Thresholds to block at 2 % of benign texts, and to ask a judge at 10 %, on the whole grid of 56 x 41."""
     scored = embedding_topk_margin(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query"), F.when(F.col("label") < 5, "attack").otherwise("benign").alias("label")), "query")
-    return V.calibrate(scored, 0.05, [i / 20 for i in range(2, 16)], [i / 50 for i in range(6)])
+    return V.calibrate(scored, 0.02, 0.1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from portcullis.functions import columns as C
 from portcullis.operators import detectors as D
 from portcullis.plans import register
+from portcullis.sources import requests as R
 from portcullis.sources.tables import table
 
 # The candidates' patterns in RE2, which has no look-around: the neighbours are taken along and trimmed.
@@ -76,6 +77,28 @@ def pii_redacted_documents(spark, sf_dir):
     return docs.withColumn("redacted", done).select("doc_id", "redacted", (F.col("redacted") != F.col("text")).alias("changed"))
 
 
+@register(
+    "redacted_arguments",
+    f"""WITH d AS (SELECT doc_id, lang, text, text IS NOT NULL AND regexp_matches(text, '{EMAIL}') AS hit FROM documents)
+SELECT doc_id, CASE WHEN hit THEN 'redact' ELSE 'allow' END AS action, CASE WHEN hit THEN 3 ELSE 0 END AS n_redacted, md5(text) AS kept, lang,
+  md5(regexp_replace(text, '{EMAIL}', '[REDACTED:email]', 'g')) AS body, md5('re: ' || regexp_replace(text, '{EMAIL}', '[REDACTED:email]', 'g')) AS part FROM d""",
+)
+def redacted_arguments(spark, sf_dir):
+    """Texts inside nested arguments, redacted and written back; the argument ``to`` isn't redacted."""
+    docs = table(spark, sf_dir, "documents")
+    part = lambda kind, text: F.struct(kind.alias("kind"), text.alias("a/b~c"))
+    none = F.lit(None).cast("string")
+    parts = F.array(part(F.col("lang"), none), part(none, F.concat(F.lit("re: "), "text")))
+    args = F.to_json(F.struct(F.col("text").alias("to"), F.struct(F.col("text").alias("body.text"), F.col("lang")).alias("mail"), parts.alias("parts"), F.col("n_chars")))
+
+    def redact(text):
+        return D.redacted(text, D.spans(D.located(text, ("email",)))), F.lit(True)
+
+    done = R.redact_arguments(docs.select("doc_id", args.alias("args")), "doc_id", "args", redact, ["to"])
+    at = lambda path: F.get_json_object("redacted", path)
+    return done.select("doc_id", "action", "n_redacted", F.md5(at("$.to")).alias("kept"), at("$.mail.lang").alias("lang"), F.md5(at("$.mail['body.text']")).alias("body"), F.md5(at("$.parts[1]['a/b~c']")).alias("part"))
+
+
 @register(
     "pii_redaction_spans",
     f"""WITH e AS (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '{EMAIL}'))) AS value FROM documents)
@@ -160,11 +183,11 @@ def conversation_size_check(spark, sf_dir):
     return sized.withColumn("outcome", F.when(F.col("messages") > 6, "max_messages").when(F.col("longest") > 1000, "max_chars").otherwise("allow"))
 
 
-@register("text_chunks", """SELECT doc_id, i AS chunk, md5(substr(text, i * 1800 + 1, 2000)) AS chunk_md5 FROM (
+@register("text_chunks", """SELECT doc_id, i AS chunk, md5(CASE WHEN n > 8 AND i = n - 1 THEN right(text, 2000) ELSE substr(text, i * 1800 + 1, 2000) END) AS chunk_md5 FROM (
   SELECT doc_id, text, CAST(greatest(1, ceil((length(text) - 200) / 1800.0)) AS INTEGER) AS n FROM documents), range(0, 1000) t(i)
 WHERE i < n AND (n <= 8 OR i < 7 OR i = n - 1)""")
 def text_chunks(spark, sf_dir):
-    """Overlapping chunks; of too many the first ones and the last, under its own number."""
+    """Overlapping chunks; of too many the first ones and the text's end, under the number of the last."""
     number = F.greatest(F.lit(1), F.ceil((F.length("text") - 200) / 1800)).cast("long")
     docs = table(spark, sf_dir, "documents").select("doc_id", number.alias("n"), F.posexplode(C.chunks(F.col("text"))))
     at = F.when((F.col("n") > 8) & (F.col("pos") == 7), F.col("n") - 1).otherwise(F.col("pos").cast("long"))

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from portcullis.functions import text as T
 from portcullis.operators import approvals as P
+from portcullis.operators import readings as N
 from portcullis.plans import register
 from portcullis.plans.audit_view import values
 from portcullis.sources import policy as Y
 from portcullis.sources import requests as R
 from portcullis.sources.tables import table
 
-CASES = [("a", "C-SIZE", "negative"), ("b", "C-SIZE", "positive"), ("c", "C-SIZE", "edge"), ("d", "C-SIG", "negative"), ("e", "C-SIG", "negative")]
-CONTROLS = [("C-SIZE", 20, "chars", "100", "enforce"), ("C-SIG", 25, "floor", "low", "shadow"), ("C-OLD", 30, "x", "1", "enforce")]
-LEVELS = [("C-SIZE", "strict", "chars", "50"), ("C-SIG", "strict", "mode", "enforce"), ("C-SIG", "balanced", "floor", "high")]
 
 
 @register("folded_documents", "SELECT doc_id, md5(lower(trim(regexp_replace(replace(text, 'ß', 'ss'), '\\s+', ' ', 'g')))) AS norm_md5 FROM documents")
@@ -30,6 +29,33 @@ def decoded_fragments(spark, sf_dir):
     return found.select("doc_id", F.explode("decoded").alias("f")).groupBy(F.col("f.codec").alias("codec")).agg(F.count("*").alias("fragments"), F.countDistinct("doc_id").alias("documents"))
 
 
+@register("classifier_texts", r"""WITH s AS (SELECT conv_id, turn, text, lower(trim(regexp_replace(replace(text, 'ß', 'ss'), '\s+', ' ', 'g'))) AS norm FROM conversations),
+v AS (SELECT conv_id, turn, 0 AS k, text AS t FROM s UNION ALL SELECT conv_id, turn, 1, norm FROM s WHERE norm <> lower(replace(text, 'ß', 'ss')) UNION ALL SELECT conv_id, turn, 2, reverse(event) FROM (SELECT conv_id, turn, text AS event FROM s WHERE turn % 3 = 0)),
+c AS (SELECT conv_id, turn, k, i, CASE WHEN n > 3 AND i = 2 THEN right(t, 300) ELSE substr(t, i * 100 + 1, 300) END AS piece FROM (SELECT *, CAST(CASE WHEN length(t) <= 300 THEN 1 ELSE ceil((length(t) - 200) / 100.0) END AS INTEGER) AS n FROM v), range(0, 3) x(i) WHERE i < n),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, k, i) AS place FROM c WHERE NOT regexp_full_match(piece, '\s*'))
+SELECT conv_id, CAST(place AS INTEGER) AS place, turn AS segment, md5(piece) AS text_md5 FROM r WHERE place <= 6""")
+def classifier_texts(spark, sf_dir):
+    """C17: what a classifier reads of each conversation: the latest turns' texts, normal forms and decoded fragments
+    (here every third turn's from its end), in chunks of 300, three of a text and six of a conversation."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("segment"), "text")
+    fragments = F.when(F.col("segment") % 3 == 0, F.array(F.struct(F.reverse("text").alias("text"), F.lit("made").alias("codec"))))
+    read = N.texts_for(turns.withColumns({"norm": T.fold("text"), "decoded": fragments}), "conv_id", 300, 3, 6)
+    return read.select("conv_id", "place", "segment", F.md5("text").alias("text_md5"))
+
+
+@register("new_fragments", r"""WITH f AS (SELECT conv_id, turn, lower(replace(text, 'ß', 'ss')) AS a, CASE turn % 4 WHEN 0 THEN reverse(upper(replace(text, 'ß', 'ss'))) WHEN 1 THEN lag(text) OVER (PARTITION BY conv_id ORDER BY turn) WHEN 2 THEN left(text, length(text) // 2) ELSE translate(text, 'aeo', '430') END AS fragment FROM conversations),
+h AS (SELECT *, lower(replace(fragment, 'ß', 'ss')) AS b, length(regexp_replace(fragment, '[^\p{L}\s]', '', 'g')) AS wordish FROM f),
+m AS (SELECT *, list_histogram(string_split(a, '')) AS ha, list_histogram(string_split(b, '')) AS hb FROM h),
+s AS (SELECT *, coalesce(list_sum(list_transform(map_keys(hb), lambda c: least(hb[c], coalesce(ha[c], 0)))), 0) AS common FROM m)
+SELECT conv_id, turn, coalesce(fragment IS NOT NULL AND trim(fragment) <> '' AND wordish >= 0.7 * length(fragment) AND 2.0 * common / (length(a) + length(b)) < 0.8, false) AS shown FROM s""")
+def new_fragments(spark, sf_dir):
+    """Which readings of a turn say something new: its reversal, the turn before it, its first half, or digits for letters."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("before"))
+    kind, text = F.col("turn") % 4, F.col("text")
+    fragment = F.when(kind == 0, F.reverse(F.upper(F.replace(text, F.lit("ß"), F.lit("ss"))))).when(kind == 1, F.col("before")).when(kind == 2, F.left(text, F.floor(F.length(text) / 2).cast("int"))).otherwise(F.translate(text, "aeo", "430"))
+    return turns.select("conv_id", "turn", N.new_fragment(text, fragment).alias("shown"))
+
+
 @register("request_leaves", "SELECT event_id, 'note' AS path, 'event ' || event_type AS text FROM events UNION ALL SELECT event_id, 'items[1].title', 'n' || user_id FROM events")
 def request_leaves(spark, sf_dir):
     """Strings of each event's arguments (built here), with their paths."""
@@ -68,24 +94,6 @@ def judge_verdicts(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", said["injection"].alias("injection"), said["score"].alias("score"))
 
 
-@register("case_coverage", f"WITH c(id, control_id, kind) AS ({values(CASES)}) SELECT control_id, count(*) FILTER (kind = 'negative') AS negative, count(*) FILTER (kind = 'positive') AS positive, count(*) FILTER (kind = 'edge') AS edge FROM c GROUP BY 1")
-def case_coverage(spark, sf_dir):
-    """A12, G4."""
-    from portcullis.sources.audit import case_coverage as covered
-
-    return covered(spark.createDataFrame([(i, [c], k) for i, c, k in CASES], "id string, controls array<string>, kind string"))
-
-
-@register("level_configs", f"""WITH c(control_id, priority, k, v, mode) AS ({values(CONTROLS)}), l(control_id, profile, k, v) AS ({values(LEVELS)})
-SELECT c.control_id, CASE WHEN l.k = 'mode' THEN l.v ELSE c.mode END AS mode, CASE WHEN l.k = c.k THEN l.v ELSE c.v END AS value FROM c JOIN l ON l.control_id = c.control_id AND l.profile = 'strict'""")
-def level_configs(spark, sf_dir):
-    """Parameters under the strict profile; a control without a level has none."""
-    controls = spark.createDataFrame([(c, p, [], {k: v, "mode": m}) for c, p, k, v, m in CONTROLS], "control_id string, priority int, stages array<string>, params map<string,string>")
-    levels = spark.createDataFrame([(c, p, {k: v}) for c, p, k, v in LEVELS], "control_id string, profile string, level map<string,string>")
-    keys = spark.createDataFrame([(c, k) for c, _, k, _, _ in CONTROLS], "control_id string, k string")
-    return Y.resolved(controls, levels, "strict").join(keys, "control_id").select("control_id", "mode", F.element_at("config", F.col("k")).alias("value"))
-
-
 @register("identity_profiles", "SELECT CAST(user_id AS VARCHAR) AS identity, CASE WHEN user_id % 3 = 0 THEN 'strict' ELSE 'balanced' END AS profile, count(*) AS n FROM events GROUP BY ALL")
 def identity_profiles(spark, sf_dir):
     """D3."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,33 +58,103 @@ def proposed_calls(message: Column) -> Column:
     return F.transform(every, lambda c: c.withField("arguments", parsed(c["arguments"])))
 
 
-def _leaves(value: object, path: str) -> Iterator[tuple[str, str]]:
+def _leaves(value: object, path: str, pointer: str) -> Iterator[tuple[str, str, str]]:
     if isinstance(value, str):
         if value.strip():
-            yield path, value
+            yield path, value, pointer
     elif isinstance(value, dict):
         for key, below in value.items():
-            yield from _leaves(below, f"{path}.{key}" if path else key)
+            yield from _leaves(below, f"{path}.{key}" if path else key, f"{pointer}/{key.replace('~', '~0').replace('/', '~1')}")
     elif isinstance(value, list):
         for i, below in enumerate(value):
-            yield from _leaves(below, f"{path}[{i}]")
+            yield from _leaves(below, f"{path}[{i}]", f"{pointer}/{i}")
 
 
-@F.udtf(returnType=T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType())]))
+@F.udtf(returnType=T.StructType([T.StructField(n, T.StringType()) for n in ("path", "text", "pointer")]))
 class JsonLeaves:
-    """Every string of a JSON document that isn't blank, with its path, in order; text that
-    is no JSON is one leaf without a path."""
+    """Every string of a JSON document that isn't blank, with its path, in order, and its
+    pointer, which no key can confuse; text that is no JSON is one leaf without either."""
 
-    def eval(self, document: str) -> Iterator[tuple[str | None, str]]:
+    def eval(self, document: str) -> Iterator[tuple[str | None, str, str | None]]:
         if document is None:
             return
         try:
             value = json.loads(document)
         except ValueError:
             if document.strip():
-                yield None, document
+                yield None, document, None
             return
-        yield from _leaves(value, "")
+        yield from _leaves(value, "", "")
+
+
+def _put(value: object, pointer: str, text: str) -> bool:
+    """Write a text where a pointer leads, in place; False where there is nothing."""
+    steps = [step.replace("~1", "/").replace("~0", "~") for step in pointer.split("/")[1:]]
+    for n, step in enumerate(steps, 1):
+        if isinstance(value, list) and step.isdigit() and int(step) < len(value):
+            step = int(step)
+        elif not (isinstance(value, dict) and step in value):
+            return False
+        if n == len(steps):
+            value[step] = text
+            return True
+        value = value[step]
+    return False
+
+
+def _written(document: str | None, edits: list, keep: list[str]) -> tuple[str | None, int]:
+    """The document with the edits, and the number of those that couldn't be written."""
+    if document is None:
+        return None, len(edits)
+    try:
+        value, original = json.loads(document), json.loads(document)
+    except ValueError:  # one leaf, without a pointer
+        whole = [e for e in edits if e["pointer"] is None]
+        return (whole[-1]["text"] if whole else document), len(edits) - len(whole)
+    lost = 0
+    for edit in edits:
+        if edit["pointer"] == "" and isinstance(value, str):
+            value = edit["text"]
+        elif not edit["pointer"] or not _put(value, edit["pointer"], edit["text"]):
+            lost += 1
+    if isinstance(value, dict):
+        value |= {k: original[k] for k in keep if k in original}
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":")), lost
+
+
+def write_back(document: Column, edits: Column, keep: list[str] | None = None) -> Column:
+    """struct<document, unwritable>: JSON text with new texts at the pointers of its leaves, all in one
+    pass. ``edits`` is array<struct<pointer, text>>; top-level names in ``keep`` stay as they were. What can't be
+    written is counted: a redaction that isn't carried out has to become a block."""
+    kept = list(keep or ())
+
+    @F.pandas_udf(T.StructType([T.StructField("document", T.StringType()), T.StructField("unwritable", T.IntegerType())]))
+    def written(documents, edits):
+        import pandas as pd
+
+        return pd.DataFrame([_written(d, [] if e is None else list(e), kept) for d, e in zip(documents, edits, strict=True)], columns=["document", "unwritable"])
+
+    return written(document, edits)
+
+
+def redact_arguments(calls: DataFrame, key: str, args: str, redact: Callable[[Column], tuple[Column, Column]], keep: list[str] | None = None) -> DataFrame:
+    """``calls`` with what a redaction makes of the strings in their arguments: ``redacted``
+    (JSON text), ``n_redacted`` and ``action``: allow, redact, or block where a text can't be redacted in place.
+
+    ``redact`` gives a text's redacted form and whether that can be done. Calls are known by ``key``.
+    """
+    leaves = calls.select(key, args).lateralJoin(JsonLeaves(F.col(args).outer()))
+    text, possible = redact(F.col("text"))
+    changed = leaves.select(key, "pointer", text.alias("now"), possible.alias("possible"), "text").where("now <> text or not possible")
+    edits = changed.groupBy(key).agg(
+        F.collect_list(F.when(F.col("possible"), F.struct("pointer", F.col("now").alias("text")))).alias("__edits"), F.count(F.when(~F.col("possible"), 1)).alias("__stuck")
+    )
+    found = calls.join(edits, key, "left").withColumn("__made", F.when(F.size("__edits") > 0, write_back(F.col(args), F.col("__edits"), keep)))
+    stuck = F.coalesce("__stuck", F.lit(0)) + F.coalesce("__made.unwritable", F.lit(0))
+    n = F.coalesce(F.size("__edits"), F.lit(0))
+    n = F.when(n < 0, 0).otherwise(n)
+    action = F.when(stuck > 0, "block").when(n > 0, "redact").otherwise("allow")
+    return found.withColumns({"redacted": F.coalesce("__made.document", args), "n_redacted": n, "action": action}).drop("__edits", "__stuck", "__made")
 
 
 def is_description(path: Column) -> Column:
