@@ -30,6 +30,13 @@ def missing_controls(policy: DataFrame, registered: DataFrame) -> DataFrame:
     return policy.where("enabled").join(registered.select("control_id"), "control_id", "left_anti")
 
 
+def changed_controls(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(control_id, change): ``removed`` controls of the old policy, ``added`` ones of the new."""
+    names = lambda policy, mark: policy.select("control_id", F.lit(mark).alias("mark"))
+    sides = names(old, "removed").unionByName(names(new, "added")).groupBy("control_id").agg(F.min("mark").alias("change"), F.max("mark").alias("other"))
+    return sides.where("change = other").select("control_id", "change")
+
+
 def suppressed() -> Column:
     """A control in shadow mode that would act."""
     return F.col("shadow") & ~F.col("skipped") & (F.col("action") != "allow")

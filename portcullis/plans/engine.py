@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 from portcullis.operators import engine as E
 from portcullis.operators import replay as R
 from portcullis.plans import register
-from portcullis.plans.audit_view import CONTROLS, DECISIONS_SQL, NAME_SQL, RANK_SQL, TAXONOMY, THREATS, audit, decisions, values
+from portcullis.plans.audit_view import DECISIONS_SQL, NAME_SQL, RANK_SQL, TAXONOMY, THREATS, audit, decisions, values
 
 MERGED_SQL = f"""merged AS (SELECT request, max({RANK_SQL.format("eff")}) AS f, max({RANK_SQL.format("would")}) AS w, max(risk) AS risk FROM effective GROUP BY request),
 blocking AS (SELECT e.request, first(e.control_id ORDER BY e.priority, e.control_id) AS control_id FROM effective e JOIN merged m ON m.request = e.request
   AND {RANK_SQL.format("e.eff")} = m.f GROUP BY e.request),
 outcome AS (SELECT m.request, {NAME_SQL.format("m.f")} AS final_action, CASE WHEN m.w > m.f THEN {NAME_SQL.format("m.w")} END AS would_have_action,
   CASE WHEN m.f > 0 THEN b.control_id END AS blocking_control, m.risk FROM merged m JOIN blocking b USING (request))"""
-STAGES = {"C-MODEL-ALLOW": ["ingress"], "C-SIZE": ["ingress", "artifact"], "C-INJ-PAT": ["input", "tool_result"], "C-SIG": ["input", "output"], "C-TAINT": ["tool_call"], "C-INJ-SEM": ["input"]}
-LEVELS = [(c[0], p, not (c[0] == "C-SIG" and p == "permissive")) for c in CONTROLS for p in ("strict", "balanced", "permissive")] + [("C-GHOST", "strict", True)]
 
 
 @register("decision_merge", f"WITH {DECISIONS_SQL}, {MERGED_SQL} SELECT request, final_action, would_have_action, blocking_control, CAST(risk AS DOUBLE) AS risk FROM outcome")
@@ -76,34 +74,6 @@ def latency_per_control(spark, sf_dir):
     return E.latency_by_control(decisions(spark, sf_dir).withColumn("request", F.col("request") % 100))
 
 
-def _controls(spark):
-    rows = [(c[0], c[1], STAGES[c[0]]) for c in CONTROLS]
-    return spark.createDataFrame(rows, "control_id string, priority int, stages array<string>"), spark.createDataFrame(LEVELS, "control_id string, profile string, enabled boolean")
-
-
-@register(
-    "control_selection",
-    f"""WITH c(control_id, priority, stages) AS ({values([(c[0], c[1], ",".join(STAGES[c[0]])) for c in CONTROLS])}), l(control_id, profile, enabled) AS ({values(LEVELS)})
-SELECT control_id, CAST(row_number() OVER (ORDER BY priority, control_id) AS INTEGER) AS ordinal FROM c JOIN l USING (control_id)
-WHERE profile = 'permissive' AND enabled AND list_contains(string_split(stages, ','), 'input')""",
-)
-def control_selection(spark, sf_dir):
-    """Controls of the permissive profile in the input stage."""
-    controls, levels = _controls(spark)
-    return E.select_controls(controls, levels, F.lit("input"), F.lit("permissive")).select("control_id", "ordinal")
-
-
-@register(
-    "missing_controls",
-    f"""WITH c(control_id) AS ({values([(c[0],) for c in CONTROLS])}), l(control_id, profile, enabled) AS ({values(LEVELS)})
-SELECT control_id, profile FROM l WHERE enabled AND control_id NOT IN (SELECT control_id FROM c)""",
-)
-def missing_controls(spark, sf_dir):
-    """D2."""
-    controls, levels = _controls(spark)
-    return E.missing_controls(levels, controls).select("control_id", "profile")
-
-
 @register(
     "threat_taxonomy_counts",
     f"""WITH {DECISIONS_SQL}, t(control_id, threat_id) AS ({values([(c, t) for c, ts in THREATS.items() for t in ts])}),

@@ -56,25 +56,53 @@ def retained(files: DataFrame, keep: int) -> DataFrame:
     return files.withColumn("nth", F.row_number().over(Window.orderBy(F.col("modified").desc(), "path"))).where(F.col("nth") > keep).drop("nth")
 
 
+# Fixed value: what of an approval a log without content keeps.
+APPROVAL_KEYS = ("approval_id", "status", "decided_by", "control_id")
+
+
 def without_content(decisions: Column) -> Column:
     """Decisions without what matched."""
     return F.transform(decisions, lambda d: d.withField("matches", F.transform(d["matches"], lambda m: m.withField("masked", F.lit(None).cast("string")))))
 
 
+def detail_without_content(detail: Column) -> Column:
+    """A5: an event's detail (JSON text) without arguments, and of an approval four keys; what is no object stays."""
+    as_map = lambda v: F.call_function("try_variant_get", v, F.lit("$"), F.lit("map<string,variant>"))
+    members = as_map(F.try_parse_json(detail))
+    kept = F.map_filter(members, lambda k, _: k != "args")
+    short = lambda v: F.parse_json(F.to_json(F.map_filter(as_map(v), lambda k, _: k.isin(*APPROVAL_KEYS))))
+    shown = F.transform_values(kept, lambda k, v: F.when((k == "approval") & as_map(v).isNotNull(), short(v)).otherwise(v))
+    return F.when(members.isNotNull(), F.to_json(shown)).otherwise(detail)
+
+
 def bounded(df: DataFrame, limit: int) -> DataFrame:
-    """A4: events as JSON of at most ``limit`` bytes, given up step by step: one match for each decision,
-    reasons of 200 characters, decisions of three fields, no detail and a note in the error."""
+    """A4: events as JSON lines of at most ``limit`` bytes where that can be, with ``step``, what was given up
+    for it: 0 nothing, 1 all matches but one of each decision, 2 reasons beyond 200 characters, 3 all of the
+    decisions but three fields, and the detail. A shortened line says so in its error. The shortest form is the
+    last resort, whatever its size.
+
+    Each form is made only if the one before is too long, in the order of ``CASE``.
+    """
     columns = [c for c in df.columns if c != "at"]
-    line = lambda decisions, **over: F.to_json(F.struct(*[over.get(c, decisions if c == "decisions" else F.col(c)).alias(c) for c in columns]))
+    note = F.concat(F.coalesce(F.col("error"), F.lit("")), F.lit(" [event truncated]"))
+
+    def line(decisions: Column, **over: Column) -> Column:
+        return F.to_json(F.struct(*[over.get(c, decisions if c == "decisions" else F.col(c)).alias(c) for c in columns]))
+
     one = F.transform("decisions", lambda d: d.withField("matches", F.slice(d["matches"], 1, 1)))
     short = F.transform(one, lambda d: d.withField("reason", F.substring(d["reason"], 1, 200)))
-    three = F.transform("decisions", lambda d: F.struct(d["control_id"].alias("control_id"), d["action"].alias("action"), d["severity"].alias("severity")))
-    note = F.concat(F.coalesce(F.col("error"), F.lit("")), F.lit("[event truncated]"))
-    steps = [line(F.col("decisions")), line(one), line(short), line(three), line(three, detail=F.lit(None).cast("string"), error=note)]
-    fits = F.lit(None).cast("string")
-    for step in reversed(steps[:-1]):
-        fits = F.when(F.octet_length(step) <= limit, step).otherwise(fits if fits is not None else step)
-    return df.withColumn("line", F.coalesce(fits, steps[-1]))
+    three = F.transform("decisions", lambda d: F.struct(d["control_id"].alias("control_id"), d["threat_ids"].alias("threat_ids"), d["action"].alias("action")))
+    forms = [line(F.col("decisions")), line(one, error=note), line(short, error=note), line(three, detail=F.lit(None).cast("string"), error=note)]
+    chosen = F.struct(F.lit(3).alias("step"), forms[3].alias("line"))
+    for step in (2, 1, 0):
+        chosen = F.when(F.octet_length(forms[step]) <= limit, F.struct(F.lit(step).alias("step"), forms[step].alias("line"))).otherwise(chosen)
+    # A generated row is a barrier: the optimizer would make the forms anew for each of the two columns.
+    return df.select("*", F.explode(F.array(chosen)).alias("__x")).select(*df.columns, "__x.step", "__x.line")
+
+
+def write_lines(df: DataFrame, path: str, lines_per_file: int = 100_000) -> None:
+    """The column ``line`` appended as a log, in files of so many lines at most, in the order of time."""
+    df.sortWithinPartitions("ts", "event_id").select("line").write.mode("append").option("maxRecordsPerFile", lines_per_file).text(path)
 
 
 def flat_decisions(audit: DataFrame) -> DataFrame:
