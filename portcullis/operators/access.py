@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portcullis.operators.schemas import argument_error, as_type, kind_of
 
 def sign_in(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """The key's identity; a claimed agent must be it, except for admins."""
@@ -70,29 +71,17 @@ def supply_chain(items: DataFrame, banned: DataFrame, text: str) -> DataFrame:
 # Addresses that no argument may lead to, and keys that name a namespace.
 METADATA, SCHEMES = ("169.254.169.254", "metadata.google.internal", "metadata.azure.com"), ("file://", "gopher://", "dict://")
 NAMESPACE_KEYS = ("namespace", "memory_namespace", "ns")
-_TYPES = {"string": r'^"', "integer": r"^-?[0-9]+$", "number": r"^-?[0-9.eE+-]+$", "boolean": "^(true|false)$", "object": r"^\{", "array": r"^\["}
-
-
-def argument_error(args: Column, schema: dict) -> Column:
-    """What of a tool's schema (required; type and maxLength of properties) its JSON arguments break first, or null."""
-    value = lambda k: F.to_json(F.call_function("try_variant_get", F.try_parse_json(args), F.lit(f"$.{k}"), F.lit("variant")))
-    checks = [F.when(value(k).isNull(), F.lit(f"missing {k}")) for k in schema.get("required", ())]
-    for k, rule in schema.get("properties", {}).items():
-        if "type" in rule:
-            checks.append(F.when(~value(k).rlike(_TYPES[rule["type"]]), F.lit(f"type of {k}")))
-        if "maxLength" in rule:
-            checks.append(F.when(F.length(F.get_json_object(args, f"$.{k}")) > rule["maxLength"], F.lit(f"length of {k}")))
-    return F.coalesce(*checks, F.lit(None).cast("string"))
 
 
 def forbidden_target(args: Column) -> Column:
-    """The first key with url or uri in its name whose value leads to cloud metadata or has a forbidden scheme."""
-    entries = F.map_entries(F.coalesce(F.from_json(args, "map<string,string>"), F.create_map().cast("map<string,string>")))
+    """The first key with url or uri in its name whose value, a text, leads to cloud metadata or has a forbidden scheme."""
+    members = as_type(F.try_parse_json(args), "map<string,variant>")
+    entries = F.map_entries(F.coalesce(members, F.create_map().cast("map<string,variant>")))
 
     def bad(e: Column) -> Column:
-        value = F.trim(F.lower(e["value"]))
+        value = F.trim(F.lower(as_type(e["value"], "string")))
         hit = [F.contains(value, F.lit(x)) for x in METADATA] + [F.startswith(value, F.lit(x)) for x in SCHEMES]
-        return F.lower(e["key"]).rlike("url|uri") & F.array_contains(F.array(*hit), True)
+        return F.lower(e["key"]).rlike("url|uri") & (kind_of(e["value"]) == "STRING") & F.array_contains(F.array(*hit), True)
 
     return F.try_element_at(F.filter(entries, bad), F.lit(1))["key"]
 
@@ -116,7 +105,12 @@ def tool_calls(calls: DataFrame, grants: DataFrame, schemas: dict[str, dict], ro
 def memory_access(calls: DataFrame, grants: DataFrame, namespaces: DataFrame, role: str = "role", args: str = "args") -> DataFrame:
     """The namespace is the first of its keys that is a text in the arguments; it must exist and be granted.
     Calls without one are allowed, also those of memory tools."""
-    text = lambda k: F.when(F.to_json(F.call_function("try_variant_get", F.try_parse_json(F.col(args)), F.lit(f"$.{k}"), F.lit("variant"))).startswith('"'), F.nullif(F.get_json_object(args, f"$.{k}"), F.lit("")))
+    members = as_type(F.try_parse_json(F.col(args)), "map<string,variant>")
+
+    def text(key: str) -> Column:
+        value = F.try_element_at(members, F.lit(key))
+        return F.when(kind_of(value) == "STRING", F.nullif(as_type(value, "string"), F.lit("")))
+
     named = calls.withColumn("namespace", F.coalesce(*map(text, NAMESPACE_KEYS)))
     return check_grant(named, grants, namespaces, role, "namespace")
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,44 +11,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-
-def micros(ts: str = "ts") -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
-
+from portcullis.operators.chunks import micros, running, sessions, with_recent
 
 def loop_guard(calls: DataFrame, session: str, tool: list[str], seconds: int, limit: int) -> DataFrame:
     """H6: identical calls of a session in the last ``seconds``, both ends included; refused calls count too."""
-    recent = Window.partitionBy(session, *tool).orderBy(micros()).rangeBetween(-seconds * 1_000_000, 0)
-    counted = calls.withColumn("identical", F.count("*").over(recent))
+    counted = with_recent(calls, [session, *tool], seconds, "identical", both_ends=True)
     return counted.withColumn("action", F.when(F.col("identical") > limit, "block").otherwise("allow"))
 
 
 def session_cap(calls: DataFrame, session: str, cap: int, history: int = 256) -> DataFrame:
     """H7: the n-th call of a session, counted up to the length of the history."""
-    order = Window.partitionBy(session).orderBy("ts", "event_id")
-    numbered = calls.withColumn("nth", F.least(F.row_number().over(order), F.lit(history)))
+    numbered = running(calls, [session], ["ts", "event_id"], {"nth": (F.lit(1), "sum")}).withColumn("nth", F.least("nth", F.lit(history)).cast("int"))
     return numbered.withColumn("action", F.when(F.col("nth") > cap, "block").otherwise("allow"))
 
 
-def sessions(events: DataFrame, identity: str, ttl_seconds: int) -> DataFrame:
-    """H8: ``session`` numbers; a gap longer than the ttl starts a new one, a gap of just the ttl doesn't."""
-    order = Window.partitionBy(identity).orderBy("ts", "event_id")
-    new = F.coalesce((micros() - F.lag(micros()).over(order) > ttl_seconds * 1_000_000).cast("int"), F.lit(1))
-    return events.withColumn("__new", new).withColumn("session", F.sum("__new").over(order)).drop("__new")
-
-
 def taint(events: DataFrame, identity: str, untrusted: Column, ttl_seconds: int, own: bool) -> DataFrame:
     """K1: whether a session is tainted at an event: by the event itself too (``own``, chat), or only by
     those before it (tool calls). Taint ends with the session."""
-    last = 0 if own else -1
-    order = Window.partitionBy(identity, "session").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, last)
-    return sessions(events, identity, ttl_seconds).withColumn("tainted", F.coalesce(F.max(untrusted).over(order), F.lit(False)))
+    seen = running(sessions(events, identity, ttl_seconds), [identity, "session"], ["ts", "event_id"], {"tainted": (untrusted, "max")}, own)
+    return seen.withColumn("tainted", F.coalesce("tainted", F.lit(False)))
 
 
 def sliding_rate(events: DataFrame, identity: str, seconds: int, limit: int) -> DataFrame:
     """H3 without the gate: events in (t - seconds, t], the far end left out."""
-    recent = Window.partitionBy(identity).orderBy(micros()).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    counted = events.withColumn("recent", F.count("*").over(recent))
+    counted = with_recent(events, [identity], seconds, "recent", both_ends=False)
     return counted.withColumn("over", F.col("recent") > limit)
 
 
@@ -89,60 +73,12 @@ def admissions(events: DataFrame, identity: str, seconds: int, limit: int) -> Da
     return in_turn(times, identity, ["t"], f"`{identity}` {kind}, t long, admitted boolean", deque, step).select(identity, F.timestamp_micros("t").alias("ts"), "admitted")
 
 
-#: Fixed value: seconds after which a reservation that was not settled no longer counts.
-HELD = 600
-
-
-@dataclass
-class Account:
-    """What an identity has used in its day, and what is reserved."""
-
-    day: int = -1
-    tokens: int = 0
-    cost: float = 0.0
-    recent: deque = field(default_factory=deque)
-    open: list[tuple] = field(default_factory=list)
-
-
-def reservations(events: DataFrame, identity: str, rpm: int | None, tokens: int | None, cost: float | None, minute: int = 60) -> DataFrame:
-    """(event_id, refused, retry_after_s) of requests (event_id, ts, tokens, cost, settles_s, used_tokens, used_cost).
-
-    A request reserves its tokens and cost and settles what it used ``settles_s`` later (null: never). It is refused
-    by the first limit, of rpm, tokens and cost, that what was used in the UTC day, what is reserved now and its own
-    reservation break; ``refused`` names the limit. Refused requests count nowhere. A reservation that isn't settled
-    within ``HELD`` seconds goes. A null limit is none.
-    """
-    rows = events.select(identity, "event_id", micros().alias("t"), "tokens", "cost", "settles_s", "used_tokens", "used_cost")
-
-    def step(a: Account, row: dict) -> tuple:
-        now, day = row["t"] / 1e6, row["t"] // 86_400_000_000
-        if day != a.day:
-            a.day, a.tokens, a.cost = day, 0, 0.0
-        still = []
-        for ends, settled, n, c, used_n, used_c, own_day in a.open:
-            if ends > now:
-                still.append((ends, settled, n, c, used_n, used_c, own_day))
-            elif settled and own_day == day:
-                a.tokens, a.cost = a.tokens + used_n, a.cost + used_c
-        a.open = still
-        while a.recent and a.recent[0] <= now - minute:
-            a.recent.popleft()
-        held = [o for o in a.open if o[6] == day]
-        refused = (
-            "rpm" if rpm is not None and len(a.recent) >= rpm
-            else "tokens" if tokens is not None and a.tokens + sum(o[2] for o in held) + row["tokens"] > tokens
-            else "cost" if cost is not None and round(a.cost + sum(o[3] for o in held) + row["cost"], 6) > cost
-            else None
-        )
-        if refused:
-            ends = a.recent[0] + minute if refused == "rpm" else (day + 1) * 86_400
-            return row["event_id"], refused, max(1, math.ceil(ends - now))
-        a.recent.append(now)
-        settled = row["settles_s"] is not None and row["settles_s"] <= HELD
-        a.open.append((now + (row["settles_s"] if settled else HELD), settled, row["tokens"], row["cost"], row["used_tokens"], row["used_cost"], day))
-        return row["event_id"], None, None
-
-    return in_turn(rows, identity, ["t", "event_id"], "event_id long, refused string, retry_after_s long", Account, step)
+def call_history(calls: DataFrame, identity: str, tool: str, ttl_seconds: int, history: int = 256) -> DataFrame:
+    """K2: at each call, itself counted, how many of the session the history holds (``calls``) and their tools in
+    order (``recent``). A session ends after a longer gap than the ttl; its history keeps the latest only."""
+    order = Window.partitionBy(identity, "session").orderBy("ts", "event_id").rowsBetween(1 - history, 0)
+    kept = sessions(calls, identity, ttl_seconds)
+    return kept.withColumns({"calls": F.count("*").over(order), "recent": F.array_join(F.collect_list(tool).over(order), ",")})
 
 
 def usage(events: DataFrame, identity: str, cost: Column, unit: str) -> DataFrame:
@@ -153,8 +89,9 @@ def usage(events: DataFrame, identity: str, cost: Column, unit: str) -> DataFram
 def budget_order(events: DataFrame, identity: str, cost: Column, limit: float) -> DataFrame:
     """H5: what an identity used in its day before each event, and whether the event is refused: cost
     counts with the event itself and is refused above the limit."""
-    before = Window.partitionBy(identity, F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = events.withColumn("spent", F.round(F.sum(cost).over(before), 6))
+    days = events.withColumn("__day", F.to_date("ts"))
+    spent = running(days, [identity, "__day"], ["ts", "event_id"], {"spent": (cost, "sum")}, width=3600).drop("__day")
+    summed = spent.withColumn("spent", F.round("spent", 6))
     return summed.withColumn("refused", F.col("spent") > limit)
 
 

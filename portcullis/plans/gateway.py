@@ -9,6 +9,7 @@ from portcullis.functions import checksums
 from portcullis.functions import columns as C
 from portcullis.functions import text as T
 from portcullis.operators import access as A
+from portcullis.operators import budgets as B
 from portcullis.operators import signatures as G
 from portcullis.operators import state as S
 from portcullis.plans import register
@@ -59,19 +60,38 @@ def code_execution_calls(spark, sf_dir):
     return calls.join(found, "event_id").groupBy("event_type", "families").agg(F.count("*").alias("calls"))
 
 
-TOOL_ARGS = ['{"path": "a.txt"}', '{"path": 7}', '{}', '{"path": "' + "x" * 40 + '"}', '{"path": "a", "page_url": "http://169.254.169.254/latest"}', '{"path": "a", "URI": " FILE:///etc"}']
-TOOL_REASONS = [None, "type of path", "missing path", "length of path", "target in page_url", "target in URI"]
-SCHEMA = {"required": ["path"], "properties": {"path": {"type": "string", "maxLength": 32}}}
-
-
-@register("tool_call_arguments", f"""WITH r(k, reason) AS ({values([(i, x or '') for i, x in enumerate(TOOL_REASONS)])}), c AS (SELECT event_id, CASE WHEN event_type = 'view' THEN 'not_granted' ELSE nullif(reason, '') END AS reason FROM events JOIN r ON k = event_id % 6)
-SELECT reason, CASE WHEN reason IS NULL THEN 'allow' ELSE 'block' END AS action, CASE WHEN reason = 'not_granted' THEN 'high' WHEN reason LIKE 'target%' THEN 'critical' WHEN reason IS NULL THEN 'low' ELSE 'medium' END AS severity, count(*) AS calls FROM c GROUP BY ALL""")
+# One tool for each event type; every event's own values are its arguments.
+TOOL_SCHEMAS = {
+    "view": {"type": "object", "required": ["k", "note"], "properties": {"k": {"type": "integer", "minimum": 5, "exclusiveMaximum": 95}, "note": {"type": "string", "maxLength": 9}}},
+    "click": {"type": "object", "properties": {"user": {"type": "object", "required": ["id"], "properties": {"id": {"type": "integer", "multipleOf": 3}, "tags": {"type": "array", "minItems": 1, "maxItems": 4, "items": {"enum": ["a", "b", "c"]}}}}}},
+    "purchase": {"type": "object", "properties": {"value": {"type": "number", "maximum": 80}, "k": {"enum": [*range(0, 100, 2), 7]}, "note": {"pattern": "[13579]$"}}, "additionalProperties": False},
+    "signup": {"properties": {"k": {"anyOf": [{"maximum": 30}, {"minimum": 60}]}, "value": {"not": {"maximum": 5}}, "user": {"additionalProperties": {"type": ["integer", "array"]}}}},
+}
+ARGUMENTS_SQL = """a AS (SELECT event_id, event_type, user_id, value, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k, 'n' || user_id AS note FROM events)"""
+
+
+def tool_arguments(events):
+    """Events as calls of a tool: props, value and user as nested arguments, here and there an address."""
+    tags = F.transform(F.sequence(F.lit(1), (F.col("user_id") % 5 + 1).cast("int")), lambda i: F.substring("event_type", i, F.lit(1)))
+    page = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("http://169.254.169.254/"), F.col("event_id"))).when(F.col("event_id") % 10 == 1, F.concat(F.lit("https://x.example/"), F.col("event_id")))
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    user = F.struct(F.col("user_id").alias("id"), F.when(F.col("user_id") % 2 == 0, tags).alias("tags"))
+    args = F.to_json(F.struct(k.alias("k"), F.concat(F.lit("n"), "user_id").alias("note"), F.when(F.col("event_type") != "purchase", page).alias("page url"), user.alias("user"), F.col("value")))
+    return events.select("event_id", F.col("event_type").alias("tool"), F.when(F.col("user_id") % 6 == 0, "guest").otherwise("agent").alias("role"), args.alias("args"))
+
+
+@register("tool_call_arguments", f"""WITH {ARGUMENTS_SQL}, r AS (SELECT event_id, event_type AS tool, CASE
+  WHEN user_id % 6 = 0 AND event_type NOT IN ('view', 'click') THEN 'not_granted'
+  WHEN event_type = 'view' THEN CASE WHEN k IS NULL THEN 'required k at $' WHEN k < 5 THEN 'minimum at $.k' WHEN k >= 95 THEN 'exclusiveMaximum at $.k' WHEN length(note) > 9 THEN 'maxLength at $.note' END
+  WHEN event_type = 'click' THEN CASE WHEN user_id % 3 <> 0 THEN 'multipleOf at $.user.id' WHEN user_id % 2 = 0 AND user_id % 5 + 1 > 4 THEN 'maxItems at $.user.tags' WHEN user_id % 2 = 0 AND user_id % 5 + 1 > 1 THEN 'enum at $.user.tags[]' END
+  WHEN event_type = 'purchase' THEN CASE WHEN value > 80 THEN 'maximum at $.value' WHEN k % 2 = 1 AND k <> 7 THEN 'enum at $.k' WHEN user_id % 2 = 0 THEN 'pattern at $.note' ELSE 'additional user at $' END
+  WHEN event_type = 'signup' THEN CASE WHEN k > 30 AND k < 60 THEN 'anyOf at $.k' WHEN value <= 5 THEN 'not at $.value' END END AS reason FROM a),
+t AS (SELECT tool, coalesce(reason, CASE WHEN event_id % 10 = 0 AND tool <> 'purchase' THEN 'target in page url' END) AS reason FROM r)
+SELECT tool, reason, CASE WHEN reason IS NULL THEN 'allow' ELSE 'block' END AS action, CASE WHEN reason = 'not_granted' THEN 'high' WHEN reason LIKE 'target%' THEN 'critical' WHEN reason IS NULL THEN 'low' ELSE 'medium' END AS severity, count(*) AS calls FROM t GROUP BY ALL""")
 def tool_call_arguments(spark, sf_dir):
-    """Grant, arguments against a schema, forbidden targets; event types stand for roles."""
-    args = F.element_at(F.array(*map(F.lit, TOOL_ARGS)), (F.col("event_id") % 6 + 1).cast("int"))
-    calls = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("role"), F.lit("read").alias("tool"), args.alias("args"))
-    grants = spark.createDataFrame([("click", "*"), ("purchase", "read"), ("signup", "*"), ("error", "read"), ("view", "write")], "role string, grant string")
-    return A.tool_calls(calls, grants, {"read": SCHEMA}).groupBy("reason", "action", "severity").agg(F.count("*").alias("calls"))
+    """Grants, arguments against schemas with nested objects, lists, enums, patterns and bounds, then targets."""
+    grants = spark.createDataFrame([("agent", "*"), ("guest", "view"), ("guest", "click")], "role string, grant string")
+    return A.tool_calls(tool_arguments(table(spark, sf_dir, "events")), grants, TOOL_SCHEMAS).groupBy("tool", "reason", "action", "severity").agg(F.count("*").alias("calls"))
 
 
 @register("memory_access_calls", """WITH c AS (SELECT event_type AS role, CASE event_id % 5 WHEN 0 THEN 'team' WHEN 1 THEN 'team' WHEN 2 THEN 'nowhere' WHEN 3 THEN 'private' END AS namespace FROM events)
@@ -86,20 +106,58 @@ def memory_access_calls(spark, sf_dir):
     return A.memory_access(calls, grants, spaces).groupBy("namespace", "reason").agg(F.count("*").alias("calls"))
 
 
-@register("budget_reservations", """WITH RECURSIVE n AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, epoch_us(ts) // 86400000000 AS day, 100 + event_id % 400 AS tokens, value AS cost,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-f AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::VARCHAR AS refused, -1::BIGINT AS day, 0::BIGINT AS tokens, 0::DOUBLE AS cost, []::DOUBLE[] AS live FROM (SELECT DISTINCT user_id FROM events)
+# Scaled to events that come some hours apart: a sliding minute of four hours, reservations that hold for ten.
+LIMITS = B.Limits(rpm=4, tokens=6000, cost=40.0, compute=900.0, minute=14_400, held=36_000)
+
+
+def budget_requests(events):
+    """Events as requests: some say how long the answer may get, some models are free, some never settle and some too late."""
+    n = F.col("event_id")
+    return events.select(
+        (F.col("user_id") % 40).alias("identity"), "event_id", "ts", (100 + n % 400).alias("prompt_tokens"), F.when(n % 3 > 0, 50 + n % 700).alias("max_tokens"),
+        F.when(n % 7 > 0, F.lit(8.0)).alias("price_in"), F.when(n % 7 > 0, F.lit(32.0)).alias("price_out"), F.when(n % 6 > 0, (n % 16) * 3600).alias("settles_s"),
+        (90 + n % 900).alias("used_tokens"), F.round(F.col("value") / 16, 2).alias("used_cost"), (n % 300).cast("double").alias("used_compute"),
+    )
+
+
+# Money is counted in hundred-millionths, as the operator does.
+BUDGET_SQL = f"""WITH RECURSIVE n AS (SELECT user_id % 40 AS identity, event_id, epoch_us(ts) / 1e6 AS t, epoch_us(ts) // 86400000000 AS day, 100 + event_id % 400 AS prompt,
+  CASE WHEN event_id % 3 > 0 THEN 50 + event_id % 700 END AS asked, event_id % 7 > 0 AS priced, CASE WHEN event_id % 6 > 0 THEN (event_id % 16) * 3600 END AS settles,
+  90 + event_id % 900 AS used_tokens, CAST(round(round(value / 16, 2) * 1e8) AS BIGINT) AS used_cost, CAST(event_id % 300 AS BIGINT) AS used_compute,
+  row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT identity, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::VARCHAR AS refused, NULL::BIGINT AS reserved, NULL::BIGINT AS price, -1::BIGINT AS day, 0::BIGINT AS tokens, 0::BIGINT AS cost, 0::BIGINT AS compute,
+    []::DOUBLE[] AS recent, []::STRUCT(ends DOUBLE, settled BOOLEAN, day BIGINT, n BIGINT, c BIGINT, un BIGINT, uc BIGINT, up BIGINT)[] AS open FROM (SELECT DISTINCT identity FROM n)
   UNION ALL
-  SELECT user_id, k, event_id, refused, day, tokens + CASE WHEN refused IS NULL THEN own_tokens ELSE 0 END, cost + CASE WHEN refused IS NULL THEN own_cost ELSE 0 END, CASE WHEN refused IS NULL THEN list_append(live, t) ELSE live END
-  FROM (SELECT *, CASE WHEN len(live) >= 2 THEN 'rpm' WHEN tokens + own_tokens > 900 THEN 'tokens' WHEN round(cost + own_cost, 6) > 150 THEN 'cost' END AS refused FROM (
-    SELECT n.user_id, n.k, n.event_id, n.day, n.t, n.tokens AS own_tokens, n.cost AS own_cost, CASE WHEN f.day = n.day THEN f.tokens ELSE 0 END AS tokens, CASE WHEN f.day = n.day THEN f.cost ELSE 0.0 END AS cost,
-      list_filter(f.live, lambda x: x > n.t - 7200) AS live FROM f JOIN n ON n.user_id = f.user_id AND n.k = f.k + 1)))
-SELECT event_id, refused FROM f WHERE k > 0""")
+  SELECT identity, k, event_id, refused, own_n, own_c, day, tokens, cost, compute, CASE WHEN refused IS NULL THEN list_append(recent, t) ELSE recent END,
+    CASE WHEN refused IS NULL THEN list_append(open, {{'ends': t + CASE WHEN settles < 36000 THEN settles ELSE 36000 END, 'settled': coalesce(settles < 36000, false), 'day': day, 'n': own_n, 'c': own_c, 'un': used_tokens, 'uc': used_cost, 'up': used_compute}}) ELSE open END
+  FROM (SELECT *, CASE WHEN len(recent) >= 4 THEN 'rpm'
+      WHEN tokens + coalesce(list_sum(list_transform(list_filter(open, lambda o: o.day = day), lambda o: o.n)), 0) + own_n > 6000 THEN 'tokens'
+      WHEN cost + coalesce(list_sum(list_transform(list_filter(open, lambda o: o.day = day), lambda o: o.c)), 0) + own_c > 4000000000 THEN 'cost'
+      WHEN compute >= 900 THEN 'compute' END AS refused
+    FROM (SELECT *, prompt + answer AS own_n, CASE WHEN priced THEN CAST(round(round(prompt / 1000 * 8.0::DOUBLE
+          + CASE WHEN asked IS NULL THEN least(answer / 1000 * 32.0::DOUBLE, greatest(0, 40 - cost / 1e8 - prompt / 1000 * 8.0::DOUBLE)) ELSE answer / 1000 * 32.0::DOUBLE END, 8) * 1e8) AS BIGINT) ELSE 0 END AS own_c
+      FROM (SELECT *, coalesce(asked, least(512, greatest(0, 6000 - tokens - prompt))) AS answer
+        FROM (SELECT n.identity, n.k, n.event_id, n.t, n.day, n.prompt, n.asked, n.priced, n.settles, n.used_tokens, n.used_cost, n.used_compute,
+            CAST(CASE WHEN f.day = n.day THEN f.tokens ELSE 0 END + coalesce(list_sum(list_transform(list_filter(f.open, lambda o: o.ends <= n.t AND o.settled AND o.day = n.day), lambda o: o.un)), 0) AS BIGINT) AS tokens,
+            CAST(CASE WHEN f.day = n.day THEN f.cost ELSE 0 END + coalesce(list_sum(list_transform(list_filter(f.open, lambda o: o.ends <= n.t AND o.settled AND o.day = n.day), lambda o: o.uc)), 0) AS BIGINT) AS cost,
+            CAST(CASE WHEN f.day = n.day THEN f.compute ELSE 0 END + coalesce(list_sum(list_transform(list_filter(f.open, lambda o: o.ends <= n.t AND o.settled AND o.day = n.day), lambda o: o.up)), 0) AS BIGINT) AS compute,
+            list_filter(f.recent, lambda x: x > n.t - 14400) AS recent, list_filter(f.open, lambda o: o.ends > n.t) AS open
+          FROM f JOIN n ON n.identity = f.identity AND n.k = f.k + 1)))))
+SELECT event_id, refused, reserved AS tokens, price / 1e8 AS cost FROM f WHERE k > 0"""
+
+
+@register("budget_reservations", BUDGET_SQL)
 def budget_reservations(spark, sf_dir):
-    """Two requests in two hours, 900 tokens and 150 of cost a day, settled at once."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (100 + F.col("event_id") % 400).alias("tokens"), F.col("value").alias("cost"), F.lit(0).alias("settles_s"))
-    events = events.withColumns({"used_tokens": F.col("tokens"), "used_cost": F.col("cost")})
-    return S.reservations(events, "user_id", 2, 900, 150.0, 7200).select("event_id", "refused")
+    """Estimates and the four limits; reservations that are held, settle late or lapse."""
+    return B.reservations(budget_requests(table(spark, sf_dir, "events")), "identity", LIMITS).select("event_id", "refused", "tokens", "cost")
+
+
+@register("tool_call_history", """WITH gaps AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER o <= 172800000000 THEN 0 ELSE 1 END AS new FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+numbered AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM gaps)
+SELECT event_id, count(*) OVER w AS calls, array_to_string(list(event_type) OVER w, ',') AS recent FROM numbered WINDOW w AS (PARTITION BY user_id, session ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)""")
+def tool_call_history(spark, sf_dir):
+    """K2: a history of four calls, sessions that end after two days."""
+    return S.call_history(table(spark, sf_dir, "events"), "user_id", "event_type", 172_800, 4).select("event_id", "calls", "recent")
 
 
 @register("delegation_tickets", """SELECT u.event_id, greatest(u.event_id % 3, coalesce(i.event_id % 5, 0)) AS depth, (u.event_type = 'error') OR coalesce(i.event_type = 'error', false) AS tainted
@@ -112,14 +170,92 @@ def delegation_tickets(spark, sf_dir):
     return A.tickets(issued, used).select("event_id", "depth", "tainted")
 
 
-@register("artifact_verdicts", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'block' ELSE 'allow' END AS action, count(*) AS artifacts FROM documents GROUP BY 1")
+# What a made file holds, by a text's length, and what it is wrapped in, by its bytes.
+CONTENTS = ["pickled text", "protocol 0 call", "call without a mark", "unknown name", "text", "harmless name", "array of objects", "second pickle calls", "name by memo"]
+WRAPS = ["none", "zip", "tar", "zip in tar.gz", "second gzip member", "zip in zip in zip in zip"]
+NAMES = ["notes", "weights.pkl", "model.safetensors", "part.bin"]
+
+
+def _made_file(text: str, content: str, wrap: str, name: str) -> bytes:
+    """A file around a text, written by hand: nothing here is ever loaded."""
+    import gzip
+    import io
+    import pickle
+    import tarfile
+    import zipfile
+
+    unicode = lambda x: b"X" + len(x.encode()).to_bytes(4, "little") + x.encode()
+    call = unicode("subprocess") + unicode("getoutput") + b"\x93" + unicode(text) + b"\x85R."
+    data = {
+        "pickled text": lambda: pickle.dumps([text], 4),
+        "protocol 0 call": lambda: b"cposix\nsystem\n(V" + text.encode("raw-unicode-escape").replace(b"\\", b"").replace(b"\n", b" ") + b"\ntR.",
+        "call without a mark": lambda: call,
+        "unknown name": lambda: b"\x80\x02c" + b"lib" + hex(len(text)).encode() + b"\nrun\n.",
+        "text": lambda: ("? " + text).encode(),
+        "harmless name": lambda: b"\x80\x02ccollections\nOrderedDict\n)R.",
+        "array of objects": lambda: b"\x93NUMPY\x01\x00\x10\x00{'descr': '|O' }" + pickle.dumps(text),
+        "second pickle calls": lambda: pickle.dumps(text) + call,
+        "name by memo": lambda: b"\x80\x04" + unicode("runpy") + b"\x94" + unicode("run_path") + b"\x940h\x00h\x01\x93.",
+    }[content]()
+
+    def zipped(path: str, inner: bytes) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr(zipfile.ZipInfo(path), inner)
+        return out.getvalue()
+
+    def tarred(path: str, inner: bytes, mode: str) -> bytes:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode=mode) as archive:
+            member = tarfile.TarInfo(path)
+            member.size = len(inner)
+            archive.addfile(member, io.BytesIO(inner))
+        return out.getvalue()
+
+    if wrap == "zip":
+        return zipped(name, data)
+    if wrap == "tar":
+        return tarred(name, data, "w")
+    if wrap == "zip in tar.gz":
+        return tarred("inner", zipped(name, data), "w:gz")
+    if wrap == "second gzip member":
+        return gzip.compress(b"", mtime=0) + gzip.compress(data, mtime=0)
+    if wrap == "zip in zip in zip in zip":
+        for path in (name, "c", "b", "a"):
+            data = zipped(path, data)
+    return data
+
+
+@register("artifact_verdicts", """WITH f AS (SELECT doc_id, length(text) % 9 AS content, octet_length(encode(text)) % 6 AS wrap, (length(text) // 9) % 4 AS named FROM documents WHERE text IS NOT NULL),
+k AS (SELECT *, content <> 4 AS opens, wrap <> 5 AS near FROM f),
+c AS (SELECT doc_id,
+  list_concat(
+    CASE WHEN near AND opens THEN ['pickle_format'] ELSE [] END,
+    CASE WHEN near AND content IN (1, 2, 7, 8) THEN ['dangerous_global'] ELSE [] END,
+    CASE WHEN near AND content = 3 THEN ['unknown_global'] ELSE [] END,
+    CASE WHEN wrap = 0 AND content = 4 THEN ['unknown_format'] ELSE [] END,
+    CASE WHEN wrap = 4 THEN ['unsupported_archive'] ELSE [] END,
+    CASE WHEN wrap = 5 AND (opens OR named IN (1, 3)) THEN ['archive_too_deep'] ELSE [] END,
+    CASE WHEN named = 2 OR (named = 1 AND (wrap <> 0 OR content IN (4, 6))) THEN ['extension_mismatch'] ELSE [] END) AS codes FROM k)
+SELECT codes, action, count(*) AS artifacts, min(doc_id) AS first FROM (SELECT doc_id, array_to_string(list_sort(codes), ',') AS codes,
+  CASE WHEN list_has_any(codes, ['dangerous_global', 'unknown_format', 'unsupported_archive', 'archive_too_deep']) THEN 'block' WHEN len(codes) > 0 THEN 'flag' ELSE 'allow' END AS action FROM c) GROUP BY ALL""")
 def artifact_verdicts(spark, sf_dir):
-    """Documents as uploaded files; every third is a pickle of protocol 0 that would run a command."""
-    text = F.encode(F.concat(F.lit("plain text: "), F.coalesce("text", F.lit(""))), "UTF-8")
-    runs = F.encode(F.lit("cos\nsystem\n(S'id'\ntR."), "UTF-8")
-    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 3 == 0, runs).otherwise(text).alias("content"))
+    """Every text as an uploaded file, inside pickles, arrays and nested archives that its length
+    and bytes choose, under a name that may promise something else; what is found, and the action."""
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+
+    def make(frames):
+        for x in frames:
+            content = [_made_file(*row) for row in zip(x["text"], x["kind"], x["wrap"], x["name"], strict=True)]
+            yield x[["doc_id"]].assign(path=x["doc_id"].astype(str) + "/" + x["name"], content=content)
+
+    texts = table(spark, sf_dir, "documents").where("text is not null").select(
+        "doc_id", "text", pick(CONTENTS, F.length("text")).alias("kind"), pick(WRAPS, F.octet_length("text")).alias("wrap"), pick(NAMES, F.expr("length(text) div 9")).alias("name")
+    )
+    files = texts.mapInPandas(make, "doc_id long, path string, content binary").select(F.concat_ws("/", "doc_id", F.substring_index("path", "/", -1)).alias("path"), "content")
     none = spark.createDataFrame([], "sha256 string")
-    return artifacts.verdicts(files, none).groupBy("action").agg(F.count("*").alias("artifacts"))
+    found = artifacts.verdicts(files, none)
+    return found.groupBy("codes", "action").agg(F.count("*").alias("artifacts"), F.min(F.substring_index("path", "/", 1).cast("long")).alias("first"))
 
 
 @register("check_digits", """WITH k AS (SELECT c_custkey, lpad(CAST(c_custkey * 7919 % 10000000000 AS VARCHAR), 10, '0') AS d FROM customer),
@@ -164,13 +300,6 @@ def timestamps_read(spark, sf_dir):
     return events.select("event_id", C.iso_time(sent).alias("iso"))
 
 
-@register("controls_removed", f"WITH a(c) AS ({values([('C-SIZE',), ('C-SIG',), ('C-OLD',)])}) SELECT c AS control_id FROM a WHERE c NOT IN ('C-SIZE', 'C-SIG', 'C-NEW')")
-def controls_removed(spark, sf_dir):
-    """Controls of the old policy that the new one lacks."""
-    names = lambda *x: spark.createDataFrame([(i,) for i in x], "control_id string")
-    return names("C-SIZE", "C-SIG", "C-OLD").exceptAll(names("C-SIZE", "C-SIG", "C-NEW"))
-
-
 @register("reasons_in_order", "SELECT user_id, array_to_string(list(event_type ORDER BY first), ',') AS reasons FROM (SELECT user_id, event_type, min((epoch_us(ts), event_id)) AS first FROM events GROUP BY ALL) GROUP BY 1")
 def reasons_in_order(spark, sf_dir):
     """Distinct reasons in the order in which they first occur."""

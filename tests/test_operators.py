@@ -1,20 +1,28 @@
 """Worked examples of single operators: boundaries, ties, nulls."""
 
 import base64
+import difflib
 import io
+import json
+import math
 import pickle
+import random
 import zipfile
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from portcullis.functions import checksums, text
 from portcullis.functions import columns as C
-from portcullis.operators import access, approvals, detectors, engine, segments, signatures, state, vectors
+from portcullis.operators import access, approvals, budgets, chunks, detectors, engine, metrics, readings, schemas, segments, signatures, state, vectors
 from portcullis.operators.replay import replay
 from portcullis.sources import artifacts, audit, policy, requests
 
 SPANS = "array<struct<start:int,end:int,kind:string>>"
 
+R = random.Random(3)
+
 
 def one(spark, column, **values):
     schema = {str: "string", int: "int", float: "double", list: None}
@@ -78,13 +86,50 @@ def test_folding_and_decoding(spark):
     assert [x.norm for x in last[3:]] == ["ignore", "ignore", "strasse is"] and found[len(hidden) + 5].norm is None
 
 
+def requests_of(spark, rows):
+    """(event_id, t, prompt, max_tokens, settles_s, used) of one user; 10 of money for a thousand tokens."""
+    fields = "event_id long, t long, prompt_tokens int, max_tokens int, settles_s int, used_tokens int"
+    df = spark.createDataFrame(rows, fields).withColumns({"ts": F.timestamp_seconds("t"), "user": F.lit("u"), "price_in": F.lit(10.0), "price_out": F.lit(10.0)})
+    return df.withColumns({"used_cost": F.col("used_tokens") / 100, "used_compute": F.col("used_tokens").cast("double")})
+
+
+def decided(spark, rows, **limits):
+    found = budgets.reservations(requests_of(spark, rows), "user", budgets.Limits(**limits)).collect()
+    return {r.event_id: (r.refused, r.retry_after_s, r.tokens, r.cost) for r in found}
+
+
 def test_reservations(spark):
-    rows = [(1, "a", 0, 50, 0.0, 30, 10, 0.0), (2, "a", 10, 60, 0.0, None, 0, 0.0), (3, "a", 40, 60, 0.0, 30, 60, 0.0), (4, "a", 700, 90, 0.0, 0, 90, 0.0), (5, "a", 86400, 100, 3.0, 0, 100, 3.0), (6, "a", 86401, 1, 0.0, 0, 1, 0.0), (7, "b", 5, 101, 0.0, 0, 0, 0.0)]
-    df = spark.createDataFrame(rows, "event_id long, user string, at long, tokens long, cost double, settles_s long, used_tokens long, used_cost double").withColumn("ts", F.timestamp_seconds("at")).repartition(3)
-    found = {r.event_id: (r.refused, r.retry_after_s) for r in state.reservations(df, "user", 10, 100, 2.0).collect()}
-    # 2: 50 are reserved; 3: only 10 were used by then; 4: 3 has settled (70), 5: a new day, but too costly; 6: fits
-    assert found[1] == (None, None) and found[2][0] == "tokens" and found[3] == (None, None) and found[4][0] == "tokens" and found[5][0] == "cost" and found[6] == (None, None) and found[7][0] == "tokens"
-    assert found[2][1] == 86390
+    minute = [(i, 5 * i, 1, 0, None, 0) for i in range(5)] + [(5, 60, 1, 0, None, 0), (6, 61, 1, 0, None, 0)]
+    assert [x[:2] for x in decided(spark, minute, rpm=3).values()] == [(None, None)] * 3 + [("rpm", 45), ("rpm", 40), (None, None), ("rpm", 4)]
+    # Held until settled; settled ones count what was used, late and lapsed ones nothing.
+    held = [(0, 0, 40, 0, 100, 10), (1, 99, 61, 0, None, 0), (2, 100, 61, 0, 600, 99), (3, 699, 30, 0, None, 0), (4, 700, 30, 0, 5, 30)]
+    assert [x[0] for x in decided(spark, held, tokens=100).values()] == [None, "tokens", None, "tokens", None]
+    # The estimate: what is left of the tokens, what is left of the money, or what was asked for.
+    left = [(0, 0, 100, None, 0, 100), (1, 1, 800, None, None, 0), (2, 2, 10, 95, None, 0)]
+    assert [(x[0], x[2], x[3]) for x in decided(spark, left, tokens=1000).values()] == [(None, 612, 6.12), (None, 900, 9.0), ("tokens", 105, 1.05)]
+    money = [(0, 0, 100, None, 0, 100), (1, 1, 200, None, 0, 200), (2, 2, 10, 95, 0, 95), (3, 3, 1, None, None, 0)]
+    assert [(x[0], x[3]) for x in decided(spark, money, cost=4.0).values()] == [(None, 4.0), (None, 3.0), ("cost", 1.05), (None, 1.0)]
+    # Compute comes last and looks at what was used; a new day begins anew.
+    compute = [(0, 0, 1, 1, 0, 50), (1, 9, 1, 1, 0, 50), (2, 10, 1, 1, None, 0), (3, 86400, 1, 1, None, 0)]
+    assert [x[:2] for x in decided(spark, compute, compute=100.0).values()] == [(None, None), (None, None), ("compute", 86390), (None, None)]
+    assert decided(spark, [], rpm=1) == {}
+    nulls = requests_of(spark, [(0, 0, None, None, None, None)]).withColumns({"price_in": F.lit(None).cast("double"), "used_cost": F.lit(None).cast("double")})
+    assert [(r.refused, r.tokens, r.cost) for r in budgets.reservations(nulls, "user", budgets.Limits()).collect()] == [(None, 512, 0.0)]
+
+
+def test_account_is_kept_whole():
+    limits, account = budgets.Limits(rpm=50, tokens=9000, cost=50.0, compute=900.0, held=300), budgets.Account()
+    for i in range(200):
+        row = {"event_id": i, "prompt_tokens": i % 7, "max_tokens": i % 50 or None, "price_in": 1.0, "price_out": 3.5, "settles_s": i * 37 % 400, "used_tokens": i % 30, "used_cost": 0.1, "used_compute": 1.5}
+        again = budgets.Account.unpacked(account.packed())
+        assert again == account and again.request(i * 20.0, row, limits) == account.request(i * 20.0, row, limits)
+    assert account.held_tokens == sum(o[4] for o in account.open) and account.held_cost == sum(o[5] for o in account.open)
+
+
+def test_call_history(spark):
+    rows = [(i, "u", t, k) for i, (t, k) in enumerate([(0, "a"), (10, "b"), (20, None), (30, "c"), (131, "d"), (231, "e")])]
+    found = state.call_history(events(spark, rows), "user_id", "event_type", 100, 3).orderBy("event_id").collect()
+    assert [(r.calls, r.recent) for r in found] == [(1, "a"), (2, "a,b"), (3, "a,b"), (3, "b,c"), (1, "d"), (2, "d,e")]
 
 
 def test_columns(spark):
@@ -97,7 +142,7 @@ def test_columns(spark):
     assert one(spark, C.is_english(F.col("t")), t="What is the time now") and not one(spark, C.is_english(F.col("t")), t="Wie ist das Wetter") and not one(spark, C.is_english(F.col("t")), t="123")
     windows = one(spark, C.spread_windows(F.col("t"), 1000, 3), t="a" * 3000 + "MIDDLE" + "b" * 3017)
     assert ["MIDDLE" in w for w in windows] == [False, True, False]
-    assert [len(x) for x in one(spark, C.chunks(F.col("t")), t="x" * 30000)] == [2000] * 7 + [1200]
+    assert [len(x) for x in one(spark, C.chunks(F.col("t")), t="x" * 30000)] == [2000] * 8
     assert one(spark, C.visible_text(F.col("t")), t="<p>a<!-- hidden --><script>x</script>b</p>") == "a hidden b"
 
 
@@ -130,6 +175,32 @@ def events(spark, rows):
     return spark.createDataFrame(rows, "event_id long, user_id string, t long, event_type string").withColumn("ts", F.timestamp_seconds("t"))
 
 
+def test_chunks_of_a_busy_identity(spark):
+    """One identity has most of the events; rows equal plain windows over whole identities, with chunks of any width."""
+    rows = [(i, R.choice(["busy"] * 9 + ["rare", None]), R.choice([i // 3, i * 7, i * 500]), R.choice("abc")) for i in range(600)]
+    frame = events(spark, rows).withColumn("v", F.col("event_id") % 7).repartition(5)
+    whole = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    t = chunks.micros()
+    expected = frame.select(
+        "event_id", F.sum("v").over(whole).alias("total"), F.max("v").over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("most"),
+        F.count("*").over(Window.partitionBy("user_id", "event_type").orderBy(t).rangeBetween(-100_000_000, 0)).alias("near"),
+        F.count("*").over(Window.partitionBy("user_id", "event_type").orderBy(t).rangeBetween(-99_999_999, 0)).alias("nearer"),
+        F.sum(F.coalesce((t - F.lag(t).over(whole) > 50_000_000).cast("int"), F.lit(1))).over(whole).alias("session"),
+    )
+    by_id = lambda df: sorted(tuple(r) for r in df.collect())
+    for width in (1, 37, 5000, 10**7):
+        made = chunks.running(frame, ["user_id"], ["ts", "event_id"], {"total": (F.col("v"), "sum")}, True, width)
+        made = chunks.running(made, ["user_id"], ["ts", "event_id"], {"most": (F.col("v"), "max")}, False, width)
+        made = chunks.with_recent(made, ["user_id", "event_type"], 100, "near", True, width)
+        made = chunks.with_recent(made, ["user_id", "event_type"], 100, "nearer", False, width)
+        made = chunks.sessions(made, "user_id", 50, width)
+        assert made.columns == [*frame.columns, "total", "most", "near", "nearer", "session"]
+        assert by_id(made.select(expected.columns)) == by_id(expected)
+    plan = state.session_cap(frame, "user_id", 5)._jdf.queryExecution().optimizedPlan().toString()
+    rows_windowed = [line for line in plan.split("\n") if "Window" in line and "event_id" in line]
+    assert rows_windowed and all("_chunk" in line for line in rows_windowed)
+
+
 def test_windows(spark):
     calls = events(spark, [(i, "u", t, "x") for i, t in enumerate([0, 10, 20, 60, 125])])
     guarded = {r.event_id: r.action for r in state.loop_guard(calls, "user_id", ["event_type"], 60, 3).collect()}
@@ -172,6 +243,85 @@ def test_vectors(spark):
     assert [r.verdict for r in vectors.verdict(scored, 0.64, 0.03, 0.53, 0.0).collect()] == ["grey", "clean", "block"]
 
 
+def scores_by_hand(queries, examples, k, leave_out):
+    found = {}
+    for q, vector, group in queries:
+        best = {}
+        for label in ("attack", "benign"):
+            own = [(e, v) for e, x, v, g in examples if x == label and v is not None and len(v) == 4 and not (leave_out and (e == q or (g is not None and g == group)))]
+            scored = sorted((-round(sum(a * b for a, b in zip(v, vector)), 6), e) for e, v in own) if vector is not None and len(vector) == 4 else []
+            best[label] = scored[:k]
+        mean = lambda x: round(-sum(s for s, _ in x) / len(x), 6) if x else None
+        found[q] = (mean(best["attack"]), mean(best["benign"]), best["attack"][0][1] if best["attack"] else None)
+    return found
+
+
+@pytest.mark.parametrize("most", [50_000, 10])
+def test_margins(spark, monkeypatch, most):
+    monkeypatch.setattr(vectors, "MOST", most)
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    monkeypatch.setattr(vectors, "BUCKET", 15)
+    monkeypatch.setattr(vectors, "CELLS", 100)
+    vector = lambda: [R.choice([-1.0, -0.5, 0.0, 0.25, 0.5, 1.0]) for _ in range(4)]  # noqa: E731  many equal scores
+    examples = [(i, R.choice(["attack", "benign"]), vector(), R.choice([None, 1, 2])) for i in range(40)] + [(40, "attack", None, 1), (41, "other", vector(), 1)]
+    queries = [(i, vector(), R.choice([None, 1, 2])) for i in range(60)] + [(60, None, 1), (61, [1.0], 1)]
+    q = spark.createDataFrame(queries, "query long, vector array<float>, query_group int").repartition(3)
+    e = spark.createDataFrame(examples, "example long, label string, example_vector array<float>, group int")
+    for leave_out in (False, True):
+        found = {r.query: (r.attack, r.benign, r.nearest) for r in vectors.margins(q, e, 3, leave_out).collect()}
+        expected = scores_by_hand(queries, examples, 3, leave_out)
+        assert found == expected if most > 10 else {k: v for k, v in found.items() if v[0] is not None} == {k: v for k, v in expected.items() if v[0] is not None}
+    assert {(r.attack, r.benign, r.nearest) for r in vectors.margins(q, e.limit(0)).collect()} <= {(None, None, None)}
+    assert vectors.margins(q.limit(0), e).collect() == []
+
+
+def calibrated_by_hand(points, block_rate, escalation):
+    sims, gaps = vectors.SIMS, vectors.GAPS
+    attacks, benigns = ([(s, m) for label, s, m in points if label == x] for x in ("attack", "benign"))
+    share = lambda own, *pairs: sum(any(s >= a and m >= b for a, b in pairs) for s, m in own) / len(own)
+    block = max(((share(attacks, (a, b)), a + b, a, b) for a in sims for b in gaps if share(benigns, (a, b)) <= block_rate), default=(0, 0, sims[-1], gaps[-1]))[2:]
+    grey = max(((share(attacks, block, (a, b)), a + b, a, b) for a in sims for b in gaps if a <= block[0] and share(benigns, block, (a, b)) <= escalation), default=(0, 0, *block))[2:]
+    return (*block, *grey, *[round(x, 6) for x in (share(attacks, block), share(benigns, block), share(attacks, block, grey), share(benigns, block, grey))])
+
+
+def test_calibration(spark):
+    for n, block_rate, escalation in ((40, 0.02, 0.1), (40, 0.2, 0.5), (6, 0.0, 0.0), (30, -1.0, -1.0)):
+        points = [("attack", round(R.gauss(0.7, 0.15), 3), round(R.gauss(0.2, 0.1), 3)) for _ in range(n)] + [("benign", round(R.gauss(0.5, 0.15), 3), round(R.gauss(0.05, 0.1), 3)) for _ in range(n)] + [("attack", 0.4, 0.0), ("benign", 0.95, 0.4)]
+        row = vectors.calibrate(spark.createDataFrame(points, "label string, attack double, margin double"), block_rate, escalation).collect()
+        assert [tuple(r) for r in row] == [calibrated_by_hand(points, block_rate, escalation)]
+
+
+def test_percentiles(spark):
+    values = [("a", round(R.lognormvariate(3, 2), 3)) for _ in range(3000)] + [("a", -5.0), ("a", 0.0)] + [("b", 7.25)] * 999 + [("b", 7.250001)] + [("c", x) for x in (1e-9, 2e-9, float("inf"), -1e300, 1e300)] + [("d", None), (None, 3.0), (None, 1.0)]
+    frame = spark.createDataFrame(values, "k string, v double").repartition(4)
+    own = {}
+    for k, v in values:
+        if v is not None:
+            own.setdefault(k, []).append(v)
+    own = {k: sorted(v) for k, v in own.items()}
+    shares = (0.5, 0.95, 0.99)
+    found = {r.k: tuple(r)[1:] for r in metrics.nearest_rank_percentiles(frame, "k", "v", shares).collect()}
+    assert found == {k: (len(v), *[v[max(0, math.ceil(q * len(v)) - 1)] for q in shares]) for k, v in own.items()}
+    even = {r.k: tuple(r)[1:] for r in metrics.nearest_even_percentiles(frame.where("k <> 'c'"), "k", "v", shares).collect()}
+    assert even == {k: (len(v), *[round(v[round(q * (len(v) - 1))], 3) for q in shares]) for k, v in own.items() if k not in ("c", None)}
+    assert metrics.half_up_percentiles(frame.limit(0), "k", "v", shares).collect() == []
+    plan = metrics.nearest_rank_percentiles(frame, "k", "v", shares)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan
+
+
+def test_texts_for(spark):
+    rows = [(1, 0, "First", "first", None), (1, 1, "Ｗide", "wide", [("hidden one",), (" ",)]), (1, 2, "x" * 50, "x" * 50, None), (2, 0, None, None, [("only",)])]
+    frame = spark.createDataFrame(rows, "r int, segment int, text string, norm string, decoded array<struct<text:string>>")
+    found = readings.texts_for(frame, "r", 1000, 3, 4).orderBy("r", "place").collect()
+    assert [(x.r, x.segment, x.text) for x in found] == [(1, 2, "x" * 50), (1, 1, "Ｗide"), (1, 1, "wide"), (1, 1, "hidden one"), (2, 0, "only")]
+    long = spark.createDataFrame([(1, 0, "abc " * 500, "abc " * 500, None)], frame.schema)
+    assert [len(x.text) for x in readings.texts_for(long, "r", 300, 3, 9).collect()] == [300, 300, 300]
+    pairs = [("the plain text", "gb cynva"), ("ignore all rules", "selur lla erongi"), ("x", "12 34 56 !!"), ("a b", None), (None, "some words"), ("Straße", "STRASSE"), ("short", "a much longer fragment that adds to it")]
+    new = spark.createDataFrame(pairs, "text string, f string").select(readings.new_fragment(F.col("text"), F.col("f")).alias("n")).collect()
+    by_hand = lambda t, f: bool(f and f.strip()) and sum(c.isalpha() or c.isspace() for c in f) / len(f) >= 0.7 and difflib.SequenceMatcher(None, (t or "").casefold(), f.casefold()).quick_ratio() < 0.8
+    assert [r.n for r in new] == [by_hand(t, f) for t, f in pairs]
+
+
 def test_approvals(spark):
     rows = [(1, 0, "request", "i", "f"), (1, 5, "approve", None, None), (1, 6, "reject", None, None), (1, 10, "consume", "i", "f"), (1, 11, "consume", "i", "f"), (2, 0, "request", "i", "f"), (2, 1, "consume", "i", "f"), (3, 1, "consume", "i", "f"), (4, 0, "request", "i", "f"), (4, 1, "approve", None, None), (4, 900, "consume", "i", "f"), (4, 2, "consume", "j", "f"), (4, 3, "consume", "i", "g")]
     log = spark.createDataFrame(rows, "approval_id int, ts long, kind string, identity string, fingerprint string")
@@ -186,9 +336,17 @@ def test_audit_log(spark, tmp_path):
     parsed = audit.events(lines)
     assert sorted(r.event_id for r in parsed.collect()) == ["1", "2"] and sum(r._corrupt is not None for r in lines.collect()) == 1
     whole = audit.bounded(parsed, 10**6).first().line
-    for limit, part in ((len(whole), '"masked":"n"'), (len(whole) - 1, "r" * 300), (len(whole) - 60, "r" * 200), (300, '"detail":"d"'), (10, "[event truncated]")):
-        line = audit.bounded(parsed, limit).first().line
-        assert part in line
+    note = len(',"error":" [event truncated]"')
+    for limit, step, part in ((len(whole), 0, '"masked":"n"'), (len(whole) - 1, 1, "r" * 300), (len(whole) + note - 55, 2, "r" * 200), (len(whole) + note - 156, 3, '"action":"block"'), (10, 3, "[event truncated]")):
+        row = audit.bounded(parsed, limit).first()
+        assert (row.step, part in row.line) == (step, True), (limit, row)
+        assert ("detail" in row.line, " [event truncated]" in row.line, "reason" in row.line) == (step < 3, step > 0, step < 3)
+        assert step == 3 or len(row.line.encode()) <= limit
+    detail = '{"args": {"a": 1}, "x": [1, {"args": 2}], "approval": {"approval_id": "p", "status": "open", "reason": "secret", "decided_by": null}}'
+    assert json.loads(one(spark, audit.detail_without_content(F.col("t")), t=detail)) == {"x": [1, {"args": 2}], "approval": {"approval_id": "p", "status": "open", "decided_by": None}}
+    assert one(spark, audit.detail_without_content(F.col("t")), t="plain") == "plain" and one(spark, audit.detail_without_content(F.col("t")), t='{"approval": 5}') == '{"approval":5}'
+    audit.write_lines(audit.bounded(parsed, 10_000), str(tmp_path / "lines"), 1)
+    assert audit.events(audit.scan(spark, str(tmp_path / "lines"))).count() == 2
     bare = parsed.withColumn("decisions", audit.without_content(F.col("decisions"))).first()
     assert {m.masked for m in bare.decisions[0].matches} == {None}
     audit.append(parsed.drop("at"), str(tmp_path / "out"), 1)
@@ -199,10 +357,27 @@ def test_audit_log(spark, tmp_path):
 
 
 def test_policy(spark):
-    tables = policy.load(spark, "identities: {a: {role: r, profile: strict}, b: {role: ghost}}\nroles: {r: {tools: [t, u], models: ['*']}}\ntools: {t: {privilege: low}}\ncontrols: {C: {priority: 5, stages: [input], params: {x: 1, mode: shadow}, levels: {strict: {x: 2}, off: {enabled: false}}}}")
-    assert sorted((r.problem, r.name) for r in policy.problems(tables).collect()) == [("unknown role", "ghost"), ("unknown tool", "u")]
-    row = policy.resolved(tables["controls"], tables["levels"], "strict").first()
-    assert (row.config["x"], row.mode) == ("2", "shadow") and policy.resolved(tables["controls"], tables["levels"], "off").count() == 0
+    text = """
+identities: [{id: a, role: r, profile: strict}, {id: b, role: ghost}, {id: a, role: r}]
+roles: {r: {tools: [t, u, '*'], models: ['*', m2], budget: none, may_delegate_to: [r, s], memory_namespaces: [n1, n2]}}
+models: [{name: m}]
+memory: {namespaces: {n1: {}}}
+mcp_servers: {srv: {}}
+tools: {t: {privilege: low, backend_url_env: X}, srv.x: {mcp_server: srv}, y: {mcp_server: srv}, other.z: {mcp_server: other}, both: {backend_url_env: X, mcp_server: srv}, bare: {}}
+controls: {C: {priority: 5, stages: [input], mode: shadow, params: {x: 1}, levels: {strict: {x: 2}, off: {enabled: false}}}, D: {id: C}}
+"""
+    tables = policy.load(spark, text)
+    assert sorted((r.problem, r.owner, r.name) for r in policy.problems(tables).where("owner is not null").collect()) == [
+        ("name of a server's tool", "y", "srv"), ("one of backend and server", "bare", None), ("one of backend and server", "both", "srv"), ("unknown budget", "r", "none"), ("unknown model", "r", "m2"),
+        ("unknown namespace", "r", "n2"), ("unknown role", "b", "ghost"), ("unknown role", "r", "s"), ("unknown server", "other.z", "other"), ("unknown tool", "r", "u"),
+    ]
+    assert sorted((r.problem, r.name) for r in policy.problems(tables).where("owner is null").collect()) == [("duplicate control", "C"), ("duplicate identity", "a")]
+    assert policy.problems(policy.load(spark, "")).collect() == [] and policy.problems({"models": tables["models"]}).collect() == []
+    by_name = policy.load(spark, "identities: {a: {role: r}}\nroles: {r: {tools: [t]}}\ntools: {t: {backend_url_env: X}}")
+    assert policy.problems(by_name).collect() == []
+    controls = tables["controls"].limit(1)
+    row = policy.resolved(controls, tables["levels"], "strict").first()
+    assert (row.config["x"], row.mode) == ("2", "shadow") and policy.resolved(controls, tables["levels"], "off").count() == 0
     examples = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string")
     cache = examples.where("id = 1").select("id", F.sha2("text", 256).alias("digest"), F.lit("m").alias("model"))
     assert [r.id for r in policy.missing_vectors(examples, cache, "m").collect()] == [2]
@@ -223,6 +398,57 @@ def test_requests(spark):
     assert one(spark, requests.is_description(F.col("t")), t="a[1].title") and not one(spark, requests.is_description(F.col("t")), t="a.titles")
 
 
+def test_write_back(spark):
+    rows = [
+        (1, '{"a": ["x 1", {"b.c": "x 2", "d/e~f": "x 3"}], "to": "x 4", "n": 1.50, "é": null}'), (2, '"x whole"'), (3, "x plain, no JSON"), (4, '{"a": "clean"}'), (5, None), (6, '{"a": "stuck"}'),
+        (7, '["x", ["x"], {"": "x", "0": {"0": "x"}}]'),
+    ]
+    calls = spark.createDataFrame(rows, "id int, args string")
+    redact = lambda t: (F.replace(t, F.lit("x"), F.lit("[R]")), t != "stuck")
+    done = {r.id: r for r in requests.redact_arguments(calls, "id", "args", redact, ["to", "absent"]).collect()}
+    assert done[1].redacted == '{"a":["[R] 1",{"b.c":"[R] 2","d/e~f":"[R] 3"}],"to":"x 4","n":1.5,"é":null}' and (done[1].n_redacted, done[1].action) == (4, "redact")
+    assert done[2].redacted == '"[R] whole"' and done[3].redacted == "[R] plain, no JSON" and done[7].redacted == '["[R]",["[R]"],{"":"[R]","0":{"0":"[R]"}}]'
+    assert (done[4].redacted, done[4].action, done[5].redacted, done[5].action, done[6].action) == ('{"a": "clean"}', "allow", None, "allow", "block")
+    # What leads nowhere is counted: a list's end, a key that isn't there, a text's inside.
+    edits = F.array(*[F.struct(F.lit(p).alias("pointer"), F.lit("!").alias("text")) for p in ("/a/5", "/b", "/a/0/x", "/a/0", "")])
+    made = calls.where("id = 1").select(requests.write_back(F.col("args"), edits).alias("w")).first().w
+    assert made.unwritable == 4 and made.document.startswith('{"a":["!",')
+
+
+def test_schemas(spark):
+    def error(schema, value):
+        text = value if isinstance(value, str) else json.dumps(value)
+        return one(spark, schemas.argument_error(F.col("t"), schema), t=text)
+
+    held = [
+        ({"type": "integer"}, [1, -3, 2.0, 10**12], [1.5, "1", True, None, [1]]),
+        ({"type": ["string", "null"]}, [None, "", "x"], [0, {}]),
+        ({"enum": [1, "1", None, True, {"a": [1, 2]}, 2.5]}, [1, 1.0, "1", None, True, {"a": [1, 2]}, 2.5], [0, "2", False, {"a": [2, 1]}]),
+        ({"const": {"b": 1, "a": "é"}}, [{"a": "é", "b": 1}], [{"a": "é"}, 1]),
+        ({"minLength": 2, "maxLength": 3, "pattern": "^é"}, ["é1", "é12", 5], ["é", "é123", "ab"]),
+        ({"minimum": 1, "exclusiveMaximum": 2.5}, [1, 2.4, "x"], [0.99, 2.5]), ({"exclusiveMinimum": 1, "maximum": 2}, [1.1, 2], [1, 3]), ({"multipleOf": 0.5}, [1.5, -2], [1.2]),
+        ({"items": {"type": "string"}, "minItems": 1, "maxItems": 2, "uniqueItems": True}, [["a"], ["a", "b"], "no list"], [[], ["a", 1], ["a", "a"], ["a", "b", "c"]]),
+        ({"required": ["a.b", "c d"], "properties": {"a.b": {"type": "object", "required": ["x"], "properties": {"x": {"items": {"properties": {"y'\"": {"type": "boolean"}}}}}}}},
+         [{"a.b": {"x": [{"y'\"": True}, {}, 1]}, "c d": None}, 7], [{"a.b": {"x": []}}, {"a.b": {}, "c d": 1}, {"a.b": {"x": [{"y'\"": 0}]}, "c d": 1}]),
+        ({"properties": {"a": {}}, "additionalProperties": False}, [{"a": 1}, {}], [{"b": 1}]), ({"additionalProperties": {"type": "integer"}, "maxProperties": 2, "minProperties": 1}, [{"x": 1}], [{"x": "1"}, {}, {"a": 1, "b": 2, "c": 3}]),
+        ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, ["x", 5, None], [4]), ({"oneOf": [{"multipleOf": 3}, {"multipleOf": 5}]}, [3, 5], [15, 1]), ({"allOf": [{"minimum": 1}, {"maximum": 2}]}, [1], [0, 3]),
+        ({"not": {"type": "string"}}, [1], ["x"]), ({"definitions": {"n": {"type": "integer"}}, "items": {"$ref": "#/definitions/n"}}, [[1]], [["1"]]), ({"properties": {"a": False}}, [{}], [{"a": 1}]),
+        ({"unheard of": 1}, [1, None], []),
+    ]
+    for schema, good, bad in held:
+        for value in good:
+            assert error(schema, json.dumps(value)) is None, (schema, value)
+        for value in bad:
+            assert error(schema, json.dumps(value)) is not None, (schema, value)
+    assert error({}, "{broken") == "not JSON" and error({"required": ["a"]}, "{}") == "required a at $"
+    assert error({"properties": {"a": {"items": {"maximum": 3}}}}, {"a": [1, 9]}) == "maximum at $.a[]"
+    with pytest.raises(ValueError):
+        schemas.argument_error(F.lit("1"), {"items": {"$ref": "#"}})
+    targets = [('{"page_url": "http://169.254.169.254/"}', "page_url"), ('{"URI": " FILE:///x"}', "URI"), ('{"url": ["file:///x"]}', None), ('{"a.url b": "gopher://x"}', "a.url b"), ('{"text": "file:///x"}', None), ("[1]", None)]
+    for args, key in targets:
+        assert one(spark, access.forbidden_target(F.col("t")), t=args) == key
+
+
 class Runs:
     def __reduce__(self):
         import os
@@ -254,7 +480,63 @@ def test_artifacts(spark, tmp_path):
     read = artifacts.read(spark, str(tmp_path))
     banned = read.where("path like '%text'").select(F.sha2("content", 256).alias("sha256"))
     actions = {r.path.rsplit("/", 1)[1]: r.action for r in artifacts.verdicts(read, banned).collect()}
-    assert actions == {"bad.bin": "block", "data.txt": "allow", "nested.bin": "block", "up.bin": "block", "bomb.bin": "block", "text": "block", "cut.bin": "flag", "npy": "block", "second.bin": "block", "zero.bin": "block", "packed.bin": "block", "numpy.bin": "flag", "memo.bin": "block"}
+    assert actions == {"bad.bin": "block", "data.txt": "flag", "nested.bin": "block", "up.bin": "block", "bomb.bin": "block", "text": "block", "cut.bin": "block", "npy": "block", "second.bin": "block", "zero.bin": "block", "packed.bin": "block", "numpy.bin": "flag", "memo.bin": "block"}
+    lenient = {r.path.rsplit("/", 1)[1]: r.action for r in artifacts.verdicts(read.where("path like '%cut.bin' or path like '%text'"), banned.limit(0), reject_unparseable=False).collect()}
+    assert lenient == {"cut.bin": "flag", "text": "flag"}
+
+
+def test_payloads_that_hide(tmp_path):
+    import bz2
+    import gzip
+    import lzma
+    import tarfile
+    import zlib
+
+    def codes(data, name="", **limits):
+        return {c for level, c, _ in artifacts.findings(data, name, artifacts.Budget(**limits)) if level != "info"}
+
+    unicode = lambda x: b"X" + len(x).to_bytes(4, "little") + x
+    unmarked = unicode(b"os") + unicode(b"system") + b"\x93" + unicode(b"true") + b"\x85R."
+    zero = b"cos\nsystem\n(S'true'\ntR."
+    # Without a mark, behind a first opcode that is dropped, and of protocol 0 behind a number.
+    for data in (unmarked, b"K\x010" + unmarked, b"K\x01" + zero, zero, b"N" + zero, b"(" + zero):
+        assert "dangerous_global" in codes(data), data
+    # In the second stream, of any kind, with padding, and behind one that ends in the middle of a piece.
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        for first in (b"", b"harmless", R.randbytes(200_000)):
+            for pad in (b"", b"\0" * 9):
+                assert codes(pack(first) + pad + pack(unmarked)) >= {"unsupported_archive"}
+        assert codes(pack(b"") + pack(unmarked)) >= {"unsupported_archive", "dangerous_global"}
+    assert codes(zlib.compress(unmarked)) >= {"unsupported_archive", "dangerous_global"}
+    assert codes(gzip.compress(gzip.compress(bz2.compress(zero)))) >= {"dangerous_global"}
+    for data in (b"\x28\xb5\x2f\xfd rest", b"7z\xbc\xaf\x27\x1c rest", b"Rar! rest"):
+        assert codes(data) == {"unsupported_archive"}
+    assert codes(gzip.compress(b"\0" * (40 << 20))) == codes(bz2.compress(b"\0" * (40 << 20))) == {"decompression_bomb"}
+    assert "bad_archive" in codes(gzip.compress(b"x" * 999)[:-20] + b"\xff" * 12)
+    # Archives.
+    def tarred(*members):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz") as archive:
+            for name, data in members:
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                archive.addfile(info, io.BytesIO(data))
+        return out.getvalue()
+
+    assert codes(tarred(("a", b"text"), ("b", zero))) == {"pickle_format", "dangerous_global"}
+    assert codes(tarred(("../a", b"text"))) == {"path_traversal"} and codes(tarred(("a", b"text"))) == set()
+    assert codes(tarred(*[(str(i), b"") for i in range(5)]), entries=4) == {"too_many_entries"}
+    assert codes(tarred(("a", b"x" * 5000)), left=4000) == {"decompression_bomb"}
+    # Names, the feed, and what can't be read.
+    assert codes(b"\x80\x02cmylib.sub\nrun\n.", signatures={"mylib.sub": "S-1"}) == {"pickle_format", "feed_signature"}
+    assert codes(pickle.dumps([1]), "model.safetensors") == {"pickle_format", "extension_mismatch"}
+    assert codes(zero[:-1]) == {"unknown_format"} and codes(b"\x80\x04" + zero[:-1]) == {"pickle_format", "dangerous_global", "unparseable_pickle"}
+    assert codes(pickle.dumps([1]) + b"\xff\xff") == {"pickle_format", "trailing_data"} and codes(b"") == {"empty"}
+    assert codes(b"\x80\x04K\x01K\x02\x93.") == {"pickle_format", "unresolved_global"}
+    header = b'{"a": {"dtype": "F32"}}'
+    assert codes(len(header).to_bytes(8, "little") + header, "x.safetensors") == set() and codes(b"\x93NUMPY\x01\x00\xff\xff{") == {"unparseable_npy"}
+    for _ in range(300):  # whatever bytes: findings, never an error
+        list(artifacts.findings(R.choice([b"", b"\x80\x04", b"PK\x03\x04", b"\x1f\x8b\x08", b"BZh9", b"\x78\x9c"]) + R.randbytes(R.randint(0, 60))))
 
 
 def test_controls(spark):

@@ -1,9 +1,15 @@
 """Streaming twins against their batch operators."""
 
+from dataclasses import replace
+
+import pytest
 from pyspark.sql import functions as F
 
+from portcullis.operators import budgets
 from portcullis.operators import state as batch
+from portcullis.plans import gateway
 from portcullis.sources import audit
+from portcullis.streaming import budgets as timed
 from portcullis.streaming import state as live
 
 DAY = 86400
@@ -31,6 +37,45 @@ def test_stateful_operators_equal_batch(spark, tmp_path):
     assert rows(used) == rows(batch.usage(events, "user_id", F.col("value"), "day"))
 
 
+@pytest.fixture()
+def timers(spark):
+    """The state store that keeps timers."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, timed.PROVIDER)
+    yield
+    spark.conf.unset(key)
+
+
+def test_accounts_and_histories_with_timers_equal_batch(spark, tmp_path, timers):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    requests = gateway.budget_requests(events).withColumn("identity", F.col("identity") % 4).withColumn("tool", F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("t"), F.col("event_id") % 5)))
+    for part in range(4):  # files in the order of time
+        requests.where((F.dayofmonth("ts") - 1).between(part * 8, part * 8 + 7)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    limits = replace(gateway.LIMITS, tokens=3000)
+    expected = rows(budgets.reservations(requests, "identity", limits))
+    assert {r[1] for r in expected} == {None, "rpm", "tokens", "cost", "compute"}
+    assert rows(drain(timed.reservations(stream, "identity", limits), tmp_path, "accounts")) == expected
+    history = batch.call_history(requests, "identity", "tool", 30_000, 5).select("event_id", "calls", "recent")
+    assert rows(drain(timed.call_history(stream, "identity", "tool", 30_000, 5), tmp_path, "histories")) == rows(history)
+
+
+def test_state_ends_when_its_timer_rings(spark, tmp_path, timers):
+    row = lambda i, user, t: (i, user, t, 1, 1, None, None, 5, 1, 0.0, 0.0)
+    fields = "event_id long, identity long, t long, prompt_tokens int, max_tokens int, price_in double, price_out double, settles_s int, used_tokens int, used_cost double, used_compute double"
+    for part in ([row(0, 1, 0), row(1, 2, 0)], [row(2, 2, 90_000)], [row(3, 2, 180_000)], [row(4, 1, 180_100)]):
+        frame = spark.createDataFrame(part, fields).withColumn("ts", F.timestamp_seconds("t")).drop("t")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = timed.reservations(stream, "identity", budgets.Limits(rpm=9)).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = spark.read.format("statestore").option("stateVarName", "kept").load(str(tmp_path / "state"))
+    assert kept.count() < 2 + 2  # the first user's old state is gone, nobody has two
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert min(rows[1:]) < max(rows)
+
+
 def test_log_tail_drops_repeats(spark, tmp_path):
     (tmp_path / "log").mkdir()
     line = '{"ts": "2024-01-01T00:00:0%d.000Z", "event_id": "%d", "type": "request"}\n'
