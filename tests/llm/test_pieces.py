@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 
 import numpy as np
@@ -59,6 +60,29 @@ def test_counts_of_texts_cut_at_every_offset_of_a_chunk(monkeypatch):
     assert own.count(some).tolist() == [len(LIBRARY.encode(t)) for t in some]
 
 
+def test_counts_where_no_unit_begins(monkeypatch):
+    """Chunks that depend on all chunks before them: one letter, periods of letters, many-byte characters."""
+    r = random.Random(7)
+    letters = "".join(sorted(MODEL.joined))
+    some = ["".join(r.choices(letters, k=n)) for n in (5, 100, 3000)] + ["".join(r.choices("abc", k=2000)), "a" * 3001, "ab" * 900, "the" * 700, "é" * 999, "ая" * 500, "日本 𐍈x" * 200, "0123456789" * 99, "=" * 800]
+    expected = [len(LIBRARY.encode(t)) for t in some]
+    for chunk in (4, 16, 64, 1024):
+        monkeypatch.setattr(token_counts, "CHUNK", chunk)
+        own = token_counts.Transducer(MODEL)
+        assert own.count(some).tolist() == expected
+        assert [own.count([t]).tolist()[0] for t in some] == expected
+
+
+def test_agreement_is_that_of_the_library():
+    r, own = random.Random(8), token_counts.Transducer(MODEL)
+    as_is = MODEL.merges
+    whole = [p for p in r.sample(sorted(own.scores), 3000) if own.edges(p)]
+    assert len(whole) > 2500 and all(as_is.encode(p, out_type=str) == [p] for p in whole)
+    for _ in range(20_000):
+        a, b = r.choice(whole), r.choice(whole)
+        assert own.agrees(a, b) == (as_is.encode(a + b, out_type=str) == [a, b])
+
+
 def charsmap(entries):
     """A compiled map, laid out here as a double array for the test."""
     children, strings, units = {}, b"", {}
