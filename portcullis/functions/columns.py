@@ -120,9 +120,14 @@ def scrub(text: Column, limit: int = 200) -> Column:
     return F.regexp_replace(line, r"[0-9]{6,}", "<number>")
 
 
+def rot13_of(text: Column) -> Column:
+    """The letters of the alphabet turned by 13."""
+    return F.translate(text, *ROTATED)
+
+
 def rot13(text: Column) -> Column:
     """The rotated text if it has at least two hint words and more than before, else null."""
-    rotated = F.translate(text, *ROTATED)
+    rotated = rot13_of(text)
     count = lambda t: F.regexp_count(F.lower(t), F.lit(rf"(?<![a-z])(?:{'|'.join(ROT13_HINTS)})(?![a-z])"))
     return F.when((count(rotated) >= 2) & (count(rotated) > count(text)), rotated)
 

@@ -97,24 +97,29 @@ def from_leet(text: Column) -> Column:
     return F.array(_let(F.split(text, r"(?U)\b"), lambda words: F.when(F.size(F.filter(words, mixed)) >= 2, F.array_join(F.transform(words, plain), ""))))
 
 
+def _rewritten(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """The text with each match changed where it stands: what lies between the matches, and the matches, in turn."""
+    gaps, runs = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+    return F.array_join(F.concat(F.zip_with(F.slice(gaps, F.lit(1), F.size(runs)), runs, lambda gap, run: F.concat(gap, change(run))), F.slice(gaps, -1, 1)), "")
+
+
 def from_spaced(text: Column) -> Column:
-    """Letters that stand apart run together: by marks, as spelled words between wide gaps, or by single spaces."""
+    """Letters that stand apart run together.
 
-    def closed(t: Column, pattern: str, mark: str) -> Column:
-        return _let(t, lambda own: F.aggregate(_runs(own, pattern), own, lambda done, run: F.replace(done, run, F.translate(run, mark, ""))))
+    Four letters or more with one mark between them, and a mark that ends the run, are a word. Where gaps of two
+    blanks or more part words, each gap becomes one blank and what is spelled between gaps a word, if that saves
+    three characters; else four letters or more with single blanks between them are a word.
+    """
+
+    def together(t: Column, pattern: str, mark: str) -> Column:
+        return _let(t, lambda own: F.when(own.rlike(pattern), _rewritten(own, pattern, lambda run: F.translate(run, mark, ""))).otherwise(own))
 
     for mark in ".-_":
-        text = closed(text, rf"(?<![A-Za-z0-9\{mark}])(?:[A-Za-z]\{mark}){{3,}}[A-Za-z](?!\{mark}?[A-Za-z0-9])", mark)
-    spelled = lambda part: F.when(part.rlike(r"^(?:[A-Za-z] )+[A-Za-z]\W*$"), F.regexp_replace(part, r"(?<=[A-Za-z]) (?=[A-Za-z])", "")).otherwise(part)
-    return F.array(
-        _let(
-            text,
-            lambda t: _let(
-                F.array_join(F.transform(F.split(t, r"\s{2,}"), spelled), " "),
-                lambda joined: F.when(F.length(t) - F.length(joined) >= 3, joined).otherwise(closed(t, "(?<![A-Za-z])(?:[A-Za-z] ){3,}[A-Za-z](?![A-Za-z])", " ")),
-            ),
-        )
-    )
+        text = together(text, rf"(?<![A-Za-z0-9\{mark}])[A-Za-z](?:\{mark}[A-Za-z]){{3,}}\{mark}?(?![A-Za-z0-9])", mark)
+    spelled = lambda part: F.when(part.rlike(r"(?U)^[A-Za-z](?: [A-Za-z])+\W*$"), F.regexp_replace(part, "(?<=[A-Za-z]) (?=[A-Za-z])", "")).otherwise(part)
+    joined = lambda t: F.array_join(F.transform(F.split(t, r"(?U)\s{2,}", -1), spelled), " ")
+    single = "(?<![A-Za-z])[A-Za-z](?: [A-Za-z]){3,}(?![A-Za-z])"
+    return F.array(_let(text, lambda t: _let(joined(t), lambda j: F.when(F.length(t) - F.length(j) >= 3, j).otherwise(together(t, single, " ")))))
 
 
 _HINTS = "|".join(w.translate(str.maketrans(*ROTATED)) for w in ROT13_HINTS)
@@ -125,7 +130,7 @@ CODECS: dict[str, tuple[str, Callable[[Column], Column]]] = {
     "url": ("%[0-9a-fA-F]{2}", from_url),
     "rot13": (rf"(?i)(?<![a-z])(?:{_HINTS})(?![a-z])", lambda text: F.array(rot13(text))),
     "leet": ("[A-Za-z][0134578]|[0134578][A-Za-z]", from_leet),
-    "spaced": (r"(?<![A-Za-z])[A-Za-z][ ._-][A-Za-z](?![A-Za-z])", from_spaced),
+    "spaced": (r"(?U)(?<![A-Za-z])[A-Za-z][ ._-][A-Za-z](?![A-Za-z])|\s{4}|\s{2}[^\s](?s:.*)\s{2}", from_spaced),
 }
 
 

@@ -115,6 +115,17 @@ def memory_access(calls: DataFrame, grants: DataFrame, namespaces: DataFrame, ro
     return check_grant(named, grants, namespaces, role, "namespace")
 
 
+def retrieved_namespaces(segments: DataFrame, grants: DataFrame, request: str, role: str = "role") -> DataFrame:
+    """Retrieved segments (origin, namespace) against the namespaces that the role may read: ``action``, the
+    namespaces that it may not, in order, and the segments from them. Segments without a namespace, or from
+    elsewhere, are no matter; requests without any are allowed."""
+    asked = segments.withColumn("__in", F.when((F.col("origin") == "retrieved") & (F.col("namespace") != ""), F.col("namespace")))
+    marked = granted(asked.drop("namespace").withColumnRenamed("__in", "namespace"), grants, role, "namespace")
+    denied = F.col("namespace").isNotNull() & ~F.col("granted")
+    found = marked.groupBy(request).agg(F.array_sort(F.collect_set(F.when(denied, F.col("namespace")))).alias("namespaces"), F.array_sort(F.collect_list(F.when(denied, F.col("segment")))).alias("segments"))
+    return found.withColumn("action", F.when(F.size("namespaces") > 0, "block").otherwise("allow"))
+
+
 def tickets(issued: DataFrame, used: DataFrame) -> DataFrame:
     """K4: a session opened with a ticket has the depth that the ticket carries, if it is more than its own, and is
     tainted if the one that issued it was. Unknown tickets change nothing."""

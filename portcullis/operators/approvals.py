@@ -39,6 +39,18 @@ def consumptions(events: DataFrame, life: int = LIFE) -> DataFrame:
     return marked.withColumn("outcome", F.coalesce("__reason", F.when(used, "used").otherwise("ok"))).select("approval_id", "ts", "outcome")
 
 
+def listed(events: DataFrame, now: int, status: str | None = None, life: int = LIFE) -> DataFrame:
+    """Approvals as they stand at ``now`` (pending, approved, rejected, expired, used), newest first, all or
+    those of one status. Events after ``now`` haven't happened."""
+    known = events.where(F.col("ts") <= now)
+    used = consumptions(known, life).where("outcome = 'ok'").select("approval_id", F.lit(True).alias("used")).distinct()
+    stands = states(known, life).where("created is not null").join(used, "approval_id", "left")
+    over = F.col("expires") <= now
+    status_of = F.when(F.col("used"), "used").when(F.col("verdict") == "reject", "rejected").when(over, "expired").when(F.col("verdict") == "approve", "approved").otherwise("pending")
+    found = stands.withColumn("status", status_of)
+    return (found if status is None else found.where(F.col("status") == status)).orderBy(F.col("created").desc(), "approval_id")
+
+
 def waiting(events: DataFrame, now: int, life: int = LIFE) -> DataFrame:
     """Pending approvals, newest first."""
-    return states(events, life).where(F.col("verdict").isNull() & (F.col("expires") > now)).orderBy(F.col("created").desc(), "approval_id")
+    return listed(events, now, "pending", life)

@@ -86,6 +86,53 @@ def filtered(audit: DataFrame, *, since: Column | None = None, until: Column | N
     return audit
 
 
+# Fixed value: actions that a console knows by name.
+KNOWN_ACTIONS = ("allow", "flag", "redact", "require_approval", "block")
+
+
+def console_filter(events: DataFrame, **wanted: str) -> DataFrame:
+    """Every filter of the console that is set and not empty: ``action`` (``unknown``: none that is known), ``type``,
+    ``severity``, ``identity``, ``endpoint``, ``policy_version``, ``control`` and ``threat`` (among the event's lists
+    control_ids and threat_ids), and ``q``, a part of the request's, session's or event's id in any case."""
+    for name, value in wanted.items():
+        if not value:
+            continue
+        if name == "q":
+            q = value.strip().lower()
+            has = [F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(q)) for c in ("request_id", "session_id", "event_id")]
+            events = events.where(has[0] | has[1] | has[2] | F.lit(q == ""))
+        elif name in ("control", "threat"):
+            events = events.where(F.array_contains(f"{name}_ids", value))
+        elif name == "action":
+            own = F.col("final_action") == value
+            events = events.where(F.coalesce(own | ~F.col("final_action").isin(*KNOWN_ACTIONS), F.lit(True)) if value == "unknown" else own)
+        elif name in ("type", "severity", "identity", "endpoint", "policy_version"):
+            events = events.where(F.col(name) == value)
+        else:
+            raise ValueError(f"no filter {name}")
+    return events
+
+
+def slowest(values: DataFrame, key: str, value: str, share: float = 0.95, most: int = 12) -> DataFrame:
+    """I8: the keys with the highest percentile, the highest first; of equal ones the smaller key."""
+    name = f"p{int(share * 100)}"
+    return nearest_rank_percentiles(values, key, value, (share,)).orderBy(F.col(name).desc(), key).limit(most)
+
+
+def stack_report(cases: DataFrame) -> DataFrame:
+    """(category, lang, attacks, detected, benign, false_positives, errors) by category, by language and in
+    all. ``cases`` has category, lang, expect (block, allow) and outcome (block, allow, error)."""
+    n = lambda condition, name: F.count(F.when(condition, 1)).alias(name)
+    attack, benign, blocked = F.col("expect") == "block", F.col("expect") == "allow", F.col("outcome") == "block"
+    grouped = cases.groupingSets([[F.col("category")], [F.col("lang")], []], "category", "lang")
+    return grouped.agg(n(attack, "attacks"), n(attack & blocked, "detected"), n(benign, "benign"), n(benign & blocked, "false_positives"), n(F.col("outcome") == "error", "errors"))
+
+
+def caught_by(cases: DataFrame) -> DataFrame:
+    """What each control stopped, the most first."""
+    return cases.where("outcome = 'block'").groupBy("control").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "control")
+
+
 def newest(audit: DataFrame, limit: int) -> DataFrame:
     """Newest first, 1 to 5000 of them."""
     return audit.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(max(1, min(limit, 5000)))

@@ -23,4 +23,4 @@ def register(name: str, sql: str | None = None):
 
 
 # The modules register their queries here.
-from portcullis.plans import access, detection, engine, gateway, governed, logs, metrics, policies, recorded, windows  # noqa: E402, F401
+from portcullis.plans import access, console, detection, engine, gateway, governed, logs, metrics, personal, policies, recorded, windows  # noqa: E402, F401

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from portcullis.functions import text as T
 from portcullis.operators import approvals as P
 from portcullis.operators import readings as N
+from portcullis.operators import segments as G
 from portcullis.plans import register
 from portcullis.plans.audit_view import values
 from portcullis.sources import policy as Y
@@ -56,6 +57,50 @@ def new_fragments(spark, sf_dir):
     return turns.select("conv_id", "turn", N.new_fragment(text, fragment).alias("shown"))
 
 
+@register("content_parts", """SELECT conv_id, md5(coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (turn % 4 < 3), '')) AS said_md5 FROM conversations GROUP BY 1""")
+def content_parts(spark, sf_dir):
+    """A conversation's turns as content parts: texts, refusals, and parts that are neither."""
+    none = F.lit(None).cast("string")
+    part = F.struct("turn", F.when(F.col("turn") % 4 < 2, F.col("text")).otherwise(none).alias("text"), F.when(F.col("turn") % 4 == 2, F.col("text")).otherwise(none).alias("refusal"))
+    parts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    return parts.select("conv_id", F.md5(G.part_text(F.col("parts"))).alias("said_md5"))
+
+
+@register("data_urls", """SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN NULL ELSE md5(left(text, 100000)) END AS text_md5 FROM documents WHERE text IS NOT NULL""")
+def data_urls(spark, sf_dir):
+    """Texts in data: addresses, as base64, with parameters, or with escapes; those of images have none."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    coded, kind = F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", ""), F.col("doc_id") % 4
+    escaped = F.regexp_replace(F.hex(F.encode("text", "UTF-8")), "(..)", "%$1")
+    url = F.when(kind == 0, F.concat(F.lit("data:text/plain;base64,"), coded)).when(kind == 1, F.concat(F.lit("data:text/html;charset=utf-8;base64,"), coded)).when(kind == 2, F.concat(F.lit("data:application/json,"), escaped)).otherwise(F.concat(F.lit("data:image/png;base64,"), coded))
+    return docs.select("doc_id", F.md5(G.data_url_text(url)).alias("text_md5"))
+
+
+@register("description_leaves", """SELECT p_partkey, path, text FROM (SELECT p_partkey, 'description' AS path, p_name AS text FROM part UNION ALL SELECT p_partkey, 'inputSchema.properties.x.title', p_brand FROM part
+UNION ALL SELECT p_partkey, 'inputSchema.properties.x.description', p_type FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'inputSchema.anyOf[1].description', p_type || '!' FROM part)""")
+def description_leaves(spark, sf_dir):
+    """Parts as definitions of tools: descriptions and titles at any depth."""
+    size = F.col("p_size")
+    x = F.struct(F.col("p_brand").alias("title"), F.when(size % 2 == 0, F.col("p_type")).alias("description"), F.lit("string").alias("type"))
+    either = F.array(F.struct(F.lit(" ").alias("description")), F.struct(F.concat("p_type", F.lit("!")).alias("description")))
+    tool = F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_name").alias("description"), F.struct(F.struct(x.alias("x")).alias("properties"), either.alias("anyOf"), F.lit("titles").alias("kind")).alias("inputSchema")))
+    leaves = table(spark, sf_dir, "part").select("p_partkey", tool.alias("tool")).lateralJoin(R.JsonLeaves(F.col("tool").outer()))
+    return leaves.where(R.is_description(F.col("path"))).select("p_partkey", "path", "text")
+
+
+@register("proposed_calls", """WITH e AS (SELECT event_id, event_type, props, user_id FROM events)
+SELECT event_id, 0 AS nth, event_type AS name, props AS arguments FROM e UNION ALL SELECT event_id, 1, 'u' || user_id, '{"_unparsed":"{broken ' || event_id || '"}' FROM e WHERE user_id % 2 = 0
+UNION ALL SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END, 'legacy', props FROM e WHERE event_id % 3 = 0""")
+def proposed_calls(spark, sf_dir):
+    """Calls that answers propose, with arguments that don't parse, and in the older form."""
+    call = lambda name, args: F.struct(F.struct(name.alias("name"), args.alias("arguments")).alias("function"))
+    calls = F.filter(F.array(call(F.col("event_type"), F.col("props")), F.when(F.col("user_id") % 2 == 0, call(F.concat(F.lit("u"), "user_id"), F.concat(F.lit("{broken "), "event_id")))), lambda c: c.isNotNull())
+    legacy = F.when(F.col("event_id") % 3 == 0, F.struct(F.lit("legacy").alias("name"), F.col("props").alias("arguments")))
+    message = F.to_json(F.struct(F.lit("assistant").alias("role"), calls.alias("tool_calls"), legacy.alias("function_call")))
+    answers = table(spark, sf_dir, "events").select("event_id", message.alias("message"))
+    return answers.select("event_id", F.posexplode(R.proposed_calls(F.col("message"))).alias("nth", "call")).select("event_id", "nth", "call.name", "call.arguments")
+
+
 @register("request_leaves", "SELECT event_id, 'note' AS path, 'event ' || event_type AS text FROM events UNION ALL SELECT event_id, 'items[1].title', 'n' || user_id FROM events")
 def request_leaves(spark, sf_dir):
     """Strings of each event's arguments (built here), with their paths."""

@@ -201,6 +201,19 @@ def test_chunks_of_a_busy_identity(spark):
     assert rows_windowed and all("_chunk" in line for line in rows_windowed)
 
 
+def test_letters_apart(spark):
+    held = {
+        "i.g.n.o.r.e. all": "ignore all", "i.g.n.o.r.e, please": "ignore, please", "U.S.A. first": None, "a-b-c-d": "abcd", "x_y_z_w_": "xyzw", "(s.t.o.p)": "(stop)", "ab.c.d.e.f": None, "1a.b.c.d": None, "a.b.c.d1": None,
+        "word     word": "word word", "one  two": None, "one  two  three  four": "one two three four", "i g n o r e  a l l  rules": "ignore all rules", "i g n o r e all": "ignore all", "a b c": None, "w o r d!  n e x t жук": "word! n e x t жук",
+        "d o  i t": "do it", "s.t.o.p s.t.o.p x": "stop stop x", "x s.t.o.p. y s.t.o.p": "x stop y stop", "i g n o r e и": "ignore и", "tab\t\t\t\tgap": "tab gap",
+    }
+    frame = spark.createDataFrame([(k,) for k in held], "t string")
+    found = {r.t: r.x for r in frame.select("t", text.from_spaced(F.col("t"))[0].alias("x")).collect()}
+    assert found == {k: k if v is None else v for k, v in held.items()}
+    decoded = {r.text: [d.text for d in r.decoded if d.codec == "spaced"] for r in text.segments(frame.withColumnRenamed("t", "text")).collect()}
+    assert all(v in decoded[k] if v is not None else not decoded[k] for k, v in held.items())
+
+
 def test_windows(spark):
     calls = events(spark, [(i, "u", t, "x") for i, t in enumerate([0, 10, 20, 60, 125])])
     guarded = {r.event_id: r.action for r in state.loop_guard(calls, "user_id", ["event_type"], 60, 3).collect()}
