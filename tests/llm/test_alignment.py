@@ -57,6 +57,20 @@ def brute(texts):
     return rows, counts, highest
 
 
+def test_words_are_those_of_the_library():
+    library = Tokenizer.from_file(A)
+    library.encode_special_tokens = True
+    settled = [c for c in map(chr, range(0x3000)) if alignment.SETTLED.fullmatch(c)]
+    assert len(settled) > 1300
+    cut = lambda t: [x[1] for x in library.pre_tokenizer.pre_tokenize_str(t)]
+    for lead in ("a", "1", "!", " ", "\n", "'"):
+        text = "".join(f"{lead}{c}b{c}{c} {c}\n" for c in settled)
+        assert cut(text) == [m.span() for m in alignment.WORDS.finditer(text)]
+    sides = alignment.Sides(open(A).read(), open(B, "rb").read())
+    texts = [t for t in ODD if t] + ["".join(R.choices("ab'sé1½ \n\t.!<|endoftext|>ße²", k=R.randint(1, 60))) for _ in range(2000)]
+    assert [a.tolist() for a in sides.encode_a(texts)] == [e.ids for e in library.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
