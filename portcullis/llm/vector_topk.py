@@ -1,6 +1,6 @@
 """Exact top-k search by inner product over vector-approximation files.
 
-Vectors become integers floor(scale * x). They are packed into blocks; each block also has every
+Vectors become whole numbers floor(scale * x), kept as doubles, which hold them exactly. They are packed into blocks; each block also has every
 component's cell, one byte, out of ``CELLS`` equal cells between the component's least and greatest
 value over the table. A search scans a block's cells first: the middle and the half width of a
 vector's cells bound its inner product with the query. Exact vectors are then read in the order of
@@ -11,14 +11,15 @@ the work is a grid of block pairs and nothing is broadcast. Each pair returns k
 and a ranking window (which limits before its shuffle) takes the best.
 
 Null vectors and those with null or non-finite components take no part, as query or candidate; nor do
-empty ones. Scores are exact: sums that could leave 64 bits are taken in unbounded integers. As in the
-SQL, a scaled component or a resulting score that 64 bits cannot hold is an error. Vectors of different lengths are not compared. Ties go to the smaller id, null ids last; of
-repeated rows each takes part, and a query leaves out its own row alone.
+empty ones, nor those that scaling takes beyond the doubles. Scores are exact: sums that could leave 64
+bits are taken in unbounded integers, and the ranking is by them. Only a score that is returned and that 64
+bits can't hold is an error. Vectors of different lengths are not compared. Ties go to the smaller id, null
+ids last; of repeated rows each takes part, and a query leaves out its own row alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ READ = 64
 PACKED = "dims int, block long, uids binary, ids binary, vectors binary"
 
 
-def _search(query: np.ndarray, uid: np.ndarray, own_uid: int, upper: np.ndarray, lower: np.ndarray, exact: np.ndarray, ids: np.ndarray, k: int):
+def _search(scores_of: Callable[[np.ndarray], np.ndarray], uid: np.ndarray, own_uid: int, upper: np.ndarray, lower: np.ndarray, ids: np.ndarray, k: int):
     """Places and scores of the k best rows of a block for one query."""
     upper = np.where(uid == own_uid, -np.inf, upper)
     lower = np.where(uid == own_uid, -np.inf, lower)
@@ -47,11 +48,11 @@ def _search(query: np.ndarray, uid: np.ndarray, own_uid: int, upper: np.ndarray,
     order = possible[np.argsort(-upper[possible], kind="stable")]
     places, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for at in range(0, len(order), READ):
-        if len(scores) >= k and upper[order[at]] < scores[k - 1]:
+        if len(scores) >= k and float(upper[order[at]]) < scores[k - 1]:
             break
         some = order[at : at + READ]
         places = np.concatenate([places, some])
-        scores = np.concatenate([scores, exact[some] @ query])
+        scores = np.concatenate([scores, scores_of(some)])
         best = _best(scores, ids[places])[:k]
         places, scores = places[best], scores[best]
     return places, scores
@@ -63,48 +64,81 @@ def _best(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.array(sorted(range(len(scores)), key=lambda n: (-scores[n], ids[n])), np.int64)
 
 
-def search_block(queries: np.ndarray, query_uids: np.ndarray, exact: np.ndarray, cells: np.ndarray, least: np.ndarray, width: np.ndarray, uids: np.ndarray, ids: np.ndarray, k: int):
+def search_block(queries: np.ndarray, query_uids: np.ndarray, exact: np.ndarray, cells: np.ndarray, least: np.ndarray, most: np.ndarray, uids: np.ndarray, ids: np.ndarray, k: int):
     """(query, place, score) of each query's k best rows in one block."""
-    half = (width - 1) / 2
-    middle = least.astype(np.float64) + cells * width.astype(np.float64) + half
-    size = np.abs(queries.astype(np.float64))
-    most = size @ (np.abs(least.astype(np.float64)) + CELLS * width.astype(np.float64))
-    at_middle, spread = queries.astype(np.float64) @ middle.T, (size @ half + most * len(least) * ROUNDING)[:, None]
-    if len(most) and most.max() >= 2.0**62:
-        queries, exact = queries.astype(object), exact.astype(object)
-    found = [
-        _search(queries[i], uids, int(query_uids[i]), at_middle[i] + spread[i], at_middle[i] - spread[i], exact, ids, k) for i in range(len(queries))
-    ]
-    return [np.repeat(np.arange(len(queries)), [len(p) for p, _ in found]), *(np.concatenate([f[j] for f in found]) for j in (0, 1))]
-
-
-def _width(least: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Of each component the width of a cell; differences of 64-bit integers are whole as unsigned ones."""
-    return (most - least) // np.uint64(CELLS) + np.uint64(1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        width = (most / 2 - least / 2) / (CELLS / 2)
+        middle = least + (cells + 0.5) * width
+        size = np.abs(queries)
+        largest = size @ (np.maximum(np.abs(least), np.abs(most)) + width)
+        at_middle, spread = queries @ middle.T, (size @ (width / 2) + largest * len(least) * ROUNDING)[:, None]
+        # Where doubles don't hold the bounds, nothing is bounded.
+        upper, lower = np.nan_to_num(at_middle + spread, nan=np.inf, posinf=np.inf), np.nan_to_num(at_middle - spread, nan=-np.inf, neginf=-np.inf)
+        upper[~np.isfinite(at_middle) | ~np.isfinite(spread)], lower[~np.isfinite(at_middle) | ~np.isfinite(spread)] = np.inf, -np.inf
+        # A component beyond 64 bits meets zeros alone where the sum stays below 62.
+        small_queries, small = queries.astype(np.int64), exact.astype(np.int64)
+
+    def scores_of(i: int) -> Callable[[np.ndarray], np.ndarray]:
+        if largest[i] < 2.0**62:
+            return lambda some: small[some] @ small_queries[i]
+        own = [(j, int(x)) for j, x in enumerate(queries[i].tolist()) if x]
+        return lambda some: np.array([sum(int(row[j]) * x for j, x in own) for row in exact[some].tolist()], object)
+
+    found = [_search(scores_of(i), uids, int(query_uids[i]), upper[i], lower[i], ids, k) for i in range(len(queries))]
+    scores = [s for _, own in found for s in own.tolist()]
+    return np.repeat(np.arange(len(queries)), [len(p) for p, _ in found]), np.concatenate([p for p, _ in found]), scores
+
+
+def _cells(values: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The cell of each component, of ``CELLS`` equal ones between its least and greatest value."""
+    span = most / 2 - least / 2
+    place = np.divide(values / 2 - least / 2, span, out=np.zeros_like(values), where=span > 0) * CELLS
+    return np.clip(np.floor(place), 0, CELLS - 1).astype(np.uint8)
+
+
+def _sortable(score: int) -> tuple[int, int, bytes]:
+    """(beyond 64 bits: -1, 0 or 1; the score; else its bytes), in the order of scores."""
+    if -(1 << 63) <= score < 1 << 63:
+        return 0, score, b""
+    size = (abs(score).bit_length() + 7) // 8
+    data = size.to_bytes(8, "big") + abs(score).to_bytes(size, "big")
+    return (1, 0, data) if score > 0 else (-1, 0, bytes(255 - x for x in data))
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 1024) -> DataFrame:
     """(query_id, rank, the id, score) of the k best other rows for each row where ``is_query`` holds."""
     spark = df.sparkSession
     batch_rows(spark, 2 * BLOCK)
-    too_large = F.raise_error(F.lit("a scaled component does not fit 64 bits")).cast("long")
-    scaled = F.transform("v", lambda x: F.when(F.abs(x * scale) < 2.0**63, F.floor(x * scale)).otherwise(too_large))
+    whole = lambda x: F.when(F.abs(x * scale) < 2.0**53, F.floor(x * scale).cast("double")).otherwise(x * scale)  # noqa: E731  beyond, doubles are whole
     usable = (
         df.select(F.col(id_column).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.col(vector_column).cast("array<double>").alias("v"))
         .where(F.size("v") > 0)
-        .where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-        .withColumns({"uid": F.monotonically_increasing_id(), "v": scaled, "dims": F.size("v")})
+        .where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < float("inf"))))
+        .withColumns({"uid": F.monotonically_increasing_id(), "v": F.transform("v", whole), "dims": F.size("v")})
     )
     rows = written(usable, "vectors")
-    # A component is a row here once for each task only: min and max combine before the shuffle.
-    ranges = (
-        rows.select("dims", F.posexplode("v").alias("at", "x"))
-        .groupBy("dims", "at")
-        .agg(F.min("x").alias("least"), F.max("x").alias("most"))
-        .groupBy("dims")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "least", "most"))).alias("of"))
-        .select("dims", F.col("of.least").alias("least"), F.col("of.most").alias("most"))
-    )
+
+    def task_ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each length the least and greatest components of a task's vectors."""
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            dims = batch.column("dims").to_numpy()
+            for d in np.unique(dims).tolist():
+                values = batch.filter(pa.array(dims == d)).column("v").flatten().to_numpy().reshape(-1, d)
+                low, high = found.get(d, (values[0], values[0]))
+                found[d] = np.minimum(low, values.min(0)), np.maximum(high, values.max(0))
+        if found:
+            yield pa.record_batch([pa.array(list(found), pa.int32()), *(pa.array([x[i].tolist() for x in found.values()], pa.list_(pa.float64())) for i in (0, 1))], ["dims", "least", "most"])
+
+    def ranges_of(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = high = None
+        for batch in batches:  # a row for each task
+            for least, most in zip(batch.column("least").to_pylist(), batch.column("most").to_pylist(), strict=True):
+                low, high = (np.array(least), np.array(most)) if low is None else (np.minimum(low, least), np.maximum(high, most))
+        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([low.tolist()]), pa.array([high.tolist()])], ["dims", "least", "most"])
+
+    ranged = "dims int, least array<double>, most array<double>"
+    ranges = rows.select("dims", "v").mapInArrow(task_ranges, ranged).groupBy("dims").applyInArrow(ranges_of, ranged)
     total = rows.count()
     groups = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK)))
 
@@ -119,7 +153,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id
                         part = own.slice(at, size)
                         uids = part.column("uid").to_numpy()
                         ids = part.column("id")
-                        values = np.array(part.column("v").flatten().to_numpy(), "<i8")
+                        values = np.array(part.column("v").flatten().to_numpy(), "<f8")
                         first = int(uids[0])
                         yield pa.record_batch(
                             [
@@ -138,12 +172,12 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id
         for batch in batches:
             cells = []
             for vectors, least, most in zip(batch.column("vectors"), batch.column("least"), batch.column("most"), strict=True):
-                least, most = (np.array(x.as_py(), np.int64).view(np.uint64) for x in (least, most))
-                values = np.frombuffer(vectors.as_buffer(), "<u8").reshape(-1, len(least))
-                cells.append(((values - least) // _width(least, most)).astype(np.uint8).tobytes())
+                least, most = (np.array(x.as_py(), np.float64) for x in (least, most))
+                values = np.frombuffer(vectors.as_buffer(), "<f8").reshape(-1, len(least))
+                cells.append(_cells(values, least, most).tobytes())
             yield batch.append_column("cells", pa.array(cells, pa.binary()))
 
-    with_cells = f"{PACKED}, least array<long>, most array<long>, cells binary"
+    with_cells = f"{PACKED}, least array<double>, most array<double>, cells binary"
     blocks = written(pack(rows, BLOCK, "packed").join(ranges, "dims").mapInArrow(approximate, with_cells), "blocks").withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
     asked = pack(rows.where("asks"), QUERIES, "queries").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     pairs = blocks.join(asked.select("dims", "group", F.col("uids").alias("q_uids"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), ["dims", "group"])
@@ -154,24 +188,24 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id
                 one = {n: batch.column(n)[row] for n in batch.schema.names}
                 dims = one["dims"].as_py()
                 binary = lambda n, kind, one=one: np.frombuffer(one[n].as_buffer(), kind)
-                exact = binary("vectors", "<i8").reshape(-1, dims)
-                least, most = (np.array(one[n].as_py(), np.int64) for n in ("least", "most"))
-                width = _width(least.view(np.uint64), most.view(np.uint64)).astype(np.int64)
+                exact = binary("vectors", "<f8").reshape(-1, dims)
+                least, most = (np.array(one[n].as_py(), np.float64) for n in ("least", "most"))
                 cells = binary("cells", np.uint8).reshape(-1, dims)
                 uids, ids = binary("uids", "<i8"), binary("ids", "<i8")
                 q_uids, q_ids = binary("q_uids", "<i8"), binary("q_ids", "<i8")
-                which, place, score = search_block(binary("q_vectors", "<i8").reshape(-1, dims), q_uids, exact, cells, least, width, uids, ids, k)
-                yield pa.record_batch(
-                    {"q_uid": q_uids[which], "query_id": q_ids[which], "uid": uids[place], "id": ids[place], "score": pa.array(score.tolist(), pa.int64())}
-                )
+                which, place, score = search_block(binary("q_vectors", "<f8").reshape(-1, dims), q_uids, exact, cells, least, most, uids, ids, k)
+                order = list(zip(*map(_sortable, score), strict=True)) or [(), (), ()]
+                sorted_by = {n: pa.array(x, t) for n, x, t in zip(("over", "score", "key"), order, (pa.int32(), pa.int64(), pa.binary()), strict=True)}
+                yield pa.record_batch({"q_uid": q_uids[which], "query_id": q_ids[which], "uid": uids[place], "id": ids[place], **sorted_by})
 
-    near = pairs.mapInArrow(compare, "q_uid long, query_id long, uid long, id long, score long")
-    best = Window.partitionBy("q_uid").orderBy(F.col("score").desc(), "id", "uid")
+    near = pairs.mapInArrow(compare, "q_uid long, query_id long, uid long, id long, over int, score long, key binary")
+    best = Window.partitionBy("q_uid").orderBy(F.col("over").desc(), F.col("score").desc(), F.col("key").desc(), "id", "uid")
     none = F.lit(np.iinfo(np.int64).max)
+    too_large = F.raise_error(F.lit("a score that is among the best does not fit 64 bits")).cast("long")
     return (
         near.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
-        .select("query_id", "rank", F.when(F.col("id") != none, F.col("id")).alias(id_column), "score")
+        .select("query_id", "rank", F.when(F.col("id") != none, F.col("id")).alias(id_column), F.when(F.col("over") == 0, F.col("score")).otherwise(too_large).alias("score"))
     )
 
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -293,16 +294,21 @@ def test_top_k_of_large_and_non_finite_components(spark):
     scales = [1, 5000, 3000, 1, 1e6, 2.0**28]
     good = [(i, [r.uniform(-1, 1) * scales[i % 6] if j % 4 else float(r.randint(-3, 3)) for j in range(8)]) for i in range(120)]
     good += [(122, [2.0**38, *[0.0] * 7]), (123, [0.5, 0.0, 0.0, 0.0, -(2.0**39), *[0.0] * 3])]
+    # Beyond 64 bits alone, or with the product: no matter unless such a score is among the best.
+    good += [(124, [0.0] * 7 + [-9.1e15]), (125, [0.0] * 4 + [1e300, *[0.0] * 3]), (126, [*[0.0] * 6, 1e200, -1e200]), (140, [1.0, *[0.0] * 7]), (141, [0.0, 1.0, 2.0, 0.0, -3.0, 0.0, -1.0, 1.0])]
     bad = [(10, [nan, *[1.0] * 7]), (200, [1e3, nan, *[1e3] * 6]), (201, [1e3, inf, *[1e3] * 6]), (202, [1e3, -inf, *[1e3] * 6]), (203, [1e3, None, *[1e3] * 6])]
     ints = {i: [math.floor(1024 * x) for x in v] for i, v in good}
     score = lambda a, b: sum(x * y for x, y in zip(ints[a], ints[b], strict=True))
-    queries = [q for q in ints if q % 10 in (0, 1) and all(abs(score(q, c)) < 1 << 63 for c in ints)]
-    assert len(queries) > 5 and any(abs(x) > 1 << 22 for q in queries for x in ints[q])
+    best = {q: sorted((-score(q, c), c) for c in ints if c != q)[:5] for q in ints}
+    queries = [q for q in ints if q % 10 in (0, 1) and all(abs(s) < 1 << 63 for s, _ in best[q])]
+    assert {140, 141} <= set(queries) and any(abs(score(q, c)) >= 1 << 63 for q in queries for c in ints) and len(queries) > 5 and any(abs(x) > 1 << 22 for q in queries for x in ints[q])
     df = spark.createDataFrame(good + bad, "vec_id long, embedding array<double>").repartition(3)
     found = defaultdict(list)
     for x in vector_topk.top_k(df, F.col("vec_id").isin(queries + [200, 201, 202, 203]), k=5).orderBy("query_id", "rank").collect():
         found[x.query_id].append((x.vec_id, x.score))
-    assert found == {q: [(c, -s) for s, c in sorted((-score(q, c), c) for c in ints if c != q)[:5]] for q in queries}
+    assert found == {q: [(c, -s) for s, c in best[q]] for q in queries}
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        vector_topk.top_k(df, F.col("vec_id") == 126).collect()
 
 
 def test_url_rules(spark):
