@@ -1,7 +1,7 @@
 """Training-order materialisation of token ids.
 
 ``materialise`` encodes every text, cuts the ids into sequences and numbers each by its row and its
-place there: the row's hash in the upper bits, the part in the lower. A keyed Feistel permutation of all
+place there: 63 bits mixed from all 64 of the row's hash and the part. A keyed Feistel permutation of all
 numbers (walking its cycle while a value falls outside) puts each sequence somewhere in [0, ``NUMBERS``).
 Equal ranges of that are the shards: a shard gets about as many sequences as any other, sorted by place,
 as records of equal length: a 4-byte little-endian token count, then the ids as 16-bit (or, for large
@@ -34,10 +34,12 @@ from portcullis.llm.sentencepiece_codec import loaded, model_bytes
 from portcullis.llm.shared_files import Writer, mapped, packed, put, unpacked
 
 LENGTH, PER_SHARD, ROUNDS, KEY = 512, 32768, 6, 20240131
-#: Sequence numbers are below this; a row's hash takes the bits above the part's.
+#: Sequence numbers are below this.
 NUMBERS = 2**63 - 25
 #: Shards whose first slots are summed together.
 BUCKET = 4096
+#: Shards that a task writes, about: the tasks grow with the shards.
+SHARDS = 4
 #: Bytes of text for a token, about: it sets the number of shards, nothing else.
 BYTES_PER_TOKEN = 2.5
 
@@ -82,9 +84,7 @@ def materialise(df: DataFrame, model_path: str, id_column: str = "doc_id", text_
     size, number = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     shards = max(1, round((size / BYTES_PER_TOKEN / length + number / 2) / per_shard))
     share = -(-NUMBERS // shards)
-    # A text has 2^31 bytes at most, and no more tokens than these and the end.
-    bits = max(1, (2**31 // length + 1).bit_length())
-    rows = rows.withColumn("row", F.shiftrightunsigned(F.xxhash64("id", "text"), 2 + bits))
+    rows = rows.withColumn("row", F.xxhash64("id", "text"))
 
     def cut(batch: pa.RecordBatch, model) -> dict:
         which, parts, tokens, ids = [], [], [], []
@@ -98,12 +98,14 @@ def materialise(df: DataFrame, model_path: str, id_column: str = "doc_id", text_
                 parts.append(part)
                 ids.append(own[at : at + length].tobytes())
                 tokens.append(min(length, len(own) - at))
-        row = batch.column("row").to_numpy()[which]
-        places = slots_of(row << bits | np.array(parts, np.int64), NUMBERS, key) if which else []
+        row = batch.column("row").to_numpy()[which].view(np.uint64)
+        numbers = _mix(row ^ _mix(np.array(parts, np.uint64), 1), 2) % np.uint64(NUMBERS)
+        places = slots_of(numbers, NUMBERS, key) if which else []
         return {"id": batch.column("id").take(pa.array(which, pa.int64())), "part": parts, "place": places, "n_tokens": tokens, "ids": ids}
 
     cut_up = map_texts(rows, "text", f"id {id_type}, part int, place long, n_tokens int, ids binary", cut, lambda: loaded(data))
-    dealt = cut_up.withColumn("shard", F.expr(f"place div {share}")).repartition("shard").sortWithinPartitions("shard", "place", "id", "part", "ids")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS))
+    dealt = cut_up.withColumn("shard", F.expr(f"place div {share}")).repartition(tasks, "shard").sortWithinPartitions("shard", "place", "id", "part", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, file, next_at = None, None, 0
