@@ -45,7 +45,8 @@ END = b"\n"  # no word has white space
 SHARD_TOKENS, PIECE_WORDS = 3_000_000, 4_000_000
 #: Logarithms (base 10) from -LOWEST to 0 in 65535 steps.
 LOWEST = 12.0
-START, NONE = 0xFFFFFFFF, 0xFFFFFFFF  # the context before a text; no successor
+#: Different words up to which ids take 32 bits; more take 64.
+NARROW = (1 << 32) - 2
 
 
 def words_of(text: str) -> list[bytes]:
@@ -76,13 +77,25 @@ class Layout:
     texts: int
     piece_starts: list[int]  # ids at which the vocabulary's pieces start
     shards: int
+    shard_tokens: int  # of a word, beyond which it goes on in other shards
+    wide: bool  # ids take 64 bits
+
+    @property
+    def kind(self) -> str:
+        """How ids are stored."""
+        return "<u8" if self.wide else "<u4"
+
+    @property
+    def outside(self) -> int:
+        """The id of the context before a text, and of no successor: above all words', and above that of the unknown."""
+        return 1 << 48 if self.wide else (1 << 32) - 1
 
     def piece_of(self, value: np.ndarray) -> np.ndarray:
         return _piece(value, max(1, len(self.piece_starts)))
 
     def shard_of(self, first: np.ndarray, second: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Shards by the first word; by the second too where the first has very many tokens."""
-        salt = second.astype(np.uint64) % (count.astype(np.uint64) // np.uint64(SHARD_TOKENS) + np.uint64(1))
+        salt = second.astype(np.uint64) % (count.astype(np.uint64) // np.uint64(self.shard_tokens) + np.uint64(1))
         mixed = (first.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + salt * np.uint64(0xC2B2AE3D27D4EB4F)
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
@@ -128,8 +141,14 @@ class Vocabulary:
         return ids[every], counts[every], np.array(lengths)
 
 
-def _contexts(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, texts: int):
-    """For each token the ids and counts of the two before it; START before a text, NONE before that."""
+def _by_grams(u: np.ndarray, v: np.ndarray, kind: str) -> list[np.ndarray]:
+    """Keys that sort by u and v, the last one first as in ``lexsort``: one if both fit in it."""
+    return [u.astype(np.uint64) << np.uint64(32) | v.astype(np.uint64)] if kind == "<u4" else [v, u]
+
+
+def _contexts(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, layout: Layout):
+    """For each token the ids and counts of the two before it; ``outside`` before a text, -1 before that."""
+    texts, outside_id = layout.texts, layout.outside
     starts = np.cumsum(lengths) - lengths
     nth = np.arange(len(ids)) - np.repeat(starts, lengths)
 
@@ -137,8 +156,8 @@ def _contexts(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, texts: i
         moved = np.concatenate([np.full(n, outside, values.dtype), values[:-n]])[: len(values)]
         return np.where(nth >= n, moved, outside)
 
-    one, one_count = back(ids, 1, START), back(counts, 1, texts)
-    two = np.where(nth == 1, START, back(ids, 2, -1))
+    one, one_count = back(ids, 1, outside_id), back(counts, 1, texts)
+    two = np.where(nth == 1, outside_id, back(ids, 2, -1))
     two_count = np.where(nth == 1, texts, back(counts, 2, 0))
     return one, one_count, np.where(nth == 0, -1, two), two_count
 
@@ -161,8 +180,6 @@ def train(training: DataFrame, text_column: str = "text") -> Layout:
     words = spark.read.parquet(f"{path}/counts")
     totals = words.agg(F.count("*"), F.sum("times"), F.sum(F.when(F.col("hash") == end, F.col("times")))).first()
     distinct, tokens, texts = (x or 0 for x in totals)
-    if distinct >= NONE:
-        raise ValueError("too many different words for 32-bit ids")
     pieces = -(-distinct // PIECE_WORDS)
     size = max(1, pieces)
 
@@ -183,18 +200,18 @@ def train(training: DataFrame, text_column: str = "text") -> Layout:
         at += sizes.get(i, 0)
         if i not in sizes:
             put(f"{path}/words-{i}", packed({"hash": np.zeros(0, np.uint64), "count": np.zeros(0, np.int64)}))
-    layout = Layout(path, tokens, distinct, texts, starts, max(1, -(-tokens // SHARD_TOKENS)))
+    layout = Layout(path, tokens, distinct, texts, starts, max(1, -(-tokens // SHARD_TOKENS)), SHARD_TOKENS, distinct > NARROW)
 
     def collect(batch: pa.RecordBatch, vocabulary: Vocabulary) -> dict:
         ids, counts, lengths = vocabulary.tokens(texts_of(batch, "text"))
-        one, one_count, two, two_count = _contexts(ids, counts, lengths, layout.texts)
+        one, one_count, two, two_count = _contexts(ids, counts, lengths, layout)
         three = np.flatnonzero(two >= 0)
         last = np.cumsum(lengths) - 1  # (word before the end, end) has no successor
         u = np.concatenate([two[three], one[last]]).astype(np.uint64)
         v = np.concatenate([one[three], ids[last]]).astype(np.uint64)
-        w = np.concatenate([ids[three], np.full(len(last), NONE)]).astype(np.uint64)
+        w = np.concatenate([ids[three], np.full(len(last), layout.outside)]).astype(np.uint64)
         shard = layout.shard_of(u, v, np.concatenate([two_count[three], one_count[last]]))
-        order = np.lexsort((w, u << np.uint64(32) | v, shard))
+        order = np.lexsort((w, *_by_grams(u, v, layout.kind), shard))
         u, v, w, shard = u[order], v[order], w[order], shard[order]
         new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (shard[1:] != shard[:-1])])
         first = np.flatnonzero(new)
@@ -206,17 +223,17 @@ def train(training: DataFrame, text_column: str = "text") -> Layout:
             at = first[part]
             made["shard"].append(int(shard[at[0]]))
             made["n"].append(len(at))
-            columns = (np.diff(u[at], prepend=np.uint64(0)).astype("<u4"), v[at].astype("<u4"), w[at].astype("<u4"), times[part].astype("<u4"))
+            columns = (x.astype(layout.kind) for x in (np.diff(u[at], prepend=np.uint64(0)), v[at], w[at], times[part]))
             made["grams"].append(squeeze(b"".join(c.tobytes() for c in columns)))
         return made
 
     def write_shard(table: pa.Table) -> pa.Table:
         shard = int(table.column("shard")[0].as_py())
         loose = zstandard.ZstdDecompressor().decompress
-        parts = [np.frombuffer(loose(x), "<u4").reshape(4, -1) for x in table.column("grams").to_pylist()]
+        parts = [np.frombuffer(loose(x), layout.kind).reshape(4, -1) for x in table.column("grams").to_pylist()]
         u = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
         v, w, times = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
-        arrays, facts, spread = shard_arrays(u, v, w, times)
+        arrays, facts, spread = shard_arrays(u, v.astype(np.uint64), w.astype(np.uint64), times, layout.kind)
         put(f"{path}/trie-{shard}", packed(arrays, **facts))
         return pa.table({"u": pa.array(spread[0], pa.int64()), "n": pa.array(spread[1], pa.int64()), "followers": pa.array(spread[2], pa.int64())})
 
@@ -245,18 +262,16 @@ def _relative(children: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return children.astype(np.uint64) + np.uint64(1) + np.repeat(shift, np.diff(np.concatenate([starts, [len(children)]])))
 
 
-def shard_arrays(u: np.ndarray, v: np.ndarray, w: np.ndarray, times: np.ndarray) -> tuple[dict, dict, tuple]:
+def shard_arrays(u: np.ndarray, v: np.ndarray, w: np.ndarray, times: np.ndarray, kind: str) -> tuple[dict, dict, tuple]:
     """A shard's levels; and (u, tokens, followers) of its words that may go on in other shards."""
-    pair = u << np.uint64(32) | v
-    order = np.lexsort((w, pair))
-    pair, w, times = pair[order], w[order], times[order].astype(np.int64)
-    new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (w[1:] != w[:-1])])
-    at = np.flatnonzero(new)
-    times, pair, w = np.add.reduceat(times, at), pair[at], w[at]
-    second = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    order = np.lexsort((w, *_by_grams(u, v, kind)))
+    u, v, w, times = u[order], v[order], w[order], times[order].astype(np.int64)
+    other = lambda: (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    at = np.flatnonzero(np.concatenate([[True], other() | (w[1:] != w[:-1])]))
+    times, u, v, w = np.add.reduceat(times, at), u[at], v[at], w[at]
+    second = np.flatnonzero(np.concatenate([[True], other()]))
     pair_times = np.add.reduceat(times, second)
-    pairs = pair[second]
-    first_words = pairs >> np.uint64(32)
+    first_words, pairs = u[second], v[second]
     first = np.flatnonzero(np.concatenate([[True], first_words[1:] != first_words[:-1]]))
     word_times = np.add.reduceat(pair_times, first)
     word_followers = np.diff(np.concatenate([first, [len(pairs)]]))
@@ -265,7 +280,7 @@ def shard_arrays(u: np.ndarray, v: np.ndarray, w: np.ndarray, times: np.ndarray)
     facts: dict[str, int] = {}
     _coded("first", first_words[first], arrays, facts)
     _coded("to_second", np.concatenate([first, [len(pairs)]]), arrays, facts)
-    _coded("second", _relative(pairs & np.uint64(0xFFFFFFFF), first), arrays, facts)
+    _coded("second", _relative(pairs, first), arrays, facts)
     _coded("to_third", np.concatenate([second, [len(w)]]), arrays, facts)
     _coded("third", _relative(w, second), arrays, facts)
     per_pair = np.repeat(word_times, word_followers)
@@ -308,7 +323,7 @@ class Trie:
         ratio2, left1, ratio3, left2 = np.zeros(n), np.ones(n), np.zeros(n), np.ones(n)
         shard = self.layout.shard_of(u, v, count)
         # By shard and pair: neighbours in the files are looked up one after another.
-        order = np.lexsort((u.astype(np.uint64) << np.uint64(32) | v.astype(np.uint64), shard))
+        order = np.lexsort((*_by_grams(u, v, self.layout.kind), shard))
         for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if n else []:
             arrays, coded = self.shard(int(shard[own[0]]))
             if not arrays:
@@ -354,8 +369,8 @@ def score(df: DataFrame, layout: Layout, columns: list[str], text_column: str =
         ids, counts, lengths = vocabulary.tokens(texts_of(batch, "text"))
         starts = np.cumsum(lengths) - lengths
         base = (counts + ADD) / (layout.tokens + ADD * (layout.words + 1))
-        one, one_count, _, _ = _contexts(ids, counts, lengths, layout.texts)
-        unseen = NONE - 1  # no word has this id
+        one, one_count, _, _ = _contexts(ids, counts, lengths, layout)
+        unseen = layout.outside - 1  # no word has this id
         words = np.where(ids >= 0, ids, unseen)
         # The context of a word is (two, one); the pair (one, word) is looked up where the word stands and
         # is the context of the word after it.

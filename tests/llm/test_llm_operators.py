@@ -195,7 +195,9 @@ def test_ngram_model_against_brute_force(spark):
     check_model(spark, [None, "", "one", "New words here", *[prose(R.randint(1, 80), "ab") for _ in range(80)]])
 
 
-def test_ngram_model_with_words_over_several_shards(spark, monkeypatch):
+@pytest.mark.parametrize("narrow", [100, (1 << 32) - 2])
+def test_ngram_model_with_words_over_several_shards(spark, monkeypatch, narrow):
+    monkeypatch.setattr(ngram_lm, "NARROW", narrow)  # beyond it, ids of 64 bits
     monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 150)
     monkeypatch.setattr(ngram_lm, "PIECE_WORDS", 30)
     check_model(spark, [*[prose(R.randint(1, 80), "ab") for _ in range(80)], "the " * 300])
