@@ -5,6 +5,7 @@ import struct
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from sentencepiece import SentencePieceProcessor
@@ -158,6 +159,45 @@ def test_slots_are_a_permutation(total):
         assert slots.tolist() != list(range(total))
 
 
+def test_shards_against_brute_force(spark, tmp_path):
+    """Every sequence of the library's ids, in the order of a permutation computed here, one number at a time."""
+    r = random.Random(9)
+    rows = [(i, t) for i, t in enumerate([*HARD, *["".join(r.choices(PARTS + ["word ", "other "], k=r.randint(1, 200))) for _ in range(60)]])] + [(3, "the same"), (3, "the same"), (4, "the same")]
+    length, mask = 16, (1 << 64) - 1
+
+    def mix(value, key):
+        value = (value + key) * 0x9E3779B97F4A7C15 & mask
+        value ^= value >> 31
+        value = value * 0xBF58476D1CE4E5B9 & mask
+        return value ^ value >> 29
+
+    def place(number, total, key):
+        half = (total - 1).bit_length() + 1 >> 1
+        keys = [int.from_bytes(hashlib.blake2b(f"{key}/{n}".encode(), digest_size=8).digest(), "little") for n in range(token_shards.ROUNDS)]
+        while True:
+            left, right = number >> half, number & (1 << half) - 1
+            for k in keys:
+                left, right = right, left ^ mix(right, k) & (1 << half) - 1
+            number = left << half | right
+            if number < total:
+                return number
+
+    expected = []
+    for i, text in rows:
+        if not text:
+            continue
+        row = xxhash.xxh64_intdigest(text.encode(), seed=xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=42))
+        ids = [*LIBRARY.encode(text), LIBRARY.eos_id()]
+        for part, at in enumerate(range(0, len(ids), length)):
+            number = mix(row ^ mix(part, 1), 2) % token_shards.NUMBERS
+            expected.append((place(number, token_shards.NUMBERS, token_shards.KEY), i, part, ids[at : at + length]))
+    expected.sort(key=lambda x: x[:3])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    index = token_shards.materialise(df, PATH, path=str(tmp_path / "shards"), length=length, per_shard=100).orderBy("slot").collect()
+    assert [(r.slot, r.doc_id, r.part, r.n_tokens) for r in index] == [(n, i, part, len(ids)) for n, (_, i, part, ids) in enumerate(expected)]
+    assert [(n, ids.tolist()) for n, ids in token_shards.read(str(tmp_path / "shards"))] == [(n, x[3]) for n, x in enumerate(expected)]
+
+
 def test_shards_round_trip_and_resume(spark, tmp_path):
     texts_ = [(i, f"text number {i} " * (i % 60)) for i in range(90)] + [(3, None), (3, ""), (3, "again"), (None, "none")]
     df = spark.createDataFrame(texts_, "doc_id long, text string").repartition(5)
