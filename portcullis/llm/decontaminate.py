@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from itertools import chain, repeat
 
 import numpy as np
@@ -65,7 +66,7 @@ class Index:
         self.postings: dict[str, tuple[list[int], list[float], list[float]]] = {}
         lists: dict[str, list[tuple[int, float]]] = {}
         for i, item in enumerate(items):
-            counts = {w: item["words"].count(w) for w in set(item["words"])}
+            counts = Counter(item["words"])
             weight = {
                 w: float(np.log(1 + (total - frequency[w] + 0.5) / (frequency[w] + 0.5))) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(item["words"]) / mean))
                 for w, n in counts.items()
