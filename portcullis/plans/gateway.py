@@ -15,6 +15,7 @@ from portcullis.operators import state as S
 from portcullis.plans import register
 from portcullis.plans.audit_view import values
 from portcullis.sources import artifacts
+from portcullis.sources.staging import fresh_path
 from portcullis.sources.tables import table
 
 ENCODED_SQL = "e AS (SELECT conv_id, turn, text, CASE turn % 4 WHEN 0 THEN 'plain' WHEN 1 THEN 'hex' WHEN 2 THEN 'base64' ELSE 'url' END AS codec FROM conversations)"
@@ -296,6 +297,17 @@ def artifact_verdicts(spark, sf_dir):
     return found.groupBy("codes", "action").agg(F.count("*").alias("artifacts"), F.min(F.substring_index("path", "/", 1).cast("long")).alias("first"))
 
 
+@register("uploaded_files", "SELECT DISTINCT lang, 'block' AS action, 'unsupported_archive' AS codes FROM documents WHERE lang IS NOT NULL")
+def uploaded_files(spark, sf_dir):
+    """Files as they were uploaded, read by their bytes: texts by language, compressed, some hundred in a file;
+    compressed files that hold no archive are refused."""
+    path = fresh_path(spark, "uploads")
+    docs = table(spark, sf_dir, "documents").where("lang is not null")
+    docs.select(F.coalesce("text", F.lit("")).alias("value"), "lang").write.partitionBy("lang").option("compression", "gzip").option("maxRecordsPerFile", 200).text(path)
+    found = artifacts.verdicts(artifacts.read(spark, f"{path}/*"), spark.createDataFrame([], "sha256 string"))
+    return found.select(F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("lang"), "action", "codes").distinct()
+
+
 @register("check_digits", """WITH k AS (SELECT c_custkey, lpad(CAST(c_custkey * 7919 % 10000000000 AS VARCHAR), 10, '0') AS d FROM customer),
 n AS (SELECT c_custkey, d, (6*CAST(d[1] AS INT)+5*CAST(d[2] AS INT)+7*CAST(d[3] AS INT)+2*CAST(d[4] AS INT)+3*CAST(d[5] AS INT)+4*CAST(d[6] AS INT)+5*CAST(d[7] AS INT)+6*CAST(d[8] AS INT)+7*CAST(d[9] AS INT)) % 11 AS nip,
  (8*CAST(d[1] AS INT)+9*CAST(d[2] AS INT)+2*CAST(d[3] AS INT)+3*CAST(d[4] AS INT)+4*CAST(d[5] AS INT)+5*CAST(d[6] AS INT)+6*CAST(d[7] AS INT)+7*CAST(d[8] AS INT)) % 11 % 10 AS regon,

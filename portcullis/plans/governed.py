@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from portcullis.functions import text as T
 from portcullis.operators import controls as K
+from portcullis.operators import history as H
+from portcullis.operators import scorers as M
 from portcullis.plans import register
 from portcullis.plans.access import SIGNATURE_SQL, SIGNATURES
 from portcullis.plans.detection import ENGLISH_SQL, FOUND_SQL, PROSE_SQL
@@ -50,3 +53,43 @@ def judged_requests(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request"), F.col("turn").alias("segment"), F.when(F.col("role") == "user", "untrusted").otherwise("trusted").alias("trust"), ((F.col("conv_id") * 3 + F.col("turn")) % 10 / 10.0).alias("risk"))
     verdicts = turns.where("request % 4 <> 0").select("request", "segment", ((F.col("request") + F.col("segment") * 7) % 11 / 10.0).alias("score"))
     return K.judged(turns, verdicts, 0.7).select("request", "action")
+
+
+def _vowels():
+    """A stand-in for a model: the share of vowels among a text's letters a to z; it fails on none."""
+
+    def score(texts):
+        return [(sum(c in "aeiou" for c in t) / max(1, sum("a" <= c <= "z" for c in t)), "vowels" if t[:1] in "aeiou" else "other") for t in texts]
+
+    return score
+
+
+@register("model_scores", """WITH v AS (SELECT doc_id, text, length(regexp_replace(text, '[^aeiou]', '', 'g')) / greatest(1, length(regexp_replace(text, '[^a-z]', '', 'g'))) AS score FROM documents)
+SELECT doc_id, round(score, 9) AS score, CASE WHEN text IS NULL THEN NULL WHEN regexp_matches(text, '^[aeiou]') THEN 'vowels' WHEN text = '' THEN 'vowels' ELSE 'other' END AS label, CASE WHEN text IS NULL THEN 'skipped' ELSE 'ok' END AS status FROM v""")
+def model_scores(spark, sf_dir):
+    """L3: a score and a label for each document from a scorer that is plugged in."""
+    scored = M.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", _vowels)
+    return scored.select("doc_id", F.round("score", 9).alias("score"), F.col("score_label").alias("label"), F.col("score_status").alias("status"))
+
+
+@register("policy_in_force", """WITH r AS (SELECT event_id, ts FROM events WHERE event_type <> 'signup'), v AS (SELECT event_id AS version, ts FROM events WHERE event_type = 'signup' AND value < 90),
+b AS (SELECT r.event_id, v.version, row_number() OVER (PARTITION BY r.event_id ORDER BY v.ts DESC NULLS LAST, v.version DESC) AS k FROM r ASOF LEFT JOIN v ON r.ts >= v.ts)
+SELECT event_id, version FROM b WHERE k = 1""")
+def policy_in_force(spark, sf_dir):
+    """K5: sign-ups are new versions of a policy, valid unless their value is 90 or more; what each other event met."""
+    events = table(spark, sf_dir, "events")
+    versions = events.where("event_type = 'signup'").select("ts", F.col("event_id").alias("version"), (F.col("value") < 90).alias("good"))
+    return H.in_force(events.where("event_type <> 'signup'").select("event_id", "ts"), versions, F.col("good")).select("event_id", "version")
+
+
+@register("encoded_secrets", """WITH t AS (SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN 'plain' WHEN length(text) % 3 = 1 THEN 'none' ELSE 'coded' END AS way FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id || '-' || turn AS request, CASE way WHEN 'plain' THEN 'redact' WHEN 'coded' THEN 'block' END AS action FROM t WHERE way <> 'none'""")
+def encoded_secrets(spark, sf_dir):
+    """A key in a turn is redacted; one that is hidden as base64 or hex can't be, and blocks."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    size, key = F.length("text"), F.concat(F.lit("key AKIA"), F.lpad((F.col("conv_id") * 7919 + F.col("turn")).cast("string"), 16, "Q"))
+    raw = F.encode(key, "UTF-8")
+    hidden = F.when(F.col("turn") % 2 == 0, F.base64(raw)).otherwise(F.lower(F.hex(raw)))
+    said = F.when(size % 3 == 0, key).when(size % 3 == 1, F.lit("nothing to see")).otherwise(hidden)
+    segments = T.segments(turns.select(F.concat_ws("-", "conv_id", "turn").alias("request"), said.alias("text"), F.lit("output").alias("origin")))
+    return K.REGISTRY["C-SECRET-OUT"].transform(segments, {}).select("request", "action")

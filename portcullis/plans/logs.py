@@ -98,3 +98,14 @@ def followed_events(spark, sf_dir):
         # Each call takes what has landed since the last one, as one batch, from where the checkpoint says.
         L.follow(L.tail(spark, log, "3 hours").drop("at"), copy, checkpoint).start().awaitTermination()
     return L.events(L.scan(spark, copy)).groupBy("endpoint").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"))
+
+
+@register("audit_projection", """SELECT event_id, 'u' || user_id AS identity, user_id % 3 + 1 AS decisions, CAST((user_id % 3 + 1) * (event_id % 6 + 1) AS BIGINT) AS matches, 0 AS masked, '{"user":' || user_id || '}' AS detail FROM events""")
+def audit_projection(spark, sf_dir):
+    """Events without content: matches stay, what matched goes, and so do arguments."""
+    events = audit_events(table(spark, sf_dir, "events")).withColumn("decisions", L.without_content(F.col("decisions")))
+    matches = F.flatten(F.col("decisions.matches"))
+    return events.select(
+        F.substring("event_id", 5, 20).cast("long").alias("event_id"), "identity", F.size("decisions").cast("long").alias("decisions"), F.size(matches).cast("long").alias("matches"),
+        F.size(F.filter(matches, lambda m: m["masked"].isNotNull())).alias("masked"), "detail",
+    )

@@ -42,8 +42,8 @@ RIGHT = f"(ok AND NOT (k % 9 = 3 AND {_weighted('d', checksums.NIP)} % 11 = 10))
 
 
 def _planted(spark, sf_dir):
-    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
-    return spark.sql(f"SELECT *, {RIGHT} AS right FROM ({PLANTED}) z").withColumn("text", F.concat(F.lit("Please note "), "number", F.lit(" for "), "said", F.lit(".")))
+    rows = PLANTED.replace("FROM customer", "FROM {customer}")
+    return spark.sql(f"SELECT *, {RIGHT} AS right FROM ({rows}) z", customer=table(spark, sf_dir, "customer")).withColumn("text", F.concat(F.lit("Please note "), "number", F.lit(" for "), "said", F.lit(".")))
 
 
 @register("planted_personal_data", f"""WITH z AS ({PLANTED}) SELECT k % 9 AS kind_no, {RIGHT} AS right, CASE WHEN k % 9 = 6 THEN country END AS country, count(*) AS texts,

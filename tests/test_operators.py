@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from portcullis.functions import checksums, text
 from portcullis.functions import columns as C
-from portcullis.operators import access, approvals, budgets, chunks, detectors, engine, metrics, readings, schemas, segments, signatures, state, vectors
+from portcullis.operators import access, approvals, budgets, chunks, detectors, engine, history, metrics, readings, schemas, scorers, segments, signatures, state, vectors
 from portcullis.operators.replay import replay
 from portcullis.sources import artifacts, audit, policy, requests
 
@@ -322,6 +322,54 @@ def test_percentiles(spark):
     assert "percentile" not in plan
 
 
+def test_scorers(spark):
+    frame = spark.createDataFrame([(1, "good"), (2, None), (3, "far too good"), (4, "nan")], "id int, text string").coalesce(1)
+    values = {"good": 0.25, "far too good": (7.0, "over"), "nan": float("nan")}
+    one_by_one = lambda: lambda texts: [values[t] for t in texts]
+    found = {r.id: (r.score, r.score_label, r.score_status) for r in scorers.scored(frame, "text", one_by_one).collect()}
+    assert found == {1: (0.25, None, "ok"), 2: (None, None, "skipped"), 3: (1.0, "over", "ok"), 4: (None, None, "failed")}
+    assert {r.risk_status for r in scorers.scored(frame, "text", None, "risk").collect()} == {"skipped"}
+
+    def broken():
+        raise OSError("no model")
+
+    assert {r.id: r.score_status for r in scorers.scored(frame, "text", broken).collect()} == {1: "failed", 2: "skipped", 3: "failed", 4: "failed"}
+    assert {r.score_status for r in scorers.scored(frame.where("id = 1"), "text", lambda: lambda texts: []).collect()} == {"failed"}
+
+
+def test_policy_versions_in_force(spark):
+    requests = events(spark, [(i, "u", t, "x") for i, t in enumerate([0, 10, 10, 25, 900])])
+    versions = spark.createDataFrame([(10, "b", True), (10, "a", True), (20, "bad", False), (30, "c", True), (None, "never", True)], "t long, version string, ok boolean").withColumn("ts", F.timestamp_seconds("t"))
+    for width in (1, 15, 10**6):
+        found = history.in_force(requests, versions, F.col("ok"), width)
+        assert found.columns == [*requests.columns, "version"]
+        assert {r.event_id: r.version for r in found.collect()} == {0: None, 1: "b", 2: "b", 3: "b", 4: "c"}
+    assert {r.version for r in history.in_force(requests, versions.limit(0)).collect()} == {None}
+
+
+def test_labels_instead_of_data(spark):
+    text = "mail a.b@c.example or 44051401359 now, password: x1 <TAG> end"
+    assert one(spark, detectors.labelled(F.col("t")), t=text) == "mail <EMAIL> or <PESEL> now, <PASSWORD_ASSIGNMENT> <TAG> end"
+    assert one(spark, detectors.stripped(F.col("t")), t=text) == "mail or now, end" and one(spark, detectors.stripped(F.col("t")), t="clean") == "clean"
+    for account in ("GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606", "DE89 3704 0044 0532 0130 00", "NL91ABNA0417164300"):
+        assert kinds(spark, f"to {account} AND more", ("iban",)) == [("iban", account)], account
+    assert kinds(spark, "to GB82WEST12345698765433.", ("iban",)) == []
+
+
+def test_console(spark):
+    rows = [("e1", "r1", "s1", "block", ["C"], ["T"]), ("e2", "r2", None, "odd", [], ["T", "U"]), ("e3", "R1x", "s2", None, None, None)]
+    frame = spark.createDataFrame(rows, "event_id string, request_id string, session_id string, final_action string, control_ids array<string>, threat_ids array<string>")
+    ids = lambda **f: sorted(r.event_id for r in metrics.console_filter(frame, **f).collect())
+    assert ids() == ids(q=" ") == ids(action="") == ["e1", "e2", "e3"] and ids(action="unknown") == ["e2", "e3"] and ids(action="block") == ["e1"]
+    assert ids(q="R1") == ["e1", "e3"] and ids(threat="T", q="e") == ["e1", "e2"] and ids(control="C") == ["e1"]
+    with pytest.raises(ValueError):
+        metrics.console_filter(frame, colour="red")
+    spaces = spark.createDataFrame([(1, 0, "retrieved", "a", "r"), (1, 1, "retrieved", "b", "r"), (1, 2, "user", "b", "r"), (2, 0, "retrieved", None, "r"), (3, 0, "retrieved", "b", None)], "request int, segment int, origin string, namespace string, role string")
+    grants = spark.createDataFrame([("r", "a")], "role string, grant string")
+    found = {r.request: (r.action, r.namespaces, r.segments) for r in access.retrieved_namespaces(spaces, grants, "request").collect()}
+    assert found == {1: ("block", ["b"], [1]), 2: ("allow", [], []), 3: ("block", ["b"], [0])}
+
+
 def test_texts_for(spark):
     rows = [(1, 0, "First", "first", None), (1, 1, "Ｗide", "wide", [("hidden one",), (" ",)]), (1, 2, "x" * 50, "x" * 50, None), (2, 0, None, None, [("only",)])]
     frame = spark.createDataFrame(rows, "r int, segment int, text string, norm string, decoded array<struct<text:string>>")
