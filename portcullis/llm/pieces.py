@@ -146,6 +146,7 @@ class PieceModel:
         classed = "".join(map(re.escape, sorted(joined)))
         self.unit = re.compile(".+" if self.whole or not joined else f"{SPACE}*[{classed}]+|{SPACE}+|[^{classed}{SPACE}]", re.S).findall
         self.cache: dict[str, bytes] = {}
+        self.own_unit = None
         self.starts = {k.decode(errors="ignore")[:1] for k in self.charsmap}
         self.longest = max(map(len, self.charsmap), default=0)
         self.surface = [
@@ -226,19 +227,33 @@ class PieceModel:
 
     # Segmentation and spans --------------------------------------------------------------------
 
-    def segment(self, normalized: list[str]) -> list[np.ndarray]:
-        """Token ids of normalised texts, without begin and end.
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of texts, without begin and end.
+
+        A model that normalises nothing but spaces takes them as they are: a text of Latin letters has a byte
+        for each in memory, but two or more once its spaces are the model's.
+        """
+        if self.charsmap or self.remove_extra_whitespaces or self.whole or not (self.escape_whitespaces and self.add_dummy_prefix):
+            return self.segment([self.plain(t) for t in texts])
+        if self.own_unit is None:
+            classed = "".join(map(re.escape, sorted(self.joined)))
+            self.own_unit = re.compile(f" *[{classed}]+| +|[^{classed} ]" if classed else ".+", re.S).findall
+        return self.segment(["" if not t else f" {t}" if SPACE not in t else f" {t}".replace(SPACE, " ") for t in texts], self.own_unit)
+
+    def segment(self, normalized: list[str], unit_of=None) -> list[np.ndarray]:
+        """Token ids of normalised texts, without begin and end (with ``unit_of``: whose spaces are spaces).
 
         No piece goes on over the start of a unit, so units are segmented alone, each once.
         """
         found, known = [], self.cache
         for some in portions(normalized):
-            units = [self.unit(text) for text in some]
+            units = [(unit_of or self.unit)(text) for text in some]
             new = [u for u in set().union(*units) if u not in known]
             if len(known) + len(new) > CACHE_UNITS:
                 known.clear()
                 new = list(set().union(*units))
-            for unit, ids in zip(new, self.merges.encode(new), strict=True):
+            own = [u.replace(" ", SPACE) for u in new] if unit_of else new
+            for unit, ids in zip(new, self.merges.encode(own), strict=True):
                 known[unit] = struct.pack(f"<{len(ids)}I", *ids)
             found += [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") for own in units]
         return found

@@ -89,7 +89,7 @@ def materialise(df: DataFrame, model_path: str, id_column: str = "doc_id", text_
     def cut(batch: pa.RecordBatch, model) -> dict:
         which, parts, tokens, ids = [], [], [], []
         texts = texts_of(batch, "text")
-        for i, own in enumerate(model.segment([model.plain(t) for t in texts])):
+        for i, own in enumerate(model.ids(texts)):
             if not texts[i]:
                 continue
             own = np.concatenate([own, [model.eos_id]]).astype(kind)

@@ -36,6 +36,12 @@ def test_encodes_decodes_and_projects_like_the_library(text):
             assert raw[begin:end].decode() == piece.surface
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(texts, max_size=6))
+def test_ids_of_texts_as_they_are(some):
+    assert [x.tolist() for x in MODEL.ids(some)] == [LIBRARY.encode(t) for t in some]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(texts, max_size=6))
 def test_counts_like_the_library(some):
