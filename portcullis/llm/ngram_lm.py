@@ -63,8 +63,18 @@ def quantised(ratio: np.ndarray) -> np.ndarray:
     return np.round(-np.log10(ratio) * (65535 / LOWEST)).clip(0, 65535).astype("<u2")
 
 
+#: What each quantised level stands for.
+RESTORED = 10.0 ** (np.arange(65536) * (-LOWEST / 65535))
+
+
 def restored(level: np.ndarray) -> np.ndarray:
-    return 10.0 ** (level.astype(np.float64) * (-LOWEST / 65535))
+    return RESTORED[level]
+
+
+def opened(uri: str) -> tuple[dict[str, np.ndarray], dict]:
+    """A file's arrays, mapped; as plain arrays, which are quicker to index than those that know their file."""
+    arrays, facts = unpacked(mapped(uri))
+    return {k: x.view(np.ndarray) for k, x in arrays.items()}, facts
 
 
 @dataclass
@@ -111,7 +121,7 @@ class Vocabulary:
 
     def __init__(self, layout: Layout):
         self.layout = layout
-        self.pieces = [unpacked(mapped(f"{layout.path}/words-{i}"))[0] for i in range(len(layout.piece_starts))]
+        self.pieces = [opened(f"{layout.path}/words-{i}")[0] for i in range(len(layout.piece_starts))]
 
     def look_up(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, count); -1 and 0 for unknown words."""
@@ -299,13 +309,13 @@ class Trie:
 
     def __init__(self, layout: Layout):
         self.layout, self.open = layout, {}
-        hot = unpacked(mapped(f"{layout.path}/hot"))[0]
+        hot = opened(f"{layout.path}/hot")[0]
         self.hot = {k: np.array(x) for k, x in hot.items()}
 
     def shard(self, i: int) -> tuple[dict, dict[str, EliasFano]]:
         if i not in self.open:
             try:
-                arrays, facts = unpacked(mapped(f"{self.layout.path}/trie-{i}"))
+                arrays, facts = opened(f"{self.layout.path}/trie-{i}")
             except FileNotFoundError:  # no n-gram fell to it
                 self.open[i] = ({}, {})
                 return self.open[i]
@@ -333,7 +343,10 @@ class Trie:
             root = coded["first"].find(words, np.zeros(len(words), np.int64), np.full(len(words), coded["first"].n))[np.cumsum(new) - 1]
             own, root = own[root >= 0], root[root >= 0]
             left1[own] = restored(arrays["left1"][root])
-            node = self._child(coded["to_second"], coded["second"], root, v[own])
+            if not len(own):
+                continue
+            new = np.concatenate([[True], (np.diff(u[own]) != 0) | (np.diff(v[own]) != 0)])  # and so is a pair's
+            node = self._child(coded["to_second"], coded["second"], root[new], v[own[new]])[np.cumsum(new) - 1]
             hit = node >= 0
             own, node, root = own[hit], node[hit], root[hit]
             # Ratios are to the shard's own tokens of u; those of a word in many shards are put right.
