@@ -17,7 +17,7 @@ SPACE = "▁"
 # Fixed values of the public model format: piece types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: Segmented units a task may keep, and characters of texts segmented together.
-CACHE_UNITS, PORTION = 1 << 19, 1 << 20
+CACHE_UNITS, PORTION = 1 << 18, 1 << 20
 #: Normaliser settings appended to a model file, which then takes texts as they are: a later value
 #: overrides in protocol buffers (field 3; an empty map, and no prefix, trimming or escaping).
 AS_IS = bytes([3 << 3 | 2, 8, 2 << 3 | 2, 0, 3 << 3, 0, 4 << 3, 0, 5 << 3, 0])

@@ -45,6 +45,8 @@ LENGTH, GRAM = 400, 64
 WORD_GRAM = 16
 #: Text of a shard, about, and of one hash in a shard at most.
 SHARD_BYTES, HASH_BYTES = 2 << 20, 256 << 10
+#: Bytes of text whose windows are hashed together: each byte takes several numbers for a while.
+PORTION = 1 << 20
 #: Window starts looked at together in one text.
 REACH = 1 << 22
 
@@ -303,7 +305,7 @@ def repeats(df: DataFrame, text_column: str, unit: Unit, scratch: Scratch) -> Da
         value, start, windows, twice = (np.concatenate([r[i] for r in rows]) for i in range(4))
         return {"key": keys, "hash": value.view(np.int64), "content": contents, "start": start, "windows": windows, "twice": twice}
 
-    dealt = written(map_texts(texts, "text", "key binary, hash long, content binary, start int, windows int, twice boolean", cut), "segments")
+    dealt = written(map_texts(texts, "text", "key binary, hash long, content binary, start int, windows int, twice boolean", cut, most=PORTION), "segments")
     distinct = early.written(
         dealt.groupBy("hash", "content").agg(F.count("*").alias("copies"), F.max("twice").alias("twice"), F.min(F.struct("key", "start", "windows")).alias("at")),
         "contents",
@@ -332,7 +334,7 @@ def repeats(df: DataFrame, text_column: str, unit: Unit, scratch: Scratch) -> Da
             rows += [x | {"bytes": data[x["start"] : x["start"] + x["windows"] + unit.length - 1].tobytes()} for x in every]
         return {k: [r[k] for r in rows] for k in ("hash", "content", "copies", "parts", "part", "windows", "bytes")}
 
-    placed = written(map_texts(once.join(wanted, "key"), "text", f"{SEGMENT}, copies int, parts int, part int, windows int, bytes binary", read), "placed")
+    placed = written(map_texts(once.join(wanted, "key"), "text", f"{SEGMENT}, copies int, parts int, part int, windows int, bytes binary", read, most=PORTION), "placed")
 
     early.clear()
     nothing = to_arrow_schema(StructType.fromDDL(FOUND)).empty_table()
@@ -443,7 +445,7 @@ def strip(df: DataFrame, columns: list[str], text_column: str = "text", words: i
 
     own = [f"c{i}" for i in range(len(columns))]
     fields = "n_bytes long, n_removed long, n_spans long, kept binary" + (", n_passage_bytes long" if words else "")
-    made = beside(joined, own, "text", fields, work, more={name: F.col(name) for name in units})
+    made = beside(joined, own, "text", fields, work, most=PORTION, more={name: F.col(name) for name in units})
     return made.toDF(*columns, *apart(columns, made.columns[len(own) :]))
 
 
