@@ -55,6 +55,13 @@ def mask(text: Column) -> Column:
     return F.when(F.length(text) <= 4, F.repeat(F.lit("*"), F.length(text))).otherwise(F.rpad(F.substring(text, 1, 4), size, "*"))
 
 
+def round_double(value: Column, digits: int) -> Column:
+    """A double rounded as the number that it is, halves away from zero; ``round`` takes the shortest decimal that
+    stands for it, which may lie on a half where the number lies below."""
+    scaled = value * 10**digits
+    return F.signum(scaled) * F.floor(F.abs(scaled) + 0.5) / 10**digits
+
+
 def window_bucket(epoch: Column, name: str) -> Column:
     """``day:20364``: windows aligned to the epoch, in UTC (C14)."""
     return F.concat(F.lit(f"{name}:"), F.floor(epoch / WINDOWS[name]).cast("long").cast("string"))

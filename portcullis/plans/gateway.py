@@ -155,7 +155,7 @@ def budget_requests(events):
     return events.select(
         (F.col("user_id") % 40).alias("identity"), "event_id", "ts", (100 + n % 400).alias("prompt_tokens"), F.when(n % 3 > 0, 50 + n % 700).alias("max_tokens"),
         F.when(n % 7 > 0, F.lit(8.0)).alias("price_in"), F.when(n % 7 > 0, F.lit(32.0)).alias("price_out"), F.when(n % 6 > 0, (n % 16) * 3600).alias("settles_s"),
-        (90 + n % 900).alias("used_tokens"), F.round(F.col("value") / 16, 2).alias("used_cost"), (n % 300).cast("double").alias("used_compute"),
+        (90 + n % 900).alias("used_tokens"), C.round_double(F.col("value") / 16, 2).alias("used_cost"), (n % 300).cast("double").alias("used_compute"),
     )
 
 
