@@ -117,6 +117,11 @@ def test_reservations(spark):
     assert [(r.refused, r.tokens, r.cost) for r in budgets.reservations(nulls, "user", budgets.Limits()).collect()] == [(None, 512, 0.0)]
 
 
+def test_money_is_rounded_as_the_double_it_is(spark):
+    for value, cents in {78.96 / 16: 4.93, 162.64 / 16: 10.16, 0.125: 0.13, -0.125: -0.13, 2.0: 2.0, 0.0: 0.0}.items():
+        assert one(spark, C.round_double(F.col("v"), 2), v=value) == cents, value
+
+
 def test_account_is_kept_whole():
     limits, account = budgets.Limits(rpm=50, tokens=9000, cost=50.0, compute=900.0, held=300), budgets.Account()
     for i in range(200):
@@ -600,6 +605,21 @@ def test_payloads_that_hide(tmp_path):
         list(artifacts.findings(R.choice([b"", b"\x80\x04", b"PK\x03\x04", b"\x1f\x8b\x08", b"BZh9", b"\x78\x9c"]) + R.randbytes(R.randint(0, 60))))
 
 
+def test_texts_that_begin_like_pickles():
+    import gzip
+
+    codes = lambda data: {c for level, c, _ in artifacts.findings(data) if level != "info"}
+    number, text = b"Getzenblu.", b"Ci" + b"o" * 105 + b"."
+    for said in (b"Re. The rest\n", b"Rest. Of it\n", b"Ntat. A\n", b"(.x", number + b" Und so weiter\n", text + b" y m\n", number + b"Re. The\n"):
+        assert codes(gzip.compress(said)) == {"unsupported_archive"} and codes(said) == {"unknown_format"}, said
+    # Whole pickles of data, and code behind one, or before an opcode that finds nothing.
+    call = b"cos\nsystem\n(S'true'\ntR"
+    for whole in (number, text, number + text, pickle.dumps([1], 0)):
+        assert codes(whole) == {"pickle_format"}, whole
+    for data in (call + b"0000.", call + b"ca name\nof it\n.", number + call + b".", number + call, call + b".more"):
+        assert codes(data) >= {"pickle_format", "dangerous_global"}, data
+
+
 def test_controls(spark):
     from portcullis.operators import controls
 
