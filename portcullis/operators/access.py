@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.operators.schemas import argument_error, as_type, kind_of
+from portcullis.operators.schemas import argument_error, as_type, kind_of, once
 
 def sign_in(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """The key's identity; a claimed agent must be it, except for admins."""
@@ -79,9 +79,8 @@ def forbidden_target(args: Column) -> Column:
     entries = F.map_entries(F.coalesce(members, F.create_map().cast("map<string,variant>")))
 
     def bad(e: Column) -> Column:
-        value = F.trim(F.lower(as_type(e["value"], "string")))
-        hit = [F.contains(value, F.lit(x)) for x in METADATA] + [F.startswith(value, F.lit(x)) for x in SCHEMES]
-        return F.lower(e["key"]).rlike("url|uri") & (kind_of(e["value"]) == "STRING") & F.array_contains(F.array(*hit), True)
+        hit = lambda value: F.array_contains(F.array(*[F.contains(value, F.lit(x)) for x in METADATA], *[F.startswith(value, F.lit(x)) for x in SCHEMES]), True)
+        return F.lower(e["key"]).rlike("url|uri") & (kind_of(e["value"]) == "STRING") & once(F.trim(F.lower(as_type(e["value"], "string"))), hit)
 
     return F.try_element_at(F.filter(entries, bad), F.lit(1))["key"]
 
@@ -94,9 +93,8 @@ def tool_calls(calls: DataFrame, grants: DataFrame, schemas: dict[str, dict], ro
     broken = F.coalesce(*[F.when(F.col(tool) == name, argument_error(F.col(args), schema)) for name, schema in schemas.items()], F.lit(None).cast("string"))
     target = forbidden_target(F.col(args))
     marked = granted(calls, grants, role, tool)
-    reason = (
-        F.when(F.col(tool).isNull(), None).when(~F.col("granted"), "not_granted").when(broken.isNotNull(), broken).when(target.isNotNull(), F.concat(F.lit("target in "), target))
-    )
+    # Each is worked out once, and only where the ones before it are null.
+    reason = F.when(F.col(tool).isNotNull(), F.coalesce(F.when(~F.col("granted"), "not_granted"), broken, F.concat(F.lit("target in "), target)))
     severity = F.when(F.col("reason") == "not_granted", "high").when(F.startswith("reason", F.lit("target")), "critical").when(F.col("reason").isNotNull(), "medium").otherwise("low")
     action = F.when(F.col("reason").isNotNull(), "block").otherwise("allow")
     return marked.withColumn("reason", reason).withColumns({"severity": severity, "action": action}).drop("granted")
@@ -107,11 +105,10 @@ def memory_access(calls: DataFrame, grants: DataFrame, namespaces: DataFrame, ro
     Calls without one are allowed, also those of memory tools."""
     members = as_type(F.try_parse_json(F.col(args)), "map<string,variant>")
 
-    def text(key: str) -> Column:
-        value = F.try_element_at(members, F.lit(key))
+    def text(value: Column) -> Column:
         return F.when(kind_of(value) == "STRING", F.nullif(as_type(value, "string"), F.lit("")))
 
-    named = calls.withColumn("namespace", F.coalesce(*map(text, NAMESPACE_KEYS)))
+    named = calls.withColumn("namespace", once(members, lambda m: F.coalesce(*[once(F.try_element_at(m, F.lit(key)), text) for key in NAMESPACE_KEYS])))
     return check_grant(named, grants, namespaces, role, "namespace")
 
 

@@ -10,6 +10,7 @@ round in a circle; a schema that can't be compiled raises before any row is read
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,21 +23,22 @@ def as_type(value: Column, kind: str) -> Column:
     return F.call_function("try_variant_get", value, F.lit("$"), F.lit(kind))
 
 
-def _number(value: Column) -> Column:
-    return as_type(value, "double")
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` mentions it: as the only item of an array.
+    Behind conditions Spark works out an expression anew for each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _text(value: Column) -> Column:
-    return F.when(kind_of(value) == "STRING", as_type(value, "string"))
+def _number(value: Column) -> Column:
+    return as_type(value, "double")
 
 
 def kind_of(value: Column) -> Column:
     return F.call_function("schema_of_variant", value)
 
 
-def is_type(value: Column, name: str) -> Column:
-    """Whether a variant has a type of JSON Schema; whole numbers are integers however they are written."""
-    kind = kind_of(value)
+def is_type(value: Column, kind: Column, name: str) -> Column:
+    """Whether a variant of this kind has a type of JSON Schema; whole numbers are integers however they are written."""
     if name == "integer":
         return kind.rlike(NUMBERS) & (_number(value) == F.floor(_number(value)))
     simple = {"string": kind == "STRING", "number": kind.rlike(NUMBERS), "boolean": kind == "BOOLEAN", "null": kind == "VOID", "object": F.startswith(kind, F.lit("OBJECT")), "array": F.startswith(kind, F.lit("ARRAY"))}
@@ -58,6 +60,16 @@ def _equal(value: Column, wanted: object) -> Column:
     return F.to_json(value) == json.dumps(wanted, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def _among(value: Column, kind: Column, wanted: list) -> Column:
+    """Whether a variant of this kind is one of these values; numbers and texts are looked up as a whole."""
+    numbers = [float(x) + 0.0 for x in wanted if isinstance(x, (int, float)) and not isinstance(x, bool)]
+    texts = [x for x in wanted if isinstance(x, str)]
+    others = [_equal(value, x) for x in wanted if isinstance(x, bool) or not isinstance(x, (int, float, str))]
+    # A zero is added so that a negative one is found as well.
+    among = ([kind.rlike(NUMBERS) & (_number(value) + 0.0).isin(numbers)] if numbers else []) + ([(kind == "STRING") & as_type(value, "string").isin(texts)] if texts else [])
+    return _any(among + others)
+
+
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
@@ -81,30 +93,39 @@ def first_error(value: Column, schema: dict | bool, at: str = "$", root: dict |
     if "$ref" in schema:
         schema, seen = _resolve(schema, root, seen)
     deeper = lambda v, s, where: first_error(v, s, where, root, seen)
+
+    def checked(kind: Column, members: Column) -> Column:
+        return F.coalesce(*_checks(value, kind, members, schema, at, deeper), none)
+
+    members = lambda kind: F.when(F.startswith(kind, F.lit("OBJECT")), as_type(value, "map<string,variant>"))
+    return once(kind_of(value), lambda kind: once(members(kind), lambda m: checked(kind, m)))
+
+
+def _checks(value: Column, kind: Column, members: Column, schema: dict, at: str, deeper: Callable[[Column, dict | bool, str], Column]) -> list[Column]:
+    """What each rule of a schema says about a variant of this kind, and with these members if it is an object."""
     says = lambda broken, rule: F.when(F.coalesce(broken, F.lit(False)), F.lit(f"{rule} at {at}"))
     checks: list[Column] = []
     if "type" in schema:
         names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        checks.append(says(~F.coalesce(_any([is_type(value, n) for n in names]), F.lit(False)), "type"))
+        checks.append(says(~F.coalesce(_any([is_type(value, kind, n) for n in names]), F.lit(False)), "type"))
     if "const" in schema:
         checks.append(says(~F.coalesce(_equal(value, schema["const"]), F.lit(False)), "const"))
     if "enum" in schema:
-        checks.append(says(~F.coalesce(_any([_equal(value, x) for x in schema["enum"]]), F.lit(False)), "enum"))
-    checks += [says(broken(_text(value), schema[rule]), rule) for rule, broken in TEXT_RULES.items() if rule in schema]
-    is_number = kind_of(value).rlike(NUMBERS)
+        checks.append(says(~F.coalesce(_among(value, kind, schema["enum"]), F.lit(False)), "enum"))
+    text = F.when(kind == "STRING", as_type(value, "string"))
+    checks += [says(broken(text, schema[rule]), rule) for rule, broken in TEXT_RULES.items() if rule in schema]
+    is_number = kind.rlike(NUMBERS)
     checks += [says(is_number & broken(_number(value), float(schema[rule])), rule) for rule, broken in NUMBER_RULES.items() if rule in schema]
-    items = F.when(F.startswith(kind_of(value), F.lit("ARRAY")), as_type(value, "array<variant>"))
+    items = F.when(F.startswith(kind, F.lit("ARRAY")), as_type(value, "array<variant>"))
     checks += [says(broken(items, schema[rule]), rule) for rule, broken in ITEM_RULES.items() if rule in schema]
     if "items" in schema:
         errors = F.filter(F.transform(items, lambda x: deeper(x, schema["items"], f"{at}[]")), lambda e: e.isNotNull())
         checks.append(F.try_element_at(errors, F.lit(1)))
-    members = F.when(F.startswith(kind_of(value), F.lit("OBJECT")), as_type(value, "map<string,variant>"))
     for key in schema.get("required", ()):
         checks.append(F.when(~F.map_contains_key(members, key), F.lit(f"required {key} at {at}")))
     checks += [says(broken(F.map_keys(members), schema[rule]), rule) for rule, broken in MEMBER_RULES.items() if rule in schema]
     for key, below in schema.get("properties", {}).items():
-        member = F.try_element_at(members, F.lit(key))
-        checks.append(F.when(member.isNotNull(), deeper(member, below, f"{at}.{key}")))
+        checks.append(once(F.try_element_at(members, F.lit(key)), _member(below, f"{at}.{key}", deeper)))
     if (more := schema.get("additionalProperties", True)) is not True:
         own = F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>")
         others = F.map_filter(members, lambda k, _: ~F.array_contains(own, k))
@@ -121,7 +142,11 @@ def first_error(value: Column, schema: dict | bool, at: str = "$", root: dict |
         checks.append(says(reduce(lambda a, b: a + b, [p.cast("int") for p in passed("oneOf")]) != 1, "oneOf"))
     if "not" in schema:
         checks.append(says(deeper(value, schema["not"], at).isNull(), "not"))
-    return F.coalesce(*checks, none)
+    return checks
+
+
+def _member(schema: dict | bool, at: str, deeper: Callable[[Column, dict | bool, str], Column]) -> Callable[[Column], Column]:
+    return lambda member: F.when(member.isNotNull(), deeper(member, schema, at))
 
 
 TEXT_RULES = {
@@ -146,5 +171,5 @@ MEMBER_RULES = {"minProperties": lambda keys, n: F.size(keys) < n, "maxPropertie
 
 def argument_error(args: Column, schema: dict) -> Column:
     """What of a tool's schema its arguments (JSON text) break first; null arguments are an empty object."""
-    parsed = F.try_parse_json(F.coalesce(args, F.lit("{}")))
-    return F.when(parsed.isNull(), F.lit("not JSON")).otherwise(first_error(parsed, schema))
+    judged = lambda parsed: F.when(parsed.isNull(), F.lit("not JSON")).otherwise(first_error(parsed, schema))
+    return once(F.try_parse_json(F.coalesce(args, F.lit("{}"))), judged)

@@ -515,6 +515,13 @@ def test_schemas(spark):
         assert one(spark, access.forbidden_target(F.col("t")), t=args) == key
 
 
+def test_arguments_are_parsed_once(spark):
+    rules = {"type": "object", "required": ["a"], "properties": {"a": {"enum": [*range(50)], "minimum": 1}, "b": {"type": ["string", "null"], "maxLength": 3}}, "maxProperties": 2}
+    said = str(schemas.argument_error(F.col("t"), rules))
+    assert said.count("try_parse_json(") == 1 and said.count("schema_of_variant(") <= 5, said
+    assert one(spark, schemas.argument_error(F.col("t"), {"enum": [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]}), t="-0.0") is None
+
+
 class Runs:
     def __reduce__(self):
         import os
