@@ -180,6 +180,22 @@ def events(spark, rows):
     return spark.createDataFrame(rows, "event_id long, user_id string, t long, event_type string").withColumn("ts", F.timestamp_seconds("t"))
 
 
+def test_decisions_by_entry(spark):
+    rows = [(1, "A"), (1, "A"), (1, "B"), (2, "B"), (None, "B"), (3, "C"), (4, "D")]
+    found = engine.by_entry(spark.createDataFrame(rows, "request int, control_id string"), {"A": ["x", "x", "y"], "B": ["y"], "C": [], "E": ["z"]})
+    assert {tuple(r) for r in found.collect()} == {("x", 1, 4), ("y", 2, 5)}
+    # A row for each request, not for each of its entries, meets in a task.
+    assert "keys=[request" in found._jdf.queryExecution().sparkPlan().toString() and "distinct" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert engine.by_entry(spark.createDataFrame(rows, "request int, control_id string"), {"A": []}).count() == 0
+
+
+def test_planted_rows_are_dealt_anew(spark):
+    from portcullis.plans import personal
+
+    found = personal.planted_personal_data(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [k" in found and found.count("regexp_extract_all") == len(personal.KINDS)
+
+
 def test_chunks_of_a_busy_identity(spark):
     """One identity has most of the events; rows equal plain windows over whole identities, with chunks of any width."""
     rows = [(i, R.choice(["busy"] * 9 + ["rare", None]), R.choice([i // 3, i * 7, i * 500]), R.choice("abc")) for i in range(600)]
