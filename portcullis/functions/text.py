@@ -44,7 +44,7 @@ def _case_folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: re.sub(r"\s+", " ", t).strip().casefold().translate(alike), na_action="ignore")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often it stands there."""
     return F.transform(F.array(value), body)[0]
 
@@ -94,7 +94,7 @@ def from_leet(text: Column) -> Column:
     """Digits inside words to letters, if two words or more mix them."""
     mixed = lambda w: w.rlike("^[A-Za-z0134578]{3,}$") & w.rlike("[A-Za-z]") & w.rlike("[0134578]")
     plain = lambda w: F.when(mixed(w), F.translate(w, LEET_FROM, LEET_TO)).otherwise(w)
-    return F.array(_let(F.split(text, r"(?U)\b"), lambda words: F.when(F.size(F.filter(words, mixed)) >= 2, F.array_join(F.transform(words, plain), ""))))
+    return F.array(let(F.split(text, r"(?U)\b"), lambda words: F.when(F.size(F.filter(words, mixed)) >= 2, F.array_join(F.transform(words, plain), ""))))
 
 
 def _rewritten(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
@@ -112,14 +112,14 @@ def from_spaced(text: Column) -> Column:
     """
 
     def together(t: Column, pattern: str, mark: str) -> Column:
-        return _let(t, lambda own: F.when(own.rlike(pattern), _rewritten(own, pattern, lambda run: F.translate(run, mark, ""))).otherwise(own))
+        return let(t, lambda own: F.when(own.rlike(pattern), _rewritten(own, pattern, lambda run: F.translate(run, mark, ""))).otherwise(own))
 
     for mark in ".-_":
         text = together(text, rf"(?<![A-Za-z0-9\{mark}])[A-Za-z](?:\{mark}[A-Za-z]){{3,}}\{mark}?(?![A-Za-z0-9])", mark)
     spelled = lambda part: F.when(part.rlike(r"(?U)^[A-Za-z](?: [A-Za-z])+\W*$"), F.regexp_replace(part, "(?<=[A-Za-z]) (?=[A-Za-z])", "")).otherwise(part)
     joined = lambda t: F.array_join(F.transform(F.split(t, r"(?U)\s{2,}", -1), spelled), " ")
     single = "(?<![A-Za-z])[A-Za-z](?: [A-Za-z]){3,}(?![A-Za-z])"
-    return F.array(_let(text, lambda t: _let(joined(t), lambda j: F.when(F.length(t) - F.length(j) >= 3, j).otherwise(together(t, single, " ")))))
+    return F.array(let(text, lambda t: let(joined(t), lambda j: F.when(F.length(t) - F.length(j) >= 3, j).otherwise(together(t, single, " ")))))
 
 
 _HINTS = "|".join(w.translate(str.maketrans(*ROTATED)) for w in ROT13_HINTS)
@@ -160,8 +160,8 @@ def decoded(text: Column, visible: Column) -> Column:
 
     start = state(F.array(text), F.array().cast(f"array<{READING}>"), F.lit(BUDGET), F.lit(False))
     first = F.aggregate(readings(visible), start, take)
-    second = _let(first, lambda one: F.aggregate(F.flatten(F.transform(one["out"], lambda r: readings(r["text"]))), one, take))
-    return _let(second, lambda two: F.struct(F.transform(two["out"], lambda r: F.struct(r["text"].alias("text"), r["codec"].alias("codec"))).alias("fragments"), two["cut"].alias("truncated")))
+    second = let(first, lambda one: F.aggregate(F.flatten(F.transform(one["out"], lambda r: readings(r["text"]))), one, take))
+    return let(second, lambda two: F.struct(F.transform(two["out"], lambda r: F.struct(r["text"].alias("text"), r["codec"].alias("codec"))).alias("fragments"), two["cut"].alias("truncated")))
 
 
 def segments(df: DataFrame, text_column: str = "text") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.operators.schemas import argument_error, as_type, kind_of, once
+from portcullis.functions.text import let
+from portcullis.operators.schemas import argument_error, as_type, kind_of
 
 def sign_in(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """The key's identity; a claimed agent must be it, except for admins."""
@@ -80,7 +81,7 @@ def forbidden_target(args: Column) -> Column:
 
     def bad(e: Column) -> Column:
         hit = lambda value: F.array_contains(F.array(*[F.contains(value, F.lit(x)) for x in METADATA], *[F.startswith(value, F.lit(x)) for x in SCHEMES]), True)
-        return F.lower(e["key"]).rlike("url|uri") & (kind_of(e["value"]) == "STRING") & once(F.trim(F.lower(as_type(e["value"], "string"))), hit)
+        return F.lower(e["key"]).rlike("url|uri") & (kind_of(e["value"]) == "STRING") & let(F.trim(F.lower(as_type(e["value"], "string"))), hit)
 
     return F.try_element_at(F.filter(entries, bad), F.lit(1))["key"]
 
@@ -108,7 +109,7 @@ def memory_access(calls: DataFrame, grants: DataFrame, namespaces: DataFrame, ro
     def text(value: Column) -> Column:
         return F.when(kind_of(value) == "STRING", F.nullif(as_type(value, "string"), F.lit("")))
 
-    named = calls.withColumn("namespace", once(members, lambda m: F.coalesce(*[once(F.try_element_at(m, F.lit(key)), text) for key in NAMESPACE_KEYS])))
+    named = calls.withColumn("namespace", let(members, lambda m: F.coalesce(*[let(F.try_element_at(m, F.lit(key)), text) for key in NAMESPACE_KEYS])))
     return check_grant(named, grants, namespaces, role, "namespace")
 
 

@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from portcullis.functions.text import let
+
 NUMBERS = r"^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)"
 
 
@@ -23,12 +25,6 @@ def as_type(value: Column, kind: str) -> Column:
     return F.call_function("try_variant_get", value, F.lit("$"), F.lit(kind))
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once, however often ``use`` mentions it: as the only item of an array.
-    Behind conditions Spark works out an expression anew for each mention."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _number(value: Column) -> Column:
     return as_type(value, "double")
 
@@ -98,7 +94,7 @@ def first_error(value: Column, schema: dict | bool, at: str = "$", root: dict |
         return F.coalesce(*_checks(value, kind, members, schema, at, deeper), none)
 
     members = lambda kind: F.when(F.startswith(kind, F.lit("OBJECT")), as_type(value, "map<string,variant>"))
-    return once(kind_of(value), lambda kind: once(members(kind), lambda m: checked(kind, m)))
+    return let(kind_of(value), lambda kind: let(members(kind), lambda m: checked(kind, m)))
 
 
 def _checks(value: Column, kind: Column, members: Column, schema: dict, at: str, deeper: Callable[[Column, dict | bool, str], Column]) -> list[Column]:
@@ -125,7 +121,7 @@ def _checks(value: Column, kind: Column, members: Column, schema: dict, at: str,
         checks.append(F.when(~F.map_contains_key(members, key), F.lit(f"required {key} at {at}")))
     checks += [says(broken(F.map_keys(members), schema[rule]), rule) for rule, broken in MEMBER_RULES.items() if rule in schema]
     for key, below in schema.get("properties", {}).items():
-        checks.append(once(F.try_element_at(members, F.lit(key)), _member(below, f"{at}.{key}", deeper)))
+        checks.append(let(F.try_element_at(members, F.lit(key)), _member(below, f"{at}.{key}", deeper)))
     if (more := schema.get("additionalProperties", True)) is not True:
         own = F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>")
         others = F.map_filter(members, lambda k, _: ~F.array_contains(own, k))
@@ -172,4 +168,4 @@ MEMBER_RULES = {"minProperties": lambda keys, n: F.size(keys) < n, "maxPropertie
 def argument_error(args: Column, schema: dict) -> Column:
     """What of a tool's schema its arguments (JSON text) break first; null arguments are an empty object."""
     judged = lambda parsed: F.when(parsed.isNull(), F.lit("not JSON")).otherwise(first_error(parsed, schema))
-    return once(F.try_parse_json(F.coalesce(args, F.lit("{}"))), judged)
+    return let(F.try_parse_json(F.coalesce(args, F.lit("{}"))), judged)

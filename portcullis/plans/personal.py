@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from portcullis.functions import checksums
+from portcullis.functions.text import let
 from portcullis.operators import detectors as D
 from portcullis.plans import register
 from portcullis.sources.tables import table
@@ -42,8 +43,10 @@ RIGHT = f"(ok AND NOT (k % 9 = 3 AND {_weighted('d', checksums.NIP)} % 11 = 10))
 
 
 def _planted(spark, sf_dir):
+    # Dealt anew by key: the table is small beside the work on its rows, and comes in few pieces.
     rows = PLANTED.replace("FROM customer", "FROM {customer}")
-    return spark.sql(f"SELECT *, {RIGHT} AS right FROM ({rows}) z", customer=table(spark, sf_dir, "customer")).withColumn("text", F.concat(F.lit("Please note "), "number", F.lit(" for "), "said", F.lit(".")))
+    made = spark.sql(f"SELECT *, {RIGHT} AS right FROM ({rows}) z", customer=table(spark, sf_dir, "customer")).withColumn("text", F.concat(F.lit("Please note "), "number", F.lit(" for "), "said", F.lit(".")))
+    return made.repartition("k")
 
 
 @register("planted_personal_data", f"""WITH z AS ({PLANTED}) SELECT k % 9 AS kind_no, {RIGHT} AS right, CASE WHEN k % 9 = 6 THEN country END AS country, count(*) AS texts,
@@ -53,8 +56,9 @@ def planted_personal_data(spark, sf_dir):
     those of its own kind that the detectors of requests and of answers find."""
     texts = _planted(spark, sf_dir)
     own = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("k") % 9 + 1).cast("int"))
-    hit = lambda kinds: F.exists(D.matches(F.col("text"), kinds), lambda m: (m["kind"] == own) & (m["value"] == F.col("number")))
-    found = texts.select((F.col("k") % 9).alias("kind_no"), "right", F.when(F.col("k") % 9 == 6, F.col("country")).alias("country"), hit(D.INBOUND).alias("i"), hit(D.OUTBOUND).alias("o"))
+    found_own = F.filter(D.matches(F.col("text"), D.OUTBOUND), lambda m: (m["kind"] == own) & (m["value"] == F.col("number")))
+    hits = let(found_own, lambda found: F.struct(F.exists(found, lambda m: m["kind"].isin(*D.INBOUND)).alias("i"), (F.size(found) > 0).alias("o")))
+    found = texts.select((F.col("k") % 9).alias("kind_no"), "right", F.when(F.col("k") % 9 == 6, F.col("country")).alias("country"), hits.alias("h")).select("kind_no", "right", "country", "h.i", "h.o")
     return found.groupBy("kind_no", "right", "country").agg(F.count("*").alias("texts"), F.count_if("i").alias("inbound"), F.count_if("o").alias("outbound"))
 
 
