@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 MOST, MOST_BYTES = 50_000, 64 << 20
 #: Beyond it: examples of a block and queries of a bucket; numbers of a matrix of scores that are held at once.
-BLOCK, BUCKET, CELLS = 10_000, 20_000, 4 << 20
+BLOCK, BUCKET, CELLS = 10_000, 20_000, 1 << 18
 LABELS = ("attack", "benign")
 
 
@@ -33,6 +33,12 @@ def _matrix(vectors: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray
     return rows[whole], flat[whole]
 
 
+def _numbered(values: pa.ChunkedArray) -> tuple[np.ndarray, dict]:
+    """Values as numbers, the same for equal ones, and the number of each."""
+    number: dict = {}
+    return np.array([number.setdefault(x, len(number)) for x in values.to_pylist()], np.int64), number
+
+
 class Examples:
     """Examples in the order of their ids, so that the first of equal scores has the smallest."""
 
@@ -44,15 +50,17 @@ class Examples:
         table = table.take(pa.array(kept))
         self.ids, labels = table["example"].combine_chunks(), np.array(table["label"].to_pylist(), object)
         self.own = {label: np.flatnonzero(labels == label) for label in LABELS}
-        self.names = table["example"].to_pylist()
-        self.groups = table["group"].to_pylist() if "group" in table.column_names else None
+        self.names, self.name_of = _numbered(table["example"])
+        if "group" in table.column_names:
+            self.groups, self.group_of = _numbered(table["group"])
 
     def best(self, batch: pa.RecordBatch | pa.Table, k: int, leave_out: bool) -> tuple[dict, dict]:
         """For each label: number of a query's best (k at most), their scores and places, all queries behind one another."""
         found = {label: (np.zeros(batch.num_rows, np.int64), [], []) for label in LABELS}
         rows, vectors = _matrix(batch.column("vector"), self.width) if self.width else (np.zeros(0, np.int64), None)
-        queries = batch.column("query").to_pylist()
-        groups = batch.column("query_group").to_pylist() if leave_out else None
+        if leave_out:
+            queries = np.array([self.name_of.get(q, -1) for q in batch.column("query").to_pylist()], np.int64)
+            groups = np.array([-1 if g is None else self.group_of.get(g, -1) for g in batch.column("query_group").to_pylist()], np.int64)
         step = max(1, CELLS // max(1, len(self.names)))
         for at in range(0, len(rows), step):
             some = rows[at : at + step]
@@ -63,7 +71,8 @@ class Examples:
                 key = mine * len(own) + np.arange(len(own))[::-1] if len(own) else mine
                 counts = np.full(len(some), min(k, len(own)))
                 if leave_out:
-                    out = np.array([[self.names[e] == queries[q] or (groups[q] is not None and self.groups[e] == groups[q]) for e in own.tolist()] for q in some.tolist()], bool).reshape(mine.shape)
+                    group = groups[some, None]
+                    out = (self.names[own] == queries[some, None]) | ((self.groups[own] == group) & (group >= 0))
                     key = np.where(out, -(1 << 62), key)
                     counts = np.minimum(k, (~out).sum(1))
                 top = np.argsort(-key, 1, kind="stable")[:, :k] if len(own) <= 4 * k else _largest(key, k)

@@ -664,6 +664,26 @@ def test_controls(spark):
     assert [r.outcome for r in controls.classifier_gate(gate, F.col("score"), 0.8, 0.3).collect()] == ["block", "held", "grey", "clean", "skipped"]
 
 
+@pytest.mark.parametrize("leave_out", [False, True])
+def test_margins_hold_little_at_once(leave_out):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    made = lambda n: pa.FixedSizeListArray.from_arrays(pa.array(np.random.default_rng(n).random(n * 8, np.float32)), 8).cast(pa.list_(pa.float32()))
+    known = pa.table({"example": range(4000), "label": ["attack", "benign"] * 2000, "example_vector": made(4000), "group": [i % 9 for i in range(4000)]})
+    asked = pa.table({"query": range(1500), "vector": made(1500), "query_group": [i % 9 for i in range(1500)]})
+    of = vectors.Examples(known)
+    tracemalloc.start()
+    number, score, place = of.best(asked, 3, leave_out)["attack"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20 and number.tolist() == [3] * 1500
+    if leave_out:
+        assert all(e != q and e % 9 != q % 9 for q, e in zip(np.repeat(range(1500), 3), np.concatenate(place), strict=True))
+
+
 def test_margins_over_blocks_equal_those_of_one_array(spark, monkeypatch):
     from portcullis.plans import QUERIES
 
