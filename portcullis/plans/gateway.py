@@ -284,9 +284,11 @@ def artifact_verdicts(spark, sf_dir):
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
 
     def make(frames):
-        for x in frames:
-            content = [_made_file(*row) for row in zip(x["text"], x["kind"], x["wrap"], x["name"], strict=True)]
-            yield x[["doc_id"]].assign(path=x["doc_id"].astype(str) + "/" + x["name"], content=content)
+        for frame in frames:
+            for at in range(0, len(frame), artifacts.ROWS):
+                x = frame.iloc[at : at + artifacts.ROWS]
+                content = [_made_file(*row) for row in zip(x["text"], x["kind"], x["wrap"], x["name"], strict=True)]
+                yield x[["doc_id"]].assign(path=x["doc_id"].astype(str) + "/" + x["name"], content=content)
 
     texts = table(spark, sf_dir, "documents").where("text is not null").select(
         "doc_id", "text", pick(CONTENTS, F.length("text")).alias("kind"), pick(WRAPS, F.octet_length("text")).alias("wrap"), pick(NAMES, F.expr("length(text) div 9")).alias("name")

@@ -628,6 +628,14 @@ def test_payloads_that_hide(tmp_path):
         list(artifacts.findings(R.choice([b"", b"\x80\x04", b"PK\x03\x04", b"\x1f\x8b\x08", b"BZh9", b"\x78\x9c"]) + R.randbytes(R.randint(0, 60))))
 
 
+def test_files_are_looked_at_one_by_one(spark):
+    rows = [(f"f{i}", None if i % 7 == 0 else pickle.dumps([i])) for i in range(600)]
+    found = artifacts.scan(spark.createDataFrame(rows, "path string, content binary").coalesce(1))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    assert sorted((r.path, r.code) for r in found.collect()) == sorted((p, "pickle_format") for p, c in rows if c)
+
+
 def test_texts_that_begin_like_pickles():
     import gzip
 
