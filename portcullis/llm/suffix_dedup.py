@@ -8,9 +8,8 @@ Every byte of a text that is covered by a string of ``LENGTH`` bytes which also
    hash are a segment. Counts by (hash, content of the segment) are combined before the shuffle, and
    hashes that occur once end here: nothing in their windows can repeat.
 2. *Shards.* Each distinct segment goes once, with the number of its copies, to the shard of its hash.
-   A shard sorts its suffixes by Larsson-Sadakane refinement and takes the common prefixes of
-   neighbours after Kasai; windows in a run of common prefixes of ``LENGTH`` or more are repeated if
-   the run holds two windows, copies counted.
+   A shard sorts its suffixes by refinement over twice the length each time, up to ``LENGTH``: windows
+   that are one group then are equal, and repeated if the group holds two, copies counted.
 3. *Across shards.* The segments of a hash with very many are spread over several shards. Each pair of
    these shards is merged by binary search of the one's windows among the other's sorted windows.
 4. *Cutting.* The repeated windows of a segment are those of all its copies; they are put together for
@@ -49,6 +48,10 @@ SHARD_BYTES, HASH_BYTES = 2 << 20, 256 << 10
 PORTION = 1 << 20
 #: Window starts looked at together in one text.
 REACH = 1 << 22
+#: Bytes of short texts that are cut into segments together, and places that are sorted at a time.
+TOGETHER, SORTED = 1 << 16, 1 << 15
+#: Bytes of a word that are hashed beside those of other words.
+WORD_BYTES = 64
 
 
 @dataclass(frozen=True)
@@ -76,7 +79,7 @@ class Unit:
     def read(self, data: bytes) -> np.ndarray:
         if self.size == 1:
             return np.frombuffer(data, np.uint8)
-        return np.fromiter(map(xxhash.xxh64_intdigest, data.split()), np.uint64)
+        return word_hashes(data)
 
 
 BYTES = Unit(LENGTH, GRAM, "u1")
@@ -96,6 +99,29 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(letter[1:] & ~letter[:-1]), np.flatnonzero(letter[:-1] & ~letter[1:])
 
 
+def _mixed(value: np.ndarray) -> np.ndarray:
+    value = (value ^ (value >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    value = (value ^ (value >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return value ^ (value >> np.uint64(32))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words, from their lengths and 8 bytes at a time; XXH64 of long ones."""
+    begin, end = word_bounds(data)
+    size = end - begin
+    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    held = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    value = _mixed(size.astype(np.uint64))
+    for at in range(0, WORD_BYTES, 8):
+        own = np.flatnonzero(size > at)
+        if not len(own):
+            break
+        value[own] = _mixed(value[own] ^ (eight[begin[own] + at] & held[np.minimum(size[own] - at, 8)]))
+    for i in np.flatnonzero(size > WORD_BYTES).tolist():
+        value[i] = xxhash.xxh64_intdigest(data[begin[i] : end[i]])
+    return value
+
+
 def _gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """A hash of the ``gram`` units from each position on, by doubling."""
     value, size, factor = data.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
@@ -108,8 +134,11 @@ def _gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return value
 
 
-def segments(data: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each segment of a text: hash, first window, number of windows, whether the hash is in it twice."""
+def segments(data: np.ndarray, unit: Unit = BYTES, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each segment of a text: hash, first window, number of windows, whether the hash is in it twice.
+
+    With ``ends``, ``data`` is several texts one after another, and no window crosses their ends.
+    """
     found, span = [], unit.span
     for base in range(0, max(0, len(data) - unit.length + 1), REACH):
         part = data[base : base + REACH + unit.length - 1]
@@ -122,9 +151,15 @@ def segments(data: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarr
         if width < span:
             least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
         place = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
+        at = np.arange(base, base + len(place))
+        if ends is not None and len(ends) > 1:
+            inside = at + unit.length <= np.repeat(ends, np.diff(ends, prepend=0))[at]
+            at, place = at[inside], place[inside]
+            if not len(at):
+                continue
         value = grams[place]
         moved = np.concatenate([[False], place[1:] != place[:-1]])
-        new = np.concatenate([[True], value[1:] != value[:-1]])
+        new = np.concatenate([[True], (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)])
         starts = np.flatnonzero(new)
         run = np.diff(np.concatenate([starts, [len(value)]]))
         if (run > span).any():  # cut long runs
@@ -135,50 +170,116 @@ def segments(data: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarr
             run = ends - starts
         inner = moved & ~new
         twice = np.add.reduceat(inner.astype(np.int64), starts) > 0
-        found.append((value[starts], starts + base, run, twice))
+        found.append((value[starts], at[starts], run, twice))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     return tuple(np.concatenate([x[i] for x in found]) for i in range(4))
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted suffixes and each one's rank: ordered by 8 bytes (one word) first, then groups of equals are
-    refined by the rank of what follows, over twice the length each time."""
+def segments_of_each(texts: list[bytes], unit: Unit = BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Of some texts at a time, of each segment: number of the text, the columns of ``segments``, digest of the content.
+
+    Most texts are short, so several of them are looked at as one.
+    """
+    first, some, size = 0, [], 0
+    for n, text in enumerate(texts):
+        some.append(text)
+        size += len(text)
+        if size < TOGETHER and n + 1 < len(texts):
+            continue
+        if unit.size == 1:
+            data, ends = unit.read(b"".join(some)), np.cumsum([len(x) for x in some])
+        else:
+            data = unit.read(b" ".join(some))
+            ends = np.cumsum([len(word_bounds(x)[0]) for x in some])
+        value, start, windows, twice = segments(data, unit, ends)
+        which = np.searchsorted(ends, start, "right")
+        view, last = memoryview(data), start + windows + unit.length - 1
+        contents = [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(start.tolist(), last.tolist(), strict=True)]
+        yield first + which, value, start - np.concatenate([[0], ends])[which], windows, twice, contents
+        first, some, size = n + 1, [], 0
+
+
+def _order(group: np.ndarray, value: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """What sorts by ascending group and then by value (0 to ``most``), and which of the sorted begin another pair.
+
+    Numbers with their places in the low bits are sorted as they are, which is several times as fast as sorting places.
+    """
+    place, width = len(value).bit_length(), int(most).bit_length()
+    high = group - group[0]
+    if int(high[-1]).bit_length() + width + place > 64:
+        by = np.lexsort((value, group))
+        high, value = high[by], value[by]
+        return by, np.concatenate([[True], (high[1:] != high[:-1]) | (value[1:] != value[:-1])])
+    key = high.astype(np.uint64)
+    key <<= np.uint64(width)
+    key |= value.astype(np.uint64)
+    key <<= np.uint64(place)
+    key |= np.arange(len(key), dtype=np.uint64)
+    key.sort()
+    by = (key & np.uint64((1 << place) - 1)).view(np.int64)
+    key >>= np.uint64(place)
+    return by, np.concatenate([[True], key[1:] != key[:-1]])
+
+
+def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted suffixes and each one's rank: ordered by a few bytes (one word) first, then groups of equals are
+    refined by the rank of what follows, over twice the length each time.
+
+    With ``depth``, suffixes are told apart by so many units only: those that agree in them have one rank, that of
+    the first in the order.
+    """
     n = len(text)
-    at_once = 8 // text.itemsize
-    padded = np.concatenate([text, np.zeros(at_once, text.dtype)])
-    first = np.zeros(n, np.uint64)
-    for i in range(at_once):
-        first = (first << np.uint64(8) if i else first) | padded[i : n + i]
-    order = np.argsort(first, kind="stable").astype(np.int64)
-    sorted_first = first[order]
-    new = np.concatenate([[True], sorted_first[1:] != sorted_first[:-1]])
-    rank = np.empty(n, np.int64)
-    starts = np.flatnonzero(new)
-    rank[order] = np.repeat(starts, np.diff(np.concatenate([starts, [n]])))
+    kind = np.int32 if n < 1 << 30 else np.int64
+    if text.itemsize == 1:
+        place = n.bit_length()
+        step = (64 - place) // 8
+        padded = np.concatenate([text, np.zeros(step, text.dtype)])
+        first = np.zeros(n, np.uint64)
+        for i in range(step):
+            first = (first << np.uint64(8)) | padded[i : n + i]
+        first = np.sort((first << np.uint64(place)) | np.arange(n, dtype=np.uint64))
+        order = (first & np.uint64((1 << place) - 1)).astype(kind)
+        first >>= np.uint64(place)
+    else:
+        step, order = 1, np.argsort(text).astype(kind)
+        first = text[order]
+    starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])).astype(kind)
+    sizes = np.diff(starts, append=kind(n))
     # Zero bytes and the end look alike in these; past the end ranks below all else, the later the lower.
-    single = np.concatenate([new[1:], [True]]) & new
-    slots = np.flatnonzero(~single)
-    step = at_once
-    while len(slots):
-        members = order[slots]
-        after = members + step
-        second = np.where(after < n, rank[np.minimum(after, n - 1)], n - 1 - after)
-        key = (rank[members] << 32) + second + step + 1
-        by = np.argsort(key)
-        members, key = members[by], key[by]
-        order[slots] = members
-        new = np.concatenate([[True], key[1:] != key[:-1]])
+    rank = np.arange(n - 1, -9 - min(n, depth or n), -1, dtype=kind)
+    rank[order] = np.repeat(starts, sizes)
+    slots, group, ends = _of_equals(np.arange(n, dtype=kind), sizes)
+    while len(slots) and (depth is None or step < depth):
+        ahead = step if depth is None else min(step, depth - step)
+        new = np.empty(len(slots), bool)
+        # Groups stand one after another, so some of them at a time can be sorted.
+        ends = np.unique(ends[np.searchsorted(ends, np.arange(0, len(slots) + SORTED, SORTED)).clip(max=len(ends) - 1)])
+        for low, high in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            own = slots[low:high]
+            members = order[own]
+            by, new[low:high] = _order(group[low:high], rank[members + kind(ahead)] + kind(ahead), n + ahead)
+            order[own] = members[by]
         starts = np.flatnonzero(new)
-        sizes = np.diff(np.concatenate([starts, [len(key)]]))
-        rank[members] = np.repeat(slots[starts], sizes)
-        slots = slots[np.repeat(sizes > 1, sizes)]
-        step *= 2
-    return order, rank
+        sizes = np.diff(starts, append=len(slots))
+        # All at once, as the ranks of this round's length are those of what follows.
+        rank[order[slots]] = np.repeat(slots[starts], sizes)
+        slots, group, ends = _of_equals(slots, sizes)
+        step += ahead
+    return order, rank[:n]
+
+
+def _of_equals(slots: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of groups of slots, one after another, those with more members than one: slots, the number of each one's
+    group, and where groups begin and end."""
+    more = sizes > 1
+    held = sizes[more]
+    return slots[np.repeat(more, sizes)], np.repeat(np.arange(len(held), dtype=slots.dtype), held), np.concatenate([[0], np.cumsum(held)])
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, lanes: int = 4096) -> np.ndarray:
-    """Of each suffix in order, the common prefix with the one before it, after Kasai.
+    """Of each suffix in order, the common prefix with the one before it, after Kasai (the order of whole suffixes,
+    without a depth; shards need none).
 
     The text is cut into lanes that go forward side by side, each at its own pace: 8 more bytes (one
     more word), or one position on, where the common prefix is shorter by one at most.
@@ -220,14 +321,12 @@ class Shard:
         lengths = windows + unit.length - 1
         self.begin = np.cumsum(lengths) - lengths
         self.windows = windows
-        self.order, self.rank = suffix_array(self.text)
-        prefixes = common_prefixes(self.text, self.order, self.rank)
+        self.rank = suffix_array(self.text, unit.length)[1]
         # Segments end where others begin, so only positions where a window starts count.
         total = int(windows.sum())
         self.segment = np.repeat(np.arange(len(windows)), windows)
         self.at = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows) + self.begin[self.segment]
-        run = np.cumsum(prefixes < unit.length)
-        self.run = run[self.rank[self.at]]
+        self.run = self.rank[self.at]
         self.copies = copies[self.segment]
         held = np.bincount(self.run, self.copies, len(self.text) + 1)
         self.repeated = held[self.run] >= 2
@@ -295,15 +394,10 @@ def repeats(df: DataFrame, text_column: str, unit: Unit, scratch: Scratch) -> Da
     texts = df.where(F.octet_length(text_column) >= unit.least_bytes).select(text_key(F.col(text_column)).alias("key"), F.col(text_column).alias("text"))
 
     def cut(batch: pa.RecordBatch) -> dict:
-        keys, rows, contents = [], [], []
-        for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            data = unit.read(text.encode())
-            own = segments(data, unit)
-            rows.append(own)
-            keys += [key] * len(own[0])
-            contents += [xxhash.xxh3_128_digest(data[a : a + w + unit.length - 1]) for a, w in zip(own[1].tolist(), own[2].tolist(), strict=True)]
-        value, start, windows, twice = (np.concatenate([r[i] for r in rows]) for i in range(4))
-        return {"key": keys, "hash": value.view(np.int64), "content": contents, "start": start, "windows": windows, "twice": twice}
+        found = [*segments_of_each([t.encode() for t in batch.column("text").to_pylist()], unit)]
+        which, value, start, windows, twice = (np.concatenate([x[i] for x in found]) for i in range(5))
+        keys = batch.column("key").take(pa.array(which))
+        return {"key": keys, "hash": value.view(np.int64), "content": [c for x in found for c in x[5]], "start": start, "windows": windows, "twice": twice}
 
     dealt = written(map_texts(texts, "text", "key binary, hash long, content binary, start int, windows int, twice boolean", cut, most=PORTION), "segments")
     distinct = early.written(

@@ -132,3 +132,30 @@ def test_pipeline_cuts_passages_of_51_words(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     found = {x.doc_id: x.text for x in corpus_pipeline.passages(spark, df, "").collect()}
     assert found == {i: t if i == 0 else f"{own[i]}  {own[i][::-1]}" for i, t, _ in rows}
+
+
+def test_sorting_to_a_depth():
+    r = random.Random(3)
+    for text in [b"banana" * 30, b"\0" * 50, bytes(r.choice(b"ab\0") for _ in range(700)), bytes(r.choice(b"ab") for _ in range(90)) * 4, b"\0\0\0"]:
+        for depth in (9, 20, 33):
+            rank = S.suffix_array(np.frombuffer(text, np.uint8), depth)[1]
+            windows = sorted(range(len(text) - depth + 1), key=lambda i: text[i : i + depth])
+            for a, b in zip(windows, windows[1:]):
+                assert rank[a] <= rank[b] and (rank[a] == rank[b]) == (text[a : a + depth] == text[b : b + depth])
+
+
+def test_texts_cut_together_are_cut_as_each_alone(monkeypatch):
+    texts = [(t or "").encode() for t in planted()]
+    texts += ["".join(f"{w} " for w in ("a" * 70, "b" * 64, "c" * 9, "d" * 8)).encode() * 30, " ".join("abcdefgh"[: i % 8 + 1] for i in range(300)).encode()]
+    for unit in (S.BYTES, S.word_unit(51)):
+        for together in (1, 3000, 1 << 20):
+            monkeypatch.setattr(S, "TOGETHER", together)
+            found = [row for x in S.segments_of_each(texts, unit) for row in zip(*[c.tolist() for c in x[:5]], x[5], strict=True)]
+            alone = []
+            for n, text in enumerate(texts):
+                data = unit.read(text)
+                for value, start, windows, twice in zip(*[c.tolist() for c in S.segments(data, unit)], strict=True):
+                    alone.append((n, value, start, windows, twice, S.xxhash.xxh3_128_digest(data[start : start + windows + unit.length - 1])))
+            assert found == alone
+    words = texts[-1].split() + texts[-2].split()
+    assert len(set(S.word_hashes(b" ".join(words)).tolist())) == len(set(words))
