@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from portcullis.plans import register
@@ -11,6 +13,9 @@ from portcullis.sources.staging import fresh_path
 from portcullis.sources.tables import table
 
 LIMIT = 900
+#: Events that land at once and that one task writes, about: as audit events they are a hundred times what they are in the table.
+LANDING, TASK = 500_000, 25_000
+OVERLAP = timedelta(hours=2)
 
 
 def audit_events(events):
@@ -83,23 +88,30 @@ def audit_log_read(spark, sf_dir):
 
 @register("followed_events", "SELECT event_type AS endpoint, count(*) AS events, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
 def followed_events(spark, sf_dir):
-    """The log as a stream. It lands in four batches, each of which repeats the last two hours of the
-    one before; a listener drops the repeats by id and appends what is new to a log of its own, which is read at the end."""
+    """The log as a stream. It lands in four batches or more, each of which repeats the last two hours of
+    the one before; a listener drops the repeats by id and appends what is new to a log of its own, which is read at the end."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    bounds = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()  # one row
+    bounds = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).first()  # one row
     log, copy, checkpoint = (fresh_path(spark, name) for name in ("landed", "followed", "position"))
     if bounds.first is None:
         return events.groupBy(F.col("event_type").alias("endpoint")).agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"))
-    step = (bounds.last - bounds.first) / 4
-    for n in range(4):
+    number = batches(bounds.n, bounds.last - bounds.first)
+    step = (bounds.last - bounds.first) / number
+    for n in range(number):
         after, until = F.lit(bounds.first + n * step), F.lit(bounds.first + (n + 1) * step)
-        landing = events.where((F.col("ts") >= after - F.expr("INTERVAL 2 HOURS")) & ((F.col("ts") < until) | F.lit(n == 3)))
-        L.append(audit_events(landing), log)
+        landing = events.where((F.col("ts") >= after - F.lit(OVERLAP)) & ((F.col("ts") < until) | F.lit(n == number - 1)))
+        # Dealt as rows of the table: an input file of few MB holds more events than one task can sort as audit events.
+        L.append(audit_events(landing.repartitionByRange(-(-landing.count() // TASK) or 1, "ts", "event_id")), log)
         # Each call takes what has landed since the last one, as one batch, from where the checkpoint says.
         L.follow(L.tail(spark, log, "3 hours").drop("at"), copy, checkpoint).start().awaitTermination()
     return L.events(L.scan(spark, copy)).groupBy("endpoint").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"))
 
 
+def batches(events: int, time: timedelta) -> int:
+    """Batches of ``LANDING`` events, about, four at least; none is shorter than what the next one repeats, if they are more."""
+    return max(4, min(-(-events // LANDING), time // OVERLAP))
+
+
 @register("audit_projection", """SELECT event_id, 'u' || user_id AS identity, user_id % 3 + 1 AS decisions, CAST((user_id % 3 + 1) * (event_id % 6 + 1) AS BIGINT) AS matches, 0 AS masked, '{"user":' || user_id || '}' AS detail FROM events""")
 def audit_projection(spark, sf_dir):
     """Events without content: matches stay, what matched goes, and so do arguments."""

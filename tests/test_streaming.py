@@ -1,13 +1,14 @@
 """Streaming twins against their batch operators."""
 
 from dataclasses import replace
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from portcullis.operators import budgets
 from portcullis.operators import state as batch
-from portcullis.plans import gateway
+from portcullis.plans import gateway, logs
 from portcullis.sources import audit
 from portcullis.streaming import budgets as timed
 from portcullis.streaming import state as live
@@ -84,3 +85,21 @@ def test_log_tail_drops_repeats(spark, tmp_path):
     query = audit.follow(audit.tail(spark, str(tmp_path / "log")).drop("at"), str(tmp_path / "copy"), str(tmp_path / "checkpoint")).start()
     query.awaitTermination()
     assert sorted(r.event_id for r in audit.events(audit.scan(spark, str(tmp_path / "copy"))).collect()) == ["1", "2", "3"]
+
+
+def test_log_lands_in_bounded_batches(spark, monkeypatch):
+    assert [logs.batches(n, timedelta(days=1)) for n in (0, 10**5, 3 * 10**6, 10**9)] == [4, 4, 6, 12] and logs.batches(10**9, timedelta(0)) == 4
+    landed, append = [], audit.append
+
+    def counted(df, path, *more):
+        if "landed" in path:
+            landed.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()])
+        append(df, path, *more)
+
+    monkeypatch.setattr(audit, "append", counted)
+    monkeypatch.setattr(logs, "LANDING", 200)
+    monkeypatch.setattr(logs, "TASK", 50)
+    found = logs.followed_events(spark, "/root/testdata/sf0.001").collect()
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert sum(r.events for r in found) == sum(r.ids for r in found) == rows
+    assert len(landed) == -(-rows // 200) and max(max(x) for x in landed) <= 100
