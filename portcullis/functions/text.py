@@ -12,6 +12,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,7 @@ INVISIBLE = r"[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u009f­᠎​-‏
 LEET_FROM, LEET_TO = "0134578@$", "oieastbas"
 BUDGET, LEAST_LENGTH, PRINTABLE = 16 * 1024, 4, 0.9
 
+_ALIKE = str.maketrans(LOOK_ALIKES)
 BEYOND_ASCII = r"[^\x00-\x7F]"
 READING = "struct<size:int,place:int,text:string,codec:string>"
 
@@ -38,10 +40,23 @@ def _compatible(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def _case_folded(text: pd.Series) -> pd.Series:
-    alike = str.maketrans(LOOK_ALIKES)
-    return text.map(lambda t: re.sub(r"\s+", " ", t).strip().casefold().translate(alike), na_action="ignore")
+def folded(text: str) -> str:
+    """C2 of one text."""
+    seen = re.sub(INVISIBLE, "", unicodedata.normalize("NFKC", text))
+    return re.sub(r"\s+", " ", seen).strip().casefold().translate(_ALIKE)
+
+
+@F.arrow_udf(T.StringType())
+def _folded(text: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else folded(t) for t in text.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.StructType([T.StructField("norm", T.StringType()), T.StructField("differs", T.BooleanType())]))
+def _folded_and_compared(text: pa.Array) -> pa.Array:
+    texts = text.to_pylist()
+    norms = [None if t is None else folded(t) for t in texts]
+    differ = [None if t is None else n.casefold() != t.casefold() for n, t in zip(norms, texts, strict=True)]
+    return pa.StructArray.from_arrays([pa.array(norms, pa.string()), pa.array(differ, pa.bool_())], ["norm", "differs"])
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -55,10 +70,23 @@ def strip_invisible(text: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(_compatible(F.when(text.rlike(BEYOND_ASCII), text)), text), INVISIBLE, "")
 
 
+def _fold_ascii(text: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), r"\s+", " ")))
+
+
 def fold(text: Column | str) -> Column:
-    """C1, white space to one space, case folded, look-alikes to Latin."""
-    seen = strip_invisible(text)
-    return F.coalesce(_case_folded(F.when(seen.rlike(BEYOND_ASCII), seen)), F.lower(F.trim(F.regexp_replace(seen, r"\s+", " "))))
+    """C1, white space to one space, case folded, look-alikes to Latin. One pass of Python: each UDF over what
+    another made has Python workers of its own."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(_folded(F.when(text.rlike(BEYOND_ASCII), text)), _fold_ascii(text))
+
+
+def with_fold(df: DataFrame, text_column: str = "text") -> DataFrame:
+    """``df`` with ``norm`` (C2) and ``differs``, whether that differs from the text in more than case, of one pass of Python."""
+    text = F.col(f"`{text_column}`")
+    made = df.withColumns({"__ascii": _fold_ascii(text), "__other": _folded_and_compared(F.when(text.rlike(BEYOND_ASCII), text))})
+    found = {"norm": F.coalesce("__other.norm", "__ascii"), "differs": F.coalesce(F.col("__other.differs"), F.col("__ascii") != F.lower(text), F.lit(False))}
+    return made.withColumns(found).drop("__ascii", "__other")
 
 
 def readable(raw: Column) -> Column:

@@ -29,13 +29,17 @@ def texts_for(segments: DataFrame, request: str, size: int = 2000, most_chunks:
     """C17: (request, place, segment, text): what a classifier reads of each request's segments (segment, text,
     norm, decoded as array<struct<text, ..>>): the later ones first, each as its text, its normal form if that
     differs in more than case, and what is decoded from it, in chunks; blank ones and those after ``most`` go.
+    Where segments have a column ``differs``, as ``text.with_fold`` makes it, it says which normal forms do.
 
     A segment alone is never asked for more than ``most`` texts, so the row that is ordered stays small.
     """
     text, norm = F.coalesce("text", F.lit("")), F.coalesce("norm", F.lit(""))
-    cased = segments.withColumns({"__text": casefold(text), "__norm": casefold(norm)})
+    if "differs" in segments.columns:
+        cased, differs = segments, F.col("differs")
+    else:
+        cased, differs = segments.withColumns({"__text": casefold(text), "__norm": casefold(norm)}), F.col("__norm") != F.col("__text")
     none = F.array().cast("array<string>")
-    variants = F.concat(F.array(text), F.when(F.col("__norm") != F.col("__text"), F.array(norm)).otherwise(none), F.coalesce(F.transform("decoded", lambda d: d["text"]), none))
+    variants = F.concat(F.array(text), F.when(differs, F.array(norm)).otherwise(none), F.coalesce(F.transform("decoded", lambda d: d["text"]), none))
     pieces = F.flatten(F.transform(variants, lambda v: chunks(v, size, 200, most_chunks)))
     kept = F.slice(F.filter(pieces, lambda p: ~p.rlike(r"^\s*$")), 1, most)
     shown = cased.select(request, "segment", F.posexplode(kept).alias("at", "text"))

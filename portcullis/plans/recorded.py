@@ -40,7 +40,7 @@ def classifier_texts(spark, sf_dir):
     (here every third turn's from its end), in chunks of 300, three of a text and six of a conversation."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("segment"), "text")
     fragments = F.when(F.col("segment") % 3 == 0, F.array(F.struct(F.reverse("text").alias("text"), F.lit("made").alias("codec"))))
-    read = N.texts_for(turns.withColumns({"norm": T.fold("text"), "decoded": fragments}), "conv_id", 300, 3, 6)
+    read = N.texts_for(T.with_fold(turns).withColumn("decoded", fragments), "conv_id", 300, 3, 6)
     return read.select("conv_id", "place", "segment", F.md5("text").alias("text_md5"))
 
 

@@ -722,3 +722,16 @@ def test_held_out_items_of_any_length(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {tuple(r) for r in plans.QUERIES["heldout_leakage"](spark, str(tmp_path)).collect()}
     assert found == {(i, d) for i, a in enumerate(items) for d, b in enumerate(texts) if a is not None and b is not None and a in b}
+
+
+def test_texts_are_folded_in_one_pass_of_python(spark):
+    texts = [None, "", " Plain  Text ", "a\tb\x0bc\x1fd", "plain", "PLAIN", "Ｗide", "Straße  X", "STRASSE", "ÀB", "ﬁne​ x", "​ABC", "Γειά ΣΟΣ", "İstanbul", "a b ", "ſ", " ", "паспорт"]
+    frame = text.with_fold(spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "r int, segment int, text string")).withColumn("decoded", F.lit(None).cast("array<struct<text:string>>"))
+    rows = frame.withColumn("alone", text.fold("text")).collect()
+    for row in rows:
+        norm = None if row.text is None else text.folded(row.text)
+        assert (row.norm, row.alone, row.differs) == (norm, norm, row.text is not None and norm.casefold() != row.text.casefold()), row
+    passes = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    read = lambda df: readings.texts_for(df, "r", 1000, 3, 99)
+    assert passes(read(frame)) == 1 and passes(frame.select(text.fold("text"))) == 1
+    assert sorted(map(tuple, read(frame).collect())) == sorted(map(tuple, read(frame.drop("differs")).collect()))
