@@ -7,7 +7,7 @@ vector's cells bound its inner product with the query. Exact vectors are then re
 their bounds until the k-th best found is certain: no vector left can reach it.
 
 The queries are a stated set: packed into blocks too, they go to every group of vector blocks, so
-the work is a grid of block pairs and nothing is broadcast. Each pair returns k rows a query at most,
+the work is a grid of block pairs and only the components' ranges are broadcast. Each pair returns k rows a query at most,
 and a ranking window (which limits before its shuffle) takes the best.
 
 Null vectors and those with null or non-finite components take no part, as query or candidate; nor do
@@ -34,6 +34,9 @@ BLOCK, QUERIES = 4096, 256
 ROUNDING = 2.0**-48
 #: Exact vectors read at a time for one query.
 READ = 64
+#: Rows of blocks that go to Python together, and row groups of their tables: such a row is some MB long.
+BLOCK_ROWS = 4
+ROW_GROUPS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 PACKED = "dims int, block long, uids binary, ids binary, vectors binary"
 
 
@@ -139,6 +142,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id
 
     ranged = "dims int, least array<double>, most array<double>"
     ranges = rows.select("dims", "v").mapInArrow(task_ranges, ranged).groupBy("dims").applyInArrow(ranges_of, ranged)
+    ranges = written(ranges, "ranges")
     total = rows.count()
     groups = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK)))
 
@@ -166,7 +170,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id
                             names=["dims", "block", "uids", "ids", "vectors"],
                         )
 
-        return written(source.mapInArrow(run, PACKED), name)
+        return written(source.mapInArrow(run, PACKED), name, **ROW_GROUPS)
 
     def approximate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,9 +182,13 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id
             yield batch.append_column("cells", pa.array(cells, pa.binary()))
 
     with_cells = f"{PACKED}, least array<double>, most array<double>, cells binary"
-    blocks = written(pack(rows, BLOCK, "packed").join(ranges, "dims").mapInArrow(approximate, with_cells), "blocks").withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    asked = pack(rows.where("asks"), QUERIES, "queries").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = blocks.join(asked.select("dims", "group", F.col("uids").alias("q_uids"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), ["dims", "group"])
+    packed, asked = pack(rows, BLOCK, "packed"), pack(rows.where("asks"), QUERIES, "queries")
+    batch_rows(spark, BLOCK_ROWS)
+    # A row for each length of vectors: a shuffle by it would bring all blocks of a length to one task.
+    blocks = written(packed.join(F.broadcast(ranges), "dims").mapInArrow(approximate, with_cells), "blocks", **ROW_GROUPS).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    asked = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # Spark sizes the queries by their files, before each group has them, and would send all that by way of the driver.
+    pairs = blocks.join(asked.select("dims", "group", F.col("uids").alias("q_uids"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).hint("merge"), ["dims", "group"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,13 +208,11 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id
 
     near = pairs.mapInArrow(compare, "q_uid long, query_id long, uid long, id long, over int, score long, key binary")
     best = Window.partitionBy("q_uid").orderBy(F.col("over").desc(), F.col("score").desc(), F.col("key").desc(), "id", "uid")
+    ranked = written(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "ranked")
+    batch_rows(spark, 2 * BLOCK)
     none = F.lit(np.iinfo(np.int64).max)
     too_large = F.raise_error(F.lit("a score that is among the best does not fit 64 bits")).cast("long")
-    return (
-        near.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", F.when(F.col("id") != none, F.col("id")).alias(id_column), F.when(F.col("over") == 0, F.col("score")).otherwise(too_large).alias("score"))
-    )
+    return ranked.select("query_id", "rank", F.when(F.col("id") != none, F.col("id")).alias(id_column), F.when(F.col("over") == 0, F.col("score")).otherwise(too_large).alias("score"))
 
 
 ORACLE = """

@@ -290,6 +290,26 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert vector_topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_top_k_sends_no_blocks_by_way_of_the_driver(spark, monkeypatch):
+    """Neither the queries, once for each group, nor all blocks of a length to one task."""
+    monkeypatch.setattr(vector_topk, "BLOCK", 16)
+    plans, written = [], vector_topk.written
+
+    def seen(df, name, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name, **options)
+
+    monkeypatch.setattr(vector_topk, "written", seen)
+    df = spark.range(200).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    found = vector_topk.top_k(df, F.col("vec_id") % 50 == 0, k=3)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    compared = [p for p in plans if "q_vectors" in p]
+    assert compared and not any("BroadcastHashJoin" in p for p in compared)
+    with_cells = [p for p in plans if "cells" in p and "least" in p and "q_vectors" not in p]
+    assert with_cells and not any("hashpartitioning(dims" in p for p in with_cells if "vectors" in p)
+    assert found.count() == 4 * 3
+
+
 def test_top_k_of_large_and_non_finite_components(spark):
     r = random.Random(8)
     nan, inf = float("nan"), float("inf")
