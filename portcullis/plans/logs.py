@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from portcullis.plans import register
 from portcullis.plans.audit_view import ACTION_OF, SEVERITY_OF
 from portcullis.sources import audit as L
-from portcullis.sources.staging import fresh_path
+from portcullis.sources.staging import fresh_path, release_shuffles
 from portcullis.sources.tables import table
 
 LIMIT = 900
@@ -103,7 +103,8 @@ def followed_events(spark, sf_dir):
         # Dealt as rows of the table: an input file of few MB holds more events than one task can sort as audit events.
         L.append(audit_events(landing.repartitionByRange(-(-landing.count() // TASK) or 1, "ts", "event_id")), log)
         # Each call takes what has landed since the last one, as one batch, from where the checkpoint says.
-        L.follow(L.tail(spark, log, "3 hours").drop("at"), copy, checkpoint).start().awaitTermination()
+        L.follow(L.tail(spark, log, "3 hours", clean=True).drop("at"), copy, checkpoint).start().awaitTermination()
+        release_shuffles(spark)
     return L.events(L.scan(spark, copy)).groupBy("endpoint").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"))
 
 

@@ -34,16 +34,17 @@ def events(lines: DataFrame) -> DataFrame:
     return lines.where(F.col(CORRUPT).isNull() & F.col("event_id").isNotNull()).drop(CORRUPT).withColumn("at", F.to_timestamp("ts"))
 
 
-def tail(spark: SparkSession, path: str, lateness: str = "2 seconds") -> DataFrame:
+def tail(spark: SparkSession, path: str, lateness: str = "2 seconds", clean: bool = False) -> DataFrame:
     """A stream of new events; batches of lines land as new files. Repeats within the lateness
-    (ours: the source of these semantics has none) are dropped by id."""
-    lines = spark.readStream.schema(audit_type()).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    (ours: the source of these semantics has none) are dropped by id. With ``clean``, files that a batch before the
+    last one has read are deleted."""
+    lines = spark.readStream.schema(audit_type()).option("columnNameOfCorruptRecord", CORRUPT).option("cleanSource", "delete" if clean else "off").json(path)
     return events(lines).withWatermark("at", lateness).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def append(df: DataFrame, path: str, lines_per_file: int = 100_000) -> None:
-    """One file for so many events at most, oldest first in each."""
-    df.sortWithinPartitions("ts", "event_id").write.mode("append").option("maxRecordsPerFile", lines_per_file).json(path)
+    """One file for so many events at most, oldest first in each; compressed, as lines repeat one another's words."""
+    df.sortWithinPartitions("ts", "event_id").write.mode("append").option("maxRecordsPerFile", lines_per_file).option("compression", "gzip").json(path)
 
 
 def follow(stream: DataFrame, path: str, checkpoint: str):
@@ -102,7 +103,7 @@ def bounded(df: DataFrame, limit: int) -> DataFrame:
 
 def write_lines(df: DataFrame, path: str, lines_per_file: int = 100_000) -> None:
     """The column ``line`` appended as a log, in files of so many lines at most, in the order of time."""
-    df.sortWithinPartitions("ts", "event_id").select("line").write.mode("append").option("maxRecordsPerFile", lines_per_file).text(path)
+    df.sortWithinPartitions("ts", "event_id").select("line").write.mode("append").option("maxRecordsPerFile", lines_per_file).option("compression", "gzip").text(path)
 
 
 def flat_decisions(audit: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -19,5 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the files of a shuffle that nothing refers to when the driver's JVM collects: now, not at some later time."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

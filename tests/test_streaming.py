@@ -2,6 +2,7 @@
 
 from dataclasses import replace
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +104,28 @@ def test_log_lands_in_bounded_batches(spark, monkeypatch):
     rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
     assert sum(r.events for r in found) == sum(r.ids for r in found) == rows
     assert len(landed) == -(-rows // 200) and max(max(x) for x in landed) <= 100
+
+
+def test_followed_log_is_deleted_and_its_copy_compressed(spark, monkeypatch):
+    paths, fresh_path = {}, logs.fresh_path
+    monkeypatch.setattr(logs, "fresh_path", lambda spark, name: paths.setdefault(name, fresh_path(spark, name)))
+    found = logs.followed_events(spark, "/root/testdata/sf0.001")
+    files = {name: [f for f in Path(paths[name].removeprefix("file:")).rglob("*json*") if not f.name.startswith(".")] for name in ("landed", "followed")}
+    assert not files["landed"]  # no file that a batch has read stays
+    size = sum(f.stat().st_size for f in files["followed"])
+    raw = found.sparkSession.read.text(paths["followed"]).agg(F.sum(F.octet_length("value"))).first()[0]
+    assert 0 < size < raw / 4
+    assert sum(r.events for r in found.collect()) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_log_tail_deletes_only_what_it_is_told_to(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    line = '{"ts": "2024-01-01T00:00:0%d.000Z", "event_id": "%d", "type": "request"}\n'
+    for clean in (False, True):
+        left = []
+        for n in range(3):
+            (tmp_path / f"log/{clean}{n}.jsonl").write_text(line % (n, n))
+            audit.follow(audit.tail(spark, str(tmp_path / "log"), clean=clean).drop("at"), str(tmp_path / f"copy{clean}"), str(tmp_path / f"at{clean}")).start().awaitTermination()
+            left.append(len(list((tmp_path / "log").glob(f"{clean}*"))))
+        assert sorted(r.event_id for r in audit.events(audit.scan(spark, str(tmp_path / f"copy{clean}"))).collect()) == ["0", "1", "2"]
+        assert left == [1, 2, 3] if not clean else max(left) <= 2
